@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barlab.llm import exact_dedup, line_dedup, packing, quality, secrets, token_counts, toxicity
+from barlab.llm import exact_dedup, line_dedup, near_dedup, packing, pieces, quality, secrets, token_counts, toxicity
 from barlab.llm.session import documents
 
 
@@ -29,6 +29,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & F.col("kept")).alias("kept"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(documents(spark, sf_dir))
+    marked = encoded.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_hash": F.xxhash64("ids")})
+    return pieces.decode(marked).select("doc_id", "n_tokens", "ids_hash", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue")
 
@@ -45,14 +51,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_secret_scans": op3_secret_scans,
     "op5_quality_rules": op5_quality_rules,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -60,4 +72,5 @@ ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op3_secret_scans": secrets.ORACLE,
     "op5_quality_rules": quality.ORACLE,
+    "op10_minhash_near_dedup": near_dedup.ORACLE,
 }

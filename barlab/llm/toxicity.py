@@ -79,6 +79,13 @@ def window_bounds(counts: np.ndarray, width: int, step: int) -> tuple[np.ndarray
     return start, np.minimum(start + width, base[row] + counts[row]), row
 
 
+def no_runs(words: Words, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``place`` without words equal to the one before them in their row, and the words left per row."""
+    kept = np.ones(len(place), bool)
+    kept[1:] = (np.diff(place) != 0) | (np.diff(words.rows) != 0)
+    return place[kept], np.bincount(words.rows[kept], minlength=len(words.counts)).astype(np.int64)
+
+
 @dataclass
 class Model:
     """``weights``: each bucket's share in the toxic logit (embedding times softmax)."""
@@ -97,9 +104,9 @@ class Model:
             _, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
             bags = subwords(words, first, self.bits)
             share = np.add.reduceat(self.weights[bags.ids], bags.first) / bags.sizes
+            place, counts = no_runs(words, place)
             total = np.concatenate(([0.0], np.cumsum(share[place])))
-            start, end, row = window_bounds(words.counts, self.width, max(1, self.width // 2))
-            np.maximum.at(out, row, -np.inf)
+            start, end, row = window_bounds(counts, self.width, max(1, self.width // 2))
             logit = self.bias + (total[end] - total[start]) / (end - start)
             at = np.flatnonzero(np.diff(row, prepend=-1))
             out[row[at]] = np.maximum.reduceat(logit, at)
@@ -132,7 +139,8 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, bits: int
     _, _, words = next(word_slices(pa.array(texts, pa.string()), most=1 << 40))
     _, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
     bags = subwords(words, first, bits)
-    start, end, row = window_bounds(words.counts, width, width)
+    place, counts = no_runs(words, place)
+    start, end, row = window_bounds(counts, width, width)
     scale = np.where(toxic[row] == 1, (toxic == 0).sum() / max(1, (toxic == 1).sum()), 1.0)
     table = rng.normal(0, 0.1, (1 << bits, dim))
     soft = rng.normal(0, 0.5, (dim, 2))
