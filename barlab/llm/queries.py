@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barlab.llm import exact_dedup, line_dedup, near_dedup, packing, pieces, quality, secrets, token_counts, toxicity
+from barlab.llm import exact_dedup, line_dedup, maxent_lm, near_dedup, packing, pieces, quality, secrets, token_counts, toxicity
 from barlab.llm.session import documents
 
 
@@ -23,6 +23,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(documents(spark, sf_dir)))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.lm_scores(documents(spark, sf_dir), held_out=F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality(documents(spark, sf_dir).select("doc_id", "text"))
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_secret_scans": op3_secret_scans,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_packing": op7_packing,
