@@ -13,9 +13,10 @@
    the threshold; then the full sets decide. Linked nodes form components.
 4. Second round, only for buckets that still hold several components: all
    pairs of nodes in different components, block by block inside tasks, each
-   pair in the first band that it shares; those that pass the same two tests
-   are verified. No pair inside a component is ever made, and no pair is left
-   out for the size of its bucket.
+   pair in the first band that it shares. Those that pass the same two tests
+   are verified in their block, to which each node's full set is sent once. No
+   pair inside a component is tested, no pair becomes a row unless it links,
+   and none is left out for the size of its bucket.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from barlab.llm.components import components
-from barlab.llm.kernels import Words, mix, word_slices
+from barlab.llm.kernels import Words, mix, ranges, word_slices
 from barlab.llm.session import checkpointed
 
 _BAND = np.uint64(0x9FB21C651E98DF25)
@@ -102,18 +104,19 @@ def registers(values: np.ndarray, counts: np.ndarray, sketch: Sketch) -> np.ndar
     return out
 
 
-def estimate(above: np.ndarray, below: np.ndarray, n: np.ndarray, m: np.ndarray, sketch: Sketch) -> np.ndarray:
-    """Jaccard similarity of greatest likelihood, from how many of one's registers lie above and below the other's, and the set sizes n and m."""
-    u, v = n / (n + m), m / (n + m)
-    equal = sketch.size - above - below
+def log_likelihood(j, above: np.ndarray, below: np.ndarray, u: np.ndarray, v: np.ndarray, sketch: Sketch) -> np.ndarray:
+    """Of a similarity j, for sets with shares u and v of their sizes' sum."""
     b = sketch.base
     p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (b - 1) / b) / np.log(b)
+    safe = lambda x: np.log(np.maximum(x, 1e-12))
+    p_above, p_below = p(u - v * j), p(v - u * j)
+    return above * safe(p_above) + below * safe(p_below) + (sketch.size - above - below) * safe(1 - p_above - p_below)
 
-    def likelihood(j: np.ndarray) -> np.ndarray:
-        p_above, p_below = p(u - v * j), p(v - u * j)
-        safe = lambda x: np.log(np.maximum(x, 1e-12))
-        return above * safe(p_above) + below * safe(p_below) + equal * safe(1 - p_above - p_below)
 
+def estimate(above: np.ndarray, below: np.ndarray, n: np.ndarray, m: np.ndarray, sketch: Sketch) -> np.ndarray:
+    """Jaccard similarity of greatest likelihood, from how many of one's registers lie above and below the other's, and the set sizes n and m."""
+    u, v = n / (n + m), m / (n + m)
+    likelihood = lambda j: log_likelihood(j, above, below, u, v, sketch)
     low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
     g = (np.sqrt(5) - 1) / 2
     for _ in range(24):  # golden section; the likelihood has one peak
@@ -124,13 +127,16 @@ def estimate(above: np.ndarray, below: np.ndarray, n: np.ndarray, m: np.ndarray,
 
 
 def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, sketch: Sketch) -> np.ndarray:
-    """Pairs (rows of registers) that sizes and likelihood leave open."""
+    """Pairs (rows of registers) that sizes and likelihood leave open: its one peak, the estimate, lies at ``sketch.least`` or above if it still rises there."""
     fits = 100 * np.minimum(n, m) >= sketch.percent * np.maximum(n, m)
     out = np.zeros(len(n), bool)
     at = np.flatnonzero(fits)
     if len(at):
         above, below = (a[at] > b[at]).sum(axis=1), (a[at] < b[at]).sum(axis=1)
-        out[at] = estimate(above, below, n[at].astype(float), m[at].astype(float), sketch) >= sketch.least
+        n, m = n[at].astype(float), m[at].astype(float)
+        u, v = n / (n + m), m / (n + m)
+        at_least = lambda j: log_likelihood(j, above, below, u, v, sketch)
+        out[at] = at_least(sketch.least + 1e-4) >= at_least(sketch.least)
     return out
 
 
@@ -219,60 +225,129 @@ def _verified(pairs: DataFrame, sets: DataFrame, sketch: Sketch) -> DataFrame:
     return counted.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * sketch.percent).select("a", "b")
 
 
-def _block_pairs(members: DataFrame, sketch: Sketch, chunk: int) -> DataFrame:
-    """Open pairs of nodes in different components of a bucket; a pair comes from the first band that it shares.
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with equal keys (whole numbers), of batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        found = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys], axis=1)
+        cuts = np.flatnonzero((found[1:] != found[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(found)], strict=True):
+            if a == b:
+                continue
+            now = tuple(found[a])
+            if key is not None and now != key:
+                yield pa.concat_batches(held)
+                held = []
+            key = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.concat_batches(held)
+
+
+_BLOCK = ["bucket", "x", "y"]
+
+
+def _open_blocks(members: DataFrame, sketch: Sketch, chunk: int, parts: int) -> DataFrame:
+    """Open pairs of nodes in different components of a bucket, one row for each block that has some.
 
     A bucket is cut into chunks of about ``chunk`` nodes, and every two chunks
-    meet in a block of their own.
+    meet in a block of their own. A pair comes from the first band that it
+    shares. A row holds the nodes that occur in pairs, their components, and
+    the pairs as places among them.
     """
     chunks = F.ceil(F.col("members") / chunk).cast("int")
     mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    cut = members.withColumn("chunks", chunks).withColumn("mine", mine)
-    spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    spread = members.withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
     blocks = spread.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "band", "node", "label", "n", "registers")
 
-    def block(rows: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
-        get = lambda name: rows.column(name).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(name).to_numpy()
-        regs = _matrix(rows.column("registers"), sketch)
+    def block(rows: pa.RecordBatch) -> tuple | None:
+        get = lambda name: rows.column(name).to_numpy(zero_copy_only=False)
         node, label, n, mine = get("node"), get("label"), get("n"), get("mine")
-        x, y, band = int(get("x")[0]), int(get("y")[0]), int(get("band")[0])
+        x, y, band = (int(get(c)[0]) for c in ("x", "y", "band"))
         left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
-        found_a, found_b = [], []
-        for i in left:
-            j = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= sketch.percent * np.maximum(n[right], n[i]))]
-            if x == y:
-                j = j[node[j] > node[i]]
-            if not len(j):
-                continue
-            same = (regs[j] == regs[i]).reshape(len(j), sketch.bands, sketch.rows).all(axis=2)
-            j = j[same.argmax(axis=1) == band]
-            j = j[may_link(np.broadcast_to(regs[i], (len(j), sketch.size)), regs[j], np.full(len(j), n[i]), n[j], sketch)] if len(j) else j
-            found_a.append(np.full(len(j), node[i]))
-            found_b.append(node[j])
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+        some = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= sketch.percent * np.maximum(n[i], n[j]))
+        if x == y:
+            some &= node[i] < node[j]
+        i, j = i[some], j[some]
+        if not len(i):
+            return None
+        regs = _matrix(rows.column("registers"), sketch)
+        found_i, found_j = [], []
+        for a in range(0, len(i), 8192):
+            p, q = i[a : a + 8192], j[a : a + 8192]
+            same = (regs[p] == regs[q]).reshape(len(p), sketch.bands, sketch.rows).all(axis=2)
+            first = same.argmax(axis=1) == band
+            p, q = p[first], q[first]
+            keep = may_link(regs[p], regs[q], n[p], n[q], sketch)
+            found_i.append(p[keep])
+            found_j.append(q[keep])
+        i, j = np.concatenate(found_i), np.concatenate(found_j)
+        if not len(i):
+            return None
+        used, place = np.unique(np.concatenate((i, j)), return_inverse=True)
+        return int(get("bucket")[0]), x, y, node[used], label[used], place[: len(i)], place[len(i) :]
+
+    names = [*_BLOCK, "nodes", "labels", "i", "j"]
+    types = [pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.int32())] * 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket", "x", "y")], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-                if a == b:
-                    continue
-                now = tuple(keys[a])
-                if key is not None and now != key:
-                    yield block(pa.Table.from_batches(held).combine_chunks())
-                    held = []
-                key = now
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield block(pa.Table.from_batches(held).combine_chunks())
-
-    sorted_blocks = blocks.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return sorted_blocks.mapInArrow(run, "a long, b long")
+        for rows in _groups(batches, _BLOCK):
+            if (found := block(rows)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(found, types, strict=True)], names)
+
+    sorted_blocks = blocks.repartition(parts, *_BLOCK).sortWithinPartitions(*_BLOCK)
+    return sorted_blocks.mapInArrow(run, "bucket long, x int, y int, nodes array<long>, labels array<long>, i array<int>, j array<int>")
+
+
+def _links_in_blocks(blocks: DataFrame, sets: DataFrame, sketch: Sketch, parts: int) -> DataFrame:
+    """Verified pairs of the blocks, as many as join their components: each node's full set is sent to its blocks once."""
+    head = blocks.select(*_BLOCK, F.lit(-1).alias("place"), "nodes", "labels", "i", "j", F.lit(None).cast("array<bigint>").alias("shingles"))
+    each = blocks.select(*_BLOCK, F.posexplode("nodes").alias("place", "node")).join(sets, "node")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("nodes", "array<bigint>"), ("labels", "array<bigint>"), ("i", "array<int>"), ("j", "array<int>"))]
+    rows = head.unionByName(each.select(*_BLOCK, "place", *none, "shingles"))
+
+    def links(rows: pa.RecordBatch) -> tuple[list[int], list[int]]:
+        nodes, labels, i, j = (np.array(rows.column(c)[0].as_py()) for c in ("nodes", "labels", "i", "j"))
+        lists = rows.column("shingles").slice(1)
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        size = np.array(pa.compute.list_value_length(lists).to_pylist(), np.int64)
+        start = np.cumsum(size) - size
+        _, dense = np.unique(values, return_inverse=True)
+        flag = np.zeros(int(dense.max()) + 1, bool)
+        root = {int(x): int(x) for x in labels}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out_a, out_b = [], []
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        at = np.flatnonzero(np.diff(i, prepend=-1))
+        for a, b in zip(at, [*at[1:], len(i)], strict=True):
+            one, others = i[a], j[a:b]
+            own = dense[start[one] : start[one] + size[one]]
+            flag[own] = True
+            shared = np.add.reduceat(flag[dense[ranges(start[others], size[others])]], np.cumsum(size[others]) - size[others], dtype=np.int64)
+            flag[own] = False
+            for k in others[100 * shared >= sketch.percent * (size[one] + size[others] - shared)]:
+                p, q = find(int(labels[one])), find(int(labels[k]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out_a.append(int(nodes[one]))
+                    out_b.append(int(nodes[k]))
+        return out_a, out_b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, _BLOCK):
+            a, b = links(group)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.repartition(parts, *_BLOCK).sortWithinPartitions(*_BLOCK, "place").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = Sketch(), chunk: int = 256, salts: int = 8) -> DataFrame:
@@ -306,9 +381,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tagged = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = tagged.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     left = tagged.join(several, "bucket", "left_semi").join(nodes, "node")
-    more = checkpointed(_block_pairs(left, sketch, chunk))
-    tested = near.select("a", "b").union(near.select("b", "a"))
-    links = links.union(_verified(more.join(tested, ["a", "b"], "left_anti"), sets, sketch))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = checkpointed(_open_blocks(left, sketch, chunk, parts))
+    links = links.union(_links_in_blocks(blocks, sets, sketch, parts))
     labels = components(links)
     named = labels.join(groups.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = labels.join(named, "label").select("node", "component_id")
