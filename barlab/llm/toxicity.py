@@ -79,11 +79,32 @@ def window_bounds(counts: np.ndarray, width: int, step: int) -> tuple[np.ndarray
     return start, np.minimum(start + width, base[row] + counts[row]), row
 
 
-def no_runs(words: Words, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def no_runs(rows: np.ndarray, n_rows: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``place`` without words equal to the one before them in their row, and the words left per row."""
     kept = np.ones(len(place), bool)
-    kept[1:] = (np.diff(place) != 0) | (np.diff(words.rows) != 0)
-    return place[kept], np.bincount(words.rows[kept], minlength=len(words.counts)).astype(np.int64)
+    kept[1:] = (np.diff(place) != 0) | (np.diff(rows) != 0)
+    return place[kept], np.bincount(rows[kept], minlength=n_rows).astype(np.int64)
+
+
+def bag_corpus(texts: list[str], bits: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, Bags]:
+    """Words of all texts as places among the distinct ones, words per text (runs of one word count once), and the distinct words' bags; by slices, so what is held beside them is small."""
+    seen = np.zeros(0, np.uint64)
+    hashes, rows, ids, sizes = [], [], [], []
+    for a, _, words in word_slices(pa.array(texts, pa.string()), most=most):
+        own = words.hashes()
+        unique, first = np.unique(own, return_index=True)
+        new = ~np.isin(unique, seen)
+        bags = subwords(words, first[new], bits)
+        ids.append(bags.ids.astype(np.int32))
+        sizes.append(bags.sizes)
+        seen = np.concatenate((seen, unique[new]))
+        hashes.append(own)
+        rows.append((words.rows + a).astype(np.int32))
+    order = np.argsort(seen)
+    place = order[np.searchsorted(seen[order], np.concatenate(hashes))].astype(np.int32) if hashes else np.zeros(0, np.int32)
+    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    place, counts = no_runs(np.concatenate(rows) if rows else np.zeros(0, np.int32), len(texts), place)
+    return place, counts, Bags(np.concatenate(ids) if ids else np.zeros(0, np.int32), np.cumsum(size) - size)
 
 
 @dataclass
@@ -104,7 +125,7 @@ class Model:
             _, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
             bags = subwords(words, first, self.bits)
             share = np.add.reduceat(self.weights[bags.ids], bags.first) / bags.sizes
-            place, counts = no_runs(words, place)
+            place, counts = no_runs(words.rows, rows, place)
             total = np.concatenate(([0.0], np.cumsum(share[place])))
             start, end, row = window_bounds(counts, self.width, max(1, self.width // 2))
             logit = self.bias + (total[end] - total[start]) / (end - start)
@@ -136,10 +157,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, bits: int
     base = float(np.log(share / (1 - share)))
     if not len(texts) or toxic.min() == toxic.max():
         return Model(np.zeros(1 << bits, np.float32), base, 1.0, 0.0, bits, width)
-    _, _, words = next(word_slices(pa.array(texts, pa.string()), most=1 << 40))
-    _, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    bags = subwords(words, first, bits)
-    place, counts = no_runs(words, place)
+    place, counts, bags = bag_corpus(texts, bits)
     start, end, row = window_bounds(counts, width, width)
     scale = np.where(toxic[row] == 1, (toxic == 0).sum() / max(1, (toxic == 1).sum()), 1.0)
     table = rng.normal(0, 0.1, (1 << bits, dim))
@@ -193,7 +211,8 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, bits: int
             order = rng.permutation(np.flatnonzero(use))
             for a in range(0, len(order), batch):
                 step(order[a : a + batch])
-    worst = model().worst(words, len(texts))
+    last = model()
+    worst = np.concatenate([last.worst(w, b - a) for a, b, w in word_slices(pa.array(texts, pa.string()))])
     slope, shift = _curve(worst, toxic, weight)
     return model(slope, shift)
 
@@ -215,7 +234,7 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return float(beta[0] / wide), float(beta[1] - beta[0] * mid / wide)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000, sample_chars: int = 20_000) -> tuple[list[str], np.ndarray, np.ndarray]:
+def training_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, sample_chars: int = 20_000) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, labels and weights of at most ``per_class`` labelled documents of each class, in the order of a hash of their ids.
 
     The bound on the driver: 2 x per_class x sample_chars characters. Longer,
@@ -256,7 +275,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return docs.select(*own).mapInArrow(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000, sample_chars: int = 20_000, held_out=None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, sample_chars: int = 20_000, held_out=None) -> DataFrame:
     """``docs`` with score and predicted (1 if score >= 0.5), by a model trained on the labelled documents outside ``held_out``.
 
     The score depends on the text alone. Several labels of one id count as
