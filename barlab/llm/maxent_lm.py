@@ -42,7 +42,7 @@ class Shape:
     table: int = 1 << 17
     classes: int = 32
     neighbours: int = 64
-    bits: int = 13
+    bits: int = 12
     batch: int = 8192
     rate: float = 0.3
     fit_steps: int = 25
@@ -327,23 +327,23 @@ def _train_classes(docs: DataFrame, model: Model, column: str = "text") -> tuple
                 seen[-1] += (g * g).mean()
                 w[-1] -= np.float32(shape.rate / np.sqrt(seen[-1])) * g
         at = np.flatnonzero(met)
-        part = (w[at] * met[at, None]).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(met[at]), *[pa.array(part[:, i]) for i in range(n_out)]], ["key", "n", *names])
-        shift = base
-        for x in sums:
-            some = np.flatnonzero(x)
-            none = pa.nulls(len(some), pa.float32())
-            yield pa.RecordBatch.from_arrays([pa.array(some + shift), pa.array(x[some]), *[none] * n_out], ["key", "n", *names])
-            shift += len(x)
-
-    schema = "key long, n long, " + ", ".join(f"{x} float" for x in names)
+        yield packed(at, met[at], w[at] * met[at, None].astype(float))
+        flat = np.concatenate([*sums, np.zeros(-sum(cells) % n_out, np.int64)]).reshape(-1, n_out)
+        at = np.flatnonzero(flat.any(axis=1))
+        yield packed(base + at, np.zeros(len(at), np.int64), flat[at].astype(float))
+
+    def packed(key: np.ndarray, n: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), *[pa.array(np.ascontiguousarray(values[:, i])) for i in range(n_out)]], ["key", "n", *names])
+
+    schema = "key long, n long, " + ", ".join(f"{x} double" for x in names)
     found = docs.select(column).mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).toPandas()
-    key, n = found["key"].to_numpy(np.int64), found["n"].to_numpy(float)
+    key, n, values = found["key"].to_numpy(np.int64), found["n"].to_numpy(float), found[names].to_numpy(float)
     weights = np.zeros((base, n_out), np.float32)
     own = key < base
-    weights[key[own]] = (found.loc[own, names].to_numpy(float) / n[own, None]).astype(np.float32)
-    flat = np.zeros(sum(cells))
-    flat[key[~own] - base] = n[~own]
+    weights[key[own]] = (values[own] / n[own, None]).astype(np.float32)
+    flat = np.zeros((-(-sum(cells) // n_out), n_out))
+    flat[key[~own] - base] = values[~own]
+    flat = flat.ravel()[: sum(cells)]
     one, two, three = np.split(flat, np.cumsum(cells)[:-1])
     return weights, one.reshape(n_ctx, vocab), two.reshape(n_ctx, vocab), three.reshape(n_out, n_ctx, n_ctx)
 
