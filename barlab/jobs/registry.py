@@ -2,5 +2,616 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from barlab.jobs import sql as S
+from barlab.jobs.panel import index_bars, latest_signals, table, tick_bars
+from barlab.operators import backtest as bt, bootstrap as boot, calibration as cal, features as ft, labels as lb, models as md, performance as pf, quality as ql, scoring as sc, serving as sv, walkforward as wf
+from barlab.schemas import STRATEGIES, Protocol
+from barlab.sources import files as io
+from barlab.streaming import bars as st
+
+P = Protocol()
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def r6(df: DataFrame) -> DataFrame:
+    """Doubles to six digits, whole numbers to long."""
+    out = []
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        c = F.col(f"`{f.name}`")
+        out.append((F.round(c, 6) if kind == "double" else c.cast("long") if kind in ("integer", "short", "byte") else c).alias(f.name))
+    return df.select(*out)
+
+
+def sel(cols: str) -> str:
+    """r6 in SQL: names with * are rounded, with # made BIGINT."""
+    f = lambda c: f"round({c[1:]}, 6) AS {c[1:]}" if c[0] == "*" else f"CAST({c[1:]} AS BIGINT) AS {c[1:]}" if c[0] == "#" else c
+    return ", ".join(f(c) for c in cols.split())
+
+
+def ind(spark, d):
+    return ft.indicators(index_bars(spark, d), P)
+
+
+def rows7(spark, d):
+    got = lb.close_to_close(ind(spark, d), 7)
+    return lb.dataset(got.where("score IS NOT NULL"), [], start=P.research_start).select("symbol", "date", "label_end", "score", "target", "forward_return", "close")
+
+
+def fold_probs(spark, d):
+    counts = wf.expanding_counts(rows7(spark, d), wf.folds(spark, date(1998, 1, 1), date(2001, 11, 2)), ["symbol"])
+    return wf.fold_probabilities(counts, shrink=P.shrink * 7, least=365)
+
+
+def wide(spark, d):
+    return wf.predictions(rows7(spark, d), fold_probs(spark, d), ["symbol"])
+
+
+def preds(spark, d):
+    got = wide(spark, d).withColumns({"historical_prior": F.col("prior"), "always_up": F.lit(1.0)})
+    return wf.long_candidates(got, ["symbol"], ["historical_prior", "regime", "always_up"])
+
+
+def selection(spark, d):
+    outer = spark.createDataFrame([(date(2000, 1, 1),), (date(2001, 1, 1),)], "cutoff date")
+    return wf.select_from_past(preds(spark, d), outer, ["symbol"], ["historical_prior", "regime"])
+
+
+def holdout(spark, d):
+    return bt.backtest(index_bars(spark, d), [s for s in bt.period_scenarios(P) if s.name == "holdout"], P)
+
+
+# ---- sources
+
+
+@query("s9_bars_from_ticks", """SELECT l_linestatus AS symbol, CAST(l_shipdate AS DATE) AS date, round(first(l_extendedprice ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey), 6) AS open,
+round(max(l_extendedprice), 6) AS high, round(min(l_extendedprice), 6) AS low, round(last(l_extendedprice ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey), 6) AS close, round(sum(l_quantity), 6) AS volume FROM lineitem GROUP BY 1, 2""")
+def s9(spark, d):
+    return r6(tick_bars(spark, d))
+
+
+def _klines(spark, d):
+    b = index_bars(spark, d)
+    ms = F.unix_date("date").cast("long") * io.DAY_MS
+    text = lambda c: F.round(c, 6).cast("string")
+    k = F.array(ms.cast("string"), *[text(c) for c in ("open", "high", "low", "close", "volume")], (ms + io.DAY_MS - 1).cast("string"), F.lit("0"), F.lit("1"), F.lit("0"), F.lit("0"), F.lit("0"))
+    return b.select("symbol", F.year("date").alias("page"), F.to_json(F.array(k)).alias("value"))
+
+
+@query("s1_read_klines", f"{S.BASE} SELECT {sel('symbol date *open *high *low *close *volume')}, 12::BIGINT AS raw_fields FROM bars")
+def s1(spark, d):
+    return r6(io.read_klines(_klines(spark, d)).drop("open_ms", "close_ms"))
+
+
+@query("s4_merge_pages", f"{S.BASE} SELECT symbol, count(*) AS rows, min(date) AS first_bar, max(date) AS last_bar, round(sum(round(close, 6)), 3) AS closes FROM bars GROUP BY symbol")
+def s4(spark, d):
+    pages = _klines(spark, d)
+    merged = io.merge_pages(io.read_klines(pages.where("page < 1998")), io.read_klines(pages.where("page >= 1998")))
+    return merged.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_bar"), F.max("date").alias("last_bar"), F.round(F.sum("close"), 3).alias("closes"))
+
+
+@query("s2_bars_from_strings", f"{S.BASE} SELECT {sel('symbol date *open *high *low *close *volume')} FROM bars")
+def s2(spark, d):
+    raw = r6(index_bars(spark, d)).select(F.col("volume").cast("string").alias("Volume"), F.col("symbol").alias("SYMBOL"), F.col("date").cast("string").alias("Date"), *[F.concat(F.lit(" "), F.col(c).cast("string")).alias(c.upper()) for c in ("open", "high", "low", "close")])
+    return io.bars_from_strings(raw)
+
+
+@query("s3_read_quotes", "SELECT event_type AS symbol, round(value, 6) AS price, event_id AS received_at FROM events WHERE value > 0 AND event_id % 3 <> 0")
+def s3(spark, d):
+    e = table(spark, d, "events")
+    price = F.when(F.col("event_id") % 3 == 0, F.lit("Infinity")).otherwise(F.col("value").cast("string"))
+    made = e.select(F.to_json(F.struct(F.col("event_type").alias("symbol"), price.alias("price"))).alias("value"), F.col("event_id").alias("received_at"))
+    return r6(io.read_quotes(made))
+
+
+@query("s6_curve_bundle", f"{S.SIM} SELECT symbol, strategy, date + 1 AS valuation_date, round(equity, 6) AS equity, round(weight, 6) AS weight FROM days UNION ALL SELECT symbol, strategy, min(date), 1.0, 0.0 FROM days GROUP BY 1, 2")
+def s6(spark, d):
+    return r6(io.curve_bundle(holdout(spark, d)).drop("scenario"))
+
+
+@query("s8_sample_bars", f"{S.BASE} SELECT {sel('symbol date *open *high *low *close *volume')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS i FROM bars) WHERE i <= 240")
+def s8(spark, d):
+    return r6(io.sample_bars(index_bars(spark, d)))
+
+
+# ---- quality
+
+_FLAG = "SELECT DISTINCT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS date FROM lineitem"
+
+
+@query("d1_violations", """SELECT symbol, date, CASE WHEN h < greatest(o, c, l) THEN 'high_too_low' ELSE '' END || '|' || CASE WHEN l > least(o, c, h) THEN 'low_too_high' ELSE '' END AS reasons FROM (
+SELECT l_linestatus AS symbol, CAST(l_shipdate AS DATE) AS date, first(l_extendedprice ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS o, last(l_extendedprice ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS c,
+round(avg(l_extendedprice), 2) AS h, min(l_extendedprice) AS l FROM lineitem GROUP BY 1, 2) WHERE h < greatest(o, c, l) OR l > least(o, c, h)""")
+def d1(spark, d):
+    mean = table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("symbol"), F.col("l_shipdate").cast("date").alias("date")).agg(F.round(F.avg("l_extendedprice"), 2).alias("h"))
+    wrong = tick_bars(spark, d).join(mean, ["symbol", "date"]).withColumn("high", F.col("h")).drop("h")
+    has = lambda x: F.when(F.array_contains("reasons", x), x).otherwise("")
+    return ql.rejects(wrong).select("symbol", "date", F.concat_ws("|", has("high_too_low"), has("low_too_high")).alias("reasons"))
+
+
+@query("d2_duplicate_dates", "SELECT l_linestatus AS symbol, CAST(l_shipdate AS DATE) AS date, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def d2(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("symbol"), F.col("l_shipdate").cast("date").alias("date"))
+    return ql.duplicate_dates(t)
+
+
+def _orders(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderstatus").alias("symbol"), F.col("o_orderdate").cast("date").alias("date")).distinct()
+
+
+_ORD = "WITH o AS (SELECT DISTINCT o_orderstatus AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders), g AS (SELECT *, lag(date) OVER (PARTITION BY symbol ORDER BY date) AS before FROM o)"
+
+
+@query("d3_gap_report", f"{_ORD} SELECT symbol, before, date AS after, CAST(date - before - 1 AS BIGINT) AS missing FROM g WHERE date - before > 1")
+def d3(spark, d):
+    return r6(ql.gap_report(_orders(spark, d)))
+
+
+@query("d3_missing_dates", f"{_ORD} SELECT symbol, CAST(unnest(generate_series(before + 1, date - 1, INTERVAL 1 DAY)) AS DATE) AS date FROM g WHERE date - before > 1")
+def d3m(spark, d):
+    return ql.missing_dates(_orders(spark, d))
+
+
+@query("d4_contiguous_segments", f"{_ORD} SELECT symbol, date, CAST(sum(CAST(coalesce(date - before > 1, false) AS INT)) OVER (PARTITION BY symbol ORDER BY date) AS BIGINT) AS segment FROM g")
+def d4(spark, d):
+    return r6(ql.contiguous_segments(_orders(spark, d)))
+
+
+@query("d5_closed_only", f"{S.BASE} SELECT {sel('symbol date *close')} FROM bars WHERE date <= DATE '2001-11-04' AND date + 1 <= DATE '2001-11-05'")
+def d5(spark, d):
+    ms = 1004918400000  # the midnight that ends 2001-11-04
+    return r6(ql.closed_only(io.read_klines(_klines(spark, d)), ms).select("symbol", "date", "close"))
+
+
+@query("d6_manifest", f"{S.BASE} SELECT symbol, count(*) AS rows, min(date) AS first_bar, max(date) AS last_bar, 'index' AS source FROM bars GROUP BY symbol")
+def d6(spark, d):
+    return ql.manifest(index_bars(spark, d), "index").drop("fingerprint")
+
+
+@query("d7_coverage", f"{S.BASE} SELECT symbol, count(*) AS rows, max(date) AS last_bar, count(*) BETWEEN 201 AND 20000 AS size_ok, max(date) >= DATE '2000-01-01' AS reaches, CAST(DATE '2001-11-06' - max(date) AS BIGINT) AS stale_days, DATE '2001-11-06' > max(date) AS stale FROM bars GROUP BY symbol")
+def d7(spark, d):
+    return r6(ql.coverage(index_bars(spark, d), reach=P.holdout_start, yesterday=date(2001, 11, 6)))
+
+
+@query("d9_dataset_diff", f"{S.BASE} SELECT symbol, date, 'close' AS what FROM bars WHERE day(date) = 13")
+def d9(spark, d):
+    b = index_bars(spark, d).select("symbol", "date", "close")
+    other = b.withColumn("close", F.when(F.dayofmonth("date") == 13, F.col("close") + 1).otherwise(F.col("close")))
+    return ql.dataset_diff(b, other, ["symbol", "date"], tolerance=1e-9).select("symbol", "date", F.concat_ws(",", "what").alias("what"))
+
+
+# ---- features
+
+
+@query("f1_f6_indicators", f"{S.BASE} SELECT {sel('symbol date *close *sma *momentum *vol #score *weight')} FROM ind")
+def f1(spark, d):
+    return r6(ind(spark, d).select("symbol", "date", "close", "sma", "momentum", "vol", "score", "weight"))
+
+
+@query("f6_strategy_weights", f"{S.BASE} SELECT symbol, date, strategy, round(target, 6) AS target FROM (SELECT symbol, date, unnest(['trend_model', 'buy_hold', 'sma200', 'vol_hold']) AS strategy, unnest([CASE WHEN score = 2 THEN weight WHEN score IS NOT NULL THEN 0.0 END, CASE WHEN score IS NOT NULL THEN 1.0 END, CASE WHEN score IS NOT NULL THEN CAST(close > sma AS DOUBLE) END, CASE WHEN score IS NOT NULL THEN weight END]) AS target FROM ind)")
+def f6(spark, d):
+    return r6(ft.weights_long(ind(spark, d)))
+
+
+_FEAT = f"""{S.BASE}, fe AS (SELECT symbol, date, close, open, high, low,
+{', '.join(f"ln(close) - {S.lag('ln(close)', n)} AS return_{n}" for n in (1, 3, 7, 14, 30, 63, 126))},
+{', '.join(f"close / {S.full(n, 'avg', 'close')} - 1 AS ma{n}" for n in (20, 50, 200))},
+{', '.join(f"{S.full(n, 'stddev_samp', 'log_return')} * sqrt(365.0) AS vol{n}" for n in (30, 90))},
+{S.full(14, 'avg', 'CASE WHEN change IS NOT NULL THEN greatest(change, 0.0) END')} AS up14, {S.full(14, 'avg', 'CASE WHEN change IS NOT NULL THEN greatest(-change, 0.0) END')} AS down14,
+{S.full(14, 'avg', 'true_range')} / close AS atr14, (log_volume - {S.full(20, 'avg', 'log_volume')}) / nullif({S.full(20, 'stddev_samp', 'log_volume')}, 0) AS volume_z,
+(high - low) / close AS "range", CASE WHEN high = low THEN 0.5 ELSE (close - low) / (high - low) END AS close_position FROM daily),
+fx AS (SELECT *, CASE WHEN up14 + down14 = 0 THEN 0.5 ELSE up14 / (up14 + down14) END AS rsi14, vol30 / vol90 AS vol_ratio FROM fe)"""
+
+
+@query("f7_f13_features", f"{_FEAT} SELECT {sel('symbol date *return_1 *return_3 *return_7 *return_14 *return_30 *return_63 *return_126 *ma20 *ma50 *ma200 *vol30 *vol90 *rsi14 *vol_ratio *atr14 *volume_z')}, round(\"range\", 6) AS \"range\", round(close_position, 6) AS close_position FROM fx")
+def f7(spark, d):
+    return r6(ft.all_features(index_bars(spark, d)).select("symbol", "date", *ft.EXPANDED))
+
+
+@query("f14_interactions", f"{_FEAT} SELECT symbol, date, round(ma200 * return_63, 6) AS ma200_return63, round((rsi14 - 0.5) * ma200, 6) AS rsi_ma200, round(return_30 * vol30, 6) AS return30_vol30, round(ma200 * ma200, 6) AS ma200_sq, round(rsi14 * rsi14, 6) AS rsi14_sq FROM fx")
+def f14(spark, d):
+    return r6(ft.all_features(index_bars(spark, d)).select("symbol", "date", "ma200_return63", "rsi_ma200", "return30_vol30", "ma200_sq", "rsi14_sq"))
+
+
+@query("f16_range_slice", f"{S.BASE} SELECT symbol, date, round(close, 6) AS close, round(sma, 6) AS sma, round(close / p - 1, 6) AS day_change FROM (SELECT *, {S.lag('close')} AS p, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS i FROM ind WHERE date <= DATE '2001-06-30') WHERE i <= 90")
+def f16(spark, d):
+    return r6(ft.range_slice(ft.day_change(index_bars(spark, d)), date(2001, 6, 30)).select("symbol", "date", "close", "sma", "day_change"))
+
+
+@query("f17_latest_signal", f"{S.BASE} SELECT {sel('symbol date *close *sma *momentum *vol #score *weight')}, date + 2 AS earliest_execution FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS i FROM ind) WHERE i = 1")
+def f17(spark, d):
+    return r6(ft.latest_signal(ind(spark, d).select("symbol", "date", "close", "sma", "momentum", "vol", "score", "weight")))
+
+
+# ---- labels and calibration
+
+
+@query("l1_open_to_open", f"{S.BASE},{S.OTO(7)} SELECT {sel('symbol date *forward_return label_end #target')} FROM lab")
+def l1(spark, d):
+    return r6(lb.open_to_open(ind(spark, d), 7).select("symbol", "date", "forward_return", "label_end", "target"))
+
+
+@query("l2_close_to_close", f"{S.BASE},{S.CTC(30)} SELECT {sel('symbol date *forward_return label_end #target')} FROM lab")
+def l2(spark, d):
+    return r6(lb.close_to_close(ind(spark, d), 30).select("symbol", "date", "forward_return", "label_end", "target"))
+
+
+@query("l3_dataset", f"{S.BASE},{S.CTC(7)} SELECT {sel('symbol date *sma *vol *forward_return #target')} FROM lab WHERE sma IS NOT NULL AND vol IS NOT NULL AND forward_return IS NOT NULL AND date >= DATE '1996-01-01'")
+def l3(spark, d):
+    got = lb.dataset(lb.close_to_close(ind(spark, d), 7), ["sma", "vol"], start=P.research_start)
+    return r6(got.select("symbol", "date", "sma", "vol", "forward_return", "target"))
+
+
+@query("l4_l5_execution_lag", f"{S.SIM} SELECT symbol, date, strategy, round(target, 6) AS target, round(r, 6) AS next_return FROM tgt")
+def l4(spark, d):
+    w = ft.strategy_weights(ind(spark, d)).withColumn("next_return", lb.next_open_return())
+    got = lb.execution_lag(w, list(STRATEGIES), P.lag, start=P.holdout_start, stop=P.data_end)
+    return r6(got.unpivot(["symbol", "date", "next_return"], list(STRATEGIES), "strategy", "target"))
+
+
+_CAL = f"{S.BASE},{S.OTO(7)}, fit AS (SELECT * FROM lab WHERE score IS NOT NULL AND target IS NOT NULL AND date >= DATE '1996-01-01' AND label_end < DATE '1999-01-01'), tst AS (SELECT * FROM lab WHERE score IS NOT NULL AND target IS NOT NULL AND date >= DATE '2000-01-01')"
+
+
+def _split(spark, d, horizon=7):
+    got = lb.open_to_open(ind(spark, d), horizon).where("score IS NOT NULL AND target IS NOT NULL")
+    return cal.purged_split(got, start=P.research_start, calibration_end=P.calibration_end, evaluation_start=P.holdout_start)
+
+
+def _fit(spark, d, horizon=7):
+    return _split(spark, d, horizon).where("part = 'calibration'")
+
+
+@query("a1_prior_probability", f"{_CAL} SELECT symbol, count(*) AS n, CAST(sum(target) AS BIGINT) AS ups, round((sum(target) + 1) / (count(*) + 2), 6) AS probability FROM fit GROUP BY symbol")
+def a1(spark, d):
+    return r6(cal.prior_probability(_fit(spark, d), ["symbol"]))
+
+
+_GRID = "(SELECT DISTINCT symbol FROM fit) g CROSS JOIN (SELECT unnest([0, 1, 2]) AS score) s LEFT JOIN fit f ON f.symbol = g.symbol AND f.score = s.score"
+
+
+@query("a2_regime_probability", f"{_CAL} SELECT g.symbol, s.score::BIGINT AS score, count(f.target) AS n, coalesce(sum(f.target), 0)::BIGINT AS ups, round((coalesce(sum(f.target), 0) + 1) / (count(f.target) + 2), 6) AS probability FROM {_GRID} GROUP BY 1, 2")
+def a2(spark, d):
+    return r6(cal.regime_probability(_fit(spark, d), ["symbol"]))
+
+
+@query("a3_regime_shrunk", f"{_CAL}, pr AS (SELECT symbol, (sum(target) + 1) / (count(*) + 2) AS prior FROM fit GROUP BY 1) SELECT g.symbol, s.score::BIGINT AS score, count(f.target) AS n, coalesce(sum(f.target), 0)::BIGINT AS ups, round((coalesce(sum(f.target), 0) + 21 * max(prior)) / (count(f.target) + 21), 6) AS probability FROM {_GRID} JOIN pr ON pr.symbol = g.symbol GROUP BY 1, 2")
+def a3(spark, d):
+    return r6(cal.regime_probability(_fit(spark, d), ["symbol"], shrink=21))
+
+
+@query("a4_return_quantiles", f"{_CAL} SELECT symbol, score::BIGINT AS score, round(quantile_cont(forward_return, 0.1), 6) AS q10, round(quantile_cont(forward_return, 0.5), 6) AS q50, round(quantile_cont(forward_return, 0.9), 6) AS q90 FROM fit GROUP BY 1, 2")
+def a4(spark, d):
+    return r6(cal.return_quantiles(_fit(spark, d), ["symbol"]))
+
+
+@query("a5_observed_regimes", f"{_CAL} SELECT symbol, score::BIGINT AS score, count(*) AS n, round(avg(target), 6) AS up_share, round(avg(forward_return), 6) AS mean_return FROM tst GROUP BY 1, 2")
+def a5(spark, d):
+    return r6(cal.observed_regimes(_split(spark, d).where("part = 'test'"), ["symbol"]))
+
+
+@query("a6_purged_split", f"{_CAL} SELECT symbol, 'calibration' AS part, count(*) AS n, max(label_end) AS last_label FROM fit GROUP BY 1 UNION ALL SELECT symbol, 'test', count(*), max(label_end) FROM tst GROUP BY 1")
+def a6(spark, d):
+    return _split(spark, d).groupBy("symbol", "part").agg(F.count(F.lit(1)).alias("n"), F.max("label_end").alias("last_label"))
+
+
+def _scored(spark, d):
+    table_ = cal.regime_probability(_fit(spark, d), ["symbol"]).select("symbol", "score", "probability")
+    prior = cal.prior_probability(_fit(spark, d), ["symbol"]).select("symbol", F.col("probability").alias("baseline"))
+    test = _split(spark, d).where("part = 'test'").select("symbol", "date", "score", "target", "forward_return")
+    return lb.score_probability(test, table_, ["symbol"]).join(lb.small(prior), "symbol")
+
+
+_SCORED = f"{_CAL}, tb AS (SELECT symbol, score, (sum(target) + 1) / (count(*) + 2) AS p FROM fit GROUP BY 1, 2), pr AS (SELECT symbol, (sum(target) + 1) / (count(*) + 2) AS baseline FROM fit GROUP BY 1), sco AS (SELECT t.symbol, t.date, t.score, t.target, t.forward_return, coalesce(p, 0.5) AS probability, baseline FROM tst t LEFT JOIN tb USING (symbol, score) JOIN pr USING (symbol))"
+
+
+@query("l6_score_probability", f"{_SCORED} SELECT {sel('symbol date #score #target *probability *baseline')} FROM sco")
+def l6(spark, d):
+    return r6(_scored(spark, d).drop("forward_return"))
+
+
+@query("l8_folds", f"{S.FOLDS}, yc AS (SELECT DATE '1999-01-01' AS cutoff, DATE '2000-01-01' AS next_cutoff UNION ALL SELECT DATE '2000-01-01', DATE '2001-01-01') SELECT symbol, cutoff, count(*) FILTER (WHERE label_end < cutoff AND date >= cutoff - 730) AS train_rows, count(*) FILTER (WHERE date >= cutoff AND date < next_cutoff) AS test_rows, max(label_end) FILTER (WHERE label_end < cutoff AND date >= cutoff - 730) AS train_label_end FROM rows, yc GROUP BY 1, 2")
+def l8(spark, d):
+    f = wf.folds(spark, date(1999, 1, 1), date(2001, 1, 1), "year")
+    return cal.fold_audit(lb.folds_of(rows7(spark, d), f, window_days=730), ["symbol"]).select("symbol", "cutoff", "train_rows", "test_rows", "train_label_end")
+
+
+@query("a9_fold_audit", f"{S.FOLDS}, yc AS (SELECT DATE '1998-01-01' AS cutoff, DATE '1999-01-01' AS next_cutoff UNION ALL SELECT DATE '1999-01-01', DATE '2000-01-01') SELECT symbol, cutoff, count(*) FILTER (WHERE label_end < cutoff) AS train_rows, count(*) FILTER (WHERE date >= cutoff AND date < next_cutoff) AS test_rows, min(date) FILTER (WHERE label_end < cutoff) AS train_start, max(date) FILTER (WHERE label_end < cutoff) AS train_end, max(label_end) FILTER (WHERE label_end < cutoff) AS train_label_end, min(date) FILTER (WHERE date >= cutoff AND date < next_cutoff) AS test_start, max(date) FILTER (WHERE date >= cutoff AND date < next_cutoff) AS test_end FROM rows, yc GROUP BY 1, 2")
+def a9(spark, d):
+    f = wf.folds(spark, date(1998, 1, 1), date(2000, 1, 1), "year")
+    return cal.fold_audit(lb.folds_of(rows7(spark, d), f), ["symbol"])
+
+
+# ---- scores
+
+
+@query("c1_c3_metrics", f"{_SCORED} SELECT symbol, {S.METRICS} FROM sco GROUP BY symbol")
+def c1(spark, d):
+    return r6(sc.metrics(_scored(spark, d), ["symbol"]))
+
+
+@query("a7_metrics_by_year", f"{_SCORED} SELECT symbol, CAST(y AS BIGINT) AS year, {S.METRICS} FROM (SELECT *, year(date) AS y FROM sco) GROUP BY GROUPING SETS ((symbol), (symbol, y))")
+def a7(spark, d):
+    return r6(sc.metrics_by_year(_scored(spark, d), ["symbol"]))
+
+
+@query("c2_brier_improvement", f"{_SCORED} SELECT symbol, round(avg((probability - target) ** 2), 6) AS brier, round(avg((baseline - target) ** 2), 6) AS base_brier, round(avg((baseline - target) ** 2) - avg((probability - target) ** 2), 6) AS improvement FROM sco GROUP BY symbol")
+def c2(spark, d):
+    return r6(sc.brier_improvement(_scored(spark, d), ["symbol"]))
+
+
+@query("c4_auc", f"{_SCORED}, rk AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY probability) + (count(*) OVER (PARTITION BY symbol, probability) - 1) / 2 AS k FROM sco) SELECT symbol, round((sum(k) FILTER (WHERE target = 1) - sum(target) * (sum(target) + 1) / 2) / (sum(target) * sum(1 - target)), 6) AS auc FROM rk GROUP BY symbol")
+def c4(spark, d):
+    return r6(sc.auc(_scored(spark, d), ["symbol"]))
+
+
+@query("c5_reliability_bins", f"""{_SCORED}, e AS (SELECT i AS bin, i * CAST(0.1 AS DOUBLE) AS low, CASE WHEN i = 9 THEN CAST(1.0 AS DOUBLE) ELSE (i + 1) * CAST(0.1 AS DOUBLE) END AS high FROM range(10) t(i))
+SELECT g.symbol, e.bin::BIGINT AS bin, round(low, 6) AS low, round(high, 6) AS high, count(target) AS n, round(avg(probability), 6) AS mean_probability, round(avg(target), 6) AS observed
+FROM (SELECT DISTINCT symbol FROM sco) g CROSS JOIN e LEFT JOIN sco s ON s.symbol = g.symbol AND probability >= low AND (probability < high OR (e.bin = 9 AND probability <= 1)) GROUP BY 1, 2, 3, 4""")
+def c5(spark, d):
+    return r6(sc.reliability_bins(_scored(spark, d), ["symbol"]))
+
+
+@query("c6_nonoverlap_offsets", f"{_SCORED}, nn AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY date) - 1) % 7 AS k FROM sco) SELECT symbol, CAST(k AS BIGINT) AS \"offset\", {S.METRICS} FROM nn GROUP BY 1, 2")
+def c6(spark, d):
+    return r6(sc.nonoverlap_offsets(_scored(spark, d), ["symbol"], 7))
+
+
+@query("c7_confidence_subsets", f"""{_SCORED}, th AS (SELECT unnest([0.5, 0.55, 0.6, 0.65])::DOUBLE AS threshold)
+SELECT a.symbol, a.threshold, count(target) AS total, count(target) FILTER (WHERE probability >= 0.5 AND target = 1) AS tp, round(avg(CAST((probability >= 0.5) = (target = 1) AS INT)), 6) AS accuracy, round(count(target) / any_value(a.total), 6) AS coverage
+FROM (SELECT symbol, threshold, count(*) AS total FROM sco, th GROUP BY 1, 2) a LEFT JOIN sco s ON s.symbol = a.symbol AND greatest(probability, 1 - probability) >= a.threshold GROUP BY 1, 2""")
+def c7(spark, d):
+    return r6(sc.confidence_subsets(_scored(spark, d), ["symbol"]).select("symbol", "threshold", "total", "tp", "accuracy", "coverage"))
+
+
+@query("c8_model_comparison", f"{S.FOLDS} SELECT p.symbol, p.candidate, count(*) AS total, round(avg(CAST((p.probability >= 0.5) = (p.target = 1) AS INT)), 6) AS accuracy, round(avg(CAST((b.probability >= 0.5) = (p.target = 1) AS INT)), 6) AS base_accuracy, round(avg((p.probability - p.target) ** 2), 6) AS brier, round(avg((b.probability - p.target) ** 2) - avg((p.probability - p.target) ** 2), 6) AS brier_improvement FROM preds p JOIN preds b ON b.symbol = p.symbol AND b.date = p.date AND b.candidate = 'historical_prior' GROUP BY 1, 2")
+def c8(spark, d):
+    return r6(sc.model_comparison(preds(spark, d), ["symbol"], "historical_prior"))
+
+
+# ---- backtest
+
+
+@query("b1_simulate", f"{S.SIM} SELECT symbol, strategy, date AS execution_date, round(ret, 6) AS \"return\", round(weight, 6) AS weight, round(turnover, 6) AS turnover, round(fee, 6) AS cost_fraction, round(equity, 6) AS equity FROM days")
+def b1(spark, d):
+    return r6(holdout(spark, d).drop("scenario"))
+
+
+@query("b3_b4_equity_drawdown", f"{S.SIM} SELECT symbol, strategy, date AS execution_date, round(equity, 6) AS equity, round(drawdown, 6) AS drawdown FROM eq")
+def b3(spark, d):
+    return r6(pf.equity_curve(holdout(spark, d)).select("symbol", "strategy", "execution_date", "equity", "drawdown"))
+
+
+_RUNS = "un AS (SELECT symbol, strategy, max(c) AS longest_underwater_days FROM (SELECT symbol, strategy, g, count(*) FILTER (WHERE u) AS c FROM (SELECT *, drawdown < -1e-12 AS u, sum(CAST(drawdown >= -1e-12 AS INT)) OVER (PARTITION BY symbol, strategy ORDER BY i) AS g FROM eq) GROUP BY 1, 2, 3) GROUP BY 1, 2)"
+
+
+@query("b5_longest_underwater", f"{S.SIM}, {_RUNS} SELECT symbol, strategy, CAST(longest_underwater_days AS BIGINT) AS longest_underwater_days FROM un")
+def b5(spark, d):
+    return r6(pf.longest_underwater(pf.equity_curve(holdout(spark, d))).drop("scenario"))
+
+
+@query("b6_performance_stats", f"""{S.SIM}, {_RUNS}, ag AS (SELECT symbol, strategy, count(*) AS days, min(date) AS start_open, max(date) + 1 AS end_valuation_open, max_by(equity, i) AS e, stddev_samp(ret) * sqrt(365.0) AS v, avg(ret) AS m, min(drawdown) AS dd, min(ret) AS worst,
+avg(weight) AS pos, avg(CAST(weight > 0 AS INT)) AS expo, count(*) FILTER (WHERE turnover > 1e-12) AS trading_days, sum(turnover) AS turn, sum(fee) AS fees FROM eq GROUP BY 1, 2)
+SELECT symbol, strategy, days, start_open, end_valuation_open, round(e - 1, 6) AS total_return, round(e ** (365.0 / days) - 1, 6) AS cagr, round(v, 6) AS annual_volatility, round(CASE WHEN v = 0 THEN 0 ELSE m * 365 / v END, 6) AS sharpe, round(dd, 6) AS max_drawdown,
+round(CASE WHEN dd = 0 THEN 0 ELSE (e ** (365.0 / days) - 1) / -dd END, 6) AS calmar, round(worst, 6) AS worst_day, round(pos, 6) AS mean_position, round(expo, 6) AS exposed_days_fraction, trading_days, round(turn, 6) AS one_way_turnover, round(fees, 6) AS sum_cost_fractions, CAST(longest_underwater_days AS BIGINT) AS longest_underwater_days FROM ag JOIN un USING (symbol, strategy)""")
+def b6(spark, d):
+    return r6(pf.performance_stats(holdout(spark, d)).drop("scenario"))
+
+
+@query("b2_b7_period_metrics")
+def b7(spark, d):
+    return r6(pf.performance_stats(bt.backtest(index_bars(spark, d), bt.period_scenarios(P), P)))
+
+
+@query("b8_yearly_fresh_start")
+def b8(spark, d):
+    return r6(pf.performance_stats(bt.backtest(index_bars(spark, d), bt.yearly_scenarios(P, 1996, 2001), P)))
+
+
+@query("b9_b10_grid_and_stress")
+def b9(spark, d):
+    return r6(pf.performance_stats(bt.backtest(index_bars(spark, d), bt.sensitivity_scenarios(P) + bt.stress_scenarios(P), P)))
+
+
+@query("b11_rolling_return", f"{S.SIM}, ro AS (SELECT symbol, strategy, equity / CASE WHEN i = 365 THEN 1.0 ELSE lag(equity, 365) OVER (PARTITION BY symbol, strategy ORDER BY i) END - 1 AS x FROM days) SELECT symbol, strategy, count(*) AS windows, round(min(x), 6) AS lowest, round(avg(CAST(x > 0 AS INT)), 6) AS positive_share FROM ro WHERE x IS NOT NULL GROUP BY 1, 2")
+def b11(spark, d):
+    return r6(pf.rolling_return(holdout(spark, d), 365).drop("scenario"))
+
+
+def _pair(spark, d):
+    h = holdout(spark, d).where("strategy IN ('trend_model', 'vol_hold')")
+    of = lambda s: h.where(F.col("strategy") == s).select("symbol", F.col("execution_date").alias("date"), F.col("return").alias(s))
+    return of("trend_model").join(of("vol_hold"), ["symbol", "date"])
+
+
+def _gain(spark, d, horizon):
+    table_ = cal.regime_probability(_fit(spark, d, horizon), ["symbol"]).select("symbol", "score", "probability")
+    prior = cal.prior_probability(_fit(spark, d, horizon), ["symbol"]).select("symbol", F.col("probability").alias("baseline"))
+    test = _split(spark, d, horizon).where("part = 'test'")
+    both = lb.score_probability(test, table_, ["symbol"]).join(lb.small(prior), "symbol")
+    return both.select("symbol", "date", F.lit(horizon).alias("horizon"), ((F.col("baseline") - F.col("target")) ** 2 - (F.col("probability") - F.col("target")) ** 2).alias("gain"))
+
+
+@query("b12_acceptance_gates")
+def b12(spark, d):
+    runs = [s for s in bt.period_scenarios(P) if s.name == "holdout"] + bt.sensitivity_scenarios(P) + bt.stress_scenarios(P)
+    stats = pf.performance_stats(bt.backtest(index_bars(spark, d), runs, P))
+    sharpe = boot.sharpe_difference(_pair(spark, d), ["symbol"], "trend_model", "vol_hold", blocks=P.blocks, reps=200, seed=P.seed)
+    gains = _gain(spark, d, 7).unionByName(_gain(spark, d, 30))
+    return pf.acceptance_gates(stats, sharpe, boot.mean_intervals(gains, ["symbol", "horizon"], "gain", blocks=P.blocks, reps=200, seed=P.seed))
+
+
+# ---- bootstrap
+
+_BOOT = f"""{_SCORED}, v AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS pos, (baseline - target) ** 2 - (probability - target) ** 2 AS gain FROM sco), n AS (SELECT symbol, count(*) AS n FROM v GROUP BY 1),
+bl AS (SELECT symbol, n, rep, bn, CAST('0x' || substr(md5('20240101|' || rep || '|' || bn), 1, 8) AS BIGINT) % n AS s, least(30, n - bn * 30) AS sz FROM n, (SELECT unnest(range(200)) AS rep) r, (SELECT unnest(range(100)) AS bn) b WHERE bn < ceil(n / 30))"""
+
+
+@query("u1_circular_blocks", f"{_BOOT} SELECT symbol, CAST(rep AS BIGINT) AS rep, CAST(bn AS BIGINT) AS block_no, CAST(s AS BIGINT) AS start, CAST(sz AS BIGINT) AS size FROM bl")
+def u1(spark, d):
+    n = _scored(spark, d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    return r6(boot.circular_blocks(n, ["symbol"], block=30, reps=200, seed=P.seed).drop("n"))
+
+
+@query("u2_mean_intervals", f"{_BOOT}, x AS (SELECT symbol, rep, (s + k) % n AS pos, n FROM bl, (SELECT unnest(range(30)) AS k) WHERE k < sz), m AS (SELECT x.symbol, rep, sum(gain) / max(n) AS mean FROM x JOIN v USING (symbol, pos) GROUP BY 1, 2) SELECT symbol, 30::BIGINT AS block, count(*) AS reps, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m GROUP BY 1")
+def u2(spark, d):
+    gain = _scored(spark, d).withColumn("gain", (F.col("baseline") - F.col("target")) ** 2 - (F.col("probability") - F.col("target")) ** 2)
+    return r6(boot.mean_intervals(gain, ["symbol"], "gain", blocks=(30,), reps=200, seed=P.seed))
+
+
+@query("u3_sharpe_difference", f"""{S.SIM}, v AS (SELECT a.symbol, a.i - 1 AS pos, a.ret AS x, b.ret AS y FROM days a JOIN days b ON a.symbol = b.symbol AND a.i = b.i AND a.strategy = 'trend_model' AND b.strategy = 'vol_hold'), n AS (SELECT symbol, count(*) AS n FROM v GROUP BY 1),
+bl AS (SELECT symbol, n, rep, CAST('0x' || substr(md5('20240101|' || rep || '|' || bn), 1, 8) AS BIGINT) % n AS s, least(30, n - bn * 30) AS sz FROM n, (SELECT unnest(range(200)) AS rep) r, (SELECT unnest(range(100)) AS bn) b WHERE bn < ceil(n / 30)),
+p AS (SELECT symbol, rep, (s + k) % n AS pos FROM bl, (SELECT unnest(range(30)) AS k) WHERE k < sz), m AS (SELECT symbol, rep, sqrt(365.0) * (CASE WHEN stddev_samp(x) > 1e-9 THEN avg(x) / stddev_samp(x) ELSE 0 END - CASE WHEN stddev_samp(y) > 1e-9 THEN avg(y) / stddev_samp(y) ELSE 0 END) AS diff FROM p JOIN v USING (symbol, pos) GROUP BY 1, 2)
+SELECT symbol, 30::BIGINT AS block, count(*) AS reps, round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high FROM m GROUP BY 1""")
+def u3(spark, d):
+    return r6(boot.sharpe_difference(_pair(spark, d), ["symbol"], "trend_model", "vol_hold", blocks=(30,), reps=200, seed=P.seed))
+
+
+# ---- walk-forward
+
+
+@query("w3_w4_expanding_counts", f"{S.FOLDS} SELECT {sel('symbol cutoff #n0 #ups0 #n1 #ups1 #n2 #ups2')} FROM cnt")
+def w4(spark, d):
+    return r6(wf.expanding_counts(rows7(spark, d), wf.folds(spark, date(1998, 1, 1), date(2001, 11, 2)), ["symbol"]))
+
+
+@query("w4_window_counts", f"{S.FOLDS}, c2 AS (SELECT s.symbol, cutoff, count(*) FILTER (WHERE score = 0) AS n0, count(*) FILTER (WHERE score = 1) AS n1, count(*) FILTER (WHERE score = 2) AS n2, coalesce(sum(target), 0) AS ups FROM (SELECT DISTINCT symbol FROM rows) s CROSS JOIN cut LEFT JOIN rows r ON r.symbol = s.symbol AND r.label_end < cutoff AND r.date >= cutoff - 730 GROUP BY 1, 2) SELECT {sel('symbol cutoff #n0 #n1 #n2 #ups')} FROM c2")
+def w4w(spark, d):
+    got = wf.expanding_counts(rows7(spark, d), wf.folds(spark, date(1998, 1, 1), date(2001, 11, 2)), ["symbol"], window_days=730, span=7)
+    return r6(got.select("symbol", "cutoff", "n0", "n1", "n2", (F.col("ups0") + F.col("ups1") + F.col("ups2")).alias("ups")))
+
+
+@query("w4_fold_predictions", f"{S.FOLDS} SELECT {sel('symbol date cutoff *prior *regime #target')} FROM wide")
+def w4p(spark, d):
+    return r6(wide(spark, d).select("symbol", "date", "cutoff", "prior", "regime", "target"))
+
+
+@query("w5_scale_params", f"{_FEAT}, tr AS (SELECT * FROM fx WHERE return_7 IS NOT NULL AND ma200 IS NOT NULL AND vol30 IS NOT NULL AND date < DATE '1999-01-01') SELECT symbol, round(avg(return_7), 6) AS c0, round(avg(ma200), 6) AS c1, round(avg(vol30), 6) AS c2, round(stddev_pop(return_7), 6) AS s0, round(stddev_pop(ma200), 6) AS s1, round(stddev_pop(vol30), 6) AS s2 FROM tr GROUP BY 1")
+def w5(spark, d):
+    rows = ft.all_features(index_bars(spark, d)).where("date < '1999-01-01'").dropna(subset=["return_7", "ma200", "vol30"])
+    got = md.scale_params(rows, ["symbol"], ["return_7", "ma200", "vol30"])
+    return r6(got.select("symbol", *[F.get("center", F.lit(i)).alias(f"c{i}") for i in range(3)], *[F.get("scale", F.lit(i)).alias(f"s{i}") for i in range(3)]))
+
+
+def _model_rows(spark, d):
+    fe = ft.all_features(index_bars(spark, d))
+    return lb.dataset(lb.close_to_close(fe, 7), list(ft.EXPANDED), start=P.research_start)
+
+
+_CUTS = [date(y, m, 1) for y in (2000, 2001) for m in (1, 4, 7, 10)]
+
+
+@query("w6_w7_logistic_folds")
+def w6(spark, d):
+    rows = _model_rows(spark, d)
+    names = ["return_7", "return_30", "ma200", "vol30"]
+    fits = md.logistic_folds(rows, ["symbol"], names, _CUTS, penalty=0.1)
+    at = rows.withColumn("cutoff", F.trunc("date", "quarter")).join(lb.small(fits), ["symbol", "cutoff"])
+    z = md.scaled(F.array(*names), F.col("center"), F.col("scale"))
+    return r6(at.select("symbol", "date", "cutoff", "target", md.logistic_probability(z, F.col("coefficients")).alias("probability")))
+
+
+_KNN = f"""{_FEAT}, kl AS (SELECT *, CAST({S.lead('close', 7)} / close - 1 > 0 AS INT) AS target, date + 7 AS label_end FROM fx), kr AS (SELECT symbol, date, label_end, target, return_7, ma200, vol30 FROM kl WHERE target IS NOT NULL AND date >= DATE '1996-01-01' AND {' AND '.join(f'"{c}" IS NOT NULL' for c in ft.EXPANDED)}),
+tr AS (SELECT * FROM kr WHERE label_end < DATE '2001-01-01'), pa AS (SELECT symbol, avg(return_7) AS c0, avg(ma200) AS c1, avg(vol30) AS c2, stddev_pop(return_7) AS s0, stddev_pop(ma200) AS s1, stddev_pop(vol30) AS s2 FROM tr GROUP BY 1),
+z AS (SELECT kr.symbol, date, label_end, target, greatest(-8, least(8, (return_7 - c0) / s0)) AS z0, greatest(-8, least(8, (ma200 - c1) / s1)) AS z1, greatest(-8, least(8, (vol30 - c2) / s2)) AS z2 FROM kr JOIN pa USING (symbol)),
+nb AS (SELECT q.symbol, q.date, t.target, row_number() OVER (PARTITION BY q.symbol, q.date ORDER BY (q.z0 - t.z0) ** 2 + (q.z1 - t.z1) ** 2 + (q.z2 - t.z2) ** 2, t.date) AS k FROM z q JOIN z t ON t.symbol = q.symbol AND t.label_end < DATE '2001-01-01' WHERE q.date >= DATE '2001-01-01' AND q.date < DATE '2001-07-01')"""
+
+
+@query("w8_knn", f"{_KNN} SELECT symbol, date, round((sum(target) + 1) / 52, 6) AS probability FROM nb WHERE k <= 50 GROUP BY 1, 2")
+def w8(spark, d):
+    got = md.knn_folds(_model_rows(spark, d), ["symbol"], ["return_7", "ma200", "vol30"], [(date(2001, 1, 1), date(2001, 7, 1))], k=50)
+    return r6(got.drop("cutoff"))
+
+
+@query("w11_leaderboard", f"{S.FOLDS}, yy AS (SELECT symbol, candidate, year(date) AS y, avg(CAST((probability >= 0.5) = (target = 1) AS INT)) AS a, sum(CAST((probability >= 0.5) = (target = 1) AS INT)) AS r, count(*) AS n, sum((probability - target) ** 2) AS l FROM preds GROUP BY 1, 2, 3), bo AS (SELECT symbol, candidate, sum(n)::BIGINT AS total, sum(r) / sum(n) AS accuracy, avg(a) AS mean_year_accuracy, min(a) AS worst_year_accuracy, sum(l) / sum(n) AS brier FROM yy GROUP BY 1, 2) SELECT {sel('symbol candidate total *accuracy *mean_year_accuracy *worst_year_accuracy *brier')}, row_number() OVER (PARTITION BY symbol ORDER BY mean_year_accuracy DESC, worst_year_accuracy DESC, brier, candidate) AS place FROM bo")
+def w11(spark, d):
+    return r6(wf.leaderboard(preds(spark, d), ["symbol"]))
+
+
+@query("w13_select_from_past", f"{S.FOLDS} SELECT {sel('symbol cutoff selected *mean_annual_brier validation_rows')} FROM sel")
+def w13(spark, d):
+    return r6(selection(spark, d))
+
+
+@query("w14_nested_predictions", f"{S.FOLDS} SELECT p.symbol, date, candidate, round(probability, 6) AS probability, CAST(target AS BIGINT) AS target FROM preds p JOIN sel s ON s.symbol = p.symbol AND year(cutoff) = year(date) AND candidate = selected")
+def w14(spark, d):
+    return r6(wf.nested_predictions(preds(spark, d), selection(spark, d), ["symbol"]).select("symbol", "date", "candidate", "probability", "target"))
+
+
+@query("w15_current_freeze", f"{S.FOLDS} SELECT symbol, cutoff AS refit_date, CAST(cutoff + INTERVAL 1 MONTH AS DATE) AS valid_until, 'historical_prior' AS selected, CAST(train_rows AS BIGINT) AS train_rows, round(prior, 6) AS probability FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY cutoff DESC) AS i FROM prob2) WHERE i = 1")
+def w15(spark, d):
+    return r6(wf.current_freeze(fold_probs(spark, d), ["symbol"]).drop("regime_probabilities"))
+
+
+# ---- serving
+
+
+@query("v1_forecast", f"{_CAL}, tb AS (SELECT symbol, score, (sum(target) + 1) / (count(*) + 2) AS p FROM fit GROUP BY 1, 2) SELECT l.symbol, date, 7::BIGINT AS horizon, CAST(l.score AS BIGINT) AS score, round(coalesce(p, 0.5), 6) AS probability, date + 2 AS entry_date, date + 9 AS end_date, CASE WHEN coalesce(p, 0.5) >= 0.5 THEN 'up' ELSE 'not_up' END AS direction, round(forward_return, 6) AS realized FROM lab l LEFT JOIN tb ON tb.symbol = l.symbol AND tb.score = l.score WHERE l.score IS NOT NULL AND date >= DATE '2000-01-01'")
+def v1(spark, d):
+    probabilities = cal.regime_probability(_fit(spark, d), ["symbol"]).select("symbol", "score", "probability")
+    return r6(sv.forecast(ind(spark, d), probabilities, 7, start=P.holdout_start))
+
+
+_SERVE = f"{S.FOLDS}, sv0 AS (SELECT b.symbol, b.date, b.close, w.prior AS hist, f.prior AS frozen FROM bars b LEFT JOIN wide w ON w.symbol = b.symbol AND w.date = b.date AND w.date < DATE '2001-06-01' LEFT JOIN prob2 f ON f.symbol = b.symbol AND f.cutoff = date_trunc('month', b.date) AND b.date >= DATE '2001-09-01'), sv1 AS (SELECT s.*, CASE WHEN hist IS NOT NULL THEN 'historical' WHEN frozen IS NOT NULL THEN 'frozen' ELSE 'unavailable' END AS mode, coalesce(hist, frozen) AS probability, n.close / s.close - 1 AS realized FROM sv0 s LEFT JOIN bars n ON n.symbol = s.symbol AND n.date = s.date + 7)"
+
+
+def _served(spark, d):
+    w = wide(spark, d).where("date < '2001-06-01'").select("symbol", "date", F.col("prior").alias("probability"))
+    frozen = fold_probs(spark, d).where("cutoff >= '2001-09-01'").select("symbol", F.col("cutoff").alias("refit_date"), F.add_months("cutoff", 1).alias("valid_until"), F.lit("historical_prior").alias("selected"), F.col("prior").alias("probability"))
+    return sv.research_forecast(index_bars(spark, d), w, frozen, 7)
+
+
+@query("l9_l11_v2_research_forecast", f"{_SERVE} SELECT symbol, date, 7::BIGINT AS horizon, mode, round(probability, 6) AS probability, date + 7 AS end_date, round(realized, 6) AS realized FROM sv1")
+def v2(spark, d):
+    return r6(_served(spark, d).drop("reason"))
+
+
+@query("v3_outcome_status", f"{_SERVE} SELECT symbol, CASE WHEN date + 7 > DATE '2001-10-01' THEN 'immature' WHEN realized IS NULL THEN 'missing' WHEN (realized > 0) = (probability >= 0.5) THEN 'right' ELSE 'wrong' END AS status, count(*) AS n FROM sv1 WHERE mode <> 'unavailable' GROUP BY 1, 2")
+def v3(spark, d):
+    return sv.outcome_status(_served(spark, d).where("mode <> 'unavailable'"), date(2001, 10, 1)).groupBy("symbol", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("v5_leakage_checks", f"{S.BASE} SELECT symbol, date, 'none' AS what FROM bars WHERE false")
+def v5(spark, d):
+    b = index_bars(spark, d)
+    cut = date(2000, 6, 30)
+    later = b.withColumns({c: F.when(F.col("date") > F.lit(cut), F.col(c) * 3).otherwise(F.col(c)) for c in ("open", "high", "low", "close")})
+    f = lambda x: ft.indicators(x, P).select("symbol", "date", "sma", "momentum", "vol", "score", "weight")
+    return sv.leaks(f(b), f(later), ["symbol", "date"], cut).select("symbol", "date", F.concat_ws(",", "what").alias("what"))
+
+
+@query("s7_signal_export")
+def s7(spark, d):
+    f = sv.forecast(ind(spark, d), cal.regime_probability(_fit(spark, d), ["symbol"]).select("symbol", "score", "probability"), 7, start=P.holdout_start)
+    newest = f.groupBy("symbol").agg(F.max_by(F.struct("horizon", "probability", "direction"), "date").alias("x")).select("symbol", "x.*")
+    m = sc.metrics(_scored(spark, d), ["symbol"]).select("symbol", F.lit(7).alias("horizon"), F.round("accuracy", 6).alias("accuracy"), "total")
+    return io.signal_export(ft.latest_signal(ind(spark, d)).select("symbol", "date", "score"), newest, m)
+
+
+# ---- bars of the event stream, as a table
+
+
+@query("t1_event_bars", "SELECT event_type AS symbol, date_trunc('hour', ts) AS start, round(first(value ORDER BY ts, event_id), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(last(value ORDER BY ts, event_id), 6) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2")
+def t1(spark, d):
+    ticks = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("price"), F.lit(1.0).alias("volume"))
+    return r6(st.daily_bars(ticks, width="1 hour")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("s9_latest_signals")
+def flagship(spark, d):
+    return latest_signals(spark, d)
