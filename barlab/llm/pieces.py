@@ -41,7 +41,7 @@ def _letter(codes: np.ndarray) -> np.ndarray:
 class Pieces:
     """A model's pieces, and what this worker knows of pairs and units."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -227,7 +227,7 @@ class Pieces:
         self.units: dict[int, int] = {}
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.int32)
 
     def _spell(self, ids: np.ndarray) -> np.ndarray:
         """Characters without a piece of their own become bytes."""
@@ -250,8 +250,8 @@ class Pieces:
         short = np.flatnonzero(~odd & (size <= LONG))
         for wide in np.unique(size[short]).tolist():
             own = short[size[short] == wide]
-            for a in range(0, len(own), 50_000):
-                some = own[a : a + 50_000]
+            for a in range(0, len(own), 10_000):
+                some = own[a : a + 10_000]
                 ids, counts = self.viterbi(codes[starts[some][:, None] + np.arange(wide)].astype(np.int64))
                 if ids.max() >= self.real:
                     parts = [self._spell(x) for x in np.split(ids, np.cumsum(counts)[:-1])]
@@ -260,7 +260,7 @@ class Pieces:
                 first[some], count[some], top = top + np.cumsum(counts) - counts, counts, top + len(ids)
         base = len(self.first)
         self.units.update(zip(hashes, range(base, base + len(hashes)), strict=True))
-        self.first, self.size, self.pool = np.concatenate((self.first, first)), np.concatenate((self.size, count)), np.concatenate(pools)
+        self.first, self.size, self.pool = np.concatenate((self.first, first)), np.concatenate((self.size, count)), np.concatenate([x.astype(np.int32) for x in pools])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one row after the other, and their number per row."""
@@ -283,7 +283,10 @@ class Pieces:
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(codes))
         rows = np.searchsorted(starts_of + total, starts, "right")
-        hashes, where, place = np.unique(hash_ranges(np.minimum(codes, 65535), starts, ends) + hash_ranges(codes >> 16, starts, ends), return_index=True, return_inverse=True)
+        found = hash_ranges(np.minimum(codes, 65535), starts, ends)
+        if codes.max() > 65535:
+            found += hash_ranges(codes >> 16, starts, ends) + hash_ranges(codes & 65535, starts, ends)
+        hashes, where, place = np.unique(found, return_index=True, return_inverse=True)
         keys = hashes.tolist()
         if len(self.units) > self.most:
             self._forget()
@@ -333,7 +336,7 @@ def encode(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id",
         machine = pieces(path)
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 1 << 20):
                 ids, counts = machine.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 bounds = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
