@@ -16,14 +16,15 @@ def dedup_ticks(ticks: DataFrame, *, keys: list[str], ts: str = "ts", delay: str
     return ticks.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def daily_bars(ticks: DataFrame, *, width: str = "1 day", delay: str = "1 hour", ts: str = "ts", order: str = "event_id") -> DataFrame:
+def daily_bars(ticks: DataFrame, *, width: str = "1 day", delay: str | None = "1 hour", ts: str = "ts", order: str = "event_id") -> DataFrame:
     """Bars of closed windows from a stream (or table) with symbol, price, volume, ``ts`` and ``order``.
 
     In append mode a bar leaves only when the watermark has passed its end, so
     an unfinished day never gets out; ticks that come later than ``delay`` are
-    dropped and past bars are not revised.
+    dropped and past bars are not revised. ``delay`` None: the stream has its
+    watermark already, as after dedup_ticks.
     """
-    streamed = ticks.withWatermark(ts, delay) if ticks.isStreaming else ticks
+    streamed = ticks.withWatermark(ts, delay) if ticks.isStreaming and delay else ticks
     key = F.struct(ts, order)
     got = streamed.groupBy("symbol", F.window(ts, width).alias("w")).agg(F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"), F.sum("volume").alias("volume"))
     return got.select("symbol", F.col("w.start").alias("start"), "open", "high", "low", "close", "volume")
