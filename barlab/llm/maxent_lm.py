@@ -40,7 +40,7 @@ class Shape:
 
     vocab: int = 4096
     table: int = 1 << 17
-    classes: int = 32
+    classes: int = 28
     neighbours: int = 64
     bits: int = 12
     batch: int = 8192
@@ -163,7 +163,7 @@ def corpus_counts(docs: DataFrame, column: str = "text", flush: int = 2_000_000)
 
 @dataclass
 class Vocabulary:
-    """The table of frequent words, most frequent first, and the corpus' totals."""
+    """Frequent words, most frequent first, and the corpus' totals."""
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -177,7 +177,13 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
-    top = counts.where(F.col("key") != int(END.view(np.int64))).orderBy(F.desc("n"), "key").limit(shape.table).toPandas()
+    words = counts.where(F.col("key") != int(END.view(np.int64)))
+    # the largest counts are found from a histogram of bounded size, so that no task sends a table of its own
+    step = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor(64 * F.log2(F.col("n") / 4096)))
+    sizes = words.groupBy(step.cast("long").alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).toPandas()
+    fits = sizes["words"].cumsum() <= shape.table
+    least = int(sizes.loc[fits, "least"].min()) if fits.any() else None
+    top = words.where(F.col("n") >= least if least is not None else F.lit(False)).toPandas().sort_values(["n", "key"], ascending=[False, True])
     return Vocabulary(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), int(row["total"]), int(row["distinct"]))
 
 
@@ -282,9 +288,10 @@ class Model:
 
 
 def _segment_sum(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by key; short keys make the sort a radix sort."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    at = np.flatnonzero(np.diff(keys, prepend=-1))
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[at], np.add.reduceat(values[order], at, axis=0)
 
 
@@ -313,6 +320,7 @@ def _train_classes(docs: DataFrame, model: Model, column: str = "text") -> tuple
             sums[2] += np.bincount((outcome * n_ctx + c1) * n_ctx + c2, minlength=cells[2])
             met += np.bincount(rows.ravel(), minlength=len(met))
             met[-1] += len(rows)
+            short = rows.astype(np.uint16) if shape.features <= 1 << 16 else rows
             for a in range(0, len(rows), shape.batch):
                 r, y = rows[a : a + shape.batch], outcome[a : a + shape.batch]
                 z = w[r[:, 0]] + w[r[:, 1]] + w[r[:, 2]] + w[-1]
@@ -320,7 +328,7 @@ def _train_classes(docs: DataFrame, model: Model, column: str = "text") -> tuple
                 z /= z.sum(axis=1, keepdims=True)
                 z[np.arange(len(y)), y] -= 1
                 for j in range(3):
-                    key, g = _segment_sum(z, r[:, j])
+                    key, g = _segment_sum(z, short[a : a + shape.batch, j])
                     seen[key] += (g * g).mean(axis=1)
                     w[key] -= (shape.rate / np.sqrt(seen[key]))[:, None].astype(np.float32) * g
                 g = z.sum(axis=0)

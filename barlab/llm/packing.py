@@ -2,7 +2,8 @@
 
 Each source is a queue of tokens. Every window of ``length`` tokens serves
 each queue by its target proportion; what a queue is owed when the window is
-full, less than a token or two, is carried into the next one as its deficit.
+full (at most 1 + half as many tokens as there are queues) is carried into the
+next one as its deficit.
 A queue that runs dry leaves its share to the others.
 
 The service order has a closed form, so no task walks through the windows: a
@@ -118,7 +119,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, length: int = 2048, w
 
     Only the last window is short. ``weights``: target proportion of tokens by
     source, natural proportions where none are given (then every window holds
-    the corpus' mixture to within a token of each source); a source that is
+    the corpus' mixture to within a few tokens of each source); a source that is
     not listed gets the smallest listed weight. A null text is a document of
     the end id alone, a null source a queue of its own; null and repeated ids
     are documents like any other; an empty table gives no pieces.
