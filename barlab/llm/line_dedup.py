@@ -4,6 +4,11 @@ A HyperLogLog sketch of the sites of each line hash is built by a group-by
 that merges partial sketches, so a line that every document holds costs one
 sketch per task. Lines whose estimate lies near the threshold get an exact
 distinct count; the rest are decided by the sketch.
+
+A document with many copies brings its lines to as many sites. What tells
+boilerplate from it is that boilerplate stands in documents of different
+kinds: a line must also occur in documents of several size classes (two for
+each power of two of their length), which copies of one document are not.
 """
 
 from __future__ import annotations
@@ -17,8 +22,8 @@ def _norm(line: Column) -> Column:
     return F.btrim(line, F.lit(_TRIM))
 
 
-def line_spread(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, min_chars: int = 30, lg_k: int = 12, band: float = 0.25) -> DataFrame:
-    """Lines on ``min_sites`` sites or more: line (xxhash64 of the trimmed line), keeper (smallest id with the line), n_sites.
+def line_spread(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, min_sizes: int = 3, min_chars: int = 30, lg_k: int = 12, band: float = 0.25) -> DataFrame:
+    """Lines on ``min_sites`` sites and in ``min_sizes`` size classes or more: line (xxhash64 of the trimmed line), keeper (smallest id with the line), n_sites.
 
     ``band``: relative distance from the threshold within which sites are
     counted exactly; at lg_k 12 it is 15 standard errors of the sketch.
@@ -26,8 +31,9 @@ def line_spread(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lines = _lines(docs, id_col, text_col, site_col, min_chars)
     spread = lines.groupBy("line").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("estimate"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("size", F.lit(lg_k))).alias("sizes"),
         F.min("doc_id").alias("keeper"),
-    )
+    ).where(F.col("sizes") >= min_sizes)
     wide = spread.where(F.col("estimate") >= min_sites * (1 - band))
     near = wide.where(F.col("estimate") <= min_sites * (1 + band)).select("line")
     exact = (
@@ -41,22 +47,27 @@ def line_spread(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
-    found = F.array_distinct(F.split(F.col(text_col).cast("string"), "\n"))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.explode(found).alias("raw"))
-    return own.select("doc_id", "site", _norm(F.col("raw")).alias("norm")).where(F.length("norm") >= min_chars).select("doc_id", "site", F.xxhash64("norm").alias("line"))
+    """doc_id, site, size (class of the document's length) and line (hash), once for each distinct line of a row."""
+    text = F.col(text_col).cast("string")
+    found = F.array_distinct(F.split(text, "\n"))
+    bits = F.bin(F.length(text).cast("long"))
+    size = F.concat_ws(":", F.length(bits), F.substring(bits, 1, 2))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), size.alias("size"), F.explode(found).alias("raw"))
+    return own.select("doc_id", "site", "size", _norm(F.col("raw")).alias("norm")).where(F.length("norm") >= min_chars).select("doc_id", "site", "size", F.xxhash64("norm").alias("line"))
 
 
-def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, min_chars: int = 30, lg_k: int = 12, band: float = 0.25) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, min_sizes: int = 3, min_chars: int = 30, lg_k: int = 12, band: float = 0.25) -> DataFrame:
     """``docs`` without boilerplate lines, with two more columns: n_lines and n_removed.
 
     A line of ``min_chars`` characters or more (trimmed) that occurs on
-    ``min_sites`` sites or more goes from every document but the one with the
-    smallest id, so the corpus keeps one copy. A null site counts as a site of
+    ``min_sites`` sites and in documents of ``min_sizes`` size classes or more
+    goes from every document but the one with the smallest id, so the corpus
+    keeps one copy. A null site counts as a site of
     its own name '', a null id as a document that never keeps. A null text
     stays null (no lines). All columns of ``docs`` are kept; rows are never
     dropped, and repeated rows are treated alike. An empty table gives none.
     """
-    boiler = line_spread(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, min_chars=min_chars, lg_k=lg_k, band=band)
+    boiler = line_spread(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, min_sizes=min_sizes, min_chars=min_chars, lg_k=lg_k, band=band)
     hits = (
         _lines(docs, id_col, text_col, site_col, min_chars)
         .select("doc_id", "line")
@@ -81,10 +92,10 @@ def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 ORACLE = r"""
 WITH l AS (
-  SELECT doc_id, coalesce(source, '') AS site, pos, raw, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS norm
-  FROM (SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS raw FROM documents)
+  SELECT doc_id, coalesce(source, '') AS site, length(bin(n)) || ':' || bin(n)[1:2] AS size, pos, raw, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS norm
+  FROM (SELECT doc_id, source, length(text)::BIGINT AS n, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS raw FROM documents)
 ), b AS (
-  SELECT norm, min(doc_id) AS keeper FROM l WHERE length(norm) >= 30 GROUP BY norm HAVING count(DISTINCT site) >= 8
+  SELECT norm, min(doc_id) AS keeper FROM l WHERE length(norm) >= 30 GROUP BY norm HAVING count(DISTINCT site) >= 8 AND count(DISTINCT size) >= 3
 ), m AS (
   SELECT l.*, b.norm IS NOT NULL AND l.doc_id <> b.keeper AS bad FROM l LEFT JOIN b USING (norm)
 ), r AS (

@@ -103,7 +103,7 @@ def test_lines(spark, none):
     common, rare = "this very line is found on many many sites", "this other line is found on only a few sites"
     rows = [(i, f"{common}\nown line number {i} of this document\n  {common}" + (f"\n{rare}" if i < 8 else "")) for i in range(1, 24)] + [(50, None), (51, ""), (None, common), (4, f"{common}\nrepeated id")]
     df = frame(spark, rows)
-    got = line_dedup.remove_boilerplate(df, min_sites=10)
+    got = line_dedup.remove_boilerplate(df, min_sites=10, min_sizes=1)
     assert line_dedup.remove_boilerplate(none).count() == 0
     assert got.columns == [*df.columns, "n_lines", "n_removed"]
     out = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in got.collect()), key=lambda x: (key(x[0]), x[1] or ""))
@@ -115,6 +115,14 @@ def test_lines(spark, none):
     assert (50, None, 0) in out and (51, "", 0) in out and (None, "", 1) in out and (4, "repeated id", 1) in out
 
 
+def test_lines_of_copies_stay(spark):
+    line = "a boilerplate line that is found on every single site of all"
+    copied = [(i, f"the first line of a document with many copies\nand its second one, number {i}") for i in range(30)]
+    various = [(100 + i, "word " * 5 * 2 ** (i % 6) + f"\n{line}") for i in range(30)]
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.remove_boilerplate(frame(spark, copied + various)).collect()}
+    assert {out[i] for i, _ in copied} == {0} and {out[i] for i, _ in various[1:]} == {1} and out[100] == 0
+
+
 # ---- 3
 
 
@@ -387,7 +395,7 @@ def test_pipeline_stages(spark, tmp_path):
     text = lambda: " ".join(rng.choice(vocab) for _ in range(60))
     line = "a boilerplate line that is found on every single site of all"
     near = text()
-    rows = [(i, f"{text()}\n{line}") for i in range(80)] + [(100 + k, near + f" end{k}") for k in range(5)] + [(200, "password=supersecret99 " + text())]
+    rows = [(i, "\n".join([*[text() for _ in range(2 ** (i % 5))], line])) for i in range(80)] + [(100 + k, near + f" end{k}") for k in range(5)] + [(200, "password=supersecret99 " + text())]
     rows += [(300 + k, text() + " zzqxing zzqxly zzqxed " * 3) for k in range(40)]
     frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, int(i >= 300)) for i, _ in rows], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
