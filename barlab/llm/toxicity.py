@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -145,7 +146,7 @@ def _segment_sum(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[at], np.add.reduceat(values[order], at, axis=0)
 
 
-def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, bits: int = 17, dim: int = 8, width: int = 8, epochs: tuple[int, ...] = (2, 2), rate: float = 0.5, batch: int = 4000, seed: int = 7) -> Model:
+def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, bits: int = 17, dim: int = 8, width: int = 8, epochs: tuple[int, ...] = (2, 2), rate: float = 0.5, batch: int = 3000, seed: int = 7) -> Model:
     """Fit embeddings and softmax together by Adagrad on windows, then the curve of the worst windows.
 
     ``weight``: how many documents a sampled one stands for. With one class
@@ -160,7 +161,7 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, bits: int
     place, counts, bags = bag_corpus(texts, bits)
     start, end, row = window_bounds(counts, width, width)
     scale = np.where(toxic[row] == 1, (toxic == 0).sum() / max(1, (toxic == 1).sum()), 1.0)
-    table = rng.normal(0, 0.1, (1 << bits, dim))
+    table = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
     soft = rng.normal(0, 0.5, (dim, 2))
     bias = np.zeros(2)
     seen_t, seen_s, seen_b = np.full(1 << bits, 1e-6), np.full(soft.shape, 1e-6), np.full(2, 1e-6)
@@ -234,26 +235,36 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return float(beta[0] / wide), float(beta[1] - beta[0] * mid / wide)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, sample_chars: int = 20_000) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of at most ``per_class`` labelled documents of each class, in the order of a hash of their ids.
+def training_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, sample_chars: int = 20_000) -> DataFrame:
+    """text, toxic and weight of at most ``per_class`` labelled documents of each class, in the order of a hash of their ids.
 
-    The bound on the driver: 2 x per_class x sample_chars characters. Longer,
-    null and unlabelled documents are left out of training only.
+    The bound: 2 x per_class x sample_chars characters. Longer, null and
+    unlabelled documents are left out of training only.
     """
-    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__toxic"))
+    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("toxic"))
     sizes = docs.select(F.col(id_col).alias("__doc"), F.length(text_col).alias("__chars")).where(F.col("__chars") <= sample_chars)
-    known = sizes.join(marks, F.col("__doc") == F.col("__id")).select("__doc", "__toxic")
-    counts = {r["__toxic"]: r["count"] for r in known.groupBy("__toxic").count().collect()}
-    texts: list[str] = []
-    toxic: list[int] = []
-    weight: list[float] = []
+    known = sizes.join(marks, F.col("__doc") == F.col("__id")).select("__doc", "toxic")
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    picks = None
     for mark in (0, 1):
-        picked = known.where(F.col("__toxic") == mark).orderBy(F.xxhash64("__doc"), "__doc").limit(per_class).select(F.col("__doc").alias("__pick"))
-        rows = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(picked), F.col(id_col) == F.col("__pick")).select("__pick", "__text").toPandas().sort_values(["__pick", "__text"])
-        texts += rows["__text"].tolist()
-        toxic += [mark] * len(rows)
-        weight += [counts.get(mark, 0) / max(1, len(rows))] * len(rows)
-    return texts, np.array(toxic, np.int64), np.array(weight)
+        n = counts.get(mark, 0)
+        own = known.where(F.col("toxic") == mark).orderBy(F.xxhash64("__doc"), "__doc").limit(per_class).select(F.col("__doc").alias("__pick"), "toxic", F.lit(n / max(1, min(n, per_class))).alias("weight"))
+        picks = own if picks is None else picks.union(own)
+    return docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(picks.distinct()), F.col(id_col) == F.col("__pick")).select("__pick", "text", "toxic", "weight")
+
+
+def fit(sample: DataFrame, bits: int = 17, width: int = 8) -> Model:
+    """A model of the sample, trained in one task; only the weights come to the driver."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["__pick", "text"])
+        m = train(rows["text"].tolist(), rows["toxic"].to_numpy(np.int64), rows["weight"].to_numpy(float), bits=bits, width=width)
+        return pd.DataFrame({"weights": [m.weights.astype(np.float32).tobytes()], "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
+
+    row = sample.groupBy().applyInPandas(run, "weights binary, bias double, slope double, shift double").first()
+    if row is None:
+        return train([], np.zeros(0, np.int64), np.zeros(0), bits=bits, width=width)
+    return Model(np.frombuffer(row["weights"], np.float32), row["bias"], row["slope"], row["shift"], bits, width)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,5 +295,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     of ``docs`` named score or predicted is replaced.
     """
     learn = docs if held_out is None else docs.where(~held_out)
-    model = train(*training_sample(learn, labels, id_col=id_col, text_col=text_col, label_col=label_col, per_class=per_class, sample_chars=sample_chars))
+    model = fit(training_sample(learn, labels, id_col=id_col, text_col=text_col, label_col=label_col, per_class=per_class, sample_chars=sample_chars))
     return score(docs.drop("predicted"), model, id_col=id_col, text_col=text_col).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
