@@ -15,6 +15,8 @@ from barlab.sources import files as io
 from barlab.streaming import bars as st
 
 P = Protocol()
+HOLDOUT = [s for s in bt.period_scenarios(P) if s.name == "holdout"]
+SIM = S.simulated(HOLDOUT)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -74,7 +76,7 @@ def selection(spark, d):
 
 
 def holdout(spark, d):
-    return bt.backtest(index_bars(spark, d), [s for s in bt.period_scenarios(P) if s.name == "holdout"], P)
+    return bt.backtest(index_bars(spark, d), HOLDOUT, P)
 
 
 # ---- sources
@@ -120,7 +122,7 @@ def s3(spark, d):
     return r6(io.read_quotes(made))
 
 
-@query("s6_curve_bundle", f"{S.SIM} SELECT symbol, strategy, date + 1 AS valuation_date, round(equity, 6) AS equity, round(weight, 6) AS weight FROM days UNION ALL SELECT symbol, strategy, min(date), 1.0, 0.0 FROM days GROUP BY 1, 2")
+@query("s6_curve_bundle", f"{SIM} SELECT symbol, strategy, date + 1 AS valuation_date, round(equity, 6) AS equity, round(weight, 6) AS weight FROM days UNION ALL SELECT symbol, strategy, min(date), 1.0, 0.0 FROM days GROUP BY 1, 2")
 def s6(spark, d):
     return r6(io.curve_bundle(holdout(spark, d)).drop("scenario"))
 
@@ -258,7 +260,7 @@ def l3(spark, d):
     return r6(got.select("symbol", "date", "sma", "vol", "forward_return", "target"))
 
 
-@query("l4_l5_execution_lag", f"{S.SIM} SELECT symbol, date, strategy, round(target, 6) AS target, round(r, 6) AS next_return FROM tgt")
+@query("l4_l5_execution_lag", f"{SIM} SELECT symbol, date, strategy, round(target, 6) AS target, round(r, 6) AS next_return FROM tgt")
 def l4(spark, d):
     w = ft.strategy_weights(ind(spark, d)).withColumn("next_return", lb.next_open_return())
     got = lb.execution_lag(w, list(STRATEGIES), P.lag, start=P.holdout_start, stop=P.data_end)
@@ -387,48 +389,42 @@ def c8(spark, d):
 # ---- backtest
 
 
-@query("b1_simulate", f"{S.SIM} SELECT symbol, strategy, date AS execution_date, round(ret, 6) AS \"return\", round(weight, 6) AS weight, round(turnover, 6) AS turnover, round(fee, 6) AS cost_fraction, round(equity, 6) AS equity FROM days")
+@query("b1_simulate", f"{SIM} SELECT symbol, strategy, date AS execution_date, round(ret, 6) AS \"return\", round(weight, 6) AS weight, round(turnover, 6) AS turnover, round(fee, 6) AS cost_fraction, round(equity, 6) AS equity FROM days")
 def b1(spark, d):
     return r6(holdout(spark, d).drop("scenario"))
 
 
-@query("b3_b4_equity_drawdown", f"{S.SIM} SELECT symbol, strategy, date AS execution_date, round(equity, 6) AS equity, round(drawdown, 6) AS drawdown FROM eq")
+@query("b3_b4_equity_drawdown", f"{SIM} SELECT symbol, strategy, date AS execution_date, round(equity, 6) AS equity, round(drawdown, 6) AS drawdown FROM eq")
 def b3(spark, d):
     return r6(pf.equity_curve(holdout(spark, d)).select("symbol", "strategy", "execution_date", "equity", "drawdown"))
 
 
-_RUNS = "un AS (SELECT symbol, strategy, max(c) AS longest_underwater_days FROM (SELECT symbol, strategy, g, count(*) FILTER (WHERE u) AS c FROM (SELECT *, drawdown < -1e-12 AS u, sum(CAST(drawdown >= -1e-12 AS INT)) OVER (PARTITION BY symbol, strategy ORDER BY i) AS g FROM eq) GROUP BY 1, 2, 3) GROUP BY 1, 2)"
-
-
-@query("b5_longest_underwater", f"{S.SIM}, {_RUNS} SELECT symbol, strategy, CAST(longest_underwater_days AS BIGINT) AS longest_underwater_days FROM un")
+@query("b5_longest_underwater", f"{SIM}, {S.UNDER} SELECT symbol, strategy, longest_underwater_days FROM un")
 def b5(spark, d):
     return r6(pf.longest_underwater(pf.equity_curve(holdout(spark, d))).drop("scenario"))
 
 
-@query("b6_performance_stats", f"""{S.SIM}, {_RUNS}, ag AS (SELECT symbol, strategy, count(*) AS days, min(date) AS start_open, max(date) + 1 AS end_valuation_open, max_by(equity, i) AS e, stddev_samp(ret) * sqrt(365.0) AS v, avg(ret) AS m, min(drawdown) AS dd, min(ret) AS worst,
-avg(weight) AS pos, avg(CAST(weight > 0 AS INT)) AS expo, count(*) FILTER (WHERE turnover > 1e-12) AS trading_days, sum(turnover) AS turn, sum(fee) AS fees FROM eq GROUP BY 1, 2)
-SELECT symbol, strategy, days, start_open, end_valuation_open, round(e - 1, 6) AS total_return, round(e ** (365.0 / days) - 1, 6) AS cagr, round(v, 6) AS annual_volatility, round(CASE WHEN v = 0 THEN 0 ELSE m * 365 / v END, 6) AS sharpe, round(dd, 6) AS max_drawdown,
-round(CASE WHEN dd = 0 THEN 0 ELSE (e ** (365.0 / days) - 1) / -dd END, 6) AS calmar, round(worst, 6) AS worst_day, round(pos, 6) AS mean_position, round(expo, 6) AS exposed_days_fraction, trading_days, round(turn, 6) AS one_way_turnover, round(fees, 6) AS sum_cost_fractions, CAST(longest_underwater_days AS BIGINT) AS longest_underwater_days FROM ag JOIN un USING (symbol, strategy)""")
+@query("b6_performance_stats", S.statistics(HOLDOUT, "symbol, strategy"))
 def b6(spark, d):
     return r6(pf.performance_stats(holdout(spark, d)).drop("scenario"))
 
 
-@query("b2_b7_period_metrics")
+@query("b2_b7_period_metrics", S.statistics(bt.period_scenarios(P)))
 def b7(spark, d):
     return r6(pf.performance_stats(bt.backtest(index_bars(spark, d), bt.period_scenarios(P), P)))
 
 
-@query("b8_yearly_fresh_start")
+@query("b8_yearly_fresh_start", S.statistics(bt.yearly_scenarios(P, 1996, 2001)))
 def b8(spark, d):
     return r6(pf.performance_stats(bt.backtest(index_bars(spark, d), bt.yearly_scenarios(P, 1996, 2001), P)))
 
 
-@query("b9_b10_grid_and_stress")
+@query("b9_b10_grid_and_stress", S.statistics(bt.sensitivity_scenarios(P) + bt.stress_scenarios(P)))
 def b9(spark, d):
     return r6(pf.performance_stats(bt.backtest(index_bars(spark, d), bt.sensitivity_scenarios(P) + bt.stress_scenarios(P), P)))
 
 
-@query("b11_rolling_return", f"{S.SIM}, ro AS (SELECT symbol, strategy, equity / CASE WHEN i = 365 THEN 1.0 ELSE lag(equity, 365) OVER (PARTITION BY symbol, strategy ORDER BY i) END - 1 AS x FROM days) SELECT symbol, strategy, count(*) AS windows, round(min(x), 6) AS lowest, round(avg(CAST(x > 0 AS INT)), 6) AS positive_share FROM ro WHERE x IS NOT NULL GROUP BY 1, 2")
+@query("b11_rolling_return", f"{SIM}, ro AS (SELECT symbol, strategy, equity / CASE WHEN i = 365 THEN 1.0 ELSE lag(equity, 365) OVER (PARTITION BY symbol, strategy ORDER BY i) END - 1 AS x FROM days) SELECT symbol, strategy, count(*) AS windows, round(min(x), 6) AS lowest, round(avg(CAST(x > 0 AS INT)), 6) AS positive_share FROM ro WHERE x IS NOT NULL GROUP BY 1, 2")
 def b11(spark, d):
     return r6(pf.rolling_return(holdout(spark, d), 365).drop("scenario"))
 
@@ -449,7 +445,7 @@ def _gain(spark, d, horizon):
 
 @query("b12_acceptance_gates")
 def b12(spark, d):
-    runs = [s for s in bt.period_scenarios(P) if s.name == "holdout"] + bt.sensitivity_scenarios(P) + bt.stress_scenarios(P)
+    runs = HOLDOUT + bt.sensitivity_scenarios(P) + bt.stress_scenarios(P)
     stats = pf.performance_stats(bt.backtest(index_bars(spark, d), runs, P))
     sharpe = boot.sharpe_difference(_pair(spark, d), ["symbol"], "trend_model", "vol_hold", blocks=P.blocks, reps=200, seed=P.seed)
     gains = _gain(spark, d, 7).unionByName(_gain(spark, d, 30))
@@ -474,7 +470,7 @@ def u2(spark, d):
     return r6(boot.mean_intervals(gain, ["symbol"], "gain", blocks=(30,), reps=200, seed=P.seed))
 
 
-@query("u3_sharpe_difference", f"""{S.SIM}, v AS (SELECT a.symbol, a.i - 1 AS pos, a.ret AS x, b.ret AS y FROM days a JOIN days b ON a.symbol = b.symbol AND a.i = b.i AND a.strategy = 'trend_model' AND b.strategy = 'vol_hold'), n AS (SELECT symbol, count(*) AS n FROM v GROUP BY 1),
+@query("u3_sharpe_difference", f"""{SIM}, v AS (SELECT a.symbol, a.i - 1 AS pos, a.ret AS x, b.ret AS y FROM days a JOIN days b ON a.symbol = b.symbol AND a.i = b.i AND a.strategy = 'trend_model' AND b.strategy = 'vol_hold'), n AS (SELECT symbol, count(*) AS n FROM v GROUP BY 1),
 bl AS (SELECT symbol, n, rep, CAST('0x' || substr(md5('20240101|' || rep || '|' || bn), 1, 8) AS BIGINT) % n AS s, least(30, n - bn * 30) AS sz FROM n, (SELECT unnest(range(200)) AS rep) r, (SELECT unnest(range(100)) AS bn) b WHERE bn < ceil(n / 30)),
 p AS (SELECT symbol, rep, (s + k) % n AS pos FROM bl, (SELECT unnest(range(30)) AS k) WHERE k < sz), m AS (SELECT symbol, rep, sqrt(365.0) * (CASE WHEN stddev_samp(x) > 1e-9 THEN avg(x) / stddev_samp(x) ELSE 0 END - CASE WHEN stddev_samp(y) > 1e-9 THEN avg(y) / stddev_samp(y) ELSE 0 END) AS diff FROM p JOIN v USING (symbol, pos) GROUP BY 1, 2)
 SELECT symbol, 30::BIGINT AS block, count(*) AS reps, round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high FROM m GROUP BY 1""")
@@ -558,9 +554,79 @@ def w15(spark, d):
     return r6(wf.current_freeze(fold_probs(spark, d), ["symbol"]).drop("regime_probabilities"))
 
 
+_FAM = "fm AS (SELECT unnest(['historical_prior', 'regime', 'always_up']) AS candidate, unnest(['baseline', 'regime', 'baseline']) AS family)"
+
+
+@query("w12_family_winner", f"{S.FOLDS}, {_FAM}, yy AS (SELECT symbol, candidate, year(date) AS y, avg(CAST((probability >= 0.5) = (target = 1) AS INT)) AS a, count(*) AS n, sum((probability - target) ** 2) AS l FROM preds GROUP BY 1, 2, 3), bo AS (SELECT symbol, candidate, avg(a) AS ma, min(a) AS wa, sum(l) / sum(n) AS brier FROM yy GROUP BY 1, 2), pl AS (SELECT *, row_number() OVER (PARTITION BY symbol, family ORDER BY ma DESC, wa DESC, brier, candidate) AS k FROM bo JOIN fm USING (candidate)) SELECT symbol, family, candidate, round(ma, 6) AS mean_year_accuracy FROM pl WHERE k = 1")
+def w12(spark, d):
+    families = spark.createDataFrame([("historical_prior", "baseline"), ("regime", "regime"), ("always_up", "baseline")], "candidate string, family string")
+    return r6(wf.family_winner(wf.leaderboard(preds(spark, d), ["symbol"]), families, ["symbol"]).select("symbol", "family", "candidate", "mean_year_accuracy"))
+
+
+@query("w9_blends")
+def w9(spark, d):
+    fit = QUERIES["w6_w7_logistic_folds"](spark, d).select("symbol", "date", F.col("probability").alias("logistic"))
+    both = md.blends(wide(spark, d).join(fit, ["symbol", "date"]))
+    return r6(wf.leaderboard(wf.long_candidates(both, ["symbol"], ["prior", "regime", "logistic", "always_up", "coin_flip", "prior_blend", "equal_blend"]), ["symbol"]))
+
+
+_GAIN = f"""{S.FOLDS}, v AS (SELECT symbol, date, year(date) AS y, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS pos, prior, regime, target, (prior - target) ** 2 - (regime - target) ** 2 AS gain, CAST((regime >= 0.5) = (target = 1) AS INT) AS good FROM wide), n AS (SELECT symbol, count(*) AS n FROM v GROUP BY 1),
+bl AS (SELECT symbol, n, b, rep, CAST('0x' || substr(md5('20240101|' || rep || '|' || bn), 1, 8) AS BIGINT) % n AS s, least(b, n - bn * b) AS sz FROM n, (SELECT unnest([30, 60]) AS b) c, (SELECT unnest(range(100)) AS rep) r, (SELECT unnest(range(100)) AS bn) q WHERE bn < ceil(n / b)),
+x AS (SELECT symbol, b, rep, (s + k) % n AS pos, n FROM bl, (SELECT unnest(range(60)) AS k) WHERE k < sz), m AS (SELECT x.symbol, b, rep, sum(gain) / max(n) AS gain, sum(good) / max(n) AS good FROM x JOIN v USING (symbol, pos) GROUP BY 1, 2, 3),
+iv AS (SELECT symbol, b, quantile_cont(gain, 0.025) AS low, quantile_cont(gain, 0.975) AS high, quantile_cont(good, 0.025) AS good_low FROM m GROUP BY 1, 2), yr AS (SELECT symbol, y, avg((regime - target) ** 2) AS brier, avg((prior - target) ** 2) AS prior_brier, avg(good) AS accuracy FROM v GROUP BY 1, 2)"""
+
+
+def _gains(spark, d):
+    w = wide(spark, d)
+    gain = (F.col("prior") - F.col("target")) ** 2 - (F.col("regime") - F.col("target")) ** 2
+    return w.withColumns({"gain": gain, "good": (sc.classify("regime") == F.col("target")).cast("double"), "year": F.year("date")})
+
+
+def _yearly(g):
+    b = lambda c: F.avg((F.col(c) - F.col("target")) ** 2)
+    return g.groupBy("symbol", "year").agg(b("regime").alias("brier"), b("prior").alias("prior_brier"), F.avg("good").alias("accuracy"))
+
+
+@query("c8_ci_envelope", f"{_GAIN} SELECT symbol, round(min(low), 6) AS low, round(max(high), 6) AS high FROM iv GROUP BY symbol")
+def c8e(spark, d):
+    return r6(sc.ci_envelope(boot.mean_intervals(_gains(spark, d), ["symbol"], "gain", blocks=(30, 60), reps=100, seed=P.seed), ["symbol"]))
+
+
+@query("u4_evidence_gate", f"{_GAIN} SELECT symbol, certain, no_year_worse, certain AND no_year_worse AS evidence FROM (SELECT symbol, bool_and(low > 0) AS certain FROM iv GROUP BY 1) JOIN (SELECT symbol, bool_and(brier <= prior_brier) AS no_year_worse FROM yr GROUP BY 1) USING (symbol)")
+def u4(spark, d):
+    g = _gains(spark, d)
+    return boot.evidence_gate(boot.mean_intervals(g, ["symbol"], "gain", blocks=(30, 60), reps=100, seed=P.seed), _yearly(g), ["symbol"])
+
+
+@query("u5_primary_goal", f"{_GAIN} SELECT symbol, avg(good) > 0.9 AS achieved, any_value(every_year) AS every_year, any_value(every_bound) AS every_bound FROM v JOIN (SELECT symbol, bool_and(accuracy > 0.9) AS every_year FROM yr GROUP BY 1) USING (symbol) JOIN (SELECT symbol, bool_and(good_low > 0.9) AS every_bound FROM iv GROUP BY 1) USING (symbol) GROUP BY symbol")
+def u5(spark, d):
+    g = _gains(spark, d)
+    overall = g.groupBy("symbol").agg(F.avg("good").alias("accuracy"), F.lit(1.0).alias("coverage"))
+    return boot.primary_goal(overall, _yearly(g), boot.mean_intervals(g, ["symbol"], "good", blocks=(30, 60), reps=100, seed=P.seed), ["symbol"])
+
+
+@query("l7_paired_tables", f"{S.FOLDS} SELECT symbol, count(*) AS n, round(avg(regime - prior), 6) AS mean_difference, round(avg((prior - target) ** 2 - (regime - target) ** 2), 6) AS gain FROM wide GROUP BY symbol")
+def l7(spark, d):
+    p = preds(spark, d)
+    of = lambda c: p.where(F.col("candidate") == c).select("symbol", "date", "target", F.col("probability").alias(c))
+    both = of("regime").join(of("historical_prior"), ["symbol", "date", "target"])
+    gain = (F.col("historical_prior") - F.col("target")) ** 2 - (F.col("regime") - F.col("target")) ** 2
+    return r6(both.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("regime") - F.col("historical_prior")).alias("mean_difference"), F.avg(gain).alias("gain")))
+
+
 # ---- serving
 
 
+@query("v4_reproduce", f"{S.BASE} SELECT symbol, date AS cutoff, 'none' AS what FROM bars WHERE false")
+def v4(spark, d):
+    """The counts of a fold from the range join and from the running sums must be the same."""
+    cuts = wf.folds(spark, date(1998, 1, 1), date(2001, 11, 2))
+    rows = rows7(spark, d)
+    summed = wf.expanding_counts(rows, cuts, ["symbol"]).select("symbol", "cutoff", (F.col("n0") + F.col("n1") + F.col("n2")).alias("n"), (F.col("ups0") + F.col("ups1") + F.col("ups2")).alias("ups"))
+    joined = lb.folds_of(rows, cuts).where("role = 'train'").groupBy("symbol", "cutoff").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("ups"))
+    return sv.reproduce(summed, joined, ["symbol", "cutoff"]).select("symbol", "cutoff", F.concat_ws(",", "what").alias("what"))
+
+
 @query("v1_forecast", f"{_CAL}, tb AS (SELECT symbol, score, (sum(target) + 1) / (count(*) + 2) AS p FROM fit GROUP BY 1, 2) SELECT l.symbol, date, 7::BIGINT AS horizon, CAST(l.score AS BIGINT) AS score, round(coalesce(p, 0.5), 6) AS probability, date + 2 AS entry_date, date + 9 AS end_date, CASE WHEN coalesce(p, 0.5) >= 0.5 THEN 'up' ELSE 'not_up' END AS direction, round(forward_return, 6) AS realized FROM lab l LEFT JOIN tb ON tb.symbol = l.symbol AND tb.score = l.score WHERE l.score IS NOT NULL AND date >= DATE '2000-01-01'")
 def v1(spark, d):
     probabilities = cal.regime_probability(_fit(spark, d), ["symbol"]).select("symbol", "score", "probability")
@@ -612,6 +678,13 @@ def t1(spark, d):
     return r6(st.daily_bars(ticks, width="1 hour")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("t4_quote_overlay", "WITH b AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS date, round(last(value ORDER BY ts, event_id), 6) AS close FROM events GROUP BY 1, 2), q AS (SELECT event_type AS symbol, round(max_by(value, event_id), 6) AS quote FROM events WHERE event_type <> 'view' GROUP BY 1) SELECT b.symbol, date, close, quote FROM b LEFT JOIN q USING (symbol)")
+def t4(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("price"), F.lit(1.0).alias("volume"))
+    quotes = e.where("symbol <> 'view'").select("symbol", "price", F.col("event_id").alias("received_at"))
+    return r6(st.with_quotes(st.daily_bars(e), quotes).select("symbol", F.to_date("start").alias("date"), "close", "quote"))
+
+
 @query("s9_latest_signals")
 def flagship(spark, d):
     return latest_signals(spark, d)

@@ -68,19 +68,42 @@ sel0 AS (SELECT symbol, cutoff, candidate, year(date) AS y, avg((probability - t
 sel1 AS (SELECT symbol, cutoff, candidate, avg(b) AS mean_annual_brier, sum(n)::BIGINT AS validation_rows FROM sel0 GROUP BY 1, 2, 3),
 sel AS (SELECT symbol, cutoff, candidate AS selected, mean_annual_brier, validation_rows FROM (SELECT *, row_number() OVER (PARTITION BY symbol, cutoff ORDER BY mean_annual_brier, CASE candidate WHEN 'historical_prior' THEN 1 ELSE 2 END) AS i FROM sel1) WHERE i = 1)"""
 
-#: the holdout simulated step by step, for all strategies, at 15 bps, band 0.05 and a lag of 2
-SIM = f"""{BASE},
-act AS (SELECT symbol, date, {lead('open')} / open - 1 AS r, {lag('score', 2)} AS s, {lag('weight', 2)} AS w, {lag('close', 2)} > {lag('sma', 2)} AS up FROM ind),
-tgt AS (SELECT symbol, date, r, unnest(['trend_model', 'buy_hold', 'sma200', 'vol_hold']) AS strategy, unnest([CASE WHEN s = 2 THEN w ELSE 0.0 END, 1.0, CASE WHEN up THEN 1.0 ELSE 0.0 END, w]) AS target
-  FROM act WHERE s IS NOT NULL AND r IS NOT NULL AND date >= DATE '2000-01-01' AND date < DATE '2001-11-05'),
-num AS (SELECT *, row_number() OVER (PARTITION BY symbol, strategy ORDER BY date) AS i FROM tgt),
+
+
+def simulated(scenarios: list) -> str:
+    """CTEs up to eq: every scenario and strategy stepped day by day, with equity and drawdown."""
+    names = {(x.sma, x.momentum): f"i{x.sma}_{x.momentum}" for x in scenarios}
+    ctes = [f"WITH RECURSIVE {INDEX}", DAILY, *[indicators(a, b, name=n) for (a, b), n in names.items()]]
+    parts = []
+    for k, x in enumerate(scenarios):
+        n = x.lag
+        ctes.append(f"""
+act{k} AS (SELECT symbol, date, {lead('open')} / open - 1 AS r, {lag('score', n)} AS s, {lag('weight', n)} AS w, {lag('close', n)} > {lag('sma', n)} AS up FROM {names[x.sma, x.momentum]})""")
+        parts.append(f"""SELECT '{x.name}' AS scenario, {x.cost_bps / 10_000}::DOUBLE AS cost, symbol, date, r, unnest(['trend_model', 'buy_hold', 'sma200', 'vol_hold']) AS strategy, unnest([CASE WHEN s = 2 THEN w ELSE 0.0 END, 1.0, CASE WHEN up THEN 1.0 ELSE 0.0 END, w]) AS target
+  FROM act{k} WHERE s IS NOT NULL AND r IS NOT NULL AND date >= DATE '{x.start}' AND date < DATE '{x.stop}'""")
+    trade = "abs(n.target - s.held) >= 0.05 OR (n.target = 0 AND s.held <> 0) OR (n.target > 0 AND s.held = 0)"
+    ctes.append(f"""
+tgt AS ({' UNION ALL '.join(parts)}),
+num AS (SELECT *, row_number() OVER (PARTITION BY symbol, scenario, strategy ORDER BY date) AS i FROM tgt),
 sim AS (
-  SELECT symbol, strategy, 0::BIGINT AS i, NULL::DATE AS date, 0.0::DOUBLE AS ret, 0.0::DOUBLE AS weight, 0.0::DOUBLE AS turnover, 0.0::DOUBLE AS fee, 0.0::DOUBLE AS held, 1.0::DOUBLE AS equity FROM (SELECT DISTINCT symbol, strategy FROM num)
+  SELECT symbol, scenario, strategy, 0::BIGINT AS i, NULL::DATE AS date, 0.0::DOUBLE AS ret, 0.0::DOUBLE AS weight, 0.0::DOUBLE AS turnover, 0.0::DOUBLE AS fee, 0.0::DOUBLE AS held, 1.0::DOUBLE AS equity FROM (SELECT DISTINCT symbol, scenario, strategy FROM num)
   UNION ALL
-  SELECT symbol, strategy, i, date, net, w, turn, 0.0015 * turn, w * (1 + r) / (1 + w * r), equity * (1 + net)
-  FROM (SELECT *, (1 - 0.0015 * turn) * (1 + w * r) - 1 AS net FROM (SELECT n.symbol, n.strategy, n.i, n.date, n.r, s.equity,
-    CASE WHEN abs(n.target - s.held) >= 0.05 OR (n.target = 0 AND s.held <> 0) OR (n.target > 0 AND s.held = 0) THEN abs((n.target - s.held) / (CASE WHEN n.target >= s.held THEN 1 + 0.0015 * n.target ELSE 1 - 0.0015 * n.target END)) ELSE 0.0 END AS turn,
-    CASE WHEN abs(n.target - s.held) >= 0.05 OR (n.target = 0 AND s.held <> 0) OR (n.target > 0 AND s.held = 0) THEN n.target ELSE s.held END AS w
-    FROM sim s JOIN num n ON n.symbol = s.symbol AND n.strategy = s.strategy AND n.i = s.i + 1))),
+  SELECT symbol, scenario, strategy, i, date, net, w, turn, cost * turn, w * (1 + r) / (1 + w * r), equity * (1 + net)
+  FROM (SELECT *, (1 - cost * turn) * (1 + w * r) - 1 AS net FROM (SELECT n.symbol, n.scenario, n.strategy, n.i, n.date, n.r, n.cost, s.equity,
+    CASE WHEN {trade} THEN abs((n.target - s.held) / (CASE WHEN n.target >= s.held THEN 1 + n.cost * n.target ELSE 1 - n.cost * n.target END)) ELSE 0.0 END AS turn,
+    CASE WHEN {trade} THEN n.target ELSE s.held END AS w
+    FROM sim s JOIN num n ON n.symbol = s.symbol AND n.scenario = s.scenario AND n.strategy = s.strategy AND n.i = s.i + 1))),
 days AS (SELECT * FROM sim WHERE i > 0),
-eq AS (SELECT *, equity / greatest(1.0, max(equity) OVER (PARTITION BY symbol, strategy ORDER BY i)) - 1 AS drawdown FROM days)"""
+eq AS (SELECT *, equity / greatest(1.0, max(equity) OVER (PARTITION BY symbol, scenario, strategy ORDER BY i)) - 1 AS drawdown FROM days)""")
+    return ",".join(ctes)
+
+
+UNDER = """un AS (SELECT symbol, scenario, strategy, CAST(max(c) AS BIGINT) AS longest_underwater_days FROM (SELECT symbol, scenario, strategy, g, count(*) FILTER (WHERE u) AS c
+FROM (SELECT *, drawdown < -1e-12 AS u, sum(CAST(drawdown >= -1e-12 AS INT)) OVER (PARTITION BY symbol, scenario, strategy ORDER BY i) AS g FROM eq) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)"""
+
+
+def statistics(scenarios: list, keys: str = "symbol, scenario, strategy") -> str:
+    return f"""{simulated(scenarios)}, {UNDER}, ag AS (SELECT symbol, scenario, strategy, count(*) AS days, min(date) AS start_open, max(date) + 1 AS end_valuation_open, max_by(equity, i) AS e, stddev_samp(ret) * sqrt(365.0) AS v, avg(ret) AS m, min(drawdown) AS dd, min(ret) AS worst,
+avg(weight) AS pos, avg(CAST(weight > 0 AS INT)) AS expo, count(*) FILTER (WHERE turnover > 1e-12) AS trading_days, sum(turnover) AS turn, sum(fee) AS fees FROM eq GROUP BY 1, 2, 3)
+SELECT {keys}, days, start_open, end_valuation_open, round(e - 1, 6) AS total_return, round(e ** (365.0 / days) - 1, 6) AS cagr, round(v, 6) AS annual_volatility, round(CASE WHEN v = 0 THEN 0 ELSE m * 365 / v END, 6) AS sharpe, round(dd, 6) AS max_drawdown,
+round(CASE WHEN dd = 0 THEN 0 ELSE (e ** (365.0 / days) - 1) / -dd END, 6) AS calmar, round(worst, 6) AS worst_day, round(pos, 6) AS mean_position, round(expo, 6) AS exposed_days_fraction, trading_days, round(turn, 6) AS one_way_turnover, round(fees, 6) AS sum_cost_fractions, longest_underwater_days FROM ag JOIN un USING (symbol, scenario, strategy)"""
