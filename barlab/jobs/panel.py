@@ -40,5 +40,6 @@ def index_bars(spark: SparkSession, sf_dir: str, symbol: str = "l_linestatus") -
 def latest_signals(spark: SparkSession, sf_dir: str, p: Protocol = Protocol()) -> DataFrame:
     """The last bar of each symbol with score and target weight, from ticks; features start anew after a gap."""
     bars = quality.contiguous_segments(tick_bars(spark, sf_dir))
-    ind = features.indicators(bars.drop("segment"), p)
+    pieces = bars.withColumns({"name": F.col("symbol"), "symbol": F.concat_ws("#", "symbol", "segment")})
+    ind = features.indicators(pieces, p).withColumn("symbol", F.col("name")).drop("name", "segment")
     return features.latest_signal(ind, p.lag)
