@@ -38,17 +38,52 @@ def _letter(codes: np.ndarray) -> np.ndarray:
     return mix(codes.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))
 
 
+class Seen:
+    """Fingerprint -> number, by open addressing in a table of fixed size."""
+
+    def __init__(self, bits: int):
+        self.bits, self.count = bits, 0
+        self.keys, self.value = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), -1, np.int64)
+        todo, slot = np.arange(len(hashes)), self._slot(hashes)
+        while len(todo):
+            value = self.value[slot]
+            hit = (value >= 0) & (self.keys[slot] == hashes[todo])
+            out[todo[hit]] = value[hit]
+            on = (value >= 0) & ~hit
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Number new, distinct fingerprints from ``count`` on."""
+        todo, slot = np.arange(len(hashes)), self._slot(hashes)
+        while len(todo):
+            free = np.flatnonzero(self.value[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.value[slot[put]], self.keys[slot[put]] = self.count + todo[put], hashes[todo[put]]
+            rest = np.ones(len(todo), bool)
+            rest[put] = False
+            todo, slot = todo[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+        self.count += len(hashes)
+
+
 class Pieces:
     """A model's pieces, and what this worker knows of pairs and units."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, unit_bits: int = 22):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         names = [model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-        self.most, self.real = most, n
+        self.unit_bits, self.real = unit_bits, n
         self.bytes_from = next((i for i in range(n) if model.is_byte(i)), -1)
         text = {i: np.array([ord(c) for c in names[i]], np.int64) for i in plain}
         whole = {names[i] for i in plain if len(names[i]) == 1}
@@ -224,9 +259,9 @@ class Pieces:
         return bool(self.stable(np.array([left]), np.array([right]))[0])
 
     def _forget(self) -> None:
-        self.units: dict[int, int] = {}
-        self.first = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.units = Seen(self.unit_bits)
+        self.first = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.int32)
 
     def _spell(self, ids: np.ndarray) -> np.ndarray:
@@ -238,7 +273,7 @@ class Pieces:
     def _as_bytes(self, code: int) -> np.ndarray:
         return np.frombuffer(chr(code).encode(), np.uint8).astype(np.int64) + self.bytes_from
 
-    def _learn(self, hashes: list[int], codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def _learn(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         size = ends - starts
         odd = ~self.known_code[np.minimum(codes[starts], len(self.known_code) - 1)]
         first, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
@@ -258,9 +293,9 @@ class Pieces:
                     ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
                 pools.append(ids)
                 first[some], count[some], top = top + np.cumsum(counts) - counts, counts, top + len(ids)
-        base = len(self.first)
-        self.units.update(zip(hashes, range(base, base + len(hashes)), strict=True))
-        self.first, self.size, self.pool = np.concatenate((self.first, first)), np.concatenate((self.size, count)), np.concatenate([x.astype(np.int32) for x in pools])
+        self.units.add(hashes)
+        add = lambda old, new: np.concatenate((old, new.astype(np.int32)))
+        self.first, self.size, self.pool = add(self.first, first), add(self.size, count), np.concatenate([x.astype(np.int32) for x in pools])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one row after the other, and their number per row."""
@@ -287,18 +322,16 @@ class Pieces:
         if codes.max() > 65535:
             found += hash_ranges(codes >> 16, starts, ends) + hash_ranges(codes & 65535, starts, ends)
         hashes, where, place = np.unique(found, return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        if len(self.units) > self.most:
+        if self.units.count + len(hashes) > (1 << self.unit_bits) // 2:
             self._forget()
-        index = np.array([self.units.get(h, -1) for h in keys], np.int64)
+        index = self.units.find(hashes)
         new = np.flatnonzero(index < 0)
         if len(new):
-            base = len(self.first)
-            self._learn([keys[i] for i in new], codes, starts[where[new]], ends[where[new]])
-            index[new] = np.arange(base, base + len(new))
+            index[new] = self.units.count + np.arange(len(new))
+            self._learn(hashes[new], codes, starts[where[new]], ends[where[new]])
         unit = index[place]
-        sizes = self.size[unit]
-        return self.pool[ranges(self.first[unit], sizes)], np.bincount(rows, weights=sizes, minlength=n).astype(np.int64)
+        sizes = self.size[unit].astype(np.int64)
+        return self.pool[ranges(self.first[unit].astype(np.int64), sizes)], np.bincount(rows, weights=sizes, minlength=n).astype(np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of rows of ids; the space that encoding puts in front of a text goes."""
