@@ -685,6 +685,13 @@ def t4(spark, d):
     return r6(st.with_quotes(st.daily_bars(e), quotes).select("symbol", F.to_date("start").alias("date"), "close", "quote"))
 
 
-@query("s9_latest_signals")
+_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+_LATEST = f"""WITH RECURSIVE tk AS (SELECT l_linestatus AS base, CAST(l_shipdate AS DATE) AS date, first(l_extendedprice ORDER BY {_KEYS}) AS open, max(l_extendedprice) AS high, min(l_extendedprice) AS low, last(l_extendedprice ORDER BY {_KEYS}) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2),
+sg AS (SELECT *, sum(CAST(coalesce(date - p > 1, false) AS INT)) OVER (PARTITION BY base ORDER BY date) AS seg FROM (SELECT *, lag(date) OVER (PARTITION BY base ORDER BY date) AS p FROM tk)),
+bars AS (SELECT base || '#' || seg AS symbol, base, date, open, high, low, close, volume FROM sg),{S.DAILY},{S.indicators()}
+SELECT base AS symbol, {sel('date *open *high *low *close *volume *sma *momentum *vol #score *weight')}, date + 2 AS earliest_execution FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY date DESC) AS i FROM ind) WHERE i = 1"""
+
+
+@query("s9_latest_signals", _LATEST)
 def flagship(spark, d):
-    return latest_signals(spark, d)
+    return r6(latest_signals(spark, d))
