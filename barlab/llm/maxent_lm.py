@@ -36,17 +36,25 @@ END = np.uint64(0x3C6EF372FE94F82B)  # the fingerprint of the end token
 
 @dataclass(frozen=True)
 class Shape:
-    """Sizes of the model. ``table``: words whose counts every task holds; rarer ones are joined."""
+    """Sizes of the model, the smallest by default. ``table``: words whose counts every task holds; rarer ones are joined."""
 
     vocab: int = 4096
     table: int = 1 << 17
-    classes: int = 28
+    classes: int = 32
     neighbours: int = 64
-    bits: int = 12
+    bits: int = 13
     batch: int = 8192
     rate: float = 0.3
     fit_steps: int = 25
 
+    @classmethod
+    def of_corpus(cls, total: int, distinct: int) -> Shape:
+        """Sizes that grow with the corpus: buckets with the root of its tokens (while there are words to tell apart), words with a class-conditional probability as half the buckets, classes with the root of those."""
+        bits = max(cls.bits, min(round(np.log2(max(total, 1)) / 2), int(distinct).bit_length()))
+        more = 2.0 ** (bits - cls.bits)
+        vocab = int(cls.vocab * more)
+        return cls(vocab=vocab, table=max(cls.table, vocab), classes=round(cls.classes * more**0.5), bits=bits)
+
     @property
     def outcomes(self) -> int:
         """Classes of words, the class of other words, the end."""
@@ -175,8 +183,13 @@ class Vocabulary:
         self.index = Index(self.hashes)
 
 
-def vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
+def corpus_size(counts: DataFrame) -> tuple[int, int]:
+    """All tokens and the distinct ones."""
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
+    return int(row["total"]), int(row["distinct"])
+
+
+def vocabulary(counts: DataFrame, shape: Shape, total: int, distinct: int) -> Vocabulary:
     words = counts.where(F.col("key") != int(END.view(np.int64)))
     # the largest counts are found from a histogram of bounded size, so that no task sends a table of its own
     step = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor(64 * F.log2(F.col("n") / 4096)))
@@ -184,7 +197,7 @@ def vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
     fits = sizes["words"].cumsum() <= shape.table
     least = int(sizes.loc[fits, "least"].min()) if fits.any() else None
     top = words.where(F.col("n") >= least if least is not None else F.lit(False)).toPandas().sort_values(["n", "key"], ascending=[False, True])
-    return Vocabulary(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), int(row["total"]), int(row["distinct"]))
+    return Vocabulary(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total, distinct)
 
 
 def _summed(frame: DataFrame, size: int) -> np.ndarray:
@@ -320,7 +333,9 @@ def _train_classes(docs: DataFrame, model: Model, column: str = "text") -> tuple
             sums[2] += np.bincount((outcome * n_ctx + c1) * n_ctx + c2, minlength=cells[2])
             met += np.bincount(rows.ravel(), minlength=len(met))
             met[-1] += len(rows)
-            short = rows.astype(np.uint16) if shape.features <= 1 << 16 else rows
+            size = 1 << shape.bits
+            starts = np.array([0, size, 2 * size])  # of the three features; keys within one sort faster
+            short = (rows - starts).astype(np.uint16) if shape.bits < 16 else rows - starts
             for a in range(0, len(rows), shape.batch):
                 r, y = rows[a : a + shape.batch], outcome[a : a + shape.batch]
                 z = w[r[:, 0]] + w[r[:, 1]] + w[r[:, 2]] + w[-1]
@@ -329,6 +344,7 @@ def _train_classes(docs: DataFrame, model: Model, column: str = "text") -> tuple
                 z[np.arange(len(y)), y] -= 1
                 for j in range(3):
                     key, g = _segment_sum(z, short[a : a + shape.batch, j])
+                    key = key + starts[j]
                     seen[key] += (g * g).mean(axis=1)
                     w[key] -= (shape.rate / np.sqrt(seen[key]))[:, None].astype(np.float32) * g
                 g = z.sum(axis=0)
@@ -388,9 +404,11 @@ def _fit_words(model: Model, one: np.ndarray, two: np.ndarray, three: np.ndarray
         model.norm[c] = top + np.log(np.exp(z - top[:, :, None]).sum(axis=2))
 
 
-def train(docs: DataFrame, counts: DataFrame, *, shape: Shape = Shape(), column: str = "text") -> Model:
-    """A model of the texts in ``column``; ``counts`` are their corpus_counts."""
-    words = vocabulary(counts, shape)
+def train(docs: DataFrame, counts: DataFrame, *, shape: Shape | None = None, column: str = "text") -> Model:
+    """A model of the texts in ``column``; ``counts`` are their corpus_counts, from which its sizes follow if no ``shape`` is given."""
+    total, distinct = corpus_size(counts)
+    shape = shape or Shape.of_corpus(total, distinct)
+    words = vocabulary(counts, shape, total, distinct)
     ends = counts.where(F.col("key") == int(END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     vocab = min(shape.vocab, len(words.hashes))
     profile = neighbour_counts(docs, words, shape, column)[:vocab] if vocab else np.zeros((0, 2 * shape.neighbours))
@@ -455,7 +473,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "do
     )
 
 
-def lm_scores(docs: DataFrame, *, held_out: Column, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape()) -> DataFrame:
+def lm_scores(docs: DataFrame, *, held_out: Column, id_col: str = "doc_id", text_col: str = "text", shape: Shape | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the rows outside ``held_out`` (null: learns). Tokens

@@ -186,6 +186,16 @@ def test_model_is_a_distribution(spark):
     assert total == pytest.approx(1, abs=1e-6)
 
 
+def test_model_grows_with_the_corpus(spark):
+    sizes = [maxent_lm.Shape.of_corpus(n, n // 100) for n in (0, 1 << 20, 1 << 26, 1 << 28, 1 << 30, 1 << 34)]
+    assert sizes[0] == maxent_lm.Shape() and (sizes[0].bits, sizes[0].classes) == (13, 32)
+    assert [x.bits for x in sizes[2:]] == [13, 14, 15, 17]
+    for a, b in zip(sizes[2:], sizes[3:]):
+        assert b.vocab > a.vocab and b.classes > a.classes and b.table >= b.vocab
+    df = spark.createDataFrame([(0, "a b a c")], "doc_id long, text string")
+    assert maxent_lm.train(df, maxent_lm.corpus_counts(df)).shape == sizes[0]
+
+
 # ---- 5
 
 
