@@ -22,7 +22,7 @@ def _norm(line: Column) -> Column:
     return F.btrim(line, F.lit(_TRIM))
 
 
-def line_spread(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, min_sizes: int = 3, min_chars: int = 30, lg_k: int = 12, band: float = 0.25) -> DataFrame:
+def line_spread(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, min_sizes: int = 3, min_chars: int = 1, lg_k: int = 12, band: float = 0.25) -> DataFrame:
     """Lines on ``min_sites`` sites and in ``min_sizes`` size classes or more: line (xxhash64 of the trimmed line), keeper (smallest id with the line), n_sites.
 
     ``band``: relative distance from the threshold within which sites are
@@ -56,10 +56,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars
     return own.select("doc_id", "site", "size", _norm(F.col("raw")).alias("norm")).where(F.length("norm") >= min_chars).select("doc_id", "site", "size", F.xxhash64("norm").alias("line"))
 
 
-def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, min_sizes: int = 3, min_chars: int = 30, lg_k: int = 12, band: float = 0.25) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, min_sizes: int = 3, min_chars: int = 1, lg_k: int = 12, band: float = 0.25) -> DataFrame:
     """``docs`` without boilerplate lines, with two more columns: n_lines and n_removed.
 
-    A line of ``min_chars`` characters or more (trimmed) that occurs on
+    A line of ``min_chars`` characters or more (trimmed; by default every line
+    that is not empty) that occurs on
     ``min_sites`` sites and in documents of ``min_sizes`` size classes or more
     goes from every document but the one with the smallest id, so the corpus
     keeps one copy. A null site counts as a site of

@@ -123,6 +123,14 @@ def test_lines_of_copies_stay(spark):
     assert {out[i] for i, _ in copied} == {0} and {out[i] for i, _ in various[1:]} == {1} and out[100] == 0
 
 
+def test_short_boilerplate_goes(spark):
+    rows = [(i, "word " * 5 * 2 ** (i % 6) + f"{i}\n All rights reserved.\n\n \nNo.") for i in range(30)]
+    out = {r["doc_id"]: r for r in line_dedup.remove_boilerplate(frame(spark, rows)).collect()}
+    assert out[0]["text"] == rows[0][1] and out[0]["n_removed"] == 0
+    for i, text in rows[1:]:
+        assert out[i]["n_removed"] == 2 and out[i]["text"] == text.replace("\n All rights reserved.", "").replace("\nNo.", "")
+
+
 # ---- 3
 
 
