@@ -34,11 +34,16 @@ END_ID = 1
 
 @dataclass(frozen=True)
 class Mixture:
-    """Queues' totals and proportions; at most ``max_queues`` of them."""
+    """Queues' totals and proportions. Tables of places by queues are made ``cells`` numbers at a time."""
 
     names: tuple[str, ...]
     totals: np.ndarray
     weights: np.ndarray
+    cells: int = 1 << 21
+
+    def _blocks(self, n: int) -> Iterator[slice]:
+        step = max(1, self.cells // max(1, len(self.names)))
+        return (slice(a, min(a + step, n)) for a in range(0, n, step))
 
     def _time(self, queue: np.ndarray, x: np.ndarray) -> np.ndarray:
         return (x + 0.5) / self.weights[queue]
@@ -57,10 +62,30 @@ class Mixture:
     def rank(self, queue: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Place of a queue's x-th token in the service order."""
         time = self._time(queue, x.astype(float))
-        upto = self.served(time)
-        before = self.served(np.nextafter(time, -np.inf))
-        first = np.arange(len(self.names))[None, :] < queue[:, None]
-        return np.where(first, upto, before).sum(axis=1)
+        out = np.empty(len(time), np.int64)
+        for b in self._blocks(len(time)):
+            upto = self.served(time[b])
+            before = self.served(np.nextafter(time[b], -np.inf))
+            first = np.arange(len(self.names))[None, :] < queue[b, None]
+            out[b] = np.where(first, upto, before).sum(axis=1)
+        return out
+
+    def shares(self, window: np.ndarray, queue: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What each window holds of a queue: its first token and the one after its last, and the window's tokens of queues listed before."""
+        low, high, ahead = (np.empty(len(window), np.int64) for _ in range(3))
+        order = np.argsort(window, kind="stable")
+        unique, first = np.unique(window[order], return_index=True)
+        ends, total = np.append(first[1:], len(window)), int(self.totals.sum())
+        for b in self._blocks(len(unique)):
+            at = order[first[b][0] : ends[b][-1]]
+            some, q = np.searchsorted(unique[b], window[at]), queue[at]
+            marks, place = np.unique(np.concatenate((unique[b], unique[b] + 1)), return_inverse=True)
+            edges = self.edges(np.minimum(marks * length, total))
+            lows, highs = edges[place[: len(unique[b])]], edges[place[len(unique[b]) :]]
+            sums = np.cumsum(highs - lows, axis=1)
+            low[at], high[at] = lows[some, q], highs[some, q]
+            ahead[at] = sums[some, q] - (high[at] - low[at])
+        return low, high, ahead
 
     def edges(self, ranks: np.ndarray) -> np.ndarray:
         """Tokens of each queue among the first ``rank`` served, for each rank."""
@@ -107,20 +132,15 @@ def _tokens(docs: DataFrame, tokenizer: str, source_cols: list[str]) -> DataFram
     return docs.select("doc_id", *source_cols, "text").mapInArrow(run, f"doc_id {kind}, queue string, part long, local long, n long, ids binary")
 
 
-def _queue(docs: DataFrame, source_col: str, max_queues: int):
-    """The source as queue; where there are more than ``max_queues``, hashed into that many."""
-    name = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    some = docs.select(name.alias("q")).distinct().limit(max_queues + 1).count()
-    return name if some <= max_queues else F.concat(F.lit("q"), F.pmod(F.xxhash64(name), F.lit(max_queues)).cast("string"))
-
-
-def pack(docs: DataFrame, *, tokenizer: str | None = None, length: int = 2048, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_queues: int = 256, broadcast_rows: int = 500_000) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str | None = None, length: int = 2048, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", broadcast_rows: int = 500_000) -> DataFrame:
     """Pieces of documents in windows of ``length`` tokens: doc_id, queue, start, length, ids (binary, little-endian unsigned 32-bit), ids_crc32, doc_tokens, sequence_id, offset.
 
     Only the last window is short. ``weights``: target proportion of tokens by
     source, natural proportions where none are given (then every window holds
     the corpus' mixture to within a few tokens of each source); a source that is
-    not listed gets the smallest listed weight. A null text is a document of
+    not listed gets the smallest listed weight. Each source is a queue, at any
+    number of them; the driver and each task hold a name and a total per source,
+    and placing a document takes time in proportion to the sources. A null text is a document of
     the end id alone, a null source a queue of its own; null and repeated ids
     are documents like any other; an empty table gives no pieces.
     """
@@ -128,7 +148,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, length: int = 2048, w
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    queue = _queue(docs, source_col, max_queues)
+    queue = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).alias("doc_id"), queue.alias("queue"), F.col(text_col).cast("string").alias("text"))
     stored = checkpointed(_tokens(plain, tokenizer, ["queue"]))
     parts = stored.groupBy("queue", "part").agg(F.sum("n").alias("n"))
@@ -136,7 +156,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, length: int = 2048, w
 
     ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = checkpointed(parts.withColumn("base", F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("long")))
-    totals = {r["queue"]: r["n"] for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most max_queues rows
+    totals = {r["queue"]: r["n"] for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row per source
     names = tuple(sorted(totals))
     count = np.array([totals[x] for x in names], np.int64)
     share = count.astype(float) if not weights else np.array([weights.get(x, min(weights.values())) for x in names], float)
@@ -164,14 +184,10 @@ def _pieces(batch: pa.RecordBatch, index: dict[str, int], mixture: Mixture, leng
     spans = last - first + 1
     doc = np.repeat(np.arange(len(at)), spans)
     window = ranges(first, spans)
-    unique, place = np.unique(np.concatenate((window, window + 1)), return_inverse=True)
-    edges = mixture.edges(np.minimum(unique * length, int(mixture.totals.sum())))
-    low, high = edges[place[: len(window)]], edges[place[len(window) :]]
-    row = np.arange(len(window))
-    ahead = np.concatenate((np.zeros((len(window), 1), np.int64), np.cumsum(high - low, axis=1)), axis=1)
-    begin = np.maximum(low[row, queue[doc]], at[doc])
-    end = np.minimum(high[row, queue[doc]], (at + n)[doc])
-    offset = ahead[row, queue[doc]] + begin - low[row, queue[doc]]
+    low, high, ahead = mixture.shares(window, queue[doc], length)
+    begin = np.maximum(low, at[doc])
+    end = np.minimum(high, (at + n)[doc])
+    offset = ahead + begin - low
     some = end > begin  # a window of the range may serve nothing of a rare queue
     doc, window, begin, end, offset = (x[some] for x in (doc, window, begin, end, offset))
     start = begin - at[doc]

@@ -282,6 +282,30 @@ def test_packing(spark, docs, rows, none, weights):
         assert np.abs(cum.to_numpy()[:-1] - want[:-1]).max() < 1 + len(total) / 2  # deficits are carried, never gathered
 
 
+def test_packing_keeps_many_sources(spark):
+    df = spark.createDataFrame([(i, "a few words of a text " * (1 + i % 3), f"site{i % 300}") for i in range(600)], "doc_id long, text string, source string")
+    got = packing.pack(df, length=128, weights={"site7": 50.0, "site8": 1.0}).toPandas()
+    assert set(got["queue"]) == {f"site{i}" for i in range(300)}
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == np.cumsum([0, *g["length"][:-1]]).tolist()
+    size = got.groupby("queue")["length"].sum()
+    order = sorted(((x + 0.5) / (50.0 if q == "site7" else 1.0), i, q) for i, q in enumerate(sorted(size.index)) for x in range(size[q]))
+    want = Counter((k // 128, q) for k, (_, _, q) in enumerate(order))
+    assert got.groupby(["sequence_id", "queue"])["length"].sum().to_dict() == dict(want)
+
+
+def test_shares_in_blocks():
+    rng = np.random.default_rng(1)
+    totals = rng.integers(1, 400, 37)
+    whole, blocks = (packing.Mixture(tuple(map(str, range(37))), totals, totals.astype(float), c) for c in (1 << 20, 50))
+    queue, window = rng.integers(0, 37, 200), rng.integers(0, int(totals.sum()) // 64 + 1, 200)
+    x = rng.integers(0, totals[queue])
+    assert (whole.rank(queue, x) == blocks.rank(queue, x)).all()
+    for a, b in zip(whole.shares(window, queue, 64), blocks.shares(window, queue, 64)):
+        assert (a == b).all()
+
+
 # ---- 8
 
 
