@@ -6,9 +6,14 @@ exactly if each two neighbouring pieces, merged alone, stay the two pieces,
 because the merges inside a pair of pieces do not depend on what lies around
 them. So the Viterbi takes pairs that are not stable as impossible: at each
 end position it probes the hashes of all substrings in the sorted piece keys,
-keeps those whose predecessor's last piece they are stable with, takes the
-maximum score, and stores the piece as backpointer. Words of equal length
-advance together; whether a pair is stable is found once, by merging it.
+takes the longest candidate that is stable with its predecessor's last piece
+(no other is), and stores the piece as backpointer. Words of equal length
+advance together; lengths over a few dozen are rounded up, and a very long
+unit advances in blocks that overlap, side by side.
+
+Whether a pair is stable follows from how its pieces are merged themselves:
+going back through the merges at the two edges that meet, no piece across the
+border may come before the merge that ended the state in which it could.
 
 Texts are cut into units that no piece crosses: a run of spaces with the
 characters up to the next space, and each character that no piece contains.
@@ -28,10 +33,14 @@ from barlab.llm.kernels import hash_ranges, mix, ranges, slices, text_buffers
 
 BAR = 0x2581
 _B = np.uint64(0xD6E8FEB86659FD93)
+_BACK = np.uint64(pow(int(_B), -1, 1 << 64))
 _NONE = np.int32(1 << 30)
-LONG = 48
-PAIR_BITS = 21
+_START = -2
+_NO_CODE = 0x110000
 JUMP_BITS = 18
+MASK_BITS = 20
+#: Units up to the first are taken at their length, up to the second at a rounded length, longer ones in blocks.
+EXACT, BLOCK = 24, 1024
 
 
 def _letter(codes: np.ndarray) -> np.ndarray:
@@ -117,11 +126,11 @@ class Pieces:
         self.part_size = np.array([len(p) for p in parts], np.int64)
         self.part_first = np.cumsum(self.part_size) - self.part_size
         self.part_data = np.frombuffer(b"".join(parts), np.uint8)
-        self.sure = np.zeros(len(self.ids), bool)
-        self.pair_key, self.pair_good = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
-        for a in range(0, len(self.ids), 8000):
-            some = self.ids[a : a + 8000]
-            self.sure[a : a + 8000] = self._merged([text[i] for i in some.tolist()], None)
+        self.mask = np.zeros(1 << MASK_BITS, bool)
+        self.mask[(self.keys >> np.uint64(64 - MASK_BITS)).astype(np.int64)] = True
+        self.letters = np.array([len(text[i]) for i in self.ids.tolist()], np.int64)
+        self.power, self.inverse = (np.multiply.accumulate(np.array([1, *[x] * (2 * BLOCK)], np.uint64)) for x in (_B, _BACK))
+        self._trees(text)
         self._forget()
 
     @staticmethod
@@ -132,16 +141,43 @@ class Pieces:
                 h = t + _B * h
         return h
 
+    def _trees(self, text: dict[int, np.ndarray]) -> None:
+        """Which pieces greedy merging builds from their own letters, and their last merge: parts, and its rank (-1 for one letter)."""
+        n = len(self.ids)
+        self.sure, cut = np.zeros(n, bool), np.zeros(n, np.int64)
+        for a in range(0, n, 8000):
+            self.sure[a : a + 8000], cut[a : a + 8000] = self._merged([text[i] for i in self.ids[a : a + 8000].tolist()], None)
+        self.born = np.where(self.letters > 1, self.rank, -1).astype(np.int64)
+        self.lead, self.tail = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        many = np.flatnonzero(self.sure & (self.letters > 1))
+        ends = np.cumsum(self.letters[many])
+        flat = _letter(np.concatenate([text[i] for i in self.ids[many].tolist()] or [np.zeros(0, np.int64)]))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(flat * self.power[ranges(np.zeros(len(many), np.int64), self.letters[many])])))
+        first = ends - self.letters[many]
+        self.lead[many] = self._find(sums[first + cut[many]] - sums[first])
+        self.tail[many] = self._find((sums[ends] - sums[first + cut[many]]) * self.inverse[cut[many]])
+        # merges in the order of their ranks; other pieces are merged in full
+        self.plain = self.sure.copy()
+        for w in np.argsort(self.letters, kind="stable").tolist():
+            if self.letters[w] > 1 and self.sure[w]:
+                a, b = self.lead[w], self.tail[w]
+                self.plain[w] = self.plain[a] and self.plain[b] and self.born[w] >= max(self.born[a], self.born[b])
+        self.full: dict[int, bool] = {}
+
     def _find(self, h: np.ndarray) -> np.ndarray:
-        """Index of each key among the sorted ones, or -1: from the first key with its leading bits on."""
+        """Index of each key among the sorted ones, or -1: most others are told by their leading bits, the rest go from the first key with them on."""
+        out = np.full(len(h), -1, np.int64)
+        some = np.flatnonzero(self.mask[(h >> np.uint64(64 - MASK_BITS)).astype(np.int64)])
+        h = h[some]
         at = self.jump[(h >> np.uint64(64 - JUMP_BITS)).astype(np.int64)]
         for _ in range(self.jump_most):
             at = at + (self.keys[np.minimum(at, len(self.keys) - 1)] < h)
         at = np.minimum(at, len(self.keys) - 1)
-        return np.where(self.keys[at] == h, at, -1)
+        out[some] = np.where(self.keys[at] == h, at, -1)
+        return out
 
-    def _merged(self, strings: list[np.ndarray], middle: np.ndarray | None) -> np.ndarray:
-        """Whether greedy merging leaves each string whole, or cut at ``middle`` only."""
+    def _merged(self, strings: list[np.ndarray], middle: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Whether greedy merging leaves each string whole, or cut at ``middle`` only, and where the last merge was."""
         n = len(strings)
         size = np.array([len(s) for s in strings])
         wide = int(size.max())
@@ -159,7 +195,7 @@ class Pieces:
                     rank[:, end - k, k] = np.where((at >= 0) & (end <= size), self.rank[at], _NONE)
         cut = np.arange(wide + 1)[None, :] <= size[:, None]
         place = np.broadcast_to(np.arange(wide + 1), cut.shape)
-        live = np.arange(n)
+        live, closed = np.arange(n), np.zeros(n, np.int64)
         while len(live):
             c, p = cut[live], place[live]
             before = np.maximum.accumulate(np.where(c, p, 0), axis=1)
@@ -172,61 +208,92 @@ class Pieces:
             best = cost.argmin(axis=1)
             hit = cost[np.arange(len(live)), best] < _NONE
             cut[live[hit], best[hit]] = False
+            closed[live[hit]] = best[hit]
             live = live[hit]
         inner = cut.sum(axis=1) - 2
         if middle is None:
-            return inner == 0
-        return (inner == 1) & cut[np.arange(n), middle]
+            return inner == 0, closed
+        return (inner == 1) & cut[np.arange(n), middle], closed
 
     def stable(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether each pair of pieces (indices of keys) survives its own merging.
-
-        Answers stay in a table with one slot for a hash of the pair; a newer pair takes the slot.
-        """
-        pair = left * len(self.keys) + right
-        slot = (mix(pair.view(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-        known = self.pair_key[slot] == pair
-        out = self.pair_good[slot]
-        if not known.all():
-            new = np.unique(pair[~known])
-            good = np.concatenate([self._pairs(new[a : a + 8000]) for a in range(0, len(new), 8000)])
-            out[~known] = good[np.searchsorted(new, pair[~known])]
-            self.pair_key[slot[~known]], self.pair_good[slot[~known]] = pair[~known], out[~known]
+        """Whether each pair of pieces (indices of keys) survives its own merging."""
+        out = self.sure[left] & self.sure[right]
+        plain = self.plain[left] & self.plain[right]
+        odd = np.flatnonzero(out & ~plain)
+        if len(odd):
+            out[odd] = self._in_full(left[odd] * len(self.keys) + right[odd])
+        todo = np.flatnonzero(out & plain)
+        a, b, limit = left[todo], right[todo], np.full(len(todo), _NONE - 1, np.int64)
+        while len(todo):
+            size = self.letters[a]
+            at = self._find(self.keys[a] + self.power[size] * self.keys[b])
+            across = np.where(at >= 0, self.rank[at], _NONE)
+            bad = across <= limit
+            out[todo[bad]] = False
+            one, two = self.born[a], self.born[b]
+            on = np.flatnonzero(~bad & ((one >= 0) | (two >= 0)))
+            todo, a, b, one, two = todo[on], a[on], b[on], one[on], two[on]
+            later = two >= one  # of merges of one rank the left one comes first
+            limit = np.where(later, two, one - 1)
+            a, b = np.where(later, a, self.tail[a]), np.where(later, self.lead[b], b)
         return out
 
-    def _pairs(self, pair: np.ndarray) -> np.ndarray:
-        one = [self.text[i] for i in self.ids[pair // len(self.keys)].tolist()]
-        two = [self.text[i] for i in self.ids[pair % len(self.keys)].tolist()]
-        return self._merged([np.concatenate(x) for x in zip(one, two, strict=True)], np.array([len(x) for x in one]))
-
-    def viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of equal length (rows of code points), one word after the other, and their number per word."""
-        n, wide = codes.shape
-        letters = _letter(codes)
-        last = np.full((n, wide + 1), -1, np.int64)  # the piece that ends here
-        back = np.zeros((n, wide + 1), np.int64)  # its length
-        for end in range(1, wide + 1):
-            h = np.zeros(n, np.uint64)
-            best = np.full(n, _NONE + 1, np.int64)
-            for k in range(1, min(self.longest, end) + 1):
-                h = letters[:, end - k] + _B * h
-                at = self._find(h)
-                word = np.flatnonzero(at >= 0)
-                if k == end:
-                    word = word[self.sure[at[word]]]
-                else:
-                    word = word[last[word, end - k] >= 0]
-                    word = word[self.stable(last[word, end - k], at[word])] if len(word) else word
-                score = self.rank[at[word]].astype(np.int64)
-                word, score = word[score < best[word]], score[score < best[word]]
-                best[word], last[word, end], back[word, end] = score, at[word], k
-        place, word = np.full(n, wide), np.arange(n)
-        steps = []
+    def _in_full(self, pair: np.ndarray) -> np.ndarray:
+        """The same by merging, for pieces whose own merges are not in the order of their ranks; answers are kept (there are few such pairs)."""
+        unique, place = np.unique(pair, return_inverse=True)
+        new = np.array([p for p in unique.tolist() if p not in self.full], np.int64)
+        if len(self.full) + len(new) > 1 << 18:
+            self.full, new = {}, unique
+        for a in range(0, len(new), 8000):
+            some = new[a : a + 8000]
+            one = [self.text[i] for i in self.ids[some // len(self.keys)].tolist()]
+            two = [self.text[i] for i in self.ids[some % len(self.keys)].tolist()]
+            good, _ = self._merged([np.concatenate(x) for x in zip(one, two, strict=True)], np.array([len(x) for x in one]))
+            self.full.update(zip(some.tolist(), good.tolist(), strict=True))
+        return np.array([self.full[p] for p in unique.tolist()], bool)[place]
+
+    def advance(self, codes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece (index of its key) that ends at each position, and its length, for words of equal length.
+
+        ``codes``: a column for each word, ``state``: what ends at their first
+        positions; ``_START`` where a word starts. Positions come first.
+        """
+        wide, n = codes.shape
+        sums = np.zeros((wide + 1, n), np.uint64)
+        np.cumsum(_letter(codes) * self.power[:wide, None], axis=0, out=sums[1:])
+        last, back = np.full((wide + 1, n), -1, np.int32), np.zeros((wide + 1, n), np.int16)
+        last[: len(state)] = state
+        for end in range(len(state), wide + 1):
+            low = max(0, end - self.longest)
+            h = (sums[end] - sums[low:end]) * self.inverse[low:end, None]
+            found = self._find(h.ravel()).reshape(h.shape)
+            found[last[low:end] == -1] = -1
+            word = np.flatnonzero((found >= 0).any(axis=0))
+            while len(word):
+                start = (found[:, word] >= 0).argmax(axis=0)  # the longest candidate left
+                at, before = found[start, word], last[low + start, word].astype(np.int64)
+                good = np.where(before == _START, self.sure[at], False)
+                inner = np.flatnonzero(before >= 0)
+                good[inner] = self.stable(before[inner], at[inner])
+                last[end, word[good]], back[end, word[good]] = at[good], end - low - start[good]
+                found[start[~good], word[~good]] = -1
+                word = word[~good]
+                word = word[(found[:, word] >= 0).any(axis=0)]
+        return last, back
+
+    def viterbi(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (columns of code points, of the given sizes), one word after the other, and their number per word."""
+        n = codes.shape[1]
+        last, back = self.advance(codes, np.full((1, n), _START, np.int32))
+        return self._trace(last, back, size)
+
+    def _trace(self, last: np.ndarray, back: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place, word, steps = size.copy(), np.arange(len(size)), []
         while len(word):
-            steps.append((word, self.ids[last[word, place[word]]]))
-            place[word] -= back[word, place[word]]
+            steps.append((word, self.ids[last[place[word], word]]))
+            place[word] -= back[place[word], word]
             word = word[place[word] > 0]
-        counts = np.bincount(np.concatenate([w for w, _ in steps]), minlength=n)
+        counts = np.bincount(np.concatenate([w for w, _ in steps]), minlength=len(size))
         ends = np.cumsum(counts)
         ids = np.empty(int(ends[-1]), np.int64)
         for t, (w, found) in enumerate(steps):
@@ -234,29 +301,44 @@ class Pieces:
         return ids, counts
 
     def long(self, codes: np.ndarray) -> np.ndarray:
-        """Ids of one long unit, by the same recurrence position by position."""
-        letters = _letter(codes)
-        n = len(codes)
-        last, back = np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int64)
-        table = np.full((self.longest + 1, n + 1), -1, np.int64)
-        h = np.zeros(n + 1, np.uint64)
-        for k in range(1, min(self.longest, n) + 1):
-            h[k:] = letters[: n - k + 1] + _B * h[k:]
-            table[k, k:] = self._find(h[k:])
-        for end in range(1, n + 1):
-            found = [(int(self.rank[t]), k, t) for k in range(1, min(self.longest, end) + 1) if (t := int(table[k, end])) >= 0]
-            for _, k, t in sorted(found):
-                if (k == end and self.sure[t]) or (k < end and last[end - k] >= 0 and self._pair(int(last[end - k]), t)):
-                    last[end], back[end] = t, k
-                    break
+        """Ids of one long unit: its blocks advance side by side.
+
+        A block starts early, as if the unit began there. Once it agrees with
+        the block before on as many positions as a piece is long, it agrees
+        for good; a block that does not is taken again from that one's end.
+        """
+        n, most = len(codes), self.longest
+        early = max(4 * most, BLOCK // 8)
+        blocks = -(-n // BLOCK)
+        at = np.arange(blocks) * BLOCK - early + np.arange(BLOCK + early)[:, None]
+        at[:, 0] += early
+        own = np.where(at < n, codes[np.minimum(at, n - 1)], _NO_CODE)
+        last, back = self.advance(own, np.full((1, blocks), _START, np.int32))
+        # positions of the unit: the first block has no early part
+        ends, lengths = np.full(blocks * BLOCK + 1, -1, np.int32), np.zeros(blocks * BLOCK + 1, np.int16)
+        ends[: BLOCK + 1], lengths[: BLOCK + 1] = last[: BLOCK + 1, 0], back[: BLOCK + 1, 0]
+        for b in range(1, blocks):
+            ends[b * BLOCK + 1 : (b + 1) * BLOCK + 1] = last[early + 1 :, b]
+            lengths[b * BLOCK + 1 : (b + 1) * BLOCK + 1] = back[early + 1 :, b]
+        state = np.arange(1, blocks) * BLOCK + np.arange(1 - most, 1)[:, None]
+        given = last[early + 1 - most : early + 1, 1:].copy()
+        while True:
+            true = ends[state]
+            again = np.flatnonzero((true != given).any(axis=0))
+            if not len(again):
+                break
+            given[:, again] = true[:, again]
+            place = (again + 1) * BLOCK - most + 1 + np.arange(BLOCK + most - 1)[:, None]
+            redo = np.where(place < n, codes[np.minimum(place, n - 1)], _NO_CODE)
+            found, length = self.advance(redo, given[:, again])
+            for k, b in enumerate((again + 1).tolist()):
+                ends[b * BLOCK + 1 : (b + 1) * BLOCK + 1] = found[most:, k]
+                lengths[b * BLOCK + 1 : (b + 1) * BLOCK + 1] = length[most:, k]
         out, end = [], n
         while end > 0:
-            out.append(int(self.ids[last[end]]))
-            end -= int(back[end])
-        return np.array(out[::-1], np.int64)
-
-    def _pair(self, left: int, right: int) -> bool:
-        return bool(self.stable(np.array([left]), np.array([right]))[0])
+            out.append(ends[end])
+            end -= int(lengths[end])
+        return self.ids[np.array(out[::-1], np.int64)]
 
     def _forget(self) -> None:
         self.units = Seen(self.unit_bits)
@@ -278,16 +360,21 @@ class Pieces:
         odd = ~self.known_code[np.minimum(codes[starts], len(self.known_code) - 1)]
         first, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         pools, top = [self.pool], len(self.pool)
-        for w in np.flatnonzero(odd | (size > LONG)).tolist():
+        for w in np.flatnonzero(odd | (size > BLOCK)).tolist():
             ids = self._as_bytes(int(codes[starts[w]])) if odd[w] else self._spell(self.long(codes[starts[w] : ends[w]].astype(np.int64)))
             pools.append(ids)
             first[w], count[w], top = top, len(ids), top + len(ids)
-        short = np.flatnonzero(~odd & (size <= LONG))
-        for wide in np.unique(size[short]).tolist():
-            own = short[size[short] == wide]
-            for a in range(0, len(own), 10_000):
-                some = own[a : a + 10_000]
-                ids, counts = self.viterbi(codes[starts[some][:, None] + np.arange(wide)].astype(np.int64))
+        short = np.flatnonzero(~odd & (size <= BLOCK))
+        step = np.where(size > EXACT, 1 << np.maximum(np.floor(np.log2(np.maximum(size, 1))).astype(np.int64) - 2, 0), 1)
+        width = -(-size // step) * step
+        for wide in np.unique(width[short]).tolist():
+            own = short[width[short] == wide]
+            per = max(1, (1 << 17) // wide)
+            for a in range(0, len(own), per):
+                some = own[a : a + per]
+                at = starts[some] + np.arange(wide)[:, None]
+                inside = np.arange(wide)[:, None] < size[some]
+                ids, counts = self.viterbi(np.where(inside, codes[np.minimum(at, len(codes) - 1)], _NO_CODE), size[some])
                 if ids.max() >= self.real:
                     parts = [self._spell(x) for x in np.split(ids, np.cumsum(counts)[:-1])]
                     ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
