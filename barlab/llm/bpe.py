@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from barlab.llm.kernels import hash_ranges, ranges, slices, text_buffers
+from barlab.llm.kernels import Seen, hash_ranges, ranges, slices, text_buffers
 
 _SPACE, _LETTER, _NUMBER, _SYMBOL, _OTHER = range(5)
 _TABLED = 0x2100
@@ -71,7 +71,7 @@ def _words(codes: np.ndarray, kind: np.ndarray, cuts: np.ndarray) -> tuple[np.nd
 class WordBpe:
     """A worker's tokenizer with the ids of the words that it has met."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, word_bits: int = 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -82,16 +82,16 @@ class WordBpe:
         self.last = np.zeros(max(names.values()) + 1, bool)
         self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.special = [x.content.lower().encode() for x in self.whole.get_added_tokens_decoder().values()]
-        self.most = most
+        self.word_bits = word_bits
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.first = np.zeros(1, np.int64)
-        self.size = np.zeros(1, np.int64)
+        self.known = Seen(self.word_bits)
+        self.first = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: list[int], codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def _learn(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Ids of new words; they go to the tokenizer as lines of words."""
         found, per = [], 4000
         lines = []
@@ -107,8 +107,7 @@ class WordBpe:
         if len(stops) != len(starts):
             raise ValueError("the tokenizer cut the words in another way")
         first = np.concatenate(([0], stops[:-1])) + len(self.pool)
-        base = len(self.first)
-        self.known.update(zip(hashes, range(base, base + len(hashes)), strict=True))
+        self.known.add(hashes)
         self.first = np.concatenate((self.first, first))
         self.size = np.concatenate((self.size, np.diff(np.concatenate(([0], stops)))))
         self.pool = np.concatenate((self.pool, ids))
@@ -142,15 +141,13 @@ class WordBpe:
             fine = ~odd[rows]
             starts, ends, rows = starts[fine], ends[fine], rows[fine]
         hashes, where, place = np.unique(hash_ranges(codes, starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        if len(self.known) > self.most:
+        if self.known.count + len(hashes) > (1 << self.word_bits) // 2:
             self._forget()
-        index = np.array([self.known.get(h, -1) for h in keys], np.int64)
+        index = self.known.find(hashes)
         new = np.flatnonzero(index < 0)
         if len(new):
-            base = len(self.first)
-            self._learn([keys[i] for i in new], codes, starts[where[new]], ends[where[new]])
-            index[new] = np.arange(base, base + len(new))
+            index[new] = self.known.count + np.arange(len(new))
+            self._learn(hashes[new], codes, starts[where[new]], ends[where[new]])
         word = index[place]
         size = self.size[word]
         ids = self.pool[ranges(self.first[word], size)]

@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that the kernels take at once; a longer text is taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Letters that are hashed at once, and the powers that are held for a range's low places.
+HASH_LETTERS, _LOW_BITS = 1 << 18, 12
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,8 +39,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 _SYMBOL = mix(np.arange(1, 1 + (1 << 16), dtype=np.uint64))
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _BASE, dtype=np.uint64)
+def powers(n: int, step: int = 1) -> np.ndarray:
+    """The first n powers of the base, or of its ``step``-th power."""
+    out = np.full(max(n, 1), pow(_BASE, step, 1 << 64), dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
@@ -101,16 +104,60 @@ class Words:
         return hash_ranges(self.data, self.starts, self.ends)
 
 
-def hash_ranges(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Fingerprints of ranges of small integers: a polynomial over random values, then mixed."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def hash_ranges(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = HASH_LETTERS) -> np.ndarray:
+    """Fingerprints of ranges of small integers: a polynomial over random values, then mixed. Letters are taken ``most`` at a time."""
     lengths = ends - starts
-    at = ranges(starts, lengths)
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(len(at), dtype=np.int64) - np.repeat(first, lengths)
-    terms = _SYMBOL[symbols[at]] * powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
+    out = np.zeros(len(starts), np.uint64)
+    some = np.flatnonzero(lengths > 0)
+    first, size = starts[some], lengths[some]
+    edges = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+    longest = int(size.max(initial=0))
+    low = powers(min(longest, 1 << _LOW_BITS))
+    high = powers((longest >> _LOW_BITS) + 1, step=1 << _LOW_BITS) if longest > 1 << _LOW_BITS else None
+    for a in range(0, int(edges[-1]), most):
+        b = min(a + most, int(edges[-1]))
+        i, j = int(np.searchsorted(edges, a, "right")) - 1, int(np.searchsorted(edges, b, "left"))
+        head, tail = np.maximum(edges[i:j], a), np.minimum(edges[i + 1 : j + 1], b)
+        skipped = head - edges[i:j]
+        place = ranges(skipped, tail - head)
+        power = low[place] if high is None else low[place & ((1 << _LOW_BITS) - 1)] * high[place >> _LOW_BITS]
+        out[some[i:j]] += np.add.reduceat(_SYMBOL[symbols[ranges(first[i:j] + skipped, tail - head)]] * power, head - a)
+    return mix(out + lengths.astype(np.uint64))
+
+
+class Seen:
+    """Fingerprint -> number, by open addressing in a table of fixed size."""
+
+    def __init__(self, bits: int):
+        self.bits, self.count = bits, 0
+        self.keys, self.value = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), -1, np.int64)
+        todo, slot = np.arange(len(hashes)), self._slot(hashes)
+        while len(todo):
+            value = self.value[slot]
+            hit = (value >= 0) & (self.keys[slot] == hashes[todo])
+            out[todo[hit]] = value[hit]
+            on = (value >= 0) & ~hit
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Number new, distinct fingerprints from ``count`` on."""
+        todo, slot = np.arange(len(hashes)), self._slot(hashes)
+        while len(todo):
+            free = np.flatnonzero(self.value[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.value[slot[put]], self.keys[slot[put]] = self.count + todo[put], hashes[todo[put]]
+            rest = np.ones(len(todo), bool)
+            rest[put] = False
+            todo, slot = todo[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+        self.count += len(hashes)
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barlab.llm.kernels import Words, mix, word_slices
+from barlab.llm.kernels import Seen, Words, mix, word_slices
 from barlab.llm.session import checkpointed
 
 END = np.uint64(0x3C6EF372FE94F82B)  # the fingerprint of the end token
@@ -70,38 +70,6 @@ class Shape:
         return (1 << self.bits) * 4 + 1
 
 
-class Index:
-    """Fingerprint -> rank, by open addressing."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.bits = max(4, int(len(hashes)).bit_length() + 3)
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.rank = np.full(1 << self.bits, -1, np.int64)
-        todo, slot = np.arange(len(hashes)), self._slot(hashes)
-        while len(todo):
-            free = np.flatnonzero(self.rank[slot] < 0)
-            _, first = np.unique(slot[free], return_index=True)
-            put = free[first]
-            self.rank[slot[put]], self.keys[slot[put]] = todo[put], hashes[todo[put]]
-            rest = np.ones(len(todo), bool)
-            rest[put] = False
-            todo, slot = todo[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), -1, np.int64)
-        todo, slot = np.arange(len(hashes)), self._slot(hashes)
-        while len(todo):
-            rank = self.rank[slot]
-            hit = (rank >= 0) & (self.keys[slot] == hashes[todo])
-            out[todo[hit]] = rank[hit]
-            on = (rank >= 0) & ~hit
-            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
-        return out
-
-
 @dataclass
 class Tokens:
     """Tokens of some rows, ends included: fingerprint, rank (-1: not in the table), row, place in the row."""
@@ -113,7 +81,7 @@ class Tokens:
     end: np.ndarray
 
 
-def tokens(words: Words, index: Index | None) -> Tokens:
+def tokens(words: Words, index: Seen | None) -> Tokens:
     counts = words.counts + 1
     last = np.cumsum(counts) - 1
     total = int(counts.sum())
@@ -177,10 +145,11 @@ class Vocabulary:
     counts: np.ndarray
     total: int
     distinct: int
-    index: Index = field(init=False)
+    index: Seen = field(init=False)
 
     def __post_init__(self):
-        self.index = Index(self.hashes)
+        self.index = Seen(max(4, len(self.hashes).bit_length() + 3))
+        self.index.add(self.hashes)
 
 
 def corpus_size(counts: DataFrame) -> tuple[int, int]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from barlab.llm.kernels import hash_ranges, mix, ranges, slices, text_buffers
+from barlab.llm.kernels import Seen, hash_ranges, mix, ranges, slices, text_buffers
 
 BAR = 0x2581
 _B = np.uint64(0xD6E8FEB86659FD93)
@@ -47,41 +47,6 @@ def _letter(codes: np.ndarray) -> np.ndarray:
     return mix(codes.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))
 
 
-class Seen:
-    """Fingerprint -> number, by open addressing in a table of fixed size."""
-
-    def __init__(self, bits: int):
-        self.bits, self.count = bits, 0
-        self.keys, self.value = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-
-    def _slot(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), -1, np.int64)
-        todo, slot = np.arange(len(hashes)), self._slot(hashes)
-        while len(todo):
-            value = self.value[slot]
-            hit = (value >= 0) & (self.keys[slot] == hashes[todo])
-            out[todo[hit]] = value[hit]
-            on = (value >= 0) & ~hit
-            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
-        return out
-
-    def add(self, hashes: np.ndarray) -> None:
-        """Number new, distinct fingerprints from ``count`` on."""
-        todo, slot = np.arange(len(hashes)), self._slot(hashes)
-        while len(todo):
-            free = np.flatnonzero(self.value[slot] < 0)
-            _, first = np.unique(slot[free], return_index=True)
-            put = free[first]
-            self.value[slot[put]], self.keys[slot[put]] = self.count + todo[put], hashes[todo[put]]
-            rest = np.ones(len(todo), bool)
-            rest[put] = False
-            todo, slot = todo[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
-        self.count += len(hashes)
-
-
 class Pieces:
     """A model's pieces, and what this worker knows of pairs and units."""
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from barlab.llm import exact_dedup, kernels, line_dedup, maxent_lm, near_dedup, packing, pieces, quality, secrets, token_counts, toxicity
+from barlab.llm import exact_dedup, kernels, line_dedup, maxent_lm, near_dedup, packing, pieces, quality, secrets, session, token_counts, toxicity
 from barlab.llm.bpe import word_bpe
 from barlab.llm.components import components
 
@@ -80,6 +80,32 @@ def test_words_and_slices(rows):
     assert got == [words(t) for t in texts]
 
 
+def test_hashes_do_not_depend_on_blocks():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 30_000).astype(np.uint8)
+    ends = np.array([0, 5, 5, 9, 20_000, 20_001, 30_000])
+    starts = np.concatenate(([0], ends[:-1]))
+    whole = kernels.hash_ranges(data, starts, ends)
+    assert (kernels.hash_ranges(data, starts, ends, most=7) == whole).all() and (kernels.hash_ranges(data, starts, ends, most=4096) == whole).all()
+    total, power = 0, 1  # the definition, letter by letter, of a range beyond the low powers
+    for c in data[9:20_000].tolist():
+        total, power = (total + int(kernels._SYMBOL[c]) * power) % 2**64, power * kernels._BASE % 2**64
+    assert int(whole[4]) == int(kernels.mix(np.array([total + 19_991], np.uint64))[0]) and len(set(whole.tolist())) == 6
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": lambda self, name, default=None: default})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+
+
 # ---- 1
 
 
