@@ -93,14 +93,16 @@ def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 ORACLE = r"""
 WITH l AS (
-  SELECT doc_id, coalesce(source, '') AS site, length(bin(n)) || ':' || bin(n)[1:2] AS size, pos, raw, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS norm
-  FROM (SELECT doc_id, source, length(text)::BIGINT AS n, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS raw FROM documents)
+  SELECT doc_id, coalesce(source, '') AS site, text, pos, raw, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS norm
+  FROM (SELECT doc_id, source, text, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS raw FROM documents)
 ), b AS (
-  SELECT norm, min(doc_id) AS keeper FROM l WHERE length(norm) >= 30 GROUP BY norm HAVING count(DISTINCT site) >= 8 AND count(DISTINCT size) >= 3
+  SELECT norm, min(doc_id) AS keeper FROM l WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT site) >= 8 AND count(DISTINCT md5(text)) >= 8
 ), m AS (
-  SELECT l.*, b.norm IS NOT NULL AND l.doc_id <> b.keeper AS bad FROM l LEFT JOIN b USING (norm)
+  SELECT l.*, b.norm IS NOT NULL AND l.doc_id <> b.keeper AS hit FROM l LEFT JOIN b USING (norm)
+), w AS (
+  SELECT doc_id, count(DISTINCT norm) FILTER (WHERE hit) >= 2 AND count(*) FILTER (WHERE NOT hit AND norm <> '') = 0 AS copied FROM m GROUP BY doc_id
 ), r AS (
-  SELECT doc_id, string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT bad) AS clean, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_removed FROM m GROUP BY doc_id
+  SELECT doc_id, string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT hit OR copied) AS clean, count(*) AS n_lines, count(*) FILTER (WHERE hit AND NOT copied) AS n_removed FROM m JOIN w USING (doc_id) GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
        CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(clean, '')) END AS clean_sha256

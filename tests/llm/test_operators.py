@@ -129,7 +129,7 @@ def test_lines(spark, none):
     common, rare = "this very line is found on many many sites", "this other line is found on only a few sites"
     rows = [(i, f"{common}\nown line number {i} of this document\n  {common}" + (f"\n{rare}" if i < 8 else "")) for i in range(1, 24)] + [(50, None), (51, ""), (None, common), (4, f"{common}\nrepeated id")]
     df = frame(spark, rows)
-    got = line_dedup.remove_boilerplate(df, min_sites=10, min_sizes=1)
+    got = line_dedup.remove_boilerplate(df, min_sites=10)
     assert line_dedup.remove_boilerplate(none).count() == 0
     assert got.columns == [*df.columns, "n_lines", "n_removed"]
     out = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in got.collect()), key=lambda x: (key(x[0]), x[1] or ""))
@@ -141,12 +141,38 @@ def test_lines(spark, none):
     assert (50, None, 0) in out and (51, "", 0) in out and (None, "", 1) in out and (4, "repeated id", 1) in out
 
 
+def brute_lines(rows, sites, min_sites=8):
+    """Text and removed lines of each (id, text), in order."""
+    split = lambda t: [] if t is None else [(x, x.strip(" \t\x0b\x0c\r")) for x in t.split("\n")]
+    on, of, by = defaultdict(set), defaultdict(set), defaultdict(list)
+    for (i, t), site in zip(rows, sites):
+        for _, n in split(t):
+            if n:
+                on[n].add(site or ""), of[n].add(t), by[n].append(i)
+    keeper = {n: min((i for i in by[n] if i is not None), default=None) for n in on if len(on[n]) >= min_sites and len(of[n]) >= min_sites}
+    out = []
+    for i, t in rows:
+        hit = [n in keeper and (i is None or i != keeper[n]) for _, n in split(t)]
+        copied = len({n for h, (_, n) in zip(hit, split(t)) if h}) > 1 and not any(n and not h for h, (_, n) in zip(hit, split(t)))
+        out.append((i, t, 0) if copied or t is None else (i, "\n".join(x for h, (x, _) in zip(hit, split(t)) if not h), sum(hit)))
+    return out
+
+
+def test_one_line_on_200_sites_goes(spark):
+    line = "this line is found on every one of two hundred sites"
+    df = spark.createDataFrame([(i, f"{line}\npage {i:03d}", f"site{i}") for i in range(200)], "doc_id long, text string, source string")
+    out = {r["doc_id"]: r for r in line_dedup.remove_boilerplate(df).collect()}
+    assert sum(r["n_removed"] for r in out.values()) == 199 and out[0]["n_removed"] == 0 and out[7]["text"] == "page 007"
+
+
 def test_lines_of_copies_stay(spark):
-    line = "a boilerplate line that is found on every single site of all"
-    copied = [(i, f"the first line of a document with many copies\nand its second one, number {i}") for i in range(30)]
-    various = [(100 + i, "word " * 5 * 2 ** (i % 6) + f"\n{line}") for i in range(30)]
-    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.remove_boilerplate(frame(spark, copied + various)).collect()}
-    assert {out[i] for i, _ in copied} == {0} and {out[i] for i, _ in various[1:]} == {1} and out[100] == 0
+    copy = "the first line of a document with many copies\nand its second one"
+    rows = [(i, copy) for i in range(40)] + [(100 + i, f"{copy}\nwith an ending of its own: {i}") for i in range(3)]
+    assert {r["n_removed"] for r in line_dedup.remove_boilerplate(frame(spark, rows)).collect()} == {0}
+    # once enough different texts share the lines, those texts lose them, but the copies as a whole stay
+    more = rows + [(200 + i, f"{copy}\nand another ending: {i}") for i in range(12)]
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.remove_boilerplate(frame(spark, more)).collect()}
+    assert {out[i] for i in range(40)} == {0} and {out[200 + i] for i in range(12)} == {2}
 
 
 def test_short_boilerplate_goes(spark):
@@ -157,6 +183,21 @@ def test_short_boilerplate_goes(spark):
         assert out[i]["n_removed"] == 2 and out[i]["text"] == text.replace("\n All rights reserved.", "").replace("\nNo.", "")
 
 
+@pytest.mark.parametrize("small_rows", [200_000, 0])
+def test_lines_equal_brute_force(spark, small_rows):
+    rng = random.Random(6)
+    pool = [f"line {k} of the pool" for k in range(30)]
+    rows = [(rng.choice([None, *range(150)]), "\n".join(rng.choice(["", "  ", *pool[: rng.choice([3, 30])], f"\town {i} "]) for _ in range(rng.randint(0, 6)))) for i in range(200)]
+    rows += [(None, f"only under null ids\n{i}") for i in range(30)] + [(500, None), (501, ""), rows[0]]
+    sites = [rng.choice([None, *(f"s{k}" for k in range(11))]) for _ in rows]
+    df = spark.createDataFrame([(i, t, s, "clash", 5) for (i, t), s in zip(rows, sites)], "doc_id long, text string, source string, line string, n_lines int").repartition(4)
+    got = line_dedup.remove_boilerplate(df, small_rows=small_rows, salts=3)
+    assert got.columns == ["doc_id", "text", "source", "line", "n_lines", "n_removed"]
+    want = Counter((i, t, n) for i, t, n in brute_lines(rows, sites))
+    assert Counter((r["doc_id"], r["text"], r["n_removed"]) for r in got.collect()) == want
+    assert {n for i, t, n in want if i is None and t is not None and "only under" in t} == set() and sum(n for _, _, n in want) > 50
+
+
 # ---- 3
 
 
