@@ -1,20 +1,23 @@
 """Boilerplate lines: lines that spread over many sites.
 
-A HyperLogLog sketch of the sites of each line hash is built by a group-by
-that merges partial sketches, so a line that every document holds costs one
-sketch per task. Lines whose estimate lies near the threshold get an exact
-distinct count; the rest are decided by the sketch.
-
-A document with many copies brings its lines to as many sites. What tells
-boilerplate from it is that boilerplate stands in documents of different
-kinds: a line must also occur in documents of several size classes (two for
-each power of two of their length), which copies of one document are not.
+Lines are found once and kept as hashes. A HyperLogLog sketch of the sites of
+each line is built by a group-by that merges partial sketches, so a line that
+every document holds costs one sketch per task. Lines whose estimate lies near
+the threshold get an exact distinct count; the rest are decided by the sketch.
+
+Exact copies of one document bring its lines to many sites without making them
+boilerplate. So distinct texts are counted in the same two ways, and a line
+needs as many of them as of sites. For the same reason a document of several
+lines that would lose all of them stays as it is: it is a copy as a whole, and
+a matter for the duplicate operators.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barlab.llm.session import checkpointed
+
 _TRIM = " \t\x0b\x0c\r"
 
 
@@ -22,73 +25,74 @@ def _norm(line: Column) -> Column:
     return F.btrim(line, F.lit(_TRIM))
 
 
-def line_spread(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, min_sizes: int = 3, min_chars: int = 1, lg_k: int = 12, band: float = 0.25) -> DataFrame:
-    """Lines on ``min_sites`` sites and in ``min_sizes`` size classes or more: line (xxhash64 of the trimmed line), keeper (smallest id with the line), n_sites.
+def _text(text_col: str) -> Column:
+    return F.col(text_col).cast("string")
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """doc_id, text_hash, site and line (hashes), once for each distinct line of a row that is not empty."""
+    site = F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("")))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(_text(text_col)).alias("text_hash"), site.alias("site"), F.explode(F.array_distinct(F.split(_text(text_col), "\n"))).alias("raw"))
+    return own.select("doc_id", "text_hash", "site", _norm(F.col("raw")).alias("norm")).where("norm <> ''").select("doc_id", "text_hash", "site", F.xxhash64("norm").alias("line"))
+
+
+def _with_lines(lines: DataFrame, chosen: DataFrame, *, small_rows: int, salts: int) -> DataFrame:
+    """Join with a table of lines: it is broadcast if it is small by count, else each of its rows goes to ``salts`` tasks, so that a line of very many documents is spread."""
+    if chosen.count() <= small_rows:
+        return lines.join(F.broadcast(chosen), "line")
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("text_hash", "doc_id"), F.lit(salts)).cast("int"))
+    return salted.join(chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["line", "salt"]).drop("salt")
+
+
+def line_spread(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, lg_k: int = 12, band: float = 0.25, small_rows: int = 200_000, salts: int = 16) -> DataFrame:
+    """Boilerplate lines: line (xxhash64 of the trimmed line), keeper (smallest id with the line), n_sites, n_texts.
 
-    ``band``: relative distance from the threshold within which sites are
-    counted exactly; at lg_k 12 it is 15 standard errors of the sketch.
+    ``band``: relative distance from the threshold within which sites and
+    texts are counted exactly; at lg_k 12 it is 15 standard errors of the
+    sketch. n_sites and n_texts are such counts there, else estimates.
     """
-    lines = _lines(docs, id_col, text_col, site_col, min_chars)
-    spread = lines.groupBy("line").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("estimate"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("size", F.lit(lg_k))).alias("sizes"),
-        F.min("doc_id").alias("keeper"),
-    ).where(F.col("sizes") >= min_sizes)
-    wide = spread.where(F.col("estimate") >= min_sites * (1 - band))
-    near = wide.where(F.col("estimate") <= min_sites * (1 + band)).select("line")
-    exact = (
-        lines.join(near, "line", "left_semi")
-        .select("line", "site")
-        .distinct()
-        .groupBy("line")
-        .agg(F.count(F.lit(1)).alias("sites"))
-    )
-    return wide.join(exact, "line", "left").select("line", "keeper", F.coalesce("sites", "estimate").cast("long").alias("n_sites")).where(F.col("n_sites") >= min_sites)
-
-
-def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
-    """doc_id, site, size (class of the document's length) and line (hash), once for each distinct line of a row."""
-    text = F.col(text_col).cast("string")
-    found = F.array_distinct(F.split(text, "\n"))
-    bits = F.bin(F.length(text).cast("long"))
-    size = F.concat_ws(":", F.length(bits), F.substring(bits, 1, 2))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), size.alias("size"), F.explode(found).alias("raw"))
-    return own.select("doc_id", "site", "size", _norm(F.col("raw")).alias("norm")).where(F.length("norm") >= min_chars).select("doc_id", "site", "size", F.xxhash64("norm").alias("line"))
-
-
-def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, min_sizes: int = 3, min_chars: int = 1, lg_k: int = 12, band: float = 0.25) -> DataFrame:
-    """``docs`` without boilerplate lines, with two more columns: n_lines and n_removed.
-
-    A line of ``min_chars`` characters or more (trimmed; by default every line
-    that is not empty) that occurs on
-    ``min_sites`` sites and in documents of ``min_sizes`` size classes or more
-    goes from every document but the one with the smallest id, so the corpus
-    keeps one copy. A null site counts as a site of
-    its own name '', a null id as a document that never keeps. A null text
-    stays null (no lines). All columns of ``docs`` are kept; rows are never
+    return _spread(checkpointed(_lines(docs, id_col, text_col, site_col)), min_sites, lg_k, band, small_rows, salts)
+
+
+def _spread(lines: DataFrame, min_sites: int, lg_k: int, band: float, small_rows: int, salts: int) -> DataFrame:
+    count = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(lg_k)))
+    spread = lines.groupBy("line").agg(count("site").alias("sites"), count("text_hash").alias("texts"), F.min("doc_id").alias("keeper"))
+    wide = checkpointed(spread.where((F.col("sites") >= min_sites * (1 - band)) & (F.col("texts") >= min_sites * (1 - band))))
+    # what lies near the threshold has few distinct values, so they are made distinct before they meet
+    near = lambda c: F.col(c) <= min_sites * (1 + band)
+    doubtful = wide.where(near("sites") | near("texts")).select("line", near("sites").alias("near_sites"), near("texts").alias("near_texts"))
+    kinds = F.array(F.when(F.col("near_sites"), F.struct(F.lit("site").alias("kind"), F.col("site").alias("value"))), F.when(F.col("near_texts"), F.struct(F.lit("text").alias("kind"), F.col("text_hash").alias("value"))))
+    values = _with_lines(lines, doubtful, small_rows=small_rows, salts=salts).select("line", F.explode(F.array_compact(kinds)).alias("x")).select("line", "x.kind", "x.value")
+    exact = values.groupBy("line", "kind", "value").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count_if(F.col("kind") == "site").alias("n_site"), F.count_if(F.col("kind") == "text").alias("n_text"))
+    known = lambda exactly, estimate: F.when(near(estimate), F.col(exactly)).otherwise(F.col(estimate)).cast("long")
+    counted = wide.join(exact, "line", "left").select("line", "keeper", known("n_site", "sites").alias("n_sites"), known("n_text", "texts").alias("n_texts"))
+    return counted.where((F.col("n_sites") >= min_sites) & (F.col("n_texts") >= min_sites))
+
+
+def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, lg_k: int = 12, band: float = 0.25, small_rows: int = 200_000, salts: int = 16) -> DataFrame:
+    """``docs`` without boilerplate lines, with two more columns: n_lines and n_removed (replaced if there).
+
+    A line, trimmed and not empty, that occurs on ``min_sites`` sites and in
+    as many distinct texts goes from every document but the one with the
+    smallest id, so the corpus keeps one copy; a line found under null ids
+    only goes from all of them. A document with two or more distinct lines
+    that would lose all of them keeps them. A null site counts as a site of
+    its own name ''. A null text stays null (no lines). Rows are never
     dropped, and repeated rows are treated alike. An empty table gives none.
     """
-    boiler = line_spread(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, min_sizes=min_sizes, min_chars=min_chars, lg_k=lg_k, band=band)
-    hits = (
-        _lines(docs, id_col, text_col, site_col, min_chars)
-        .select("doc_id", "line")
-        .join(boiler.select("line", "keeper"), "line")
-        .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("__hit_id"))
-        .agg(F.collect_set("line").alias("__bad"))
-        .hint("shuffle_hash")
-    )
-    joined = docs.join(hits, F.col(id_col).eqNullSafe(F.col("__hit_id")), "left")
-    lines = F.split(F.col(text_col).cast("string"), "\n")
-    keep = F.filter(lines, lambda x: (F.length(_norm(x)) < min_chars) | ~F.array_contains(F.col("__bad"), F.xxhash64(_norm(x))))
-    kept = F.when(F.col("__bad").isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n"))
-    n_lines = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(lines)), F.lit(0))
-    n_left = F.when(F.col("__bad").isNull(), n_lines).otherwise(F.size(keep))
-    return joined.select(
-        *[F.col(c) if c != text_col else kept.alias(text_col) for c in docs.columns],
-        n_lines.cast("long").alias("n_lines"),
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n_lines - n_left).cast("long").alias("n_removed"),
-    )
+    lines = checkpointed(_lines(docs, id_col, text_col, site_col))
+    boiler = checkpointed(_spread(lines, min_sites, lg_k, band, small_rows, salts).select("line", "keeper"))
+    met = _with_lines(lines, boiler, small_rows=small_rows, salts=salts).where(~F.coalesce(F.col("doc_id") == F.col("keeper"), F.lit(False)))
+    hits = met.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("line").alias("__bad"))
+    named = docs.withColumn("__text_hash", F.xxhash64(_text(text_col)))
+    joined = named.join(hits, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
+    found = F.split(_text(text_col), "\n")
+    keep = F.filter(found, lambda x: (_norm(x) == "") | ~F.array_contains(F.col("__bad"), F.xxhash64(_norm(x))))
+    split = joined.withColumns({"__n": F.coalesce(F.size(found), F.lit(0)), "__keep": F.when(F.col("__bad").isNotNull(), keep)})
+    whole = F.col("__bad").isNull() | ((F.size("__bad") > 1) & ~F.exists("__keep", lambda x: _norm(x) != ""))
+    rest = [F.col(c) if c != text_col else F.when(whole, F.col(text_col)).otherwise(F.array_join("__keep", "\n")).alias(text_col) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("__n"))
+    return split.select(*rest, n_lines.cast("long").alias("n_lines"), F.when(whole, F.lit(0)).otherwise(n_lines - F.size("__keep")).cast("long").alias("n_removed"))
 
 
 ORACLE = r"""
