@@ -164,7 +164,7 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         parts.groupBy("part", "chunk").cogroup(answers.groupBy("part", "chunk")).applyInPandas(_marker(owners), f"rid long, doc_id {types['doc_id']}, sha binary")
     )
     # byte verification: a group of a fingerprint holds one text only
-    ids = suspects.select(F.col("doc_id").alias("suspect")).distinct().hint("shuffle_hash")
+    ids = suspects.select(F.col("doc_id").alias("suspect")).distinct()
     texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("suspect")), "left_semi").select(F.unhex(sha).alias("sha"), "norm")
     verified = texts.groupBy("sha", "norm").agg(F.count(F.lit(1)).alias("n")).groupBy("sha").agg(F.count(F.lit(1)).alias("variants"))
     groups = (

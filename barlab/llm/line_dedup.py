@@ -69,8 +69,8 @@ def _spread(lines: DataFrame, min_sites: int, lg_k: int, band: float, small_rows
     return counted.where((F.col("n_sites") >= min_sites) & (F.col("n_texts") >= min_sites))
 
 
-def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, lg_k: int = 12, band: float = 0.25, small_rows: int = 200_000, salts: int = 16) -> DataFrame:
-    """``docs`` without boilerplate lines, with two more columns: n_lines and n_removed (replaced if there).
+def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8, lg_k: int = 12, band: float = 0.25, small_rows: int = 200_000, salts: int = 16, report: tuple[str, str] | None = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` without boilerplate lines, with two more columns (None: without), replaced if there: how many lines a text had, and how many went.
 
     A line, trimmed and not empty, that occurs on ``min_sites`` sites and in
     as many distinct texts goes from every document but the one with the
@@ -90,9 +90,11 @@ def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     keep = F.filter(found, lambda x: (_norm(x) == "") | ~F.array_contains(F.col("__bad"), F.xxhash64(_norm(x))))
     split = joined.withColumns({"__n": F.coalesce(F.size(found), F.lit(0)), "__keep": F.when(F.col("__bad").isNotNull(), keep)})
     whole = F.col("__bad").isNull() | ((F.size("__bad") > 1) & ~F.exists("__keep", lambda x: _norm(x) != ""))
-    rest = [F.col(c) if c != text_col else F.when(whole, F.col(text_col)).otherwise(F.array_join("__keep", "\n")).alias(text_col) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rest = [F.col(c) if c != text_col else F.when(whole, F.col(text_col)).otherwise(F.array_join("__keep", "\n")).alias(text_col) for c in docs.columns if c not in (report or ())]
+    if report is None:
+        return split.select(*rest)
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("__n"))
-    return split.select(*rest, n_lines.cast("long").alias("n_lines"), F.when(whole, F.lit(0)).otherwise(n_lines - F.size("__keep")).cast("long").alias("n_removed"))
+    return split.select(*rest, n_lines.cast("long").alias(report[0]), F.when(whole, F.lit(0)).otherwise(n_lines - F.size("__keep")).cast("long").alias(report[1]))
 
 
 ORACLE = r"""

@@ -16,7 +16,9 @@
    pair in the first band that it shares. Those that pass the same two tests
    are verified in their block, to which each node's full set is sent once. No
    pair inside a component is tested, no pair becomes a row unless it links,
-   and none is left out for the size of its bucket.
+   and none is left out for the size of its bucket. The nodes of a bucket's
+   largest component meet the others only: a bucket of n nodes of which r lie
+   outside of it sends about (2 n r + r^2) / chunk rows to blocks.
 """
 
 from __future__ import annotations
@@ -157,10 +159,10 @@ def _sketched(docs: DataFrame, sketch: Sketch) -> DataFrame:
                 f1, f2 = _fingerprints(values, counts)
                 found = registers(values, counts, sketch)
                 packed = pa.array([x.tobytes() for x in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts), pa.array(f1), pa.array(f2), packed], ["doc_id", "n", "f1", "f2", "registers"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(counts), pa.array(f1), pa.array(f2), packed], ["doc_id", "text_hash", "n", "f1", "f2", "registers"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, f1 long, f2 long, registers binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, n long, f1 long, f2 long, registers binary")
 
 
 def _sets(docs: DataFrame, sketch: Sketch) -> DataFrame:
@@ -251,14 +253,18 @@ _BLOCK = ["bucket", "x", "y"]
 def _open_blocks(members: DataFrame, sketch: Sketch, chunk: int, parts: int) -> DataFrame:
     """Open pairs of nodes in different components of a bucket, one row for each block that has some.
 
-    A bucket is cut into chunks of about ``chunk`` nodes, and every two chunks
-    meet in a block of their own. A pair comes from the first band that it
-    shares. A row holds the nodes that occur in pairs, their components, and
-    the pairs as places among them.
+    A bucket's largest component and its other nodes are cut into chunks of
+    about ``chunk`` nodes each, and every two chunks meet in a block of their
+    own, but for two of the largest component. A pair comes from the first
+    band that it shares. A row holds the nodes that occur in pairs, their
+    components, and the pairs as places among them.
     """
-    chunks = F.ceil(F.col("members") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    spread = members.withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
+    chunks = lambda n: F.ceil(F.col(n) / chunk).cast("int")
+    inside = F.col("label") == F.col("largest")
+    hashed = F.xxhash64("node")
+    mine = F.when(inside, F.pmod(hashed, chunks("most"))).otherwise(chunks("most") + F.pmod(hashed, chunks("rest"))).cast("int")
+    first = F.when(inside, chunks("most")).otherwise(F.lit(0))
+    spread = members.withColumns({"mine": mine, "other": F.explode(F.sequence(first, chunks("most") + chunks("rest") - 1))})
     blocks = spread.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "band", "node", "label", "n", "registers")
 
     def block(rows: pa.RecordBatch) -> tuple | None:
@@ -351,7 +357,7 @@ def _links_in_blocks(blocks: DataFrame, sets: DataFrame, sketch: Sketch, parts:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = Sketch(), chunk: int = 256, salts: int = 8) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text), first.
 
     Documents link when 100 * shared shingles >= percent * all shingles of
     both; a component is what links reach, named by its smallest id, which is
@@ -359,7 +365,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     without words, or with a null text, has an empty set, links with nothing
     and is kept. Rows with the same id and text share their component; a null
     id counts only where a component has no other, and then stays null and is
-    kept. Other columns are ignored; an empty table gives no rows.
+    kept. ``first`` marks exactly one row of each component, also where ids
+    repeat or are null. Other columns are ignored; an empty table gives no rows.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = checkpointed(_sketched(plain, sketch).withColumn("rid", F.monotonically_increasing_id()))
@@ -373,29 +380,43 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     near = checkpointed(_open_pairs(stars, nodes, sketch))
     # full sets of all nodes that share a bucket
     wanted = groups.join(buckets.select("node").distinct(), "node", "left_semi").select("f1", "f2", "n", "node", F.col("doc_id").alias("wanted"))
-    texts = plain.join(wanted.select("wanted").distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    texts = plain.join(wanted.select("wanted").distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     sets = _sets(texts, sketch).join(wanted.select("f1", "f2", "n", "node"), ["f1", "f2", "n"]).dropDuplicates(["node"]).select("node", "shingles")
     sets = checkpointed(sets)
     links = checkpointed(_verified(near, sets, sketch))
     labels = components(links)
     tagged = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = tagged.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    left = tagged.join(several, "bucket", "left_semi").join(nodes, "node")
+    per_label = tagged.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    several = (
+        per_label.groupBy("bucket")
+        .agg(F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("labels"))
+        .where("labels > 1")
+        .select("bucket", F.col("x.label").alias("largest"), F.col("x.c").alias("most"), (F.col("all") - F.col("x.c")).alias("rest"))
+    )
+    left = tagged.join(several, "bucket").join(nodes, "node")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = checkpointed(_open_blocks(left, sketch, chunk, parts))
-    links = links.union(_links_in_blocks(blocks, sets, sketch, parts))
-    labels = components(links)
-    named = labels.join(groups.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = labels.join(named, "label").select("node", "component_id")
+    more = _links_in_blocks(blocks, sets, sketch, parts)
+    labels = components(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
+    named = labels.join(groups.select("node", "doc_id"), "node").groupBy("label").agg(least.alias("least")).select("label", F.col("least.doc_id").alias("component_id"), F.col("least.node").alias("front"))
+    linked = labels.join(named, "label").select("node", "component_id", "front")
     where = (
         groups.join(linked, "node", "left")
-        .where(F.col("component_id").isNotNull() | (F.col("copies") > 1))
-        .select("f1", "f2", "n", F.coalesce("component_id", "doc_id").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        .where(F.col("front").isNotNull() | (F.col("copies") > 1))
+        .select("f1", "f2", "n", F.when(F.col("front").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("front", "node").alias("front"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     )
-    salted = rows.select("doc_id", "n", "f1", "f2", F.pmod("rid", F.lit(salts)).cast("int").alias("salt"))
+    salted = rows.select("doc_id", "text_hash", "n", "f1", "f2", "rid", F.pmod("rid", F.lit(salts)).cast("int").alias("salt"))
     out = salted.join(where, ["f1", "f2", "n", "salt"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "text_hash",
+        F.coalesce(F.col("rid") == F.col("front"), F.lit(True)).alias("first"),
+    )
 
 
 ORACLE = r"""

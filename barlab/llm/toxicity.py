@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from barlab.llm.kernels import Words, mix, powers, ranges, word_slices
 
@@ -239,7 +239,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     """text, toxic and weight of at most ``per_class`` labelled documents of each class, in the order of a hash of their ids.
 
     The bound: 2 x per_class x sample_chars characters. Longer, null and
-    unlabelled documents are left out of training only.
+    unlabelled documents are left out of training only; an id that repeats
+    brings all its texts; without labels or documents there are no rows.
     """
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("toxic"))
     sizes = docs.select(F.col(id_col).alias("__doc"), F.length(text_col).alias("__chars")).where(F.col("__chars") <= sample_chars)
@@ -267,33 +268,36 @@ def fit(sample: DataFrame, bits: int = 17, width: int = 8) -> Model:
     return Model(np.frombuffer(row["weights"], np.float32), row["bias"], row["slope"], row["shift"], bits, width)
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the column score (0 to 1) of each whole text; a null or empty text gets the score of no evidence."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c != "score"]
-    from pyspark.sql import types as T
+def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with the score (0 to 1) of each whole text in ``score_col``, replaced if there; a null or empty text gets the score of no evidence.
 
-    schema = T.StructType([*[docs.schema[c] for c in own], T.StructField("score", T.DoubleType())])
+    Rows are independent: repeats get the same score, other columns pass
+    through, an empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = [c for c in docs.columns if c != score_col]
+    schema = T.StructType([*[docs.schema[c] for c in own], T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.get_field_index(text_col))
             for a, b, words in word_slices(text):
                 found = shared.value.score(words, b - a)
-                yield pa.RecordBatch.from_arrays([*[x.slice(a, b - a) for x in batch.columns], pa.array(found)], [*own, "score"])
+                yield pa.RecordBatch.from_arrays([*[x.slice(a, b - a) for x in batch.columns], pa.array(found)], [*own, score_col])
 
     return docs.select(*own).mapInArrow(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, sample_chars: int = 20_000, held_out=None) -> DataFrame:
-    """``docs`` with score and predicted (1 if score >= 0.5), by a model trained on the labelled documents outside ``held_out``.
+def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, sample_chars: int = 20_000, held_out=None, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """``docs`` with a score and what it predicts (1 if it is 0.5 or more), by a model trained on the labelled documents outside ``held_out``.
 
     The score depends on the text alone. Several labels of one id count as
     toxic if any is; null labels and ids train nothing. Every row gets a
     score, repeated rows the same one; an empty table gives no rows; a column
-    of ``docs`` named score or predicted is replaced.
+    of ``docs`` named as one of the two new ones is replaced. Without labels
+    of both kinds every text gets the share of toxic ones among the labels
+    (0.001 at least), so nothing is predicted toxic without a toxic label.
     """
     learn = docs if held_out is None else docs.where(~held_out)
     model = fit(training_sample(learn, labels, id_col=id_col, text_col=text_col, label_col=label_col, per_class=per_class, sample_chars=sample_chars))
-    return score(docs.drop("predicted"), model, id_col=id_col, text_col=text_col).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return score(docs.drop(predicted_col), model, text_col=text_col, score_col=score_col).withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int"))

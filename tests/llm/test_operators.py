@@ -470,6 +470,23 @@ def test_near(spark, rows, none, chunk):
     assert near_dedup.near_duplicates(none).count() == 0
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(more)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    empty = sum(r["n_shingles"] == 0 for r in got)
+    front = {r["component_id"] for r in got if r["first"] and r["n_shingles"]}
+    assert sum(r["first"] for r in got) - empty == len(front) and front == {r["component_id"] for r in got if r["n_shingles"]}
+
+
+def test_near_in_one_bucket(spark):
+    """Many texts in one bucket, linked and not, with repeated and null ids."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 7])):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((rng.choice([None, rng.randrange(60)]), " ".join(w)))
+    got = near_dedup.near_duplicates(frame(spark, rows), chunk=8, sketch=near_dedup.Sketch(bands=72, rows=2)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(rows)
 
 
 def test_estimate_is_near_the_truth():
@@ -521,3 +538,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids("packing") == ids("near_dedup")
     assert all(seen[n].columns == ["doc_id", "text", "lang", "source", "n_chars"] for n in ("toxicity", "line_dedup", "near_dedup", "secrets"))
     assert cp.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def test_near_duplicates_go_by_row(spark):
+    import corpus_pipeline as cp
+
+    text = lambda k, n=60: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(3, text(1)), (7, text(1) + " tail"), (7, text(2)), (None, text(3)), (None, text(3) + " tail"), (9, text(4)), (9, text(4)), (11, None), (11, None), (12, "")]
+    df = spark.createDataFrame([(i, t, "x", True) for i, t in rows], "doc_id long, text string, first string, kept boolean").repartition(3)
+    out = cp.drop_near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    fronts = {(None, text(3)), (None, text(3) + " tail")}
+    assert sum(got[x] for x in fronts) == 1
+    assert {k: n for k, n in got.items() if k not in fronts} == {(3, text(1)): 1, (7, text(2)): 1, (9, text(4)): 1, (11, None): 2, (12, ""): 1}
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, n_lines string, n_removed string, queue string, live string, base string, first string, node string, label string, line string, site string, value string"
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for rows in ([], [(1, "some words password=abcdefgh1", "en", "s", 3, *"abcdefghijklm")]):
+        df = spark.createDataFrame(rows, schema)
+        for name, stage in cp.STAGES:
+            got = stage(spark, df, str(tmp_path))
+            assert (got.count() > 0) == bool(rows), name
+            if name != "packing":
+                assert got.columns == df.columns, name
+                for r in got.collect():
+                    assert r["doc_id"] == 1 and r["score"] == "a" and r["n_lines"] == "c" and r["n_removed"] == "d" and r["site"] == "l", name
