@@ -1,9 +1,10 @@
 """Secrets in texts, judged by how widely their values are owned.
 
 One scan finds candidates with their places. Equal values are then counted
-over the whole corpus by distinct repositories and owners: a value that many
-owners hold is a copied example, one that a single owner holds looks live.
-All of it is DataFrame expressions.
+over the whole corpus by distinct repositories and owners, each text counting
+once, where it stands first: a value that several owners hold in yet more
+repositories is a copied example, any other looks live. All of it is DataFrame
+expressions.
 
 A pattern's matches are the pieces between the gaps that a split leaves, so
 places are running sums of the lengths of gaps and matches.
@@ -34,17 +35,36 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _sums_before(sizes: Column, block: int = 256) -> Column:
-    """Sum of all earlier elements, for each element: by blocks, so a long array costs n * block steps."""
-    zero = F.lit(0).cast("bigint")
-    total = lambda a: F.aggregate(a, zero, lambda s, x: s + x)
+def _before(values: Column, add: Callable[[Column, Column], Column], zero: int = 0, block: int = 256) -> Column:
+    """For each element the ``add`` of all earlier ones (a sum, maximum or minimum): by blocks, so a long array costs n * block steps."""
+    total = lambda a: F.aggregate(a, F.lit(zero).cast("bigint"), lambda s, x: add(s, x))
 
     def with_blocks(blocks: Column) -> Column:
         heads = F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
-        return bound(heads, lambda h: F.transform(sizes, lambda _, i: F.get(h, F.floor(i / block).cast("int")) + total(F.slice(sizes, F.floor(i / block).cast("int") * block + 1, i % block))))
+        return bound(heads, lambda h: F.transform(values, lambda _, i: add(F.get(h, F.floor(i / block).cast("int")), total(F.slice(values, F.floor(i / block).cast("int") * block + 1, i % block)))))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: total(F.slice(sizes, b * block + 1, F.lit(block))))
-    return F.when(F.size(sizes) > 0, bound(blocks, with_blocks)).otherwise(F.array().cast("array<bigint>"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda b: total(F.slice(values, b * block + 1, F.lit(block))))
+    return F.when(F.size(values) > 0, bound(blocks, with_blocks)).otherwise(F.array().cast("array<bigint>"))
+
+
+_ADD = lambda s, x: s + x
+_END_OF_TIME = 1 << 62
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """Spans that overlap none of the others: one sweep over both in the order of their starts."""
+    mark = lambda a, own: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(own).alias("own"), x["rank"].alias("rank"), x["value"].alias("value")))
+
+    def sweep(both: Column) -> Column:
+        ends = F.transform(both, lambda x: F.when(x["own"] == 1, F.lit(0).cast("bigint")).otherwise(x["end"]))
+        starts = F.transform(F.reverse(both), lambda x: F.when(x["own"] == 1, F.lit(_END_OF_TIME)).otherwise(x["start"]))
+        last, first = _before(ends, F.greatest), F.reverse(_before(starts, F.least, _END_OF_TIME))
+        fits = lambda e, n: F.filter(both, lambda x, i: (x["own"] == 1) & (F.get(e, i) <= x["start"]) & (F.get(n, i) >= x["end"]))
+        kept = bound(last, lambda e: bound(first, lambda n: fits(e, n)))
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["value"].alias("value")))
+
+    swept = bound(F.sort_array(F.concat(mark(spans, 1), mark(others, 0))), sweep)
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(swept)
 
 
 def _matches(text: Column, pattern: str, rank: int, value: Callable[[Column], Column], test: Callable[[Column], Column] | None = None) -> Column:
@@ -55,7 +75,7 @@ def _matches(text: Column, pattern: str, rank: int, value: Callable[[Column], Co
         make = lambda g, z, s: F.transform(found, lambda m, i: F.struct((F.get(s, i) + F.get(g, i)).alias("start"), F.lit(rank).alias("rank"), (F.get(s, i) + F.get(z, i)).alias("end"), value(m).alias("value")))
         gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("bigint"))
         sizes = lambda g: F.transform(found, lambda m, i: F.get(g, i) + F.length(m).cast("bigint"))
-        return bound(gaps, lambda g: bound(sizes(g), lambda z: bound(_sums_before(z), lambda s: make(g, z, s))))
+        return bound(gaps, lambda g: bound(sizes(g), lambda z: bound(_before(z, _ADD), lambda s: make(g, z, s))))
 
     kept = lambda a: a if test is None else F.filter(a, lambda x: test(x["value"]))
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
@@ -67,7 +87,10 @@ def _looks_random(v: Column) -> Column:
 
 
 def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with base (assign, access and hex spans) and more (service and blob spans outside the base ones)."""
+    """``docs`` with base (assign, access and hex spans) and more (service spans outside the base ones, and blob spans outside both).
+
+    A null or empty text has none; columns of these two names are replaced.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.withColumn("__t", text).select(
         "*",
@@ -77,34 +100,33 @@ def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         _matches(F.col("__t"), SERVICE, 3, lambda m: m).alias("__service"),
         _matches(F.col("__t"), BLOB, 4, lambda m: m, _looks_random).alias("__blob"),
     )
-    based = found.select(*docs.columns, F.sort_array(F.concat("__assign", "__access", "__hex")).alias("base"), "__service", "__blob")
-    apart = lambda spans, others: F.filter(spans, lambda x: ~F.exists(others, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    served = based.withColumn("__service", apart(F.col("__service"), F.col("base")))
-    outside = apart(apart(F.col("__blob"), F.col("base")), F.col("__service"))
-    return served.select(*docs.columns, "base", F.sort_array(F.concat("__service", outside)).alias("more"))
+    based = found.select(*[c for c in docs.columns if c not in ("base", "more")], F.sort_array(F.concat("__assign", "__access", "__hex")).alias("base"), "__service", "__blob")
+    served = based.withColumn("__service", _apart(F.col("__service"), F.col("base")))
+    outside = _apart(F.col("__blob"), F.concat("base", "__service"))
+    return served.select(*[c for c in docs.columns if c not in ("base", "more")], "base", F.sort_array(F.concat("__service", outside)).alias("more"))
 
 
-def ownership(values: DataFrame, *, salts: int = 16) -> DataFrame:
-    """Distinct repositories and owners of each value: value, n_repos, n_owners.
+def ownership(values: DataFrame) -> DataFrame:
+    """Distinct texts, repositories and owners of each value: value, n_texts, n_repos, n_owners.
 
-    Distinct (value, repository, owner) triples are made before the shuffle,
-    so a value that a third of all rows hold brings a row for each owner's
-    repository and task.
+    ``values``: value, text_hash, owner, repo. Copies of a text count once, at
+    the first owner and repository that hold it. Each step combines before the
+    shuffle, and a value that a third of all rows hold is spread by its texts.
     """
-    triples = values.select("value", "repo", "owner").distinct()
-    owners = triples.select("value", "owner").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"))
-    repos = triples.groupBy("value").agg(F.count(F.lit(1)).alias("n_repos"))
-    return repos.join(owners, "value")
+    homes = values.groupBy("value", "text_hash").agg(F.min(F.struct("owner", "repo")).alias("home"))
+    repos = homes.groupBy("value", "home").agg(F.count(F.lit(1)).alias("n"))
+    owners = repos.groupBy("value", F.col("home.owner").alias("owner")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("repos"))
+    return owners.groupBy("value").agg(F.sum("n").alias("n_texts"), F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, live_owners: int = 1, salts: int = 16) -> DataFrame:
+def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, example_owners: int = 3, example_repos: int = 5, salts: int = 16) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, base, added (arrays of spans), live (spans whose value looks live).
 
     A span is struct(start, rank, end, value): code points, end exclusive,
-    rank into KINDS. Base spans (assign, access, hex) are always reported.
-    Spans of further kinds are added if their value belongs to at most
-    ``live_owners`` owners. A value is live by the same test. A null text is
-    empty, a null owner or repository a name of its own; null and repeated
+    rank into KINDS. A value that ``example_owners`` owners hold, in
+    ``example_repos`` repositories or more, is an example, any other is live.
+    Base spans (assign, access, hex) are always reported, spans of further
+    kinds are added if their value is live. A null text is empty, a null owner or repository a name of its own; null and repeated
     ids and repeated rows are rows like any other; an empty table gives none.
     Columns of other names are ignored.
     """
@@ -116,8 +138,9 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     found = scan(plain)
     hashed = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("value")))
     rows = checkpointed(found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "owner", "repo", F.xxhash64("text").alias("text_hash"), hashed("base").alias("base"), hashed("more").alias("more")))
-    spans = rows.select("rid", "owner", "repo", F.explode(F.concat("base", "more")).alias("span")).select("rid", "owner", "repo", "span", F.col("span.value").alias("value"))
-    counts = ownership(spans).select("value", (F.col("n_owners") <= live_owners).alias("is_live"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    spans = rows.select("rid", "text_hash", "owner", "repo", F.explode(F.concat("base", "more")).alias("span")).select("rid", "text_hash", "owner", "repo", "span", F.col("span.value").alias("value"))
+    example = (F.col("n_owners") >= example_owners) & (F.col("n_repos") >= example_repos)
+    counts = ownership(spans).select("value", (~example).alias("is_live"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     judged = spans.withColumn("salt", F.pmod(F.col("rid"), F.lit(salts)).cast("int")).join(counts, ["value", "salt"])
     by_row = judged.where("is_live").groupBy("rid").agg(F.sort_array(F.collect_list("span")).alias("live"))
     joined = rows.join(by_row, "rid", "left").withColumn("live", F.coalesce("live", F.array().cast(_SPAN)))
@@ -150,37 +173,49 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     they are; a text without live values, and a null text, is unchanged.
     """
     found = find_secrets(docs, id_col=id_col, text_col=text_col, **options)
-    live = found.where(F.size("live") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("live").alias("__live")).hint("shuffle_hash")
+    live = found.where(F.size("live") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("live").alias("__live"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     joined = docs.withColumn("__h", F.xxhash64(text)).join(live, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    out = F.when(F.col("__live").isNull(), F.col(text_col)).otherwise(_masked(F.col(text_col), F.col("__live"), mask))
+    return joined.select(*[F.col(c) if c != text_col else out.alias(text_col) for c in docs.columns])
+
+
+def _masked(text: Column, spans: Column, mask: str, block: int = 1024) -> Column:
+    """``text`` with sorted spans replaced. What lies between them is cut from blocks of the text, so no cut walks through all of it."""
+
+    def cut(parts: Column, a: Column, b: Column) -> Column:
+        i, j = F.floor(a / block).cast("int"), F.floor(b / block).cast("int")
+        part = lambda k: F.coalesce(F.get(parts, k), F.lit(""))
+        inside = lambda k, at, n: F.substring(part(k), (at % block + 1).cast("int"), n.cast("int"))
+        whole = F.array_join(F.slice(parts, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        return F.when(i == j, inside(i, a, b - a)).otherwise(F.concat(inside(i, a, F.lit(block)), whole, inside(j, F.lit(0), b % block)))
 
-    def step(a: Column, x: Column) -> Column:
-        apart = x["start"] >= a["at"]
-        more = F.concat(a["out"], F.substring(F.col("__text"), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mask))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(apart, more).otherwise(a["out"]).alias("out"))
+    def between(parts: Column, last: Column) -> Column:
+        heads = F.filter(F.transform(spans, lambda x, i: F.struct(F.get(last, i).alias("a"), x["start"].alias("b"))), lambda g: g["b"] >= g["a"])
+        end = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.concat(F.array_join(F.transform(heads, lambda g: F.concat(cut(parts, g["a"], g["b"]), F.lit(mask))), ""), cut(parts, end, F.length(text).cast("bigint")))
 
-    masked = F.aggregate("__live", start, step, lambda a: F.concat(a["out"], F.substring(F.col("__text"), (a["at"] + 1).cast("int"), F.length("__text"))))
-    out = F.when(F.col("__live").isNull(), F.col(text_col)).otherwise(masked)
-    return joined.withColumn("__text", F.col(text_col)).select(*[F.col(c) if c != text_col else out.alias(text_col) for c in docs.columns])
+    last = _before(F.transform(spans, lambda x: x["end"]), F.greatest)
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{block}}})"), F.lit(1)), lambda parts: bound(last, lambda e: between(parts, e)))
 
 
 _q = lambda p: p.replace("'", "''")
 
 ORACLE = rf"""
 WITH k(rank, kind, pat) AS (VALUES (0, 'assign', '{_q(ASSIGN)}'), (1, 'access', '{_q(ACCESS)}'), (2, 'hex', '{_q(HEX)}'), (3, 'service', '{_q(SERVICE)}'), (4, 'blob', '{_q(BLOB)}')),
-t AS (SELECT doc_id, coalesce(source, '') AS owner, rank, kind, regexp_extract_all(coalesce(text, ''), pat) AS m, regexp_split_to_array(coalesce(text, ''), pat) AS g FROM documents, k),
-u AS (SELECT doc_id, owner, rank, kind, m, g, unnest(m) AS v, generate_subscripts(m, 1) AS i FROM t),
-p AS (SELECT doc_id, owner, rank, kind, v, CASE WHEN rank = 0 THEN regexp_replace(v, '{_q(ASSIGN_HEAD)}', '') ELSE v END AS value,
+t AS (SELECT doc_id, md5(coalesce(text, '')) AS body, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo, rank, kind, regexp_extract_all(coalesce(text, ''), pat) AS m, regexp_split_to_array(coalesce(text, ''), pat) AS g FROM documents, k),
+u AS (SELECT doc_id, body, owner, repo, rank, kind, m, g, unnest(m) AS v, generate_subscripts(m, 1) AS i FROM t),
+p AS (SELECT doc_id, body, owner, repo, rank, kind, v, CASE WHEN rank = 0 THEN regexp_replace(v, '{_q(ASSIGN_HEAD)}', '') ELSE v END AS value,
              list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s FROM u),
-c AS (SELECT doc_id, owner, rank, kind, sha256(value) AS value, s::BIGINT AS s, (s + length(v))::BIGINT AS e FROM p
+c AS (SELECT doc_id, body, owner, repo, rank, kind, sha256(value) AS value, s::BIGINT AS s, (s + length(v))::BIGINT AS e FROM p
       WHERE (rank <> 0 OR length(value) >= 8) AND (rank <> 4 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')))),
 a AS (SELECT * FROM c WHERE rank < 3),
 b AS (SELECT * FROM c WHERE rank = 3 AND NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = c.doc_id AND a.s < c.e AND c.s < a.e)),
 d AS (SELECT * FROM c WHERE rank = 4 AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM a UNION ALL SELECT * FROM b) o WHERE o.doc_id = c.doc_id AND o.s < c.e AND c.s < o.e)),
 f AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM d),
-n AS (SELECT value, count(DISTINCT owner) AS owners FROM f GROUP BY value),
-j AS (SELECT f.*, owners <= 1 AS live FROM f JOIN n USING (value)),
+h AS (SELECT value, owner, repo FROM (SELECT value, owner, repo, row_number() OVER (PARTITION BY value, body ORDER BY owner, repo) AS i FROM f) WHERE i = 1),
+n AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM h GROUP BY value),
+j AS (SELECT f.*, NOT (owners >= 3 AND repos >= 5) AS live FROM f JOIN n USING (value)),
 r AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
              count(*) FILTER (WHERE live) AS n_live,
              string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (WHERE rank < 3) AS base,
