@@ -11,7 +11,7 @@
 * P(word | class, history): a softmax over the class's words with the classes
   of the two words before as n-gram and skip features. Its gradient needs only
   counts of (class before, word) and of class triples, which Spark sums over
-  the corpus; the fit itself has the size of the model.
+  the corpus; each class is fitted in a task of its own.
 * A word outside the vocabulary has its share (count + 1) of that class.
 
 What a task or the driver holds is bounded by the model's parameters; the
@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barlab.llm.kernels import Seen, Words, mix, word_slices
 from barlab.llm.session import checkpointed
@@ -341,36 +341,52 @@ def _train_classes(docs: DataFrame, model: Model, column: str = "text") -> tuple
     return weights, one.reshape(n_ctx, vocab), two.reshape(n_ctx, vocab), three.reshape(n_out, n_ctx, n_ctx)
 
 
-def _fit_words(model: Model, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> None:
-    """Gradient ascent on the word level, from counts: observed minus expected, ridged."""
-    shape = model.shape
+def fit_class(one: np.ndarray, two: np.ndarray, n: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gradient ascent on a class's words, from counts: observed minus expected, ridged. bias, first, skip and norm.
+
+    ``one``, ``two``: contexts x words of the class; ``n``: how often each pair of contexts met the class.
+    """
     count = one.sum(axis=0)
-    model.bias = np.log(count + 0.5)
-    model.first, model.skip = np.zeros_like(one), np.zeros_like(two)
-    model.norm = np.zeros((shape.outcomes, shape.contexts, shape.contexts))
-    for c in range(shape.classes):
-        own = np.flatnonzero(model.of == c)
-        if not len(own):
-            continue
-        n = three[c]
-        seen_1, seen_2, seen_b = (np.full(x.shape, 1e-2) for x in (one[:, own], two[:, own], count[own]))
-        p_class = count[own] + 0.5
-        p_class /= p_class.sum()
-        strong = 50.0
-        start = (one[:, own] + strong * p_class) / (one[:, own].sum(axis=1, keepdims=True) + strong)
-        first, skip, bias = np.log(start) - np.log(p_class), np.zeros((shape.contexts, len(own))), np.log(p_class)
-        for _ in range(shape.fit_steps):
-            z = bias + first[:, None, :] + skip[None, :, :]
-            p = np.exp(z - z.max(axis=2, keepdims=True))
-            p *= (n / p.sum(axis=2))[:, :, None]
-            for value, goal, have, seen, ridge in ((first, one[:, own], p.sum(axis=1), seen_1, 0.5), (skip, two[:, own], p.sum(axis=0), seen_2, 0.5), (bias, count[own], p.sum(axis=(0, 1)), seen_b, 0.0)):
-                g = goal - have - ridge * value
-                seen += g * g
-                value += 0.3 * g / np.sqrt(seen)
+    seen_1, seen_2, seen_b = (np.full(x.shape, 1e-2) for x in (one, two, count))
+    p_class = (count + 0.5) / (count + 0.5).sum()
+    strong = 50.0
+    start = (one + strong * p_class) / (one.sum(axis=1, keepdims=True) + strong)
+    first, skip, bias = np.log(start) - np.log(p_class), np.zeros(two.shape), np.log(p_class)
+    for _ in range(shape.fit_steps):
         z = bias + first[:, None, :] + skip[None, :, :]
-        top = z.max(axis=2)
-        model.bias[own], model.first[:, own], model.skip[:, own] = bias, first, skip
-        model.norm[c] = top + np.log(np.exp(z - top[:, :, None]).sum(axis=2))
+        p = np.exp(z - z.max(axis=2, keepdims=True))
+        p *= (n / p.sum(axis=2))[:, :, None]
+        for value, goal, have, seen, ridge in ((first, one, p.sum(axis=1), seen_1, 0.5), (skip, two, p.sum(axis=0), seen_2, 0.5), (bias, count, p.sum(axis=(0, 1)), seen_b, 0.0)):
+            g = goal - have - ridge * value
+            seen += g * g
+            value += 0.3 * g / np.sqrt(seen)
+    z = bias + first[:, None, :] + skip[None, :, :]
+    top = z.max(axis=2)
+    return bias, first, skip, top + np.log(np.exp(z - top[:, :, None]).sum(axis=2))
+
+
+def _fit_words(spark: SparkSession, model: Model, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> None:
+    """The word level: each class is fitted in a task of its own, which gets the counts of its words only."""
+    shape = model.shape
+    words = [np.flatnonzero(model.of == c) for c in range(shape.classes)]
+    model.bias, model.first, model.skip = np.log(one.sum(axis=0) + 0.5), np.zeros_like(one), np.zeros_like(two)
+    model.norm = np.zeros((shape.outcomes, shape.contexts, shape.contexts))
+    rows = [(c, one[:, own].tobytes(), two[:, own].tobytes(), three[c].tobytes()) for c, own in enumerate(words) if len(own)]
+    if not rows:
+        return
+    matrix = lambda code, width: np.frombuffer(code).reshape(-1, width) if width else np.frombuffer(code).reshape(shape.contexts, -1)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for r in part.to_pylist():
+                found = fit_class(matrix(r["one"], 0), matrix(r["two"], 0), matrix(r["three"], shape.contexts), shape)
+                yield pa.RecordBatch.from_pydict({"class": pa.array([r["class"]], pa.int32()), **{k: pa.array([x.tobytes()], pa.binary()) for k, x in zip(("bias", "first", "skip", "norm"), found)}})
+
+    counts = spark.createDataFrame(rows, "class int, one binary, two binary, three binary")
+    for r in counts.mapInArrow(run, "class int, bias binary, first binary, skip binary, norm binary").collect():
+        own = words[r["class"]]
+        model.bias[own], model.norm[r["class"]] = np.frombuffer(r["bias"]), matrix(r["norm"], shape.contexts)
+        model.first[:, own], model.skip[:, own] = matrix(r["first"], 0), matrix(r["skip"], 0)
 
 
 def train(docs: DataFrame, counts: DataFrame, *, shape: Shape | None = None, column: str = "text") -> Model:
@@ -384,7 +400,7 @@ def train(docs: DataFrame, counts: DataFrame, *, shape: Shape | None = None, col
     of = cluster(profile, words.counts[:vocab].astype(float), shape.classes) if vocab else np.zeros(0, np.int64)
     model = Model(shape, words, of, np.zeros((shape.features, shape.outcomes), np.float32), np.zeros(vocab), np.zeros((shape.contexts, vocab)), np.zeros((shape.contexts, vocab)), np.zeros((shape.outcomes, shape.contexts, shape.contexts)), int(ends))
     model.weights, one, two, three = _train_classes(docs, model, column)
-    _fit_words(model, one, two, three)
+    _fit_words(docs.sparkSession, model, one, two, three)
     return model
 
 
