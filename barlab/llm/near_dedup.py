@@ -400,7 +400,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels = components(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
     named = labels.join(groups.select("node", "doc_id"), "node").groupBy("label").agg(least.alias("least")).select("label", F.col("least.doc_id").alias("component_id"), F.col("least.node").alias("front"))
-    linked = labels.join(named, "label").select("node", "component_id", "front")
+    # a component may hold a large share of all nodes: each of its salts meets in a task of its own
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int").alias("salt")
+    spread = named.select("label", "component_id", "front", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    linked = labels.select("node", "label", salt("node")).join(spread, ["label", "salt"]).select("node", "component_id", "front")
     where = (
         groups.join(linked, "node", "left")
         .where(F.col("front").isNotNull() | (F.col("copies") > 1))

@@ -1,28 +1,12 @@
-"""Cutting lineage through the shared checkpoint folder."""
+"""What the operators need of a session."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from barlab.functions.storage import checkpointed, ensure_checkpoint_dir
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names. Where none is set, a local master (tests) gets one of its own, a cluster an error."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="barlab-checkpoint-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` as files in the shared folder, which outlive the executors that wrote them."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpointed", "documents", "ensure_checkpoint_dir"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
