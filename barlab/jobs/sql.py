@@ -53,15 +53,17 @@ round((count(*) FILTER (WHERE probability >= 0.5 AND target = 1) / nullif(count(
 round(avg(target), 6) AS observed_up, round(avg(CAST(probability >= 0.5 AS INT)), 6) AS predicted_up, round(avg((probability - target) ** 2), 6) AS brier,
 round(avg(-(target * ln(greatest(1e-12, least(1 - 1e-12, probability))) + (1 - target) * ln(1 - greatest(1e-12, least(1 - 1e-12, probability))))), 6) AS log_loss"""
 
-#: monthly folds, expanding counts and probabilities from close-to-close labels of 7 days; predictions of each row
-FOLDS = f"""{BASE},{CTC(7)},
+def folds(h: int = 7) -> str:
+    """Monthly folds, expanding counts and probabilities from close-to-close labels of h days; predictions of each row."""
+    a = 3 * h
+    return f"""{BASE},{CTC(h)},
 rows AS (SELECT symbol, date, label_end, score, target, forward_return, close FROM lab WHERE score IS NOT NULL AND target IS NOT NULL AND date >= DATE '1996-01-01'),
 cut AS (SELECT CAST(c AS DATE) AS cutoff FROM (SELECT unnest(generate_series(DATE '1998-01-01', DATE '2001-11-01', INTERVAL 1 MONTH)) AS c)),
 cnt AS (SELECT s.symbol, cutoff, count(*) FILTER (WHERE score = 0) AS n0, count(*) FILTER (WHERE score = 0 AND target = 1) AS ups0, count(*) FILTER (WHERE score = 1) AS n1,
   count(*) FILTER (WHERE score = 1 AND target = 1) AS ups1, count(*) FILTER (WHERE score = 2) AS n2, count(*) FILTER (WHERE score = 2 AND target = 1) AS ups2
   FROM (SELECT DISTINCT symbol FROM rows) s CROSS JOIN cut LEFT JOIN rows r ON r.symbol = s.symbol AND r.label_end < cutoff GROUP BY 1, 2),
 prob AS (SELECT *, n0 + n1 + n2 AS train_rows, (ups0 + ups1 + ups2 + 1) / (n0 + n1 + n2 + 2) AS prior FROM cnt),
-prob2 AS (SELECT *, (ups0 + 21 * prior) / (n0 + 21) AS p0, (ups1 + 21 * prior) / (n1 + 21) AS p1, (ups2 + 21 * prior) / (n2 + 21) AS p2 FROM prob WHERE train_rows >= 365),
+prob2 AS (SELECT *, (ups0 + {a} * prior) / (n0 + {a}) AS p0, (ups1 + {a} * prior) / (n1 + {a}) AS p1, (ups2 + {a} * prior) / (n2 + {a}) AS p2 FROM prob WHERE train_rows >= 365),
 wide AS (SELECT r.symbol, r.date, r.label_end, r.target, r.score, r.close, cutoff, prior, CASE score WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS regime FROM rows r JOIN prob2 p ON p.symbol = r.symbol AND p.cutoff = date_trunc('month', r.date)),
 preds AS (SELECT symbol, date, label_end, target, 'historical_prior' AS candidate, prior AS probability FROM wide UNION ALL SELECT symbol, date, label_end, target, 'regime', regime FROM wide UNION ALL SELECT symbol, date, label_end, target, 'always_up', 1.0 FROM wide),
 sel0 AS (SELECT symbol, cutoff, candidate, year(date) AS y, avg((probability - target) ** 2) AS b, count(*) AS n FROM preds JOIN (SELECT DATE '2000-01-01' AS cutoff UNION ALL SELECT DATE '2001-01-01') o ON label_end < cutoff WHERE candidate <> 'always_up' GROUP BY 1, 2, 3, 4),
@@ -69,6 +71,18 @@ sel1 AS (SELECT symbol, cutoff, candidate, avg(b) AS mean_annual_brier, sum(n)::
 sel AS (SELECT symbol, cutoff, candidate AS selected, mean_annual_brier, validation_rows FROM (SELECT *, row_number() OVER (PARTITION BY symbol, cutoff ORDER BY mean_annual_brier, CASE candidate WHEN 'historical_prior' THEN 1 ELSE 2 END) AS i FROM sel1) WHERE i = 1)"""
 
 
+FOLDS = folds()
+
+
+def bootstrap(source: str, keys: str, values: str, blocks: tuple[int, ...], reps: int, seed: int) -> str:
+    """CTEs up to resamples: keys, b, rep and the values' aggregates over circular blocks of ``source``, which has keys, date and what the aggregates read."""
+    longest = max(blocks)
+    return f"""
+pos AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY date) - 1 AS pos FROM {source}), len AS (SELECT {keys}, count(*) AS n FROM {source} GROUP BY ALL),
+bl AS (SELECT {keys}, n, b, rep, CAST('0x' || substr(md5('{seed}|' || rep || '|' || bn), 1, 8) AS BIGINT) % n AS s, least(b, n - bn * b) AS sz FROM len, (SELECT unnest({list(blocks)}) AS b) c, (SELECT unnest(range({reps})) AS rep) r, (SELECT unnest(range(2000)) AS bn) q WHERE bn < ceil(n / b)),
+pick AS (SELECT {keys}, b, rep, (s + k) % n AS pos FROM bl, (SELECT unnest(range({longest})) AS k) t WHERE k < sz),
+resamples AS (SELECT {keys}, b, rep, {values} FROM pick JOIN pos USING ({keys}, pos) GROUP BY {keys}, b, rep)"""
+
 
 def simulated(scenarios: list) -> str:
     """CTEs up to eq: every scenario and strategy stepped day by day, with equity and drawdown."""

@@ -1,8 +1,11 @@
 """Circular block bootstrap on prefix sums.
 
 A resample's sum is the sum of its blocks, and a block's sum is a difference
-of two prefix sums, so a repetition costs n / block look-ups, not n. Starts
-are hashes of (seed, repetition, block), the same in every run and engine.
+of two prefix sums, so a repetition costs n / block look-ups, not n. A series
+becomes one row with its prefix sums as arrays (n is a series' length, which
+fits a row); all repetitions and block lengths are worked out in that row.
+Starts are hashes of (seed, repetition, block), the same in every run and
+engine.
 """
 
 from __future__ import annotations
@@ -23,35 +26,40 @@ def circular_blocks(lengths: DataFrame, keys: list[str], *, block: int, reps: in
     return grid.select(*keys, "n", "rep", "block_no", block_start(seed, F.col("rep"), F.col("block_no"), F.col("n")).alias("start"), size.cast("long").alias("size"))
 
 
-def resampled_sums(rows: DataFrame, keys: list[str], values: list[str], *, block: int, reps: int, seed: int, order: str = "date") -> DataFrame:
-    """keys, rep, n and the sum of each value in each resample; all values use the same (paired) blocks."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.select(*keys, F.row_number().over(w).cast("long").alias("pos"), *[F.sum(v).over(upto).alias(v) for v in values])
-    zero = rows.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("pos"), *[F.lit(0.0).alias(v) for v in values])
-    prefix = sums.unionByName(zero)
-    lengths = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    blocks = circular_blocks(lengths, keys, block=block, reps=reps, seed=seed)
-    end = F.col("start") + F.col("size")
-    placed = blocks.withColumns({"e1": F.least(end, F.col("n")), "e2": F.greatest(end - F.col("n"), F.lit(0).cast("long"))})
-    side = lambda at: prefix.select(*keys, F.col("pos").alias(at), *[F.col(v).alias(f"{at}_{v}") for v in values])
-    joined = placed.join(side("start"), [*keys, "start"]).join(side("e1"), [*keys, "e1"]).join(side("e2"), [*keys, "e2"])
-    return joined.groupBy(*keys, "rep").agg(F.max("n").alias("n"), *[F.sum(F.col(f"e1_{v}") - F.col(f"start_{v}") + F.col(f"e2_{v}")).alias(v) for v in values])
+def resampled_sums(rows: DataFrame, keys: list[str], values: list[str], *, block: int | tuple[int, ...], reps: int, seed: int, order: str = "date") -> DataFrame:
+    """keys, block (length), rep, n and the sum of each value in each resample; all values use the same (paired) blocks."""
+    lengths = (block,) if isinstance(block, int) else block
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.select(*keys, F.col(order).alias("__at"), *[F.sum(F.col(v).cast("double")).over(upto).alias(v) for v in values])
+    series = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__at", *values))).alias("__rows"), F.count(F.lit(1)).alias("n"))
+    prefix = series.select(*keys, "n", *[F.concat(F.array(F.lit(0.0)), F.col(f"__rows.{v}")).alias(f"__{v}") for v in values])
+    each = prefix.withColumn("block", F.explode(F.array(*[F.lit(b) for b in lengths])))
+    n, zero = F.col("n"), F.lit(0).cast("long")
 
+    def place(rep: Column, number: Column) -> Column:
+        start = block_start(seed, rep, number, n)
+        end = start + F.least(F.col("block"), n - number * F.col("block"))
+        return F.struct(start.alias("s"), F.least(end, n).alias("e"), F.greatest(end - n, zero).alias("over"))
 
-def _interval(df: DataFrame, keys: list[str], value: Column, block: int) -> DataFrame:
+    def resample(rep: Column) -> Column:
+        places = F.transform(F.sequence(F.lit(0), (F.ceil(n / F.col("block")) - 1).cast("int")), lambda number: place(rep, number))
+        at = lambda v, i: F.get(F.col(f"__{v}"), i.cast("int"))
+        total = lambda found, v: F.aggregate(found, F.lit(0.0), lambda t, x: t + at(v, x["e"]) - at(v, x["s"]) + at(v, x["over"]))
+        return F.get(F.transform(F.array(places), lambda found: F.struct(rep.alias("rep"), *[total(found, v).alias(v) for v in values])), F.lit(0))
+
+    found = each.select(*keys, "block", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), resample)).alias("x"))
+    return found.select(*keys, "block", "n", "x.*")
+
+
+def _intervals(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     q = F.percentile("__v", F.array(F.lit(0.025), F.lit(0.975)))
-    got = df.withColumn("__v", value).groupBy(*keys).agg(q.alias("q"), F.count("__v").alias("reps"))
-    return got.select(*keys, F.lit(block).alias("block"), "reps", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+    got = df.withColumn("__v", value).groupBy(*keys, "block").agg(q.alias("q"), F.count("__v").alias("reps"))
+    return got.select(*keys, "block", "reps", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 
 
 def mean_intervals(rows: DataFrame, keys: list[str], value: str, *, blocks: tuple[int, ...], reps: int, seed: int, order: str = "date") -> DataFrame:
     """95 % interval of the mean of ``value``, for each block length."""
-    parts = [_interval(resampled_sums(rows, keys, [value], block=b, reps=reps, seed=seed, order=order), keys, F.col(value) / F.col("n"), b) for b in blocks]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    return _intervals(resampled_sums(rows, keys, [value], block=blocks, reps=reps, seed=seed, order=order), keys, F.col(value) / F.col("n"))
 
 
 def sharpe_difference(rows: DataFrame, keys: list[str], a: str, b: str, *, blocks: tuple[int, ...], reps: int, seed: int, annual: int = 365, order: str = "date") -> DataFrame:
@@ -63,16 +71,16 @@ def sharpe_difference(rows: DataFrame, keys: list[str], a: str, b: str, *, block
         var = (F.col(ss) - F.col(s) * F.col(s) / n) / (n - 1)
         return F.when(var > 1e-18, F.col(s) / n * F.sqrt(F.lit(float(annual))) / F.sqrt(var)).otherwise(0.0)
 
-    out = None
-    for block in blocks:
-        sums = resampled_sums(squares, keys, [a, b, "__aa", "__bb"], block=block, reps=reps, seed=seed, order=order)
-        part = _interval(sums, keys, sharpe(a, "__aa") - sharpe(b, "__bb"), block)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _intervals(resampled_sums(squares, keys, [a, b, "__aa", "__bb"], block=blocks, reps=reps, seed=seed, order=order), keys, sharpe(a, "__aa") - sharpe(b, "__bb"))
 
 
 def evidence_gate(intervals: DataFrame, yearly: DataFrame, keys: list[str]) -> DataFrame:
-    """Whether all lower bounds (``low``) are above 0 and no year's Brier score is above its prior's."""
+    """Whether all lower bounds (``low``) are above 0 and no year's Brier score is above its prior's.
+
+    ``intervals``: of the accuracy and the Brier gain, for each horizon and
+    block length; ``yearly``: for each horizon and year. All rows of a key
+    must pass.
+    """
     certain = intervals.groupBy(*keys).agg(F.every(F.col("low") > 0).alias("certain"))
     no_worse = yearly.groupBy(*keys).agg(F.every(F.col("brier") <= F.col("prior_brier")).alias("no_year_worse"))
     return certain.join(no_worse, keys).withColumn("evidence", F.col("certain") & F.col("no_year_worse"))

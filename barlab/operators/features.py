@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlab.functions.windows import by_symbol, full, ratio
 from barlab.schemas import STRATEGIES, Protocol
 
-BASIC = ("return_1", "return_7", "return_30", "return_63", "ma200", "vol30", "rsi14", "volume_z")
-EXPANDED = (*BASIC, "return_3", "return_14", "return_126", "ma20", "ma50", "vol90", "vol_ratio", "atr14", "range", "close_position")
-INTERACTIONS = (*BASIC, *(f"{c}_sq" for c in BASIC), "ma200_return63", "rsi_ma200", "return30_vol30")
+# fixed values: the study's feature sets
+BASIC = ("return_7", "return_30", "return_63", "ma50", "ma200", "vol30", "rsi14", "vol_ratio")
+EXPANDED = (*BASIC, "return_1", "return_3", "return_14", "return_126", "ma20", "vol90", "atr14", "volume_z", "range", "close_position")
+SQUARES = tuple(f"{c}_sq" for c in BASIC)
+PRODUCTS = ("ma200_return63", "rsi_ma200", "return30_vol30")
+INTERACTIONS = (*BASIC, *SQUARES, *PRODUCTS)
 FEATURE_SETS = {"basic": BASIC, "expanded": EXPANDED, "interactions": INTERACTIONS}
 
 
@@ -111,8 +114,6 @@ def day_change(bars: DataFrame) -> DataFrame:
 
 def range_slice(bars: DataFrame, upto, n: int | None = 90) -> DataFrame:
     """The last n bars (None: all) of each symbol up to a date, with the moving average that needs older bars."""
-    from pyspark.sql import Window
-
     got = bars.withColumn("sma", sma(200)).where(F.col("date") <= F.lit(upto))
     if n is None:
         return got

@@ -8,15 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barlab.functions.windows import by_symbol, ratio
 
-#: Rows up to which a table of folds, scores or artifacts is sent to every task.
-SMALL_ROWS = 1_000_000
-
-
-def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """``df`` marked for broadcasting if it is small; else Spark joins it by a shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def _labelled(bars: DataFrame, value: Column, days: int) -> DataFrame:
     got = bars.withColumns({"forward_return": value, "label_end": F.date_add("date", days)})
     return got.withColumn("target", (F.col("forward_return") > 0).cast("int"))
@@ -57,15 +48,15 @@ def execution_lag(weights: DataFrame, strategies: list[str], lag: int, *, start:
 
 def score_probability(signals: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Each signal with the frozen probability of its score."""
-    return signals.join(small(table), [*keys, "score"], "left")
+    return signals.join(table, [*keys, "score"], "left")
 
 
 def folds_of(rows: DataFrame, folds: DataFrame, *, window_days: int | None = None) -> DataFrame:
     """Rows by the fold that they train (``role`` train: label_end < cutoff) or test (cutoff <= date < next cutoff).
 
-    ``folds``: cutoff, next_cutoff; few rows, sent to every task.
+    ``folds``: cutoff, next_cutoff; a row per refit date of the protocol, sent to every task.
     """
-    f = small(folds)
+    f = F.broadcast(folds)
     train = rows.join(f, F.col("label_end") < F.col("cutoff"))
     if window_days is not None:
         train = train.where(F.col("date") >= F.date_sub("cutoff", window_days))
@@ -75,7 +66,7 @@ def folds_of(rows: DataFrame, folds: DataFrame, *, window_days: int | None = Non
 
 def as_of_model(signals: DataFrame, artifacts: DataFrame, keys: list[str]) -> DataFrame:
     """Each signal with the artifact valid on its date (refit_date <= date < valid_until), or none."""
-    a = small(artifacts).alias("a")
+    a = artifacts.alias("a")
     s = signals.alias("s")
     on = [F.col(f"s.{k}") == F.col(f"a.{k}") for k in keys] + [F.col("s.date") >= F.col("a.refit_date"), F.col("s.date") < F.col("a.valid_until")]
     rest = [c for c in artifacts.columns if c not in keys]

@@ -6,6 +6,8 @@ its folds as slices, so no training row is copied for a fold.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -72,7 +74,7 @@ def _fold_slices(rows: pd.DataFrame, cutoffs: list, window_days: int | None) ->
 def logistic_folds(rows: DataFrame, keys: list[str], features: list[str], cutoffs: list, *, penalty: float, least: int = 365, window_days: int | None = None) -> DataFrame:
     """center, scale and coefficients for each cutoff with at least ``least`` training rows. ``rows``: matured, with date, label_end, target."""
     types = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", cutoff date, train_rows long, center array<double>, scale array<double>, coefficients array<double>"
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", cutoff date, train_rows long, train_label_end date, center array<double>, scale array<double>, coefficients array<double>"
 
     def group(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("date")
@@ -81,44 +83,109 @@ def logistic_folds(rows: DataFrame, keys: list[str], features: list[str], cutoff
         for cutoff, at in _fold_slices(part, cutoffs, window_days):
             if len(at) < least:
                 continue
-            center, scale = x[at].mean(axis=0), x[at].std(axis=0)
-            scale[scale == 0] = 1.0
-            z = np.clip((x[at] - center) / scale, -CLIP, CLIP)
-            beta = fit_logistic(z, y[at], penalty, beta)
-            found.append((*key, cutoff, len(at), center.tolist(), scale.tolist(), beta.tolist()))
-        return pd.DataFrame(found, columns=[*keys, "cutoff", "train_rows", "center", "scale", "coefficients"])
+            center, scale = _scaling(x[at])
+            beta = fit_logistic(np.clip((x[at] - center) / scale, -CLIP, CLIP), y[at], penalty, beta)
+            found.append((*key, cutoff, len(at), part["label_end"].iloc[at].max(), center.tolist(), scale.tolist(), beta.tolist()))
+        return pd.DataFrame(found, columns=[*keys, "cutoff", "train_rows", "train_label_end", "center", "scale", "coefficients"])
 
     return rows.select(*keys, "date", "label_end", "target", *features).groupBy(*keys).applyInPandas(group, schema)
 
 
-def knn_folds(rows: DataFrame, keys: list[str], features: list[str], folds: list[tuple], *, k: int, least: int = 200, window_days: int | None = None, block: int = 256) -> DataFrame:
+def _scaling(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    center, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale == 0] = 1.0
+    return center, scale
+
+
+def nearest_shares(train: np.ndarray, y: np.ndarray, test: np.ndarray, counts: list[int], block: int = 256) -> np.ndarray:
+    """(ups + 1) / (k + 2) of the k nearest training rows for each k, a column each; of equal distances the earlier rows count."""
+    out, norms = np.empty((len(test), len(counts))), (train**2).sum(axis=1)
+    for a in range(0, len(test), block):
+        some = test[a : a + block]
+        far = (some**2).sum(axis=1)[:, None] + norms - 2 * some @ train.T
+        for c, k in enumerate(counts):
+            edge = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+            inside = far < edge
+            tied = far == edge
+            inside |= tied & (np.cumsum(tied, axis=1) <= k - inside.sum(axis=1, keepdims=True))
+            out[a : a + block, c] = (inside @ y + 1) / (k + 2)
+    return out
+
+
+def knn_folds(rows: DataFrame, keys: list[str], features: list[str], folds: list[tuple], *, k: int, least: int = 200, window_days: int | None = None) -> DataFrame:
     """Probability (ups + 1) / (k + 2) of the k nearest training rows, ties to the earlier date, for the test rows of each (cutoff, next cutoff)."""
     types = dict(rows.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", cutoff date, date date, probability double"
 
     def group(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("date").reset_index(drop=True)
-        x, days = part[features].to_numpy(float), part["date"].to_numpy("datetime64[D]")
-        y = part["target"].to_numpy(float)
-        out = []
-        for (cutoff, at), (_, stop) in zip(_fold_slices(part, [c for c, _ in folds], window_days), folds, strict=True):
-            test = np.flatnonzero((days >= np.datetime64(cutoff, "D")) & (days < np.datetime64(stop, "D")))
-            if len(at) < max(least, k) or not len(test):
-                continue
-            center, scale = x[at].mean(axis=0), x[at].std(axis=0)
-            scale[scale == 0] = 1.0
-            z = np.clip((x - center) / scale, -CLIP, CLIP)
-            for a in range(0, len(test), block):
-                some = test[a : a + block]
-                far = ((z[some][:, None, :] - z[at][None, :, :]) ** 2).sum(axis=2)
-                near = np.argsort(far, axis=1, kind="stable")[:, :k]
-                p = (y[at][near].sum(axis=1) + 1) / (k + 2)
-                out += [(*key, cutoff, days[i].astype(object), float(v)) for i, v in zip(some, p, strict=True)]
-        return pd.DataFrame(out, columns=[*keys, "cutoff", "date", "probability"])
+        x, y = part[features].to_numpy(float), part["target"].to_numpy(float)
+        out = [pd.DataFrame(columns=[*keys, "cutoff", "date", "probability"])]
+        for cutoff, train, test in _tests(part, folds, window_days):
+            if len(train) >= max(least, k) and len(test):
+                center, scale = _scaling(x[train])
+                z = np.clip((x - center) / scale, -CLIP, CLIP)
+                p = nearest_shares(z[train], y[train], z[test], [k])[:, 0]
+                out.append(pd.DataFrame({**dict(zip(keys, key)), "cutoff": cutoff, "date": part["date"].iloc[test], "probability": p}))
+        return pd.concat(out[1:] or out)
 
     return rows.select(*keys, "date", "label_end", "target", *features).groupBy(*keys).applyInPandas(group, schema)
 
 
-def blends(df: DataFrame) -> DataFrame:
-    """always_up, coin_flip, prior_blend (prior and logistic) and equal_blend (regime and logistic)."""
-    return df.withColumns({"always_up": F.lit(1.0), "coin_flip": F.lit(0.5), "prior_blend": (F.col("prior") + F.col("logistic")) / 2, "equal_blend": (F.col("regime") + F.col("logistic")) / 2})
+def _tests(part: pd.DataFrame, folds: list[tuple], window_days: int | None) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+    """Training and test rows of each (cutoff, next cutoff)."""
+    days = part["date"].to_numpy("datetime64[D]")
+    for (cutoff, train), (_, stop) in zip(_fold_slices(part, [c for c, _ in folds], window_days), folds, strict=True):
+        yield cutoff, train, np.flatnonzero((days >= np.datetime64(cutoff, "D")) & (days < np.datetime64(stop, "D")))
+
+
+def fitted_candidates(rows: DataFrame, keys: list[str], specs: list[tuple], sets: dict[str, tuple[str, ...]], folds: list[tuple], *, least: int = 200) -> DataFrame:
+    """keys, date, candidate, probability of all logistic and nearest-neighbour candidates over all folds (cutoff, next cutoff).
+
+    ``specs``: rows of walkforward.GRID. Candidates of one family, window and
+    feature set share a group, so a symbol's rows go to a group for each of
+    these and are scaled once per fold for all penalties or neighbour counts.
+    A fold with fewer than ``least`` training rows, or fewer than neighbours,
+    is not predicted.
+    """
+    jobs: dict[str, list[tuple]] = {}
+    for s in specs:
+        if s[1] in ("logistic", "knn"):
+            jobs.setdefault(f"{s[1]}|{s[2]}|{s[3]}", []).append(s)
+    names = sorted({c for k in {s[3] for v in jobs.values() for s in v} for c in sets[k]})
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", date date, candidate string, probability double"
+
+    def group(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        *own, job = key
+        _, family, window, kind, _, _ = jobs[job][0]
+        part = part.sort_values("date").reset_index(drop=True)
+        x, y = part[list(sets[kind])].to_numpy(float), part["target"].to_numpy(float)
+        out = [pd.DataFrame(columns=[*keys, "date", "candidate", "probability"])]
+        betas: dict[str, np.ndarray] = {}
+        for _, train, test in _tests(part, folds, window):
+            if len(train) < least or not len(test):
+                continue
+            center, scale = _scaling(x[train])
+            z = np.clip((x - center) / scale, -CLIP, CLIP)
+            found = {}
+            if family == "knn":
+                fit = [s for s in jobs[job] if s[5] <= len(train)]
+                shares = nearest_shares(z[train], y[train], z[test], [s[5] for s in fit])
+                found = {s[0]: shares[:, i] for i, s in enumerate(fit)}
+            else:
+                for s in jobs[job]:
+                    betas[s[0]] = fit_logistic(z[train], y[train], s[4], betas.get(s[0]))
+                    found[s[0]] = 1 / (1 + np.exp(-np.clip(betas[s[0]][0] + z[test] @ betas[s[0]][1:], -50, 50)))
+            for name, p in found.items():
+                out.append(pd.DataFrame({**dict(zip(keys, own)), "date": part["date"].iloc[test], "candidate": name, "probability": p}))
+        return pd.concat(out[1:] or out)
+
+    spread = rows.select(*keys, "date", "label_end", "target", *names).withColumn("__job", F.explode(F.array(*[F.lit(j) for j in sorted(jobs)])))
+    return spread.groupBy(*keys, "__job").applyInPandas(group, schema)
+
+
+def blends(df: DataFrame, weight: float = 0.5) -> DataFrame:
+    """always_up, coin_flip, logistic_shrunk (``weight`` of the prior, the rest of the logistic) and equal_blend (the mean of regime and logistic_shrunk)."""
+    shrunk = weight * F.col("prior") + (1 - weight) * F.col("logistic")
+    return df.withColumns({"always_up": F.lit(1.0), "coin_flip": F.lit(0.5), "logistic_shrunk": shrunk, "equal_blend": (F.col("regime") + shrunk) / 2})

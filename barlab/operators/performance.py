@@ -21,17 +21,21 @@ def equity_curve(daily: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return got.withColumn("drawdown", F.col("equity") / F.greatest(F.lit(1.0), F.max("equity").over(w)) - 1)
 
 
+def _with_underwater(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """``curve`` with underwater_days: for how many days in a row the equity has been below its highest so far."""
+    w = _w(keys)
+    placed = curve.withColumn("__at", F.row_number().over(w))
+    above = F.max(F.when(F.col("drawdown") >= -1e-12, F.col("__at"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("underwater_days", (F.col("__at") - F.coalesce(above, F.lit(0))).cast("long")).drop("__at")
+
+
 def longest_underwater(curve: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """The longest run of days below the highest equity so far."""
-    under = F.col("drawdown") < -1e-12
-    w = _w(keys).rowsBetween(Window.unboundedPreceding, 0)
-    runs = curve.withColumn("__run", F.sum((~under).cast("int")).over(w)).withColumn("__under", under.cast("int"))
-    per_run = runs.groupBy(*keys, "__run").agg(F.sum("__under").alias("days"))
-    return per_run.groupBy(*keys).agg(F.max("days").alias("longest_underwater_days"))
+    return _with_underwater(curve, keys).groupBy(*keys).agg(F.max("underwater_days").alias("longest_underwater_days"))
 
 
 def performance_stats(daily: DataFrame, keys: list[str] = KEYS, annual: int = 365) -> DataFrame:
-    curve = equity_curve(daily, keys)
+    curve = _with_underwater(equity_curve(daily, keys), keys)
     r = F.col("return")
     got = curve.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("days"),
@@ -47,10 +51,11 @@ def performance_stats(daily: DataFrame, keys: list[str] = KEYS, annual: int = 36
         F.count_if(F.col("turnover") > 1e-12).alias("trading_days"),
         F.sum("turnover").alias("one_way_turnover"),
         F.sum("cost_fraction").alias("sum_cost_fractions"),
+        F.max("underwater_days").alias("longest_underwater_days"),
     )
     vol = F.col("__sd") * F.sqrt(F.lit(float(annual)))
     cagr = F.pow("__equity", F.lit(float(annual)) / F.col("days")) - 1
-    named = got.withColumns(
+    return got.withColumns(
         {
             "total_return": F.col("__equity") - 1,
             "cagr": cagr,
@@ -59,7 +64,6 @@ def performance_stats(daily: DataFrame, keys: list[str] = KEYS, annual: int = 36
             "calmar": F.when(F.col("max_drawdown") == 0, 0.0).otherwise(ratio(cagr, -F.col("max_drawdown"))),
         }
     ).drop("__equity", "__sd", "__mean")
-    return named.join(longest_underwater(curve, keys), keys)
 
 
 def rolling_return(daily: DataFrame, days: int = 1095, keys: list[str] = KEYS) -> DataFrame:

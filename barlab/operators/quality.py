@@ -69,9 +69,14 @@ def closed_only(klines: DataFrame, reference_ms: int) -> DataFrame:
 
 
 def manifest(bars: DataFrame, source: str = "") -> DataFrame:
-    """Rows, first and last bar and an order-free fingerprint of each symbol's bars."""
-    h = F.xxhash64("date", "open", "high", "low", "close", "volume")
-    return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_bar"), F.max("date").alias("last_bar"), F.bit_xor(h).alias("fingerprint")).withColumn("source", F.lit(source))
+    """Rows, first and last bar and a fingerprint of each symbol's bars: the exact sum of the rows' hashes, so the order does not count, but a repeated row does."""
+    h = F.xxhash64("date", "open", "high", "low", "close", "volume").cast("decimal(38,0)")
+    return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_bar"), F.max("date").alias("last_bar"), F.sum(h).alias("fingerprint")).withColumn("source", F.lit(source))
+
+
+def manifest_diff(frozen: DataFrame, now: DataFrame) -> DataFrame:
+    """Symbols whose bars are not those of a frozen manifest, with what differs; data may be used only if there are none."""
+    return dataset_diff(frozen.drop("source"), now.drop("source"), ["symbol"])
 
 
 def coverage(bars: DataFrame, *, least: int = 201, most: int = 20_000, reach: date, yesterday: date) -> DataFrame:

@@ -7,14 +7,23 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from barlab.functions.windows import by_symbol, ratio
-from barlab.operators import labels
+from barlab.operators import calibration, labels
 from barlab.operators.quality import dataset_diff
 
 
+def calibration_record(rows: DataFrame) -> DataFrame:
+    """symbol, score, probability, n, baseline, q10, q50 and q90 of matured calibration rows: what a forecast shows."""
+    keys = ["symbol"]
+    base = calibration.prior_probability(rows, keys).select("symbol", F.col("probability").alias("baseline"))
+    shares = calibration.regime_probability(rows, keys).select("symbol", "score", "probability", "n")
+    return shares.join(base, keys).join(calibration.return_quantiles(rows, keys), ["symbol", "score"], "left")
+
+
 def forecast(ind: DataFrame, table: DataFrame, horizon: int, *, lag: int = 2, start: date, horizons: tuple[int, ...] = (7, 30)) -> DataFrame:
-    """Frozen probability of each scored bar from ``start`` on, entry and end dates, direction, and the return if it is known.
+    """Frozen calibration of each scored bar from ``start`` on, entry and end dates, direction, and the return if it is known.
 
-    ``table``: symbol, score, probability. The bars of entry and exit are
+    ``table``: symbol, score, probability and what else the calibration holds
+    (calibration_record), all of it handed on. The bars of entry and exit are
     counted, not looked up by date.
     """
     if horizon not in horizons:
@@ -28,7 +37,7 @@ def forecast(ind: DataFrame, table: DataFrame, horizon: int, *, lag: int = 2, st
         "date",
         F.lit(horizon).alias("horizon"),
         "score",
-        "probability",
+        *[c for c in table.columns if c not in ("symbol", "score")],
         F.date_add("date", lag).alias("entry_date"),
         F.date_add("date", lag + horizon).alias("end_date"),
         F.when(F.col("probability") >= 0.5, "up").when(F.col("probability").isNotNull(), "not_up").alias("direction"),

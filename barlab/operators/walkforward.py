@@ -5,21 +5,26 @@ from __future__ import annotations
 from datetime import date
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from barlab.operators.labels import small
 
+GRID = "id string, family string, window_days int, features string, penalty double, neighbours int"
 
 
-def candidate_grid(spark: SparkSession, *, windows: tuple[int | None, ...] = (None, 730), penalties: tuple[float, ...] = (0.01, 0.1, 1.0), neighbours: tuple[int, ...] = (50, 100, 150), sets: tuple[str, ...] = ("basic", "expanded", "interactions")) -> DataFrame:
-    """id, family, window_days, features, penalty, neighbours of all candidates."""
+def candidate_specs(*, windows: tuple[int | None, ...] = (None, 730), penalties: tuple[float, ...] = (0.001, 0.01, 0.1), neighbours: tuple[int, ...] = (25, 75, 150), sets: tuple[str, ...] = ("basic", "expanded", "interactions")) -> list[tuple]:
+    """Rows of GRID: all candidates of the search."""
     rows = [("always_up", "baseline", None, None, None, None), ("historical_prior", "baseline", None, None, None, None)]
     for w in windows:
         tag = "expanding" if w is None else f"{w}d"
         rows.append((f"regime_{tag}", "regime", w, None, None, None))
         rows += [(f"logistic_{s}_{tag}_l2_{p:g}", "logistic", w, s, p, None) for s, p in product(sets, penalties)]
         rows += [(f"knn_{s}_{tag}_k_{k}", "knn", w, s, None, k) for s, k in product(sets, neighbours)]
-    return spark.createDataFrame(rows, "id string, family string, window_days int, features string, penalty double, neighbours int")
+    return rows
+
+
+def candidate_grid(spark: SparkSession, **options) -> DataFrame:
+    """id, family, window_days, features, penalty, neighbours of all candidates."""
+    return spark.createDataFrame(candidate_specs(**options), GRID)
 
 
 def folds(spark: SparkSession, start: date, stop: date, every: str = "month") -> DataFrame:
@@ -43,7 +48,7 @@ def expanding_counts(rows: DataFrame, cutoffs: DataFrame, keys: list[str], *, wi
         cells[f"n{s}"] = (F.col("score") == s).cast("long")
         cells[f"ups{s}"] = ((F.col("score") == s) & (F.col("target") == 1)).cast("long")
     labels = known.select(*keys, F.col("label_end").alias("ts"), F.lit(1).alias("kind"), F.lit(None).cast("date").alias("cutoff"), *[v.alias(k) for k, v in cells.items()])
-    who = known.select(*keys).distinct().crossJoin(small(cutoffs.select("cutoff")))
+    who = known.select(*keys).distinct().crossJoin(F.broadcast(cutoffs.select("cutoff")))
     zero = [F.lit(0).cast("long").alias(k) for k in cells]
     marks = who.select(*keys, F.col("cutoff").alias("ts"), F.lit(0).alias("kind"), "cutoff", *zero)
     line = labels.unionByName(marks)
@@ -67,7 +72,7 @@ def fold_probabilities(counts: DataFrame, *, shrink: float | None = None, least:
 
 def predictions(rows: DataFrame, probabilities: DataFrame, keys: list[str], *, every: str = "month") -> DataFrame:
     """Each row with the prior and its score's regime probability of the fold in force on its date."""
-    frozen = small(probabilities.select(*keys, "cutoff", "prior", F.col("regime").alias("__regime"), "train_rows"))
+    frozen = probabilities.select(*keys, "cutoff", "prior", F.col("regime").alias("__regime"), "train_rows")
     at = rows.withColumn("cutoff", F.trunc("date", every))
     return at.join(frozen, [*keys, "cutoff"]).withColumn("regime", F.get("__regime", F.col("score"))).drop("__regime")
 
@@ -88,16 +93,16 @@ def leaderboard(rows: DataFrame, keys: list[str]) -> DataFrame:
 def family_winner(board: DataFrame, families: DataFrame, keys: list[str]) -> DataFrame:
     """The best candidate of each family. ``families``: candidate, family."""
     best = Window.partitionBy(*keys, "family").orderBy("place")
-    return board.join(small(families), "candidate").withColumn("__first", F.row_number().over(best)).where(F.col("__first") == 1).drop("__first")
+    return board.join(F.broadcast(families), "candidate").withColumn("__first", F.row_number().over(best)).where(F.col("__first") == 1).drop("__first")
 
 
 def select_from_past(rows: DataFrame, outer: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """For each outer cutoff the candidate of the least mean yearly Brier score among outcomes known before it; ties to the one declared first.
 
-    ``outer``: cutoff. ``order``: the candidates that may be selected.
+    ``outer``: cutoff, a row per outer year. ``order``: the candidates that may be selected.
     """
     known = rows.where(F.col("candidate").isin(order) & F.col("target").isNotNull() & F.col("probability").isNotNull())
-    past = known.join(small(outer.select("cutoff")), F.col("label_end") < F.col("cutoff"))
+    past = known.join(F.broadcast(outer.select("cutoff")), F.col("label_end") < F.col("cutoff"))
     yearly = past.groupBy(*keys, "cutoff", "candidate", F.year("date").alias("year")).agg(F.avg((F.col("probability") - F.col("target")) ** 2).alias("brier"), F.count(F.lit(1)).alias("n"))
     priority = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("candidate"))
     means = yearly.groupBy(*keys, "cutoff", "candidate").agg(F.avg("brier").alias("mean_annual_brier"), F.sum("n").alias("validation_rows")).withColumn("priority", priority)
@@ -107,13 +112,26 @@ def select_from_past(rows: DataFrame, outer: DataFrame, keys: list[str], order:
 
 def nested_predictions(rows: DataFrame, selection: DataFrame, keys: list[str]) -> DataFrame:
     """Each outer year's rows with the probability of the candidate selected for it."""
-    chosen = small(selection.select(*keys, F.year("cutoff").alias("year"), F.col("selected").alias("candidate")))
+    chosen = selection.select(*keys, F.year("cutoff").alias("year"), F.col("selected").alias("candidate"))
     return rows.withColumn("year", F.year("date")).join(chosen, [*keys, "year", "candidate"])
 
 
-def current_freeze(probabilities: DataFrame, keys: list[str]) -> DataFrame:
-    """The last fold's parameters with the interval in which they hold."""
-    newest = probabilities.groupBy(*keys).agg(F.max_by(F.struct("cutoff", "train_rows", "prior", "regime"), "cutoff").alias("x"))
-    return newest.select(*keys, F.col("x.cutoff").alias("refit_date"), F.add_months("x.cutoff", 1).alias("valid_until"), F.lit("historical_prior").alias("selected"), "x.train_rows", F.col("x.prior").alias("probability"), F.map_from_arrays(F.array(F.lit(0), F.lit(1), F.lit(2)), "x.regime").alias("regime_probabilities"))
-
+def current_freeze(probabilities: DataFrame, selection: DataFrame, keys: list[str], fits: DataFrame | None = None, *, names: tuple[str, ...] = ()) -> DataFrame:
+    """The last fold's parameters with the interval in which they hold, and the candidate selected last.
 
+    ``selection``: select_from_past. ``fits``: logistic_folds of the features
+    ``names``; with them the artifact also holds what the fitted candidates need.
+    """
+    newest = probabilities.groupBy(*keys).agg(F.max_by(F.struct("cutoff", "train_rows", "prior", "regime"), "cutoff").alias("x"))
+    frozen = newest.select(*keys, F.col("x.cutoff").alias("refit_date"), F.add_months("x.cutoff", 1).alias("valid_until"), "x.train_rows", F.col("x.prior").alias("probability"), F.map_from_arrays(F.array(F.lit(0), F.lit(1), F.lit(2)), "x.regime").alias("regime_probabilities"))
+    last = selection.groupBy(*keys).agg(F.max_by("selected", "cutoff").alias("selected"), F.max("cutoff").alias("selection_date"))
+    out = frozen.join(last, keys, "left")
+    if fits is None:
+        return out
+    fitted = fits.select(*keys, F.col("cutoff").alias("refit_date"), "train_label_end", "center", "scale", "coefficients")
+    return out.join(fitted, [*keys, "refit_date"], "left").withColumn("feature_names", F.array(*[F.lit(c) for c in names]))
+
+
+def phase(dev_years: tuple[int, ...], dev_end: date) -> Column:
+    """development for rows of those years whose labels end before ``dev_end``, reuse from ``dev_end`` on, else null."""
+    return F.when(F.year("date").isin(*dev_years) & (F.col("label_end") < F.lit(dev_end)), "development").when(F.col("date") >= F.lit(dev_end), "reuse")

@@ -35,6 +35,13 @@ class Protocol:
     cost_stress: tuple[float, ...] = (30.0, 50.0)
     lag_stress: tuple[int, ...] = (1, 3)
     shrink: int = 3
+    search_horizon: int = 30
+    dev_years: tuple[int, ...] = (1998, 1999)
+    reuse_years: tuple[int, ...] = (2000, 2001)
+    nested_features: tuple[str, ...] = ("return_7", "return_30", "ma200", "vol30")
+    selectable: tuple[str, ...] = ("historical_prior", "regime_shrunk", "logistic_shrunk", "equal_blend")
+    penalty: float = 0.1
+    prior_weight: float = 0.5
     reps: int = 1000
     blocks: tuple[int, ...] = (30, 60, 90)
     seed: int = 20240101

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from barlab.schemas import BAR_COLUMNS
 
@@ -17,14 +17,15 @@ def number(text: Column) -> Column:
     return F.when(F.abs(value) < float("inf"), value)
 
 
-def read_klines(rows: DataFrame, *, payload: str = "value", symbol: str = "symbol", fields: int = 7) -> DataFrame:
+def read_klines(rows: DataFrame, *, payload: str = "value", symbol: str = "symbol") -> DataFrame:
     """Bars from JSON arrays of arrays: open time (ms), open, high, low, close, volume as strings, close time, ...
 
     One row for each inner array, with ``raw_fields`` (how many it had) and
-    ``open_ms``, ``close_ms``; values that are no numbers are null, arrays with
-    fewer than ``fields`` are marked by the reject reasons of quality.violations.
+    ``open_ms``, ``close_ms``; values that are no numbers are null. A page that
+    is no such array, or an empty one, gives a row of nulls with 0 fields, so
+    that quality.violations (``fields``: how many there must be) reports it.
     """
-    found = rows.select(F.col(symbol).alias("symbol"), F.explode(F.from_json(payload, "array<array<string>>")).alias("k"))
+    found = rows.select(F.col(symbol).alias("symbol"), F.explode_outer(F.from_json(payload, "array<array<string>>")).alias("k"))
     at = lambda i: F.get("k", F.lit(i))
     ms = lambda i: at(i).try_cast("bigint")
     return found.select(
@@ -33,7 +34,7 @@ def read_klines(rows: DataFrame, *, payload: str = "value", symbol: str = "symbo
         *[number(at(i)).alias(c) for i, c in enumerate(BAR_COLUMNS[2:], 1)],
         ms(0).alias("open_ms"),
         ms(6).alias("close_ms"),
-        F.size("k").alias("raw_fields"),
+        F.coalesce(F.size("k"), F.lit(0)).alias("raw_fields"),
     )
 
 
@@ -45,6 +46,24 @@ def merge_pages(*pages: DataFrame) -> DataFrame:
     return out
 
 
+def page_borders(*pages: DataFrame) -> DataFrame:
+    """Borders between one symbol's pages at which bars overlap or are missing: symbol, page (from 1), problem, days."""
+    spans = [p.groupBy("symbol").agg(F.min("date").alias("first"), F.max("date").alias("last")).withColumn("page", F.lit(i)) for i, p in enumerate(pages)]
+    out = spans[0]
+    for s in spans[1:]:
+        out = out.unionByName(s)
+    before = F.max("last").over(Window.partitionBy("symbol").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    days = F.datediff("first", before) - 1
+    return out.withColumn("days", days).where("days <> 0").select("symbol", "page", F.when(F.col("days") > 0, "gap").otherwise("overlap").alias("problem"), F.abs("days").alias("days"))
+
+
+def joined_pages(*pages: DataFrame) -> DataFrame:
+    """merge_pages, but a gap or an overlap between pages is an error."""
+    wrong = page_borders(*pages).agg(F.max(F.concat_ws(" ", "problem", F.lit("before page"), "page", F.lit("of"), "symbol")).alias("__wrong"))
+    fine = F.when(F.col("__wrong").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("__wrong")).cast("boolean"))
+    return merge_pages(*pages).crossJoin(F.broadcast(wrong)).where(fine).drop("__wrong")
+
+
 def read_bars_csv(spark: SparkSession, path: str, *, symbol: str | None = None) -> DataFrame:
     """Strings of a CSV with a header in any case and order; further columns are ignored, blank lines skipped."""
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("mode", "PERMISSIVE").csv(path)
@@ -53,7 +72,11 @@ def read_bars_csv(spark: SparkSession, path: str, *, symbol: str | None = None)
 
 def bars_from_strings(raw: DataFrame, *, symbol: str | None = None) -> DataFrame:
     """Typed bars from string columns, found by name; a column that is missing is an error, a bad value null."""
-    names = {c.strip().lstrip("﻿").lower(): c for c in raw.columns}
+    headers = [c.strip().lstrip("﻿").lower() for c in raw.columns]
+    twice = sorted({h for h in headers if h in BAR_COLUMNS and headers.count(h) > 1})
+    if twice:
+        raise ValueError(f"columns occur twice: {twice}")
+    names = dict(zip(headers, raw.columns))
     missing = [c for c in BAR_COLUMNS[1:] if c not in names]
     if missing:
         raise ValueError(f"columns are missing: {missing}")
@@ -79,8 +102,6 @@ def write_table(df: DataFrame, path: str, *, form: str = "parquet", by: list[str
 
 def sample_bars(bars: DataFrame, n: int = 240) -> DataFrame:
     """The last n bars of each symbol."""
-    from pyspark.sql import Window
-
     newest = Window.partitionBy("symbol").orderBy(F.desc("date"))
     return bars.withColumn("__rank", F.row_number().over(newest)).where(F.col("__rank") <= n).drop("__rank")
 

@@ -43,15 +43,23 @@ def with_quotes(bars: DataFrame, quotes: DataFrame) -> DataFrame:
 def swap_on_complete(path: str, refresh: Callable[[DataFrame, DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: a batch of bars is validated as a whole and only then appended; ``refresh`` gets the touched symbols.
 
-    An invalid batch raises before anything is written, so what is there stays.
-    The batch's number is a partition of the output, so a repeated batch
-    replaces itself.
+    An invalid batch, also one with a bar that an earlier batch has stored,
+    raises before anything is written, so what is there stays. The batch's
+    number is a partition of the output, so a repeated batch replaces itself.
     """
 
+    def stored_before(batch: DataFrame, number: int) -> bool:
+        spark = batch.sparkSession
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            return False
+        earlier = spark.read.parquet(path).where(F.col("batch") != number)
+        return not earlier.join(batch.select("symbol", "date"), ["symbol", "date"], "left_semi").isEmpty()
+
     def sink(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            if not quality.rejects(batch).isEmpty() or not quality.duplicate_dates(batch).isEmpty():
+            if not quality.rejects(batch).isEmpty() or not quality.duplicate_dates(batch).isEmpty() or stored_before(batch, number):
                 raise ValueError(f"batch {number} holds invalid bars")
             batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
             if refresh is not None:
@@ -69,14 +77,20 @@ def rebalance(days: DataFrame, *, cost: float, band: float) -> DataFrame:
     """The simulation of backtest.simulate as a stream: the weight held is the state of each symbol and strategy.
 
     ``days``: symbol, strategy, date, next_return, target; a batch's days of a
-    symbol must follow those of earlier batches.
+    symbol must follow those of earlier batches. A day without a target (the
+    warm-up) changes nothing and gives no row; a target outside [0, 1] is an
+    error.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get[0] if state.exists else 0.0
         rows = []
         for day in pd.concat(list(parts)).sort_values("date").itertuples():
-            goal, r = day.target, day.next_return
+            goal, r = day.target, 0.0 if pd.isna(day.next_return) else day.next_return
+            if pd.isna(goal):
+                continue
+            if not 0 <= goal <= 1:
+                raise ValueError("a target weight lies outside 0 and 1")
             move = goal - held
             trade = abs(move) >= band or (goal == 0) != (held == 0)
             turnover = abs(move / (1 + cost * goal if move >= 0 else 1 - cost * goal)) if trade else 0.0

@@ -110,6 +110,38 @@ def test_pages_overlap_is_found(spark):
     assert ql.duplicate_dates(io.merge_pages(klines(spark, [GOOD]), klines(spark, [later]))).count() == 1
 
 
+def test_pages_must_join(spark):
+    page = lambda *days: bars(spark, [date(2000, 1, d) for d in days])
+    assert io.joined_pages(page(1, 2), page(3, 4), page(5)).count() == 5
+    for wrong, problem in ((page(4, 5), "gap"), (page(2, 3), "overlap")):
+        assert [(r["problem"], r["days"]) for r in io.page_borders(page(1, 2), wrong).collect()] == [(problem, 1)]
+        with pytest.raises(Exception, match=problem):
+            io.joined_pages(page(1, 2), wrong).count()
+
+
+@pytest.mark.parametrize("page", ["not json", "{}", "[]", "[1, 2]", None])
+def test_bad_pages_are_rejected(spark, page):
+    got = io.read_klines(spark.createDataFrame([("X", page)], "symbol string, value string"))
+    assert [set(r["reasons"]) >= {"bad_date", "too_few_fields"} for r in ql.rejects(got, fields=7).collect()] == [True] * got.count() and got.count() > 0
+    assert ql.clean(got, fields=7).count() == 0
+
+
+def test_csv_repeated_column(spark, tmp_path):
+    with pytest.raises(ValueError, match="close"):
+        csv(spark, tmp_path, "date,open,high,low,close,volume,Close\n2000-01-01,10,12,9,11,5,11\n")
+    strings = spark.createDataFrame([("2000-01-01", *"123456")], ["date", "open", "high", "low", "close", "volume", " Close"])
+    with pytest.raises(ValueError, match="twice"):
+        io.bars_from_strings(strings)
+
+
+def test_a_repeated_row_changes_the_fingerprint(spark):
+    days = [date(2000, 1, d) for d in range(1, 5)]
+    frozen = ql.manifest(bars(spark, days))
+    assert ql.manifest_diff(frozen, ql.manifest(bars(spark, days[::-1]))).count() == 0
+    twice = ql.manifest_diff(frozen, ql.manifest(bars(spark, days + days[:1] * 2))).first()
+    assert {"rows", "fingerprint"} <= set(twice["what"])
+
+
 def test_manifest_does_not_depend_on_order(spark):
     days = [date(2000, 1, d) for d in range(1, 9)]
     a, b = (ql.manifest(bars(spark, x)).first() for x in (days, days[::-1]))

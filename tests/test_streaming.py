@@ -58,3 +58,38 @@ def test_stateful_rebalance_equals_the_batch(spark, tmp_path):
     net, weight, *_ = run_weights(r, goal[:, None], np.ones((40, 1), bool), np.array([0.0015]), 0.05)
     np.testing.assert_allclose(got["return"], net[:, 0], atol=1e-14)
     np.testing.assert_allclose(got["weight"], weight[:, 0], atol=1e-14)
+
+
+def test_a_late_tick_does_not_revise_a_closed_day(spark, tmp_path):
+    src, t0 = str(tmp_path / "in"), datetime(2024, 1, 1)
+    at = lambda i, days, price: (i, t0 + timedelta(days=days), "X", price, 1.0)
+    for rows in ([at(1, 0.2, 5.0), at(2, 1.5, 6.0)], [at(3, 1.6, 6.0)], [at(4, 0.3, 99.0), at(5, 2.5, 7.0)]):
+        ticks(spark, src, rows)
+    stream = spark.readStream.schema("event_id long, ts timestamp, symbol string, price double, volume double").option("maxFilesPerTrigger", 1).parquet(src)
+    got = run(st.daily_bars(stream), spark, "late_ticks", checkpoint=str(tmp_path / "c")).orderBy("start").collect()
+    assert [(r["open"], r["high"], r["volume"]) for r in got] == [(5.0, 5.0, 1.0), (6.0, 6.0, 2.0)]
+
+
+def test_a_bar_stored_before_is_not_stored_again(spark, tmp_path):
+    sink = st.swap_on_complete(str(tmp_path / "bars"))
+    row = lambda d: ("X", date(2000, 1, d), 10.0, 12.0, 9.0, 11.0, 1.0)
+    sink(spark.createDataFrame([row(1)], BAR), 0)
+    with pytest.raises(ValueError):
+        sink(spark.createDataFrame([row(1), row(2)], BAR), 1)
+    sink(spark.createDataFrame([row(2)], BAR), 1)
+    assert spark.read.parquet(str(tmp_path / "bars")).count() == 2
+
+
+def test_rebalance_passes_over_days_without_a_target(spark, tmp_path):
+    schema = "symbol string, strategy string, date date, next_return double, target double"
+    day = lambda i, goal: ("X", "m", date(2000, 1, 1 + i), 0.01, goal)
+    for name, goals in (("warm", [None, None, 1.0, 1.0]), ("wrong", [1.5])):
+        src = str(tmp_path / name)
+        spark.createDataFrame([day(i, g) for i, g in enumerate(goals)], schema).coalesce(1).write.parquet(src)
+        stream = st.rebalance(spark.readStream.schema(schema).parquet(src), cost=0.0, band=0.05)
+        if name == "wrong":
+            with pytest.raises(Exception, match="outside 0 and 1"):
+                run(stream, spark, name, checkpoint=str(tmp_path / f"c_{name}"))
+        else:
+            got = run(stream, spark, name, checkpoint=str(tmp_path / f"c_{name}")).orderBy("date").collect()
+            assert [(r["date"].day, r["weight"]) for r in got] == [(3, 1.0), (4, 1.0)]

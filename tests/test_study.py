@@ -49,7 +49,10 @@ def test_constant_prices(spark):
 def test_unknown_feature_set():
     with pytest.raises(ValueError):
         ft.feature_set("none")
-    assert (len(ft.BASIC), len(ft.EXPANDED), len(ft.INTERACTIONS)) == (8, 18, 19)
+    basic = {"return_7", "return_30", "return_63", "ma50", "ma200", "vol30", "rsi14", "vol_ratio"}
+    assert set(ft.feature_set("basic")) == basic and len(ft.BASIC) == 8
+    assert set(ft.feature_set("expanded")) - basic == {"return_1", "return_3", "return_14", "return_126", "ma20", "vol90", "atr14", "volume_z", "range", "close_position"}
+    assert set(ft.feature_set("interactions")) - basic == {*(f"{c}_sq" for c in basic), "ma200_return63", "rsi_ma200", "return30_vol30"}
 
 
 def test_future_changes_leave_the_past(spark, bars):
@@ -189,6 +192,80 @@ def test_monthly_fold_rows_match_the_published_audit(spark):
     assert rows[date(2020, 1, 1)] == 633 and len(rows) == 81
 
 
+def test_annual_fold_rows_match_the_published_audit(spark):
+    """The same for the annual folds of 32-day labels, in both phases and with a window of 730 days."""
+    from barlab.jobs.registry import _fold_audit
+
+    days = spark.sql("SELECT 'X' AS symbol, explode(sequence(DATE '2018-04-01', DATE '2026-09-16')) AS date").withColumn("label_end", F.date_add("date", 32)).where("label_end <= '2026-09-16'")
+    got = _fold_audit(spark, days, wf.folds(spark, date(2020, 1, 1), date(2026, 12, 31), "year"), (2020, 2021, 2022, 2023), date(2024, 1, 1)).orderBy("cutoff").collect()
+    # fixed values: the published counts of training and test rows
+    assert [(r["phase"], r["train_rows"], r["test_rows"]) for r in got] == [("development", 608, 366), ("development", 974, 365), ("development", 1339, 365), ("development", 1704, 333), ("reuse", 2069, 366), ("reuse", 2435, 365), ("reuse", 2800, 227)]
+    assert got[3]["test_end"] == date(2023, 11, 29) and got[0]["train_label_end"] == date(2019, 12, 31)
+    rows = days.withColumns({"score": F.lit(0), "target": F.lit(1)})
+    window = wf.expanding_counts(rows, wf.folds(spark, date(2020, 1, 1), date(2024, 1, 1), "year"), ["symbol"], window_days=730, span=32)
+    assert [r["n0"] for r in window.orderBy("cutoff").collect()] == [608, 698, 698, 698]
+
+
+def test_fitted_candidates_against_plain_fits(spark, bars):
+    rows = lb.dataset(lb.open_to_open(ft.all_features(bars), 7), list(ft.EXPANDED), start=date(1997, 1, 1)).select("symbol", "date", "label_end", "target", *ft.EXPANDED)
+    folds = [(date(1997, 11, 1), date(1998, 1, 1)), (date(1998, 1, 1), date(1999, 1, 1))]
+    specs = [s for s in wf.candidate_specs(windows=(None, 100), penalties=(0.1, 1.0), neighbours=(5, 20), sets=("basic", "expanded"))]
+    got = md.fitted_candidates(rows, ["symbol"], specs, ft.FEATURE_SETS, folds, least=40).toPandas()
+    p = rows.orderBy("date").toPandas()
+    p[["date", "label_end"]] = p[["date", "label_end"]].astype("datetime64[s]")
+    want = {}
+    for name, family, window, kind, penalty, k in specs:
+        if family not in ("logistic", "knn"):
+            continue
+        for cutoff, stop in folds:
+            c = pd.Timestamp(cutoff)
+            train = p[(p["label_end"] < c) & ((p["date"] >= c - pd.Timedelta(days=window)) if window else True)]
+            test = p[(p["date"] >= c) & (p["date"] < pd.Timestamp(stop))]
+            x, y = train[list(ft.feature_set(kind))].to_numpy(), train["target"].to_numpy(float)
+            if len(x) < max(40, k or 0):
+                continue
+            scale = lambda v: np.clip((v - x.mean(axis=0)) / x.std(axis=0), -8, 8)
+            z, zt = scale(x), scale(test[list(ft.feature_set(kind))].to_numpy())
+            if family == "knn":
+                far = ((zt[:, None, :] - z[None]) ** 2).sum(axis=2)
+                found = (y[np.argsort(far, axis=1, kind="stable")[:, :k]].sum(axis=1) + 1) / (k + 2)
+            else:
+                b = md.fit_logistic(z, y, penalty)
+                found = 1 / (1 + np.exp(-(b[0] + zt @ b[1:])))
+            want |= {(name, d.date()): v for d, v in zip(test["date"], found)}
+    assert {(r.candidate, r.date): r.probability for r in got.itertuples()} == pytest.approx(want, abs=1e-5) and len(want) > 500
+
+
+def test_nearest_shares_break_ties_by_order():
+    train, y = np.array([[0.0], [1.0], [1.0], [1.0], [5.0]]), np.array([1.0, 0, 1, 1, 1])
+    got = md.nearest_shares(train, y, np.array([[1.0], [0.0]]), [2, 4])
+    assert got[0].tolist() == [2 / 4, 4 / 6] and got[1].tolist() == [2 / 4, 4 / 6]
+
+
+def test_blends(spark):
+    got = md.blends(spark.createDataFrame([(0.5, 0.7, 0.9)], "prior double, regime double, logistic double"), 0.25).first()
+    assert got["logistic_shrunk"] == pytest.approx(0.8) and got["equal_blend"] == pytest.approx(0.75) and (got["always_up"], got["coin_flip"]) == (1.0, 0.5)
+
+
+def test_the_artifact_holds_what_was_selected(spark):
+    counts = spark.createDataFrame([("X", date(2000, 1, 1), 4, 2, 4, 1, 2, 2), ("X", date(2000, 2, 1), 5, 2, 4, 1, 2, 2)], "symbol string, cutoff date, n0 long, ups0 long, n1 long, ups1 long, n2 long, ups2 long")
+    chosen = spark.createDataFrame([("X", date(1999, 1, 1), "a"), ("X", date(2000, 1, 1), "b")], "symbol string, cutoff date, selected string")
+    fits = spark.createDataFrame([("X", date(2000, 2, 1), date(2000, 1, 31), [0.0], [1.0], [0.1, 0.2])], "symbol string, cutoff date, train_label_end date, center array<double>, scale array<double>, coefficients array<double>")
+    got = wf.current_freeze(wf.fold_probabilities(counts), chosen, ["symbol"], fits, names=("f",)).first()
+    assert (got["selected"], got["selection_date"], got["refit_date"], got["valid_until"]) == ("b", date(2000, 1, 1), date(2000, 2, 1), date(2000, 3, 1))
+    assert got["coefficients"] == [0.1, 0.2] and got["feature_names"] == ["f"] and got["train_label_end"] == date(2000, 1, 31)
+    assert got["regime_probabilities"] == {0: pytest.approx(3 / 7), 1: pytest.approx(2 / 6), 2: pytest.approx(3 / 4)}
+
+
+@pytest.mark.parametrize(("name", "most"), [("u2_mean_intervals", 0), ("u3_sharpe_difference", 1), ("c8_ci_envelope", 0), ("b6_performance_stats", 1)])
+def test_queries_read_the_ticks_once(spark, name, most):
+    """What a query uses more than once it has as files; its plan reads the ticks ``most`` times."""
+    from barlab.jobs.registry import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= most
+
+
 def test_candidates(spark):
     grid = wf.candidate_grid(spark).collect()
     assert len(grid) == 40 and len({r["id"] for r in grid}) == 40
