@@ -36,6 +36,10 @@ def vocabulary(path: str) -> list[bytes]:
     return [bytes(letters[c] for c in piece) for piece in model["model"]["vocab"] if piece not in special]
 
 
+#: Bytes of a word that are read one after the other; a longer word is read in blocks of as many. EARLY: bytes before a block from which its first state is guessed.
+LONG, EARLY = 4096, 128
+
+
 class Automaton:
     """Greedy longest match from the left, over any pieces that include each byte occurring in a word."""
 
@@ -86,23 +90,55 @@ class Automaton:
 
     def lengths(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: int | None = 0x20) -> np.ndarray:
         """Pieces of each range of bytes, after the byte ``lead`` if given; 1 (an unknown word) where none fit."""
-        n = len(starts)
-        if not n:
-            return np.zeros(0, np.int64)
-        order = np.argsort(starts - ends, kind="stable")  # longest first
-        starts, size = starts[order], (ends - starts)[order]
+        out = np.ones(len(starts), np.int64)
+        long = ends - starts > LONG
+        for i in np.flatnonzero(long).tolist():
+            out[i] = self._long(data, int(starts[i]), int(ends[i]), lead)
+        short = np.flatnonzero(~long)
+        out[short] = self._total(*self._advance(data, starts[short], ends[short], self._entry(len(short), lead)))
+        return out
+
+    def _entry(self, n: int, lead: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """state, count and lost of n words of which only ``lead`` has been read."""
         state, count, lost = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
         if lead is not None:
             self._step(state, count, lost, np.full(n, lead, np.int64))
-        for t in range(int(size[0])):
+        return state, count, lost
+
+    def _total(self, state: np.ndarray, count: np.ndarray, lost: np.ndarray) -> np.ndarray:
+        tail = self.rest[state]
+        return np.where(lost | (tail < 0), 1, count + tail)
+
+    def _advance(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """state, count and lost after reading each range from its entry."""
+        order = np.argsort(starts - ends, kind="stable")  # longest first
+        starts, size = starts[order], (ends - starts)[order]
+        state, count, lost = (x[order] for x in entry)
+        for t in range(int(size.max(initial=0))):
             live = int(np.searchsorted(-size, -t, "left"))
             self._step(state[:live], count[:live], lost[:live], data[starts[:live] + t].astype(np.int64))
-        tail = self.rest[state]
-        total = np.where(lost | (tail < 0), 1, count + tail)
-        out = np.empty(n, np.int64)
-        out[order] = total
+        out = np.empty_like(state), np.empty_like(count), np.empty_like(lost)
+        for x, value in zip(out, (state, count, lost), strict=True):
+            x[order] = value
         return out
 
+    def _long(self, data: np.ndarray, start: int, end: int, lead: int | None) -> int:
+        """Pieces of one long word: its blocks are read side by side, each from the state that the bytes before it leave from scratch; a block whose state was another is read again."""
+        begin = np.arange(start, end, LONG)
+        stop = np.minimum(begin + LONG, end)
+        state, count, lost = self._entry(1, lead)
+        guess, _, astray = self._advance(data, np.maximum(begin - EARLY, start), begin, self._entry(len(begin), None))
+        guess[astray] = 0
+        guess[0] = state[0]
+        found = self._advance(data, begin, stop, (guess, np.zeros(len(begin), np.int64), np.zeros(len(begin), bool)))
+        for k in range(len(begin)):
+            if guess[k] == state[0]:
+                own = tuple(x[k : k + 1] for x in found)
+            else:
+                own = self._advance(data, begin[k : k + 1], stop[k : k + 1], (state, np.zeros(1, np.int64), np.zeros(1, bool)))
+            state, count, lost = own[0].copy(), count + own[1], lost | own[2]
+        return int(self._total(state, count, lost)[0])
+
     def _step(self, state: np.ndarray, count: np.ndarray, lost: np.ndarray, letter: np.ndarray) -> None:
         todo = np.flatnonzero(~lost)
         while len(todo):

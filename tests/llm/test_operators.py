@@ -494,6 +494,21 @@ def test_automaton_pops_and_unknown_words():
     assert [count(w) for w in (b"abcx", b"abcd", b"abc", b"abcdab", b"zz", b"abd")] == [2, 1, 2, 2, 1, 1]
 
 
+@pytest.mark.parametrize("text", ["abcx" * 5000, "aab" * 9000, "".join(random.Random(1).choices(["ab", "abcd", "cx", "a", "b"], k=20_000)), "ab" * 6000 + "z" + "ab" * 6000, "ab" * 2048, "abc" * 4096 + "abx"])
+def test_automaton_reads_long_words_in_blocks(text):
+    vocab = [b"ab", b"abcd", b"cx", b"a", b"b", b"c", b"aba", b"bcxa"]
+    m = token_counts.Automaton(vocab)
+    data = np.frombuffer(text.encode(), np.uint8)
+    n, i = 0, 0
+    while i < len(text):
+        j = next((j for j in range(i + 4, i, -1) if text[i:j].encode() in vocab), None)
+        if j is None:
+            n = 1
+            break
+        n, i = n + 1, j
+    assert m.lengths(data, np.array([0, 0]), np.array([len(data), 3]), lead=None).tolist()[0] == n
+
+
 # ---- 10
 
 
