@@ -146,9 +146,13 @@ def _segment_sum(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[at], np.add.reduceat(values[order], at, axis=0)
 
 
-def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, bits: int = 17, dim: int = 8, width: int = 8, epochs: tuple[int, ...] = (2, 2), rate: float = 0.5, batch: int = 3000, seed: int = 7) -> Model:
+def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, bits: int = 17, dim: int = 8, width: int = 4, phases: int = 3, updates: int = 300, epochs: tuple[int, int] = (2, 12), rate: float = 0.5, batch: int = 3000, seed: int = 7) -> Model:
     """Fit embeddings and softmax together by Adagrad on windows, then the curve of the worst windows.
 
+    Each of the ``phases`` goes over its windows for about ``updates`` batches,
+    that is a number of times between the two ``epochs``, and the next one
+    chooses its toxic windows anew.
+
     ``weight``: how many documents a sampled one stands for. With one class
     only, or none, the model gives that class's share for every text.
     """
@@ -202,12 +206,13 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, bits: int
         np.add(seen_b, grad_b**2, out=seen_b)
         np.subtract(bias, 0.1 * grad_b / np.sqrt(seen_b), out=bias)
 
-    for k, times in enumerate(epochs):
+    for k in range(phases):
         if k:
             z = logits()
             edge = np.quantile(z[toxic[row] == 0], 0.995)
             use = (toxic[row] == 0) | (z > edge)
             seen_t[:], seen_s[:], seen_b[:] = seen_t / 4, seen_s / 4, seen_b / 4
+        times = int(np.clip(round(updates * batch / max(1, use.sum())), *epochs))
         for _ in range(times):
             order = rng.permutation(np.flatnonzero(use))
             for a in range(0, len(order), batch):
@@ -254,7 +259,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(picks.distinct()), F.col(id_col) == F.col("__pick")).select("__pick", "text", "toxic", "weight")
 
 
-def fit(sample: DataFrame, bits: int = 17, width: int = 8) -> Model:
+def fit(sample: DataFrame, bits: int = 17, width: int = 4) -> Model:
     """A model of the sample, trained in one task; only the weights come to the driver."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
