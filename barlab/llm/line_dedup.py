@@ -49,7 +49,9 @@ def line_spread(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     ``band``: relative distance from the threshold within which sites and
     texts are counted exactly; at lg_k 12 it is 15 standard errors of the
-    sketch. n_sites and n_texts are such counts there, else estimates.
+    sketch. n_sites and n_texts are such counts there, else estimates. A null
+    site counts as '', null and empty texts have no lines, repeated rows count
+    once, a null id is never a keeper, an empty table gives no lines.
     """
     return _spread(checkpointed(_lines(docs, id_col, text_col, site_col)), min_sites, lg_k, band, small_rows, salts)
 

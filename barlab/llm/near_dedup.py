@@ -18,7 +18,10 @@
    pair inside a component is tested, no pair becomes a row unless it links,
    and none is left out for the size of its bucket. The nodes of a bucket's
    largest component meet the others only: a bucket of n nodes of which r lie
-   outside of it sends about (2 n r + r^2) / chunk rows to blocks.
+   outside of it sends about (2 n r + r^2) / chunk rows to blocks. Buckets of
+   more than ``wide`` nodes are first cut finer: linked sets share one of the
+   first shingles of both, frequent ones last, so many as may be missing from a
+   partner; such a shingle takes the bucket's place.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from barlab.llm.components import components
 from barlab.llm.kernels import Words, mix, ranges, word_slices
@@ -283,9 +286,10 @@ def _open_blocks(members: DataFrame, sketch: Sketch, chunk: int, parts: int) ->
         found_i, found_j = [], []
         for a in range(0, len(i), 8192):
             p, q = i[a : a + 8192], j[a : a + 8192]
-            same = (regs[p] == regs[q]).reshape(len(p), sketch.bands, sketch.rows).all(axis=2)
-            first = same.argmax(axis=1) == band
-            p, q = p[first], q[first]
+            if band >= 0:
+                same = (regs[p] == regs[q]).reshape(len(p), sketch.bands, sketch.rows).all(axis=2)
+                first = same.argmax(axis=1) == band
+                p, q = p[first], q[first]
             keep = may_link(regs[p], regs[q], n[p], n[q], sketch)
             found_i.append(p[keep])
             found_j.append(q[keep])
@@ -307,6 +311,30 @@ def _open_blocks(members: DataFrame, sketch: Sketch, chunk: int, parts: int) ->
     return sorted_blocks.mapInArrow(run, "bucket long, x int, y int, nodes array<long>, labels array<long>, i array<int>, j array<int>")
 
 
+def _several(tagged: DataFrame) -> DataFrame:
+    """Buckets that hold several components: their largest component, its nodes and the others."""
+    per_label = tagged.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    counted = per_label.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("labels"))
+    return counted.where("labels > 1").select("bucket", F.col("x.label").alias("largest"), F.col("x.c").alias("most"), (F.col("all") - F.col("x.c")).alias("rest"))
+
+
+def _by_prefix(members: DataFrame, nodes: DataFrame, sets: DataFrame, sketch: Sketch, frequent: int, salts: int) -> DataFrame:
+    """node, label, band (-1) and bucket: a shingle of the node's prefix.
+
+    Two sets that link share as many shingles as the similarity asks of the
+    larger one. So their prefixes, what else there is plus one in an order of
+    all shingles, have one in common. The order puts shingles of ``frequent``
+    nodes or more last, by their number of nodes.
+    """
+    each = members.join(sets, "node").select("node", "label", F.explode("shingles").alias("bucket"))
+    often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= frequent)
+    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    ranked = each.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(often, ["bucket", "salt"], "left").join(nodes.select("node", "n"), "node")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("times", F.lit(0)), "bucket"))
+    least = F.floor((F.col("n") * sketch.percent + 99) / 100)
+    return ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1).select("node", "label", F.lit(-1).alias("band"), "bucket")
+
+
 def _links_in_blocks(blocks: DataFrame, sets: DataFrame, sketch: Sketch, parts: int) -> DataFrame:
     """Verified pairs of the blocks, as many as join their components: each node's full set is sent to its blocks once."""
     head = blocks.select(*_BLOCK, F.lit(-1).alias("place"), "nodes", "labels", "i", "j", F.lit(None).cast("array<bigint>").alias("shingles"))
@@ -356,7 +384,7 @@ def _links_in_blocks(blocks: DataFrame, sets: DataFrame, sketch: Sketch, parts:
     return rows.repartition(parts, *_BLOCK).sortWithinPartitions(*_BLOCK, "place").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = Sketch(), chunk: int = 256, salts: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sketch: Sketch = Sketch(), chunk: int = 256, wide: int = 4096, salts: int = 8) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text), first.
 
     Documents link when 100 * shared shingles >= percent * all shingles of
@@ -386,17 +414,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = checkpointed(_verified(near, sets, sketch))
     labels = components(links)
     tagged = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per_label = tagged.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-    several = (
-        per_label.groupBy("bucket")
-        .agg(F.max(F.struct("c", "label")).alias("x"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("labels"))
-        .where("labels > 1")
-        .select("bucket", F.col("x.label").alias("largest"), F.col("x.c").alias("most"), (F.col("all") - F.col("x.c")).alias("rest"))
-    )
-    left = tagged.join(several, "bucket").join(nodes, "node")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = checkpointed(_open_blocks(left, sketch, chunk, parts))
-    more = _links_in_blocks(blocks, sets, sketch, parts)
+
+    def linked_in(where: DataFrame, several: DataFrame) -> DataFrame:
+        blocks = _open_blocks(where.join(several, "bucket").join(nodes, "node"), sketch, chunk, parts)
+        return _links_in_blocks(checkpointed(blocks), sets, sketch, parts)
+
+    several = checkpointed(_several(tagged))
+    broad = F.col("most") + F.col("rest") > wide
+    more = linked_in(tagged, several.where(~broad))
+    if not several.where(broad).isEmpty():
+        members = tagged.join(several.where(broad).select("bucket"), "bucket", "left_semi").select("node", "label").distinct()
+        finer = checkpointed(_by_prefix(members, nodes, sets, sketch, 4 * chunk, salts))
+        more = more.union(linked_in(finer, _several(finer)))
     labels = components(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
     named = labels.join(groups.select("node", "doc_id"), "node").groupBy("label").agg(least.alias("least")).select("label", F.col("least.doc_id").alias("component_id"), F.col("least.node").alias("front"))

@@ -430,7 +430,11 @@ def encode(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id",
 
 
 def decode(encoded: DataFrame, *, model: str | None = None, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """``encoded`` with the ids' text in the column ``text_col`` (replaced if there); null ids give an empty text."""
+    """``encoded`` with the ids' text in the column ``text_col``, replaced if there.
+
+    Null ids give an empty text. Rows are independent, repeats and all other
+    columns stay; an empty table gives no rows.
+    """
     path = model or default_model()
     rest = encoded.drop(text_col)
     names = [*rest.columns, text_col]

@@ -348,7 +348,10 @@ def test_pieces_equal_the_library(spark, docs, rows, none):
     encoded = pieces.encode(frame(spark, more))
     assert pieces.encode(none).count() == 0
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in encoded.collect()) == Counter((i, tuple(lib.encode(t or ""))) for i, t in more)
-    assert Counter((r["doc_id"], r["text"]) for r in pieces.decode(encoded).collect()) == Counter((i, t or "") for i, t in more)
+    assert Counter((r["doc_id"], r["text"]) for r in pieces.decode(encoded.withColumn("text", F.lit("clash"))).collect()) == Counter((i, t or "") for i, t in more)
+    assert pieces.decode(pieces.encode(none)).count() == 0
+    assert [r["text"] for r in pieces.decode(encoded.limit(1).withColumn("ids", F.lit(None).cast("array<int>"))).collect()] == [""]
+    assert line_dedup.line_spread(none).count() == 0
 
 
 # ---- 7
@@ -551,10 +554,10 @@ def near_rows(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [256, 8])
-def test_near(spark, rows, none, chunk):
+@pytest.mark.parametrize(("chunk", "wide"), [(256, 4096), (8, 4)])
+def test_near(spark, rows, none, chunk, wide):
     more = near_rows(rows)
-    got = near_dedup.near_duplicates(frame(spark, more), chunk=chunk).collect()
+    got = near_dedup.near_duplicates(frame(spark, more), chunk=chunk, wide=wide).collect()
     assert near_dedup.near_duplicates(none).count() == 0
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(more)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
@@ -563,8 +566,9 @@ def test_near(spark, rows, none, chunk):
     assert sum(r["first"] for r in got) - empty == len(front) and front == {r["component_id"] for r in got if r["n_shingles"]}
 
 
-def test_near_in_one_bucket(spark):
-    """Many texts in one bucket, linked and not, with repeated and null ids."""
+@pytest.mark.parametrize("wide", [4096, 6])
+def test_near_in_one_bucket(spark, wide):
+    """Many texts in one bucket, linked and not, with repeated and null ids; also where the bucket is cut finer."""
     rng = random.Random(12)
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -573,7 +577,7 @@ def test_near_in_one_bucket(spark):
         for _ in range(rng.choice([0, 1, 2, 4, 7])):
             w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
         rows.append((rng.choice([None, rng.randrange(60)]), " ".join(w)))
-    got = near_dedup.near_duplicates(frame(spark, rows), chunk=8, sketch=near_dedup.Sketch(bands=72, rows=2)).collect()
+    got = near_dedup.near_duplicates(frame(spark, rows), chunk=8, wide=wide, sketch=near_dedup.Sketch(bands=72, rows=2)).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(rows)
 
 
