@@ -12,7 +12,7 @@ GRID = "id string, family string, window_days int, features string, penalty doub
 
 
 def candidate_specs(*, windows: tuple[int | None, ...] = (None, 730), penalties: tuple[float, ...] = (0.001, 0.01, 0.1), neighbours: tuple[int, ...] = (25, 75, 150), sets: tuple[str, ...] = ("basic", "expanded", "interactions")) -> list[tuple]:
-    """Rows of GRID: all candidates of the search."""
+    """Rows of GRID: all candidates of the search. The defaults are the study's fixed values."""
     rows = [("always_up", "baseline", None, None, None, None), ("historical_prior", "baseline", None, None, None, None)]
     for w in windows:
         tag = "expanding" if w is None else f"{w}d"
