@@ -102,7 +102,10 @@ def bag_corpus(texts: list[str], bits: int, most: int = 1 << 20) -> tuple[np.nda
         hashes.append(own)
         rows.append((words.rows + a).astype(np.int32))
     order = np.argsort(seen)
-    place = order[np.searchsorted(seen[order], np.concatenate(hashes))].astype(np.int32) if hashes else np.zeros(0, np.int32)
+    ranked, places = seen[order], [np.zeros(0, np.int32)]
+    while hashes:  # slice by slice, each freed as it goes
+        places.append(order[np.searchsorted(ranked, hashes.pop(0))].astype(np.int32))
+    place = np.concatenate(places)
     size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
     place, counts = no_runs(np.concatenate(rows) if rows else np.zeros(0, np.int32), len(texts), place)
     return place, counts, Bags(np.concatenate(ids) if ids else np.zeros(0, np.int32), np.cumsum(size) - size)
@@ -163,13 +166,13 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, bits: int
     if not len(texts) or toxic.min() == toxic.max():
         return Model(np.zeros(1 << bits, np.float32), base, 1.0, 0.0, bits, width)
     place, counts, bags = bag_corpus(texts, bits)
-    start, end, row = window_bounds(counts, width, width)
+    start, end, row = (x.astype(np.int32) for x in window_bounds(counts, width, width))
     scale = np.where(toxic[row] == 1, (toxic == 0).sum() / max(1, (toxic == 1).sum()), 1.0)
     table = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
     soft = rng.normal(0, 0.5, (dim, 2))
     bias = np.zeros(2)
     seen_t, seen_s, seen_b = np.full(1 << bits, 1e-6), np.full(soft.shape, 1e-6), np.full(2, 1e-6)
-    label = toxic[row].astype(np.int64)
+    label = toxic[row].astype(np.int8)
     use = np.ones(len(row), bool)
 
     def model(slope: float = 1.0, shift: float = 0.0) -> Model:
@@ -178,8 +181,11 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, *, bits: int
     def logits() -> np.ndarray:
         m = model()
         part = np.add.reduceat(m.weights[bags.ids], bags.first) / bags.sizes
-        total = np.concatenate(([0.0], np.cumsum(part[place])))
-        return m.bias + (total[end] - total[start]) / (end - start)
+        out = np.empty(len(start))
+        for a in range(0, len(start), 1 << 18):  # windows lie side by side, so a block of them is a run of words
+            b = min(a + (1 << 18), len(start))
+            out[a:b] = np.add.reduceat(part[place[start[a] : end[b - 1]]], start[a:b] - start[a]) / (end[a:b] - start[a:b])
+        return m.bias + out
 
     def step(pick: np.ndarray) -> None:
         n = end[pick] - start[pick]
