@@ -160,6 +160,11 @@ class Seen:
         self.count += len(hashes)
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes are a space or 09-0D."""
+    return _SPACE[data]
+
+
 def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     """Runs of bytes outside space and 09-0D, never across rows; A-Z lower-cased if asked."""
     n = len(offsets) - 1

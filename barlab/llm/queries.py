@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barlab.llm import exact_dedup, line_dedup, maxent_lm, near_dedup, packing, pieces, quality, secrets, token_counts, toxicity
+from barlab.llm import exact_dedup, fill_middle, line_dedup, maxent_lm, near_dedup, packing, pieces, quality, secrets, sharding, token_counts, toxicity, whitening
 from barlab.llm.session import documents
 
 
@@ -59,6 +59,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf_dir))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restore(fill_middle.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return whitening.by_component(whitening.whiten(vectors))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -70,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_sharding": op11_sharding,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES: dict[str, str] = {
@@ -78,4 +95,6 @@ ORACLES: dict[str, str] = {
     "op3_secret_scans": secrets.ORACLE,
     "op5_quality_rules": quality.ORACLE,
     "op10_minhash_near_dedup": near_dedup.ORACLE,
+    "op11_sharding": sharding.ORACLE,
+    "op12_fill_in_middle": fill_middle.ORACLE,
 }
