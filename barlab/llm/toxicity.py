@@ -11,8 +11,8 @@ Labels mark documents, not windows: the first pass takes every window of a
 toxic document as toxic, later passes only those that the model so far holds
 for toxic, and none of a document where it finds nothing (a wrong label).
 
-Training reads a bounded sample (``per_class`` documents of each label, of at
-most ``sample_chars`` characters); scoring reads every text whole.
+Training reads a bounded sample (one text for each of ``per_class`` ids of each
+label, of at most ``sample_chars`` characters); scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -247,22 +247,26 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, sample_chars: int = 20_000) -> DataFrame:
-    """text, toxic and weight of at most ``per_class`` labelled documents of each class, in the order of a hash of their ids.
+    """__pick (id), text, toxic and weight of at most ``per_class`` labelled ids of each class, in the order of a hash of their ids; a row for each.
 
-    The bound: 2 x per_class x sample_chars characters. Longer, null and
-    unlabelled documents are left out of training only; an id that repeats
-    brings all its texts; without labels or documents there are no rows.
+    The bound: 2 x per_class rows of at most sample_chars characters each,
+    however ids and rows repeat. An id stands for one text of at most
+    ``sample_chars`` characters, the one with the smallest hash; longer, null
+    and unlabelled texts are left out of training only. A weight is how many
+    such ids one stands for. Without labels or documents there are no rows.
     """
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    sizes = docs.select(F.col(id_col).alias("__doc"), F.length(text_col).alias("__chars")).where(F.col("__chars") <= sample_chars)
-    known = sizes.join(marks, F.col("__doc") == F.col("__id")).select("__doc", "toxic")
+    usable = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= sample_chars).withColumn("__hash", F.xxhash64("text"))
+    chosen = usable.groupBy("__doc").agg(F.min("__hash").alias("__hash"))  # combines before the shuffle, so a repeated id costs a row a task
+    known = chosen.join(marks, F.col("__doc") == F.col("__id")).select("__doc", "__hash", "toxic")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picks = None
     for mark in (0, 1):
         n = counts.get(mark, 0)
-        own = known.where(F.col("toxic") == mark).orderBy(F.xxhash64("__doc"), "__doc").limit(per_class).select(F.col("__doc").alias("__pick"), "toxic", F.lit(n / max(1, min(n, per_class))).alias("weight"))
+        own = known.where(F.col("toxic") == mark).orderBy(F.xxhash64("__doc"), "__doc").limit(per_class).select(F.col("__doc").alias("__pick"), F.col("__hash").alias("__text"), "toxic", F.lit(n / max(1, min(n, per_class))).alias("weight"))
         picks = own if picks is None else picks.union(own)
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(picks.distinct()), F.col(id_col) == F.col("__pick")).select("__pick", "text", "toxic", "weight")
+    found = usable.join(F.broadcast(picks), (F.col("__doc") == F.col("__pick")) & (F.col("__hash") == F.col("__text")))
+    return found.groupBy("__pick", "toxic", "weight").agg(F.min("text").alias("text")).select("__pick", "text", "toxic", "weight")
 
 
 def fit(sample: DataFrame, bits: int = 17, width: int = 4) -> Model:
