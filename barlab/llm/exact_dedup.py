@@ -6,7 +6,9 @@
 2. An owner merges the chunks' lists and answers each with a bitmap: which of
    its fingerprints another chunk sent too.
 3. A row is a suspect if its fingerprint is marked, or repeats in its chunk.
-   Only suspects' texts are shuffled, and grouped by their bytes.
+   Suspects' fingerprints make a filter of bounded size, which every scan task
+   gets: of the texts only those that pass it are shuffled, and grouped by
+   their bytes. Whatever passes by chance is told apart by its whole hash.
 
 A fingerprint that a third of all rows share is sent once by each chunk, and
 its texts meet in a group-by that combines before the shuffle.
@@ -129,6 +131,36 @@ def _marker(owners: int):
     return mark
 
 
+_WORD_BITS = 6
+
+
+def _filter_places(fp, words: int) -> tuple:
+    """Word of a filter, and the two bits of it, that a fingerprint sets."""
+    mixed = F.xxhash64(fp)
+    bit = lambda at: F.lit(1).cast("long") * F.expr(f"shiftleft(1L, cast(shiftright(__mixed, {at}) & {(1 << _WORD_BITS) - 1} as int))")
+    return mixed.alias("__mixed"), F.pmod(F.shiftrightunsigned("__mixed", 2 * _WORD_BITS), F.lit(words)).alias("word"), bit(0).bitwiseOR(bit(_WORD_BITS)).alias("bits")
+
+
+def suspect_filter(fingerprints: DataFrame, most_words: int = 1 << 21) -> tuple[DataFrame, int]:
+    """word and bits (long) of a Bloom filter with two bits for each value of ``fp``, and its number of words.
+
+    About 32 bits a value let one in 250 of the others pass. From
+    ``most_words`` (16 MB of bits) on it does not grow, so it can be sent to
+    every task; then more pass by chance, and nothing is missed.
+    """
+    fp = fingerprints.select("fp").distinct()
+    words = max(1, min(most_words, fp.count() // 2))
+    mixed, word, bits = _filter_places(F.col("fp"), words)
+    return fp.select(mixed).select(word, bits).groupBy("word").agg(F.bit_or("bits").alias("bits")), words
+
+
+def _passing(rows: DataFrame, found: DataFrame, words: int) -> DataFrame:
+    """Rows whose ``fp`` the filter holds; no row is shuffled."""
+    mixed, word, bits = _filter_places(F.col("fp"), words)
+    tried = rows.select("*", mixed).select("*", word, bits.alias("own"))
+    return tried.join(F.broadcast(found), "word").where(F.col("bits").bitwiseAND(F.col("own")) == F.col("own")).select(*rows.columns)
+
+
 def _first_of(doc_id: str, rid: str):
     """Order of rows: by document id, nulls last, then as stored."""
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid"))
@@ -147,13 +179,8 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     norm = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACES, " ")
     source = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"))
     sha = F.sha2(F.col("norm"), 256)
-    keyed = checkpointed(
-        source.select(
-            F.monotonically_increasing_id().alias("rid"),
-            "doc_id",
-            F.unhex(sha).alias("sha"),
-        ).withColumn("fp", F.conv(F.substring(F.hex("sha"), 1, FINGERPRINT_BITS // 4), 16, 10).cast("long"))
-    )
+    fp = F.conv(F.substring(F.hex("sha"), 1, FINGERPRINT_BITS // 4), 16, 10).cast("long").alias("fp")
+    keyed = checkpointed(source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.unhex(sha).alias("sha")).select("*", fp))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     owners = max(shuffle, -(-keyed.count() // owner_rows))
     blocks = keyed.select("rid", "fp").mapInArrow(_sender(owners, chunk_rows), _BLOCK)
@@ -164,8 +191,8 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         parts.groupBy("part", "chunk").cogroup(answers.groupBy("part", "chunk")).applyInPandas(_marker(owners), f"rid long, doc_id {types['doc_id']}, sha binary")
     )
     # byte verification: a group of a fingerprint holds one text only
-    ids = suspects.select(F.col("doc_id").alias("suspect")).distinct()
-    texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("suspect")), "left_semi").select(F.unhex(sha).alias("sha"), "norm")
+    found, words = suspect_filter(suspects.select(fp))
+    texts = _passing(source.select(F.unhex(sha).alias("sha"), "norm").select("*", fp), checkpointed(found), words)
     verified = texts.groupBy("sha", "norm").agg(F.count(F.lit(1)).alias("n")).groupBy("sha").agg(F.count(F.lit(1)).alias("variants"))
     groups = (
         suspects.groupBy("sha")
