@@ -5,10 +5,11 @@
    is (r - phase) / rows of the source, with a seeded phase between 0 and 1
    for each source, so that sources of a single row do not all fall together.
 2. All rows in the order of their fractional ranks hold the sources in equal
-   proportions throughout: any stretch of m of the N rows has within one row
-   of n m / N of a source with n rows.
+   proportions throughout: below a fraction f lie f n rows of a source with n
+   rows, within one, and so f N rows of all, within the number of sources.
 3. The order is cut into equal stretches: shard sizes differ by one row at
-   most, and a source's rows in a shard by two.
+   most. Of N rows from s sources, a shard of m has n m / N of a source with n
+   rows, within 2 + 2 s n / N (in practice the root of s, not s).
 
 Neither order is ever sorted in one task. With N rows, the shuffle keys are cut
 into about sqrt(N) equal ranges, so that (source, range) holds about sqrt(N)

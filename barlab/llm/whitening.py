@@ -152,8 +152,11 @@ def whiten(vectors: DataFrame, *, vector_col: str = "embedding", components: int
         for part in parts:
             same = np.array([len(v) == len(m.sums) for v in part["__x"]], bool)
             x = np.stack(part["__x"][same].to_numpy()).astype(np.int64) if same.any() else np.zeros((0, len(m.sums)), np.int64)
-            fitted = pd.DataFrame({"deviation": pd.array(m.deviations(x), "Int64"), "whitened": [[None if v != v else v for v in row] for row in m.whiten(x).tolist()]}, index=part.index[same])
-            yield part.drop(columns="__x").join(fitted)
+            found = iter(zip(m.deviations(x).tolist(), m.whiten(x).tolist(), strict=True))
+            fitted = [next(found) if is_fit else (None, None) for is_fit in same]
+            deviation, whitened = zip(*fitted, strict=True) if fitted else ((), ())
+            values = [None if w is None else [None if v != v else v for v in w] for w in whitened]
+            yield part.drop(columns="__x").assign(deviation=pd.array(deviation, "Int64"), whitened=pd.Series(values, part.index, object))
 
     fine = vectors.where(valid(F.col(f"`{vector_col}`"))).select(*[F.col(f"`{c}`") for c in own], integers(F.col(f"`{vector_col}`")).alias("__x"))
     schema = T.StructType([*fine.schema.fields[:-1], *[T.StructField(c, t) for c, t in new.items()]])
