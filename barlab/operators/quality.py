@@ -13,7 +13,8 @@ from barlab.sources.files import DAY_MS
 def violations(bars: DataFrame, *, as_of: date | None = None, fields: int | None = None) -> DataFrame:
     """``bars`` with ``reasons``: the names of the rules that a row breaks, none for a good row.
 
-    A value that was no finite number has become null in reading.
+    A value that was no finite number has become null in reading. A column
+    ``malformed`` (files.read_bars_csv) holds lines with a wrong number of fields.
     """
     prices = ["open", "high", "low", "close"]
     missing = lambda c: F.when(F.col(c).isNull(), F.lit(f"{c}_not_numeric"))
@@ -24,6 +25,8 @@ def violations(bars: DataFrame, *, as_of: date | None = None, fields: int | None
         rules.append(F.when(F.col("date") >= F.lit(as_of), F.lit("not_closed")))
     if fields is not None:
         rules.append(F.when(F.col("raw_fields") < fields, F.lit("too_few_fields")))
+    if "malformed" in bars.columns:
+        rules.append(F.when(F.col("malformed").isNotNull(), F.lit("wrong_column_count")))
     return bars.withColumn("reasons", F.array_compact(F.array(*rules)))
 
 

@@ -8,6 +8,7 @@ from barlab.schemas import BAR_COLUMNS
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DAY_MS = 86_400_000
+_MALFORMED = "__malformed"
 
 
 def number(text: Column) -> Column:
@@ -65,8 +66,16 @@ def joined_pages(*pages: DataFrame) -> DataFrame:
 
 
 def read_bars_csv(spark: SparkSession, path: str, *, symbol: str | None = None) -> DataFrame:
-    """Strings of a CSV with a header in any case and order; further columns are ignored, blank lines skipped."""
-    raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("mode", "PERMISSIVE").csv(path)
+    """Typed bars of a CSV with a header in any case and order, and ``malformed``: the line, where it has too many or too few fields, else null.
+
+    Further columns are ignored, blank lines skipped. quality.rejects reports
+    a malformed line as wrong_column_count and bad values by their rules; what
+    can be read of such a line is there.
+    """
+    options = {"header": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "mode": "PERMISSIVE"}
+    names = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _MALFORMED]])
+    raw = spark.read.options(**options, columnNameOfCorruptRecord=_MALFORMED, columnPruning=False).schema(schema).csv(path)
     return bars_from_strings(raw, symbol=symbol)
 
 
@@ -83,7 +92,8 @@ def bars_from_strings(raw: DataFrame, *, symbol: str | None = None) -> DataFrame
     col = lambda c: F.col(f"`{names[c]}`")
     who = F.lit(symbol) if symbol is not None else col("symbol") if "symbol" in names else F.lit("")
     day = F.when(F.rlike(F.trim(col("date")), F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), F.try_to_date(F.trim(col("date")), "yyyy-MM-dd"))
-    return raw.select(who.alias("symbol"), day.alias("date"), *[number(col(c)).alias(c) for c in BAR_COLUMNS[2:]])
+    line = [F.col(_MALFORMED).alias("malformed")] if _MALFORMED in raw.columns else []
+    return raw.select(who.alias("symbol"), day.alias("date"), *[number(col(c)).alias(c) for c in BAR_COLUMNS[2:]], *line)
 
 
 def read_quotes(rows: DataFrame, *, payload: str = "value", wanted: str | None = None, received_at: str = "received_at") -> DataFrame:
@@ -93,9 +103,23 @@ def read_quotes(rows: DataFrame, *, payload: str = "value", wanted: str | None =
     return out if wanted is None else out.where(F.col("symbol") == wanted)
 
 
-def write_table(df: DataFrame, path: str, *, form: str = "parquet", by: list[str] | None = None) -> None:
-    """Write results; NaN and infinities become null, so that JSON and CSV stay readable anywhere."""
-    clean = df.select(*[F.when(F.abs(F.col(c)) < float("inf"), F.col(c)).alias(c) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.col(c) for c in df.columns])
+def write_table(df: DataFrame, path: str, *, form: str = "parquet", by: list[str] | None = None, digits: int | None = None) -> None:
+    """Write results; NaN and infinities become null, so that JSON and CSV stay readable anywhere.
+
+    ``by``: a folder for each value of these columns. ``digits``: decimals of
+    every number with a fraction, in CSV (all of them) and JSON (rounded).
+    """
+
+    def plain(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if not isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            return c
+        c = F.when(F.abs(c) < float("inf"), c)
+        if digits is not None:
+            c = F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c)) if form == "csv" else F.round(c, digits) if form == "json" else c
+        return c.alias(f.name)
+
+    clean = df.select(*[plain(f) for f in df.schema.fields])
     writer = clean.write.partitionBy(*by) if by else clean.write
     (writer.option("header", True) if form == "csv" else writer).format(form).save(path)
 

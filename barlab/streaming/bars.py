@@ -1,12 +1,10 @@
-"""Streams of closed bars, quotes and rebalancing."""
+"""Streams of closed bars and quotes."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barlab.operators import quality
 
@@ -68,36 +66,3 @@ def swap_on_complete(path: str, refresh: Callable[[DataFrame, DataFrame], None]
             batch.unpersist()
 
     return sink
-
-
-REBALANCED = "symbol string, strategy string, date date, return double, weight double, turnover double"
-
-
-def rebalance(days: DataFrame, *, cost: float, band: float) -> DataFrame:
-    """The simulation of backtest.simulate as a stream: the weight held is the state of each symbol and strategy.
-
-    ``days``: symbol, strategy, date, next_return, target; a batch's days of a
-    symbol must follow those of earlier batches. A day without a target (the
-    warm-up) changes nothing and gives no row; a target outside [0, 1] is an
-    error.
-    """
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else 0.0
-        rows = []
-        for day in pd.concat(list(parts)).sort_values("date").itertuples():
-            goal, r = day.target, 0.0 if pd.isna(day.next_return) else day.next_return
-            if pd.isna(goal):
-                continue
-            if not 0 <= goal <= 1:
-                raise ValueError("a target weight lies outside 0 and 1")
-            move = goal - held
-            trade = abs(move) >= band or (goal == 0) != (held == 0)
-            turnover = abs(move / (1 + cost * goal if move >= 0 else 1 - cost * goal)) if trade else 0.0
-            weight = goal if trade else held
-            rows.append((*key, day.date, (1 - cost * turnover) * (1 + weight * r) - 1, weight, turnover))
-            held = weight * (1 + r) / (1 + weight * r)
-        state.update((held,))
-        yield pd.DataFrame(rows, columns=["symbol", "strategy", "date", "return", "weight", "turnover"])
-
-    return days.groupBy("symbol", "strategy").applyInPandasWithState(step, REBALANCED, "held double", "append", GroupStateTimeout.NoTimeout)
