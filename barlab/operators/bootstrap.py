@@ -62,6 +62,21 @@ def mean_intervals(rows: DataFrame, keys: list[str], value: str, *, blocks: tupl
     return _intervals(resampled_sums(rows, keys, [value], block=blocks, reps=reps, seed=seed, order=order), keys, F.col(value) / F.col("n"))
 
 
+def paired_uncertainty(rows: DataFrame, keys: list[str], *, blocks: tuple[int, ...], reps: int, seed: int, baseline: str = "prior", order: str = "date") -> DataFrame:
+    """keys, block, reps and 95 % intervals of accuracy, accuracy gain and Brier gain over ``baseline``, from the same resamples.
+
+    ``rows``: target, probability and the baseline's probability.
+    """
+    right = lambda c: ((F.col(c) >= 0.5).cast("int") == F.col("target")).cast("double")
+    miss = lambda c: (F.col(c) - F.col("target")) ** 2
+    values = {"accuracy": right("probability"), "accuracy_gain": right("probability") - right(baseline), "brier_gain": miss(baseline) - miss("probability")}
+    sums = resampled_sums(rows.withColumns(values), keys, list(values), block=blocks, reps=reps, seed=seed, order=order)
+    q = lambda v: F.percentile(F.col(v) / F.col("n"), F.array(F.lit(0.025), F.lit(0.975))).alias(v)
+    got = sums.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("reps"), *[q(v) for v in values])
+    ends = [F.get(v, F.lit(i)).alias(f"{v}_{end}") for v in values for i, end in enumerate(("low", "high"))]
+    return got.select(*keys, "block", "reps", *ends)
+
+
 def sharpe_difference(rows: DataFrame, keys: list[str], a: str, b: str, *, blocks: tuple[int, ...], reps: int, seed: int, annual: int = 365, order: str = "date") -> DataFrame:
     """95 % interval of Sharpe(a) - Sharpe(b) on paired resamples, for each block length; a resample without variance has Sharpe 0."""
     squares = rows.withColumns({"__aa": F.col(a) * F.col(a), "__bb": F.col(b) * F.col(b)})

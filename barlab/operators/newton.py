@@ -95,8 +95,8 @@ def newton_folds(rows: DataFrame, keys: list[str], features: list[str], cutoffs:
     )
     start = F.array(F.log((F.col("ups") + 1) / (F.col("train_rows") - F.col("ups") + 1)), *[F.lit(0.0)] * d)
     none = F.lit(None).cast("double")
-    state = base.where(F.col("train_rows") >= least).drop("ups").withColumns({"beta": start, "trial": start, "move": F.array(*[F.lit(0.0)] * (d + 1)), "loss": none, "size": F.lit(0.0), "slope": F.lit(0.0), "done": F.lit(False)})
-    state = checkpointed(state)
+    state = base.where(F.col("train_rows") >= least).withColumns({"beta": start, "trial": start, "move": F.array(*[F.lit(0.0)] * (d + 1)), "loss": none, "size": F.lit(0.0), "slope": F.lit(0.0), "done": F.lit(False)})
+    state = checkpointed(state.drop("ups"))
     names = [c for c in state.columns if c not in _STATE]
     ddl = ", ".join(f"`{c}` {t}" for c, t in state.dtypes if c in names) + ", " + _STATE_DDL
     eta, sums = _sums(d)

@@ -74,6 +74,15 @@ def leaks(before: DataFrame, after: DataFrame, keys: list[str], cutoff: date, to
     return dataset_diff(upto(before), upto(after), keys, tolerance=tolerance)
 
 
+def study_leaks(before: dict[str, DataFrame], after: dict[str, DataFrame], keys: list[str], cutoff: date, tolerance: float = 1e-12) -> DataFrame:
+    """leaks for every part of a study at once (features, fits, predictions, selections): keys, part and what changed."""
+    found = [leaks(before[part], after[part], keys, cutoff, tolerance).select(*keys, F.lit(part).alias("part"), F.concat_ws(",", "what").alias("what")) for part in before]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def fold_leaks(rows: DataFrame) -> DataFrame:
     """Training rows whose label was not yet known at the refit; none may be."""
     return rows.where((F.col("role") == "train") & (F.col("label_end") >= F.col("cutoff")))

@@ -43,6 +43,7 @@ class Protocol:
     penalty: float = 0.1
     prior_weight: float = 0.5
     reps: int = 1000
+    nested_reps: int = 2000
     blocks: tuple[int, ...] = (30, 60, 90)
     seed: int = 20240101
 
