@@ -7,8 +7,9 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from barlab.functions.storage import checkpointed
 from barlab.functions.windows import by_symbol
 from barlab.operators import features
 from barlab.operators.labels import next_open_return
@@ -49,8 +50,8 @@ def stress_scenarios(p: Protocol) -> list[Scenario]:
     return [replace(base, name=f"cost_{c:g}", cost_bps=c) for c in p.cost_stress] + [replace(base, name=f"delay_{d}", lag=d) for d in p.lag_stress]
 
 
-def run_weights(returns: np.ndarray, target: np.ndarray, active: np.ndarray, cost: np.ndarray, band: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Net return, weight, turnover and fee of each day (rows) and run (columns).
+def run_weights(returns: np.ndarray, target: np.ndarray, active: np.ndarray, cost: np.ndarray, band: float, start: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Net return, weight, turnover and fee of each day (rows) and run (columns), and the weights held after the last day; ``start``: those before the first, cash if None.
 
     A run trades to its target if that is ``band`` away or more, on leaving
     the market and on entering it; otherwise the weight that prices have
@@ -58,7 +59,7 @@ def run_weights(returns: np.ndarray, target: np.ndarray, active: np.ndarray, cos
     """
     days, runs = target.shape
     out = [np.zeros((days, runs)) for _ in range(4)]
-    held = np.zeros(runs)
+    held = np.zeros(runs) if start is None else start
     for t in range(days):
         on, goal, r = active[t], target[t], returns[t]
         move = goal - held
@@ -70,7 +71,37 @@ def run_weights(returns: np.ndarray, target: np.ndarray, active: np.ndarray, cos
         for x, value in zip(out, ((1 - fee) * grown - 1, weight, turnover, fee), strict=True):
             x[t] = np.where(on, value, 0.0)
         held = np.where(on, weight * (1 + r) / grown, held)
-    return out[0], out[1], out[2], out[3]
+    return *out, held
+
+
+def _stepped(days: pd.DataFrame, runs: list[tuple[str, str, float]], band: float, start: np.ndarray | None = None) -> tuple[pd.DataFrame, np.ndarray, tuple[np.ndarray, ...]]:
+    """Days in order, which of them count for each run, and run_weights of them."""
+    days = days.sort_values("date")
+    target = np.array([[np.nan if x is None else x for x in row] for row in days["targets"]], float).reshape(len(days), len(runs))
+    active = ~np.isnan(target)
+    target = np.nan_to_num(target)
+    if ((target < 0) | (target > 1)).any():
+        raise ValueError("a target weight lies outside 0 and 1")
+    return days, active, run_weights(days["next_return"].fillna(0.0).to_numpy(float), target, active, np.array([c for _, _, c in runs]), band, start)
+
+
+def _records(days: pd.DataFrame, active: np.ndarray, parts: tuple[np.ndarray, ...], runs: list[tuple[str, str, float]], before: np.ndarray | float = 1.0) -> pd.DataFrame:
+    """Rows of DAILY; ``before``: each run's equity before the first day."""
+    equity = before * np.cumprod(1 + parts[0], axis=0)
+    day, run = np.nonzero(active)
+    return pd.DataFrame(
+        {
+            "symbol": days["symbol"].iloc[0],
+            "scenario": np.array([x for x, _, _ in runs], object)[run],
+            "strategy": np.array([x for _, x, _ in runs], object)[run],
+            "execution_date": days["date"].to_numpy()[day],
+            "return": parts[0][day, run],
+            "weight": parts[1][day, run],
+            "turnover": parts[2][day, run],
+            "cost_fraction": parts[3][day, run],
+            "equity": equity[day, run],
+        }
+    )
 
 
 def simulate(frame: DataFrame, runs: list[tuple[str, str, float]], band: float) -> DataFrame:
@@ -81,39 +112,62 @@ def simulate(frame: DataFrame, runs: list[tuple[str, str, float]], band: float)
     """
 
     def group(days: pd.DataFrame) -> pd.DataFrame:
-        days = days.sort_values("date")
-        target = np.array([[np.nan if x is None else x for x in row] for row in days["targets"]], float).reshape(len(days), len(runs))
-        active = ~np.isnan(target)
-        target = np.nan_to_num(target)
-        if ((target < 0) | (target > 1)).any():
-            raise ValueError("a target weight lies outside 0 and 1")
-        cost = np.array([c for _, _, c in runs])
-        parts = run_weights(days["next_return"].fillna(0.0).to_numpy(float), target, active, cost, band)
-        equity = np.cumprod(1 + parts[0], axis=0)
-        day, run = np.nonzero(active)
-        return pd.DataFrame(
-            {
-                "symbol": days["symbol"].iloc[0],
-                "scenario": np.array([x for x, _, _ in runs], object)[run],
-                "strategy": np.array([x for _, x, _ in runs], object)[run],
-                "execution_date": days["date"].to_numpy()[day],
-                "return": parts[0][day, run],
-                "weight": parts[1][day, run],
-                "turnover": parts[2][day, run],
-                "cost_fraction": parts[3][day, run],
-                "equity": equity[day, run],
-            }
-        )
+        return _records(*_stepped(days, runs, band), runs)
 
     return frame.select("symbol", "date", "next_return", "targets").groupBy("symbol").applyInPandas(group, DAILY)
 
 
-def backtest(bars: DataFrame, scenarios: list[Scenario], p: Protocol = Protocol()) -> DataFrame:
+def simulate_in_pieces(frame: DataFrame, runs: list[tuple[str, str, float]], band: float, *, days: int = 365) -> DataFrame:
+    """What ``simulate`` gives, for series longer than a task: pieces of ``days`` days run side by side.
+
+    What a piece needs of those before it is the weight held at its start.
+    Every run trades to its target now and then (a target of 0 always does),
+    and from then on nothing is left of that weight. So all pieces first run
+    from cash; where the one before ended otherwise than was assumed, a piece
+    runs again, until every assumption holds. That takes two or three rounds,
+    each over fewer pieces, and is exact in any number of them; a run that
+    never trades takes as many as it has pieces.
+    """
+    at = ["symbol", "piece"]
+    cut = checkpointed(frame.select("symbol", "date", "next_return", "targets", F.floor(F.unix_date("date") / days).alias("piece")))
+    cash = F.array(*[F.lit(0.0)] * len(runs))
+    line = Window.partitionBy("symbol").orderBy("piece")
+
+    def ends(key: tuple, some: pd.DataFrame, begun: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(begun):
+            return pd.DataFrame(columns=[*at, "started", "ended", "growth"])
+        start = np.array(begun["start"].iloc[0], float)
+        parts = _stepped(some, runs, band, start)[2]
+        return pd.DataFrame({"symbol": [key[0]], "piece": [key[1]], "started": [start.tolist()], "ended": [parts[4].tolist()], "growth": [np.prod(1 + parts[0], axis=0).tolist()]})
+
+    def run(begin: DataFrame) -> DataFrame:
+        both = cut.groupBy(*at).cogroup(begin.groupBy(*at))
+        return checkpointed(both.applyInPandas(ends, "symbol string, piece long, started array<double>, ended array<double>, growth array<double>"))
+
+    state = run(cut.select(*at).distinct().withColumn("start", cash))
+    while True:
+        follows = state.withColumn("start", F.coalesce(F.lag("ended").over(line), cash))
+        wrong = checkpointed(follows.where(F.col("start") != F.col("started")).select(*at, "start"))
+        if wrong.isEmpty():
+            break
+        state = checkpointed(state.join(wrong.select(*at), at, "left_anti").unionByName(run(wrong)))
+    each = state.select(*at, "started", F.posexplode("growth").alias("run", "growth"))
+    grown = F.coalesce(F.product("growth").over(Window.partitionBy("symbol", "run").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
+    before = each.withColumn("grown", grown).groupBy(*at, "started").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "grown"))), lambda x: x["grown"]).alias("before"))
+
+    def records(key: tuple, some: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        return _records(*_stepped(some, runs, band, np.array(known["started"].iloc[0], float)), runs, np.array(known["before"].iloc[0], float))
+
+    return cut.groupBy(*at).cogroup(before.groupBy(*at)).applyInPandas(records, DAILY)
+
+
+def backtest(bars: DataFrame, scenarios: list[Scenario], p: Protocol = Protocol(), *, piece_days: int | None = None) -> DataFrame:
     """Daily records of all strategies in all scenarios, from one pass over the bars.
 
     Indicators are computed once for each window length; a scenario only picks
     from them. A day counts in a scenario if it lies in its period, has a next
-    open, and all strategies' lagged weights are known.
+    open, and all strategies' lagged weights are known. With ``piece_days``
+    long series are simulated in pieces of so many days.
     """
     daily = features.with_daily(bars)
     smas, moms = sorted({s.sma for s in scenarios}), sorted({s.momentum for s in scenarios})
@@ -140,4 +194,5 @@ def backtest(bars: DataFrame, scenarios: list[Scenario], p: Protocol = Protocol(
         for i, strategy in enumerate(STRATEGIES):
             cells.append(F.when(inside, F.get(at, F.lit(i))))
             runs.append((s.name, strategy, s.cost_bps / 10_000))
-    return simulate(got.select("symbol", "date", "next_return", F.array(*cells).alias("targets")), runs, p.band)
+    frame = got.select("symbol", "date", "next_return", F.array(*cells).alias("targets"))
+    return simulate(frame, runs, p.band) if piece_days is None else simulate_in_pieces(frame, runs, p.band, days=piece_days)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlab.functions.windows import by_symbol, ratio
 
+
 def _labelled(bars: DataFrame, value: Column, days: int) -> DataFrame:
     got = bars.withColumns({"forward_return": value, "label_end": F.date_add("date", days)})
     return got.withColumn("target", (F.col("forward_return") > 0).cast("int"))
@@ -65,12 +66,24 @@ def folds_of(rows: DataFrame, folds: DataFrame, *, window_days: int | None = Non
 
 
 def as_of_model(signals: DataFrame, artifacts: DataFrame, keys: list[str]) -> DataFrame:
-    """Each signal with the artifact valid on its date (refit_date <= date < valid_until), or none."""
-    a = artifacts.alias("a")
-    s = signals.alias("s")
-    on = [F.col(f"s.{k}") == F.col(f"a.{k}") for k in keys] + [F.col("s.date") >= F.col("a.refit_date"), F.col("s.date") < F.col("a.valid_until")]
+    """Each signal with the artifact valid on its date (refit_date <= date < valid_until), or none.
+
+    Signals and artifacts lie on one time line of a key, artifacts first, and
+    the last artifact is carried along it: no signal meets the others. Two
+    artifacts of a key that hold on the same day are an error.
+    """
     rest = [c for c in artifacts.columns if c not in keys]
-    return s.join(a, on, "left").select("s.*", *[F.col(f"a.{c}") for c in rest])
+    line = Window.partitionBy(*keys).orderBy("__at", "__kind")
+    before = F.max("valid_until").over(Window.partitionBy(*keys).orderBy("refit_date").rowsBetween(Window.unboundedPreceding, -1))
+    overlap = F.coalesce(before > F.col("refit_date"), F.lit(False))
+    guarded = F.when(overlap, F.raise_error(F.concat(F.lit("two artifacts hold on "), F.col("refit_date").cast("string"))).cast("date")).otherwise(F.col("refit_date"))
+    model = artifacts.select(*keys, guarded.alias("__at"), F.lit(0).alias("__kind"), F.struct(*rest).alias("__model"))
+    asked = signals.select(*keys, F.col("date").alias("__at"), F.lit(1).alias("__kind"), F.struct(*signals.columns).alias("__signal"))
+    both = model.unionByName(asked, allowMissingColumns=True)
+    carried = F.last("__model", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("__model", carried).where("__kind = 1")
+    valid = F.when(F.col("__at") < F.col("__model.valid_until"), F.col("__model"))
+    return found.withColumn("__model", valid).select("__signal.*", *[F.col(f"__model.{c}").alias(c) for c in rest])
 
 
 def oos_lookup(signals: DataFrame, oos: DataFrame, artifacts: DataFrame, keys: list[str], *, history: bool = True) -> DataFrame:
