@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from barlab.llm.session import checkpointed
+from barlab.llm.suspects import passing, suspect_filter
 
 SPACES = r"[\x20\x09-\x0D]+"
 FINGERPRINT_BITS = 48
@@ -131,36 +132,6 @@ def _marker(owners: int):
     return mark
 
 
-_WORD_BITS = 6
-
-
-def _filter_places(fp, words: int) -> tuple:
-    """Word of a filter, and the two bits of it, that a fingerprint sets."""
-    mixed = F.xxhash64(fp)
-    bit = lambda at: F.lit(1).cast("long") * F.expr(f"shiftleft(1L, cast(shiftright(__mixed, {at}) & {(1 << _WORD_BITS) - 1} as int))")
-    return mixed.alias("__mixed"), F.pmod(F.shiftrightunsigned("__mixed", 2 * _WORD_BITS), F.lit(words)).alias("word"), bit(0).bitwiseOR(bit(_WORD_BITS)).alias("bits")
-
-
-def suspect_filter(fingerprints: DataFrame, most_words: int = 1 << 21) -> tuple[DataFrame, int]:
-    """word and bits (long) of a Bloom filter with two bits for each value of ``fp``, and its number of words.
-
-    About 32 bits a value let one in 250 of the others pass. From
-    ``most_words`` (16 MB of bits) on it does not grow, so it can be sent to
-    every task; then more pass by chance, and nothing is missed.
-    """
-    fp = fingerprints.select("fp").distinct()
-    words = max(1, min(most_words, fp.count() // 2))
-    mixed, word, bits = _filter_places(F.col("fp"), words)
-    return fp.select(mixed).select(word, bits).groupBy("word").agg(F.bit_or("bits").alias("bits")), words
-
-
-def _passing(rows: DataFrame, found: DataFrame, words: int) -> DataFrame:
-    """Rows whose ``fp`` the filter holds; no row is shuffled."""
-    mixed, word, bits = _filter_places(F.col("fp"), words)
-    tried = rows.select("*", mixed).select("*", word, bits.alias("own"))
-    return tried.join(F.broadcast(found), "word").where(F.col("bits").bitwiseAND(F.col("own")) == F.col("own")).select(*rows.columns)
-
-
 def _first_of(doc_id: str, rid: str):
     """Order of rows: by document id, nulls last, then as stored."""
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid"))
@@ -192,7 +163,7 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
     # byte verification: a group of a fingerprint holds one text only
     found, words = suspect_filter(suspects.select(fp))
-    texts = _passing(source.select(F.unhex(sha).alias("sha"), "norm").select("*", fp), checkpointed(found), words)
+    texts = passing(source.select(F.unhex(sha).alias("sha"), "norm").select("*", fp), checkpointed(found), words)
     verified = texts.groupBy("sha", "norm").agg(F.count(F.lit(1)).alias("n")).groupBy("sha").agg(F.count(F.lit(1)).alias("variants"))
     groups = (
         suspects.groupBy("sha")

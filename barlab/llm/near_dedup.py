@@ -20,8 +20,10 @@
    largest component meet the others only: a bucket of n nodes of which r lie
    outside of it sends about (2 n r + r^2) / chunk rows to blocks. Buckets of
    more than ``wide`` nodes are first cut finer: linked sets share one of the
-   first shingles of both, frequent ones last, so many as may be missing from a
-   partner; such a shingle takes the bucket's place.
+   first shingles of both, frequent ones last, of the smaller set one of about
+   half as many; such a shingle takes the bucket's place, and only pairs with
+   the smaller set in its shorter prefix meet. Texts of one template that are
+   not near enough have as many shingles of their own, so they do not meet.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barlab.llm.components import components
+from barlab.llm.suspects import passing, suspect_filter
 from barlab.llm.kernels import Words, mix, ranges, word_slices
 from barlab.llm.session import checkpointed
 
@@ -251,24 +254,27 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
 
 
 _BLOCK = ["bucket", "x", "y"]
+#: Nodes from which on a shingle's number of nodes counts in the order of shingles.
+FREQUENT = 16
 
 
 def _open_blocks(members: DataFrame, sketch: Sketch, chunk: int, parts: int) -> DataFrame:
     """Open pairs of nodes in different components of a bucket, one row for each block that has some.
 
-    A bucket's largest component and its other nodes are cut into chunks of
-    about ``chunk`` nodes each, and every two chunks meet in a block of their
-    own, but for two of the largest component. A pair comes from the first
-    band that it shares. A row holds the nodes that occur in pairs, their
-    components, and the pairs as places among them.
+    The ``most`` nodes that are ``inside`` and the ``rest`` are cut into chunks
+    of about ``chunk`` nodes each, and every two chunks meet in a block of
+    their own, but for two of the inside ones. A pair comes from the first
+    band that it shares, or (band -1) if the smaller set has the bucket's
+    shingle in the shorter prefix. A row holds the nodes that occur in pairs,
+    their components, and the pairs as places among them.
     """
     chunks = lambda n: F.ceil(F.col(n) / chunk).cast("int")
-    inside = F.col("label") == F.col("largest")
+    inside = F.col("inside")
     hashed = F.xxhash64("node")
     mine = F.when(inside, F.pmod(hashed, chunks("most"))).otherwise(chunks("most") + F.pmod(hashed, chunks("rest"))).cast("int")
     first = F.when(inside, chunks("most")).otherwise(F.lit(0))
     spread = members.withColumns({"mine": mine, "other": F.explode(F.sequence(first, chunks("most") + chunks("rest") - 1))})
-    blocks = spread.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "band", "node", "label", "n", "registers")
+    blocks = spread.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "band", "node", "label", "n", "inside", "registers")
 
     def block(rows: pa.RecordBatch) -> tuple | None:
         get = lambda name: rows.column(name).to_numpy(zero_copy_only=False)
@@ -279,6 +285,9 @@ def _open_blocks(members: DataFrame, sketch: Sketch, chunk: int, parts: int) ->
         some = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= sketch.percent * np.maximum(n[i], n[j]))
         if x == y:
             some &= node[i] < node[j]
+        if band < 0:
+            early = ~get("inside")
+            some &= (early[i] & (n[i] <= n[j])) | (early[j] & (n[j] <= n[i]))
         i, j = i[some], j[some]
         if not len(i):
             return None
@@ -319,20 +328,27 @@ def _several(tagged: DataFrame) -> DataFrame:
 
 
 def _by_prefix(members: DataFrame, nodes: DataFrame, sets: DataFrame, sketch: Sketch, frequent: int, salts: int) -> DataFrame:
-    """node, label, band (-1) and bucket: a shingle of the node's prefix.
-
-    Two sets that link share as many shingles as the similarity asks of the
-    larger one. So their prefixes, what else there is plus one in an order of
-    all shingles, have one in common. The order puts shingles of ``frequent``
-    nodes or more last, by their number of nodes.
+    """node, label, band (-1), bucket and inside: shingles of the node's prefixes, with most and rest of their buckets.
+
+    Of two sets that link, with sizes n <= m, the shared shingles are at least
+    p (n + m) / (1 + p) of a similarity p, so 2 p n / (1 + p) and p m as well.
+    So among the first n - 2 p n / (1 + p) + 1 shingles of the smaller one and
+    the first m - p m + 1 of the larger one, in an order of all shingles, there
+    is a common one. The order puts shingles of ``frequent`` nodes or more last,
+    by their number of nodes. ``inside``: a shingle of the longer prefix only;
+    two of these need not meet, and a bucket of none but these goes.
     """
     each = members.join(sets, "node").select("node", "label", F.explode("shingles").alias("bucket"))
     often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= frequent)
     often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     ranked = each.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(often, ["bucket", "salt"], "left").join(nodes.select("node", "n"), "node")
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("times", F.lit(0)), "bucket"))
-    least = F.floor((F.col("n") * sketch.percent + 99) / 100)
-    return ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1).select("node", "label", F.lit(-1).alias("band"), "bucket")
+    p = sketch.percent
+    after = lambda share, of: F.col("n") - F.expr(f"(n * {share} + {of - 1}) div {of}") + 1
+    prefix = ranked.withColumn("place", place).where(F.col("place") <= after(p, 100))
+    cut = checkpointed(prefix.select("node", "label", F.lit(-1).alias("band"), "bucket", (F.col("place") > after(2 * p, 100 + p)).alias("inside")))
+    met = cut.groupBy("bucket").agg(F.count_if("inside").alias("most"), F.count_if(~F.col("inside")).alias("rest"), (F.min("label") < F.max("label")).alias("several"))
+    return cut.join(met.where("several AND rest > 0").drop("several"), "bucket")
 
 
 def _links_in_blocks(blocks: DataFrame, sets: DataFrame, sketch: Sketch, parts: int) -> DataFrame:
@@ -406,9 +422,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = checkpointed(_buckets(nodes, sketch))
     stars = buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     near = checkpointed(_open_pairs(stars, nodes, sketch))
-    # full sets of all nodes that share a bucket
-    wanted = groups.join(buckets.select("node").distinct(), "node", "left_semi").select("f1", "f2", "n", "node", F.col("doc_id").alias("wanted"))
-    texts = plain.join(wanted.select("wanted").distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    # full sets of all nodes that share a bucket, from the text of one row each
+    wanted = groups.join(buckets.select("node").distinct(), "node", "left_semi").select("f1", "f2", "n", "node")
+    found, words = suspect_filter(rows.select("doc_id", "text_hash", F.col("rid").alias("node")).join(wanted, "node", "left_semi").select(F.xxhash64("doc_id", "text_hash").alias("fp")))
+    texts = passing(plain.withColumn("fp", F.xxhash64("doc_id", F.xxhash64("text"))), checkpointed(found), words)
     sets = _sets(texts, sketch).join(wanted.select("f1", "f2", "n", "node"), ["f1", "f2", "n"]).dropDuplicates(["node"]).select("node", "shingles")
     sets = checkpointed(sets)
     links = checkpointed(_verified(near, sets, sketch))
@@ -416,17 +433,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tagged = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def linked_in(where: DataFrame, several: DataFrame) -> DataFrame:
-        blocks = _open_blocks(where.join(several, "bucket").join(nodes, "node"), sketch, chunk, parts)
+    def linked_in(where: DataFrame) -> DataFrame:
+        blocks = _open_blocks(where.join(nodes, "node"), sketch, chunk, parts)
         return _links_in_blocks(checkpointed(blocks), sets, sketch, parts)
 
     several = checkpointed(_several(tagged))
     broad = F.col("most") + F.col("rest") > wide
-    more = linked_in(tagged, several.where(~broad))
+    more = linked_in(tagged.join(several.where(~broad), "bucket").withColumn("inside", F.col("label") == F.col("largest")))
     if not several.where(broad).isEmpty():
         members = tagged.join(several.where(broad).select("bucket"), "bucket", "left_semi").select("node", "label").distinct()
-        finer = checkpointed(_by_prefix(members, nodes, sets, sketch, 4 * chunk, salts))
-        more = more.union(linked_in(finer, _several(finer)))
+        more = more.union(linked_in(_by_prefix(members, nodes, sets, sketch, FREQUENT, salts)))
     labels = components(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
     named = labels.join(groups.select("node", "doc_id"), "node").groupBy("label").agg(least.alias("least")).select("label", F.col("least.doc_id").alias("component_id"), F.col("least.node").alias("front"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barlab.llm import exact_dedup, fill_middle, sharding, toxicity, whitening
+from barlab.llm import exact_dedup, fill_middle, near_dedup, sharding, suspects, toxicity, whitening
 
 SCHEMA = "doc_id long, text string, source string, shard int, n string, form int, fraction string, cut string"
 TOKEN = re.compile("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
@@ -216,19 +216,107 @@ def test_training_sample_is_bounded(spark):
 def test_only_texts_that_pass_the_filter_are_shuffled(spark):
     docs = spark.createDataFrame([(i, f"text {i if i % 10 else 0} " + "x" * 50) for i in range(5000)], "doc_id long, norm string")
     keyed = docs.select("doc_id", "norm", F.xxhash64("norm").alias("fp"))
-    suspects = keyed.where("doc_id % 10 = 0").select("fp")
-    found, words = exact_dedup.suspect_filter(suspects)
-    passed = exact_dedup._passing(keyed, found, words)
+    found, words = suspects.suspect_filter(keyed.where("doc_id % 10 = 0").select("fp"))
+    passed = suspects.passing(keyed, found, words)
     ids = {r.doc_id for r in passed.collect()}
     assert {i for i in range(0, 5000, 10)} <= ids
-    assert words == 1 and exact_dedup.suspect_filter(keyed.select("fp"))[1] == 4501 // 2
-    several, words = exact_dedup.suspect_filter(keyed.where("doc_id % 10 = 1").select("fp"))
-    assert len({r.doc_id for r in exact_dedup._passing(keyed, several, words).collect()} - set(range(1, 5000, 10))) < 60
-    assert exact_dedup._passing(keyed, *exact_dedup.suspect_filter(keyed.select("fp"), most_words=3)).count() == 5000
+    assert words == 1 and suspects.suspect_filter(keyed.select("fp"))[1] == 4501 // 2
+    several, words = suspects.suspect_filter(keyed.where("doc_id % 10 = 1").select("fp"))
+    assert len({r.doc_id for r in suspects.passing(keyed, several, words).collect()} - set(range(1, 5000, 10))) < 60
+    assert suspects.passing(keyed, *suspects.suspect_filter(keyed.select("fp"), most_words=3)).count() == 5000
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        tree = exact_dedup._passing(keyed, found, words)._jdf.queryExecution().executedPlan().toString()
+        tree = suspects.passing(keyed, found, words)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in tree and "SortMergeJoin" not in tree
+
+
+def planned(spark, of):
+    """Physical plans, as text, of what ``of`` runs where nothing is broadcast but by hint."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    seen = []
+    kept = {m: getattr(m, "checkpointed") for m in (exact_dedup, near_dedup)}
+    try:
+        for m, f in kept.items():
+            setattr(m, "checkpointed", lambda df, f=f: seen.append(df._jdf.queryExecution().executedPlan().toString()) or f(df))
+        seen.append(of()._jdf.queryExecution().executedPlan().toString())
+    finally:
+        for m, f in kept.items():
+            setattr(m, "checkpointed", f)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    return seen
+
+
+def exchanged_texts(plan):
+    """Exchanges below which a scan of the texts lies without the filter's join in between."""
+    lines = plan.splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+    bad = []
+    for k, line in enumerate(lines):
+        if re.search(r"\bExchange ", line):
+            path = []
+            for x in lines[k + 1 :]:
+                if depth(x) <= depth(line):
+                    break
+                path.append(x)
+            below = "\n".join(path)
+            if "text#" in below and re.search("Scan parquet", below) and "BroadcastHashJoin" not in below and "norm#" in below:
+                bad.append(line.strip()[:120])
+    return bad
+
+
+@pytest.mark.parametrize("of", [exact_dedup.exact_duplicates, near_dedup.near_duplicates])
+def test_no_text_is_shuffled_before_the_filter(spark, tmp_path, of):
+    spark.createDataFrame([(i, f"some words of text {i % 40} and more {i % 7}") for i in range(200)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    plans = planned(spark, lambda: of(spark.read.parquet(str(tmp_path / "d"))))
+    assert any("BroadcastHashJoin" in p and "Scan parquet" in p for p in plans)
+    assert [x for p in plans for x in exchanged_texts(p)] == []
+
+
+# ---- templates
+
+
+def template_texts(n, words=900, own=26, seed=3):
+    """Texts of one template with words of their own at places of their own: pairs at a similarity of about 0.845, near but not near enough."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    out = []
+    for k in range(n):
+        text = list(base)
+        for j in rng.sample(range(5, words - 5, 4), own):
+            text[j] = f"own{k}x{j}"
+        out.append((k, " ".join(text)))
+    return out
+
+
+def pairs_tested(spark, rows, monkeypatch, wide):
+    """Ordered pairs of nodes in different components that meet in the second round's blocks, and the result."""
+    seen = []
+    plain = near_dedup._open_blocks
+
+    def counted(members, *args):
+        members = near_dedup.checkpointed(members)
+        sizes = members.groupBy("bucket").agg(F.first("most").alias("m"), F.first("rest").alias("r")).select((2 * F.col("m") * F.col("r") + F.col("r") * F.col("r")).alias("pairs")).agg(F.sum("pairs")).first()[0]
+        seen.append(sizes or 0)
+        return plain(members, *args)
+
+    monkeypatch.setattr(near_dedup, "_open_blocks", counted)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), wide=wide).collect()
+    monkeypatch.setattr(near_dedup, "_open_blocks", plain)
+    return sum(seen), {r.doc_id: r.component_id for r in got}
+
+
+def test_templates_below_the_threshold_hardly_meet(spark, monkeypatch):
+    rows = template_texts(250)
+    grams = [{" ".join(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for _, t in rows)]
+    near = [100 * len(a & b) >= 85 * len(a | b) for k, a in enumerate(grams) for b in grams[:k]]
+    assert not any(near)
+    copy = rows[7][1].replace("own7x", "mine7x", 3)
+    rows.append((1000, copy))
+    without, plain = pairs_tested(spark, rows, monkeypatch, 10**9)
+    cut, finer = pairs_tested(spark, rows, monkeypatch, 30)
+    assert plain == finer == {**{k: k for k, _ in rows}, 1000: 7}
+    assert cut < without / 10
