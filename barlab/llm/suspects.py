@@ -11,7 +11,8 @@ def _filter_places(fp, words: int) -> tuple:
     """Word of a filter, and the two bits of it, that a fingerprint sets."""
     mixed = F.xxhash64(fp)
     bit = lambda at: F.expr(f"shiftleft(1L, cast(shiftright(__mixed, {at}) & {(1 << _WORD_BITS) - 1} as int))")
-    return mixed.alias("__mixed"), F.pmod(F.shiftrightunsigned("__mixed", 2 * _WORD_BITS), F.lit(words)).alias("word"), bit(0).bitwiseOR(bit(_WORD_BITS)).alias("bits")
+    word = F.coalesce(F.pmod(F.shiftrightunsigned("__mixed", 2 * _WORD_BITS), F.lit(words)), F.lit(0))  # never null: else a join would look for nulls first, at the scan, by hashing every text once more
+    return mixed.alias("__mixed"), word.alias("word"), bit(0).bitwiseOR(bit(_WORD_BITS)).alias("bits")
 
 
 def suspect_filter(fingerprints: DataFrame, most_words: int = 1 << 21) -> tuple[DataFrame, int]:
