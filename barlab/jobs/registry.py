@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barlab.functions.storage import checkpointed
+from barlab.functions.storage import checkpointed, stored_once
 from barlab.functions.windows import by_symbol
 from barlab.jobs import sql as S
 from barlab.jobs.panel import index_bars, latest_signals, table, tick_bars
@@ -675,7 +675,11 @@ def _in_phase(df):
 
 
 def _search(spark, d):
-    """symbol, date, label_end, target, candidate, probability and phase of all 40 candidates."""
+    """symbol, date, label_end, target, candidate, probability and phase of all 40 candidates, fitted once and stored."""
+    return stored_once(spark, f"{d}|search", lambda: _search_fits(spark, d))
+
+
+def _search_fits(spark, d):
     rows = checkpointed(_search_rows(spark, d))
     years = wf.folds(spark, SEARCH_FOLDS[0][0], SEARCH_FOLDS[-1][1], "year")
     fitted = md.fitted_candidates(rows, ["symbol"], wf.candidate_specs(), ft.FEATURE_SETS, SEARCH_FOLDS)
@@ -725,37 +729,7 @@ def _fold_audit(spark, rows, years=None, dev_years=P.dev_years, dev_end=P.holdou
     return cal.fold_audit(tested, ["symbol"]).select("symbol", named.alias("phase"), "cutoff", "train_rows", "test_rows", "train_start", "train_label_end", "test_end")
 
 
-# ---- the nested study: four candidates, monthly fits, both horizons
-
-
-def _nested(spark, d, horizon, b=None):
-    """Predictions of all candidates, the folds' probabilities and their fits."""
-    names = list(P.nested_features)
-    got = lb.close_to_close(ft.all_features(index_bars(spark, d) if b is None else b), horizon)
-    rows = checkpointed(lb.dataset(got.where("score IS NOT NULL"), names, start=P.research_start).select("symbol", "date", "label_end", "target", "score", *names))
-    cuts = [date(y, m, 1) for y in range(MONTHS[0].year, MONTHS[1].year + 1) for m in range(1, 13) if MONTHS[0] <= date(y, m, 1) < MONTHS[1]]
-    probs = checkpointed(fold_probs(spark, rows, horizon))
-    fits = checkpointed(md.logistic_folds(rows, ["symbol"], names, cuts, penalty=P.penalty))
-    at = wf.predictions(rows, probs, ["symbol"]).join(fits.select("symbol", "cutoff", "center", "scale", "coefficients"), ["symbol", "cutoff"])
-    z = md.scaled(F.array(*names), F.col("center"), F.col("scale"))
-    both = md.blends(at.withColumn("logistic", md.logistic_probability(z, F.col("coefficients"))), P.prior_weight)
-    return both.withColumns({"historical_prior": F.col("prior"), "regime_shrunk": F.col("regime")}), probs, fits
-
-
-def _nested_long(w):
-    return checkpointed(wf.long_candidates(w, ["symbol"], [*P.selectable, "always_up", "coin_flip"]))
-
-
-def _both_horizons(spark, d, of):
-    b = bars(spark, d)
-    parts = [of(b, h).withColumn("horizon", F.lit(h)) for h in P.horizons]
-    return parts[0].unionByName(parts[1])
-
-
-@query("w9_blends")
-def w9(spark, d):
-    """The leaderboard of all candidates of the nested study, seven days ahead."""
-    return r6(wf.leaderboard(_nested_long(_nested(spark, d, 7)[0]), ["symbol"]))
+# ---- blends of the nested study (barlab.jobs.study) with a given fit
 
 
 _FIXED = {"center": (0.0, 0.01, 0.02, 0.5), "scale": (0.1, 0.2, 0.25, 0.3), "coefficients": (0.1, 0.8, -0.4, 0.3, -0.2)}
@@ -776,40 +750,6 @@ def w9f(spark, d):
     return r6(got.select("symbol", "date", F.col("prior").alias("historical_prior"), F.col("regime").alias("regime_shrunk"), "logistic_shrunk", "equal_blend", "always_up", "coin_flip"))
 
 
-@query("w13_nested_study")
-def w13n(spark, d):
-    """What each outer year selects among the four candidates, for both horizons."""
-    return r6(_both_horizons(spark, d, lambda b, h: wf.select_from_past(_nested_long(_nested(spark, d, h, b)[0]), outer(spark), ["symbol"], list(P.selectable))))
-
-
-@query("w14_nested_study")
-def w14n(spark, d):
-    """Metrics of the nested predictions beside those of the prior, for both horizons."""
-
-    def of(b, h):
-        p = _nested_long(_nested(spark, d, h, b)[0])
-        primary = wf.nested_predictions(p, wf.select_from_past(p, outer(spark), ["symbol"], list(P.selectable)), ["symbol"]).select("symbol", "date", "target", "probability", F.lit("nested_primary").alias("name"))
-        others = p.where(F.year("date").isin(*P.reuse_years)).select("symbol", "date", "target", "probability", F.col("candidate").alias("name"))
-        return sc.metrics(primary.unionByName(others), ["symbol", "name"])
-
-    return r6(_both_horizons(spark, d, of))
-
-
-@query("w15_frozen_artifact")
-def w15a(spark, d):
-    """What serves the last month: the selected candidate with all parameters, for both horizons."""
-
-    def of(b, h):
-        w, probs, fits = _nested(spark, d, h, b)
-        chosen = wf.select_from_past(_nested_long(w), outer(spark), ["symbol"], list(P.selectable))
-        got = wf.current_freeze(probs, chosen, ["symbol"], fits, names=P.nested_features)
-        numbers = {c: F.to_json(F.transform(c, lambda x: F.round(x, 6))) for c in ("center", "scale", "coefficients")}
-        regime = F.to_json(F.transform_values("regime_probabilities", lambda _, v: F.round(v, 6)))
-        return got.withColumns({**numbers, "regime_probabilities": regime, "feature_names": F.to_json("feature_names"), "clip": F.lit(md.CLIP), "prior_weight": F.lit(P.prior_weight)})
-
-    return r6(_both_horizons(spark, d, of))
-
-
 # ---- evidence
 
 _GAINH = lambda h: f"SELECT {h} AS horizon, * FROM ({S.folds(h)} SELECT symbol, date, year(date) AS y, (prior - target) ** 2 - (regime - target) ** 2 AS gain, CAST((regime >= 0.5) = (target = 1) AS INT) AS good, CAST((regime >= 0.5) = (target = 1) AS INT) - CAST((prior >= 0.5) = (target = 1) AS INT) AS more, (regime - target) ** 2 AS brier, (prior - target) ** 2 AS prior_brier FROM wide)"

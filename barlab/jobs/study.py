@@ -113,6 +113,41 @@ class Study:
         return wf.current_freeze(self.probabilities, self.selection, ["symbol", "horizon"], self.fits, names=self.names)
 
 
+# ---- the study of the protocol's four features
+
+
+@query("w9_blends")
+def w9(spark, d):
+    """The leaderboard of all candidates of the nested study, seven days ahead."""
+    return r6(wf.leaderboard(Study(spark, d, P.nested_features).long.where("horizon = 7"), ["symbol"]))
+
+
+@query("w13_nested_study")
+def w13n(spark, d):
+    """What each outer year selects among the four candidates, for both horizons."""
+    return r6(Study(spark, d, P.nested_features).selection)
+
+
+@query("w14_nested_study")
+def w14n(spark, d):
+    """Metrics of the nested predictions beside those of the prior, for both horizons."""
+    return r6(sc.metrics(Study(spark, d, P.nested_features).outer, ["symbol", "horizon", "name"]))
+
+
+@query("w15_frozen_artifact")
+def w15a(spark, d):
+    """What serves the last month: the selected candidate with all parameters, for both horizons."""
+    got = Study(spark, d, P.nested_features).frozen()
+    numbers = {c: F.to_json(F.transform(c, lambda x: F.round(x, 6))) for c in ("center", "scale", "coefficients")}
+    regime = F.to_json(F.transform_values("regime_probabilities", lambda _, v: F.round(v, 6)))
+    return r6(got.withColumns({**numbers, "regime_probabilities": regime, "feature_names": F.to_json("feature_names"), "clip": F.lit(md.CLIP), "prior_weight": F.lit(P.prior_weight)}))
+
+
+@query("u2_four_feature_intervals")
+def u2f(spark, d):
+    return r6(Study(spark, d, P.nested_features).uncertainty())
+
+
 # ---- the study of one feature, in SQL with its fit
 
 _STEPS = 9
@@ -250,3 +285,66 @@ def v5s(spark, d):
         return {"features": fe.drop("open", "close"), "fits": fitted_, "predictions": wide.select("symbol", "date", *probabilities), "selections": chosen.withColumnRenamed("cutoff", "date")}
 
     return sv.study_leaks(parts(b), parts(later), ["symbol", "date"], cut)
+
+
+# ---- the search's selected candidate on the reused years
+
+
+def selected_of_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reuse-year rows of the candidate that leads the development board, with the prior's probability."""
+    found = R._search(spark, sf_dir)
+    lead = wf.leaderboard(found.where("phase = 'development'"), ["symbol"]).where("place = 1").select("symbol", "candidate")
+    reused = found.where("phase = 'reuse'")
+    prior = reused.where("candidate = 'historical_prior'").select("symbol", "date", F.col("probability").alias("prior"))
+    return reused.join(lead, ["symbol", "candidate"]).join(prior, ["symbol", "date"], "left")
+
+
+def search_goal(rows: DataFrame) -> DataFrame:
+    """Whether the selected candidate's accuracy is above the goal at full coverage, in each reused year, and at each interval's lower bound."""
+    known = rows.withColumn("good", (sc.classify("probability") == F.col("target")).cast("double"))
+    overall = known.groupBy("symbol").agg(F.avg("good").alias("accuracy"), F.avg(F.col("probability").isNotNull().cast("double")).alias("coverage"))
+    yearly = known.groupBy("symbol", F.year("date").alias("year")).agg(F.avg("good").alias("accuracy"))
+    bounds = boot.mean_intervals(known, ["symbol"], "good", blocks=P.blocks, reps=P.reps, seed=P.seed)
+    return boot.primary_goal(overall, yearly, bounds, ["symbol"]).join(overall, ["symbol"])
+
+
+@query("u5_search_goal")
+def u5s(spark, d):
+    """The goal for the candidate that the search of all 40 selects, thirty days ahead."""
+    return r6(search_goal(selected_of_search(spark, d)))
+
+
+_COUNTED = """always_up historical_prior regime_expanding regime_730d""".split()
+_ANNUAL = f"""{R._ROWS30.replace('SELECT symbol, date, label_end FROM k30', "SELECT symbol, date, label_end, CAST(fr > 0 AS INT) AS target, CASE WHEN ma200 IS NOT NULL AND return_63 IS NOT NULL THEN CAST(ma200 > 0 AS INT) + CAST(return_63 > 0 AS INT) END AS score FROM k30")},
+yc AS (SELECT make_date(y, 1, 1) AS cutoff, w FROM (SELECT unnest([1998, 1999, 2000, 2001]) AS y), (SELECT unnest([100000, 730]) AS w)),
+ct AS (SELECT symbol, cutoff, w, count(*) AS n, sum(target) AS ups, {', '.join(f"count(*) FILTER (WHERE score = {k}) AS n{k}, count(*) FILTER (WHERE score = {k} AND target = 1) AS ups{k}" for k in (0, 1, 2))} FROM sr JOIN yc ON label_end < cutoff AND date >= cutoff - w GROUP BY 1, 2, 3 HAVING count(*) >= 200),
+pw AS (SELECT r.symbol, r.date, r.label_end, r.target, w, (ups + 1) / (n + 2) AS prior, CASE score WHEN 0 THEN (ups0 + 1) / (n0 + 2) WHEN 1 THEN (ups1 + 1) / (n1 + 2) ELSE (ups2 + 1) / (n2 + 2) END AS regime FROM sr r JOIN ct ON ct.symbol = r.symbol AND year(cutoff) = year(r.date)),
+sp AS (SELECT symbol, date, label_end, target, 'always_up' AS candidate, 1.0::DOUBLE AS probability FROM pw WHERE w > 730 UNION ALL SELECT symbol, date, label_end, target, 'historical_prior', prior FROM pw WHERE w > 730 UNION ALL SELECT symbol, date, label_end, target, CASE w WHEN 730 THEN 'regime_730d' ELSE 'regime_expanding' END, regime FROM pw),
+ph AS (SELECT *, CASE WHEN year(date) IN (1998, 1999) AND label_end < DATE '2000-01-01' THEN 'development' WHEN date >= DATE '2000-01-01' THEN 'reuse' END AS phase, CAST((probability >= 0.5) = (target = 1) AS INT) AS good FROM sp),
+yy AS (SELECT symbol, candidate, year(date) AS y, avg(good) AS a, count(*) AS n, sum((probability - target) ** 2) AS l FROM ph WHERE phase = 'development' GROUP BY 1, 2, 3), bo AS (SELECT symbol, candidate, avg(a) AS ma, min(a) AS wa, sum(l) / sum(n) AS brier FROM yy GROUP BY 1, 2),
+ld AS (SELECT symbol, candidate FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ma DESC, wa DESC, brier, candidate) AS k FROM bo) WHERE k = 1),
+v AS (SELECT p.symbol, p.date, p.target, p.probability, p.good, year(p.date) AS y FROM ph p JOIN ld USING (symbol, candidate) WHERE phase = 'reuse')"""
+
+
+@query("u5_search_goal_of_counts", f"""{_ANNUAL},{S.bootstrap('v', 'symbol', 'avg(good) AS good', P.blocks, P.reps, P.seed)}, iv AS (SELECT symbol, b, quantile_cont(good, 0.025) AS low FROM resamples GROUP BY 1, 2)
+SELECT symbol, achieved, every_year, every_bound, accuracy, coverage FROM (SELECT symbol, avg(good) > 0.9 AS achieved, round(avg(good), 6) AS accuracy, 1.0::DOUBLE AS coverage FROM v GROUP BY 1) JOIN (SELECT symbol, bool_and(a > 0.9) AS every_year FROM (SELECT symbol, y, avg(good) AS a FROM v GROUP BY 1, 2) GROUP BY 1) USING (symbol) JOIN (SELECT symbol, bool_and(low > 0.9) AS every_bound FROM iv GROUP BY 1) USING (symbol)""")
+def u5c(spark, d):
+    """The same where only the candidates that are counts stand for election, which SQL can follow."""
+    found = R._search(spark, d).where(F.col("candidate").isin(*_COUNTED))
+    lead = wf.leaderboard(found.where("phase = 'development'"), ["symbol"]).where("place = 1").select("symbol", "candidate")
+    return r6(search_goal(found.where("phase = 'reuse'").join(lead, ["symbol", "candidate"])))
+
+
+# ---- two model versions on equal dates and targets
+
+
+@query("l7_two_versions", f"""WITH a AS (SELECT symbol, date, target, probability FROM ({R._SCOREDH(30)} SELECT symbol, date, target, probability FROM sco)), b AS (SELECT symbol, date, target, probability FROM ({_ANNUAL} SELECT symbol, date, target, probability FROM ph WHERE phase = 'reuse' AND candidate = 'regime_expanding'))
+SELECT symbol, count(*) AS n, round(avg(CAST((a.probability >= 0.5) = (a.target = 1) AS INT)), 6) AS accuracy, round(avg(CAST((b.probability >= 0.5) = (b.target = 1) AS INT)), 6) AS other_accuracy, round(avg((b.probability - b.target) ** 2 - (a.probability - a.target) ** 2), 6) AS brier_gain, round(avg(abs(a.probability - b.probability)), 6) AS mean_distance FROM a JOIN b USING (symbol, date) GROUP BY 1""")
+def l7v(spark, d):
+    """The frozen calibration and the search's expanding regimes, thirty days ahead: equal dates and targets are asserted, then they are compared."""
+    first = R._scored(spark, d, P.search_horizon).select("symbol", "date", "target", "probability")
+    second = R._search(spark, d).where("phase = 'reuse' AND candidate = 'regime_expanding'").select("symbol", "date", "target", "probability")
+    both = checkpointed(lb.paired_versions(first, second, ["symbol", "date"]))
+    right = lambda c: F.avg((sc.classify(c) == F.col("target")).cast("double"))
+    miss = lambda c: (F.col(c) - F.col("target")) ** 2
+    return r6(both.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), right("probability").alias("accuracy"), right("other").alias("other_accuracy"), F.avg(miss("other") - miss("probability")).alias("brier_gain"), F.avg(F.abs(F.col("probability") - F.col("other"))).alias("mean_distance")))

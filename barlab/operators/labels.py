@@ -52,6 +52,20 @@ def score_probability(signals: DataFrame, table: DataFrame, keys: list[str]) ->
     return signals.join(table, [*keys, "score"], "left")
 
 
+def paired_versions(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, target, probability and ``other`` (the second's) of two model versions' predictions of the same outcomes.
+
+    A row that one of them lacks, or a target that differs, is an error: the
+    versions would be scored on different things.
+    """
+    other = second.select(*keys, F.col("target").alias("__target"), F.col("probability").alias("other"), F.lit(True).alias("__there"))
+    both = first.withColumn("__here", F.lit(True)).join(other, keys, "full_outer")
+    name = F.concat_ws(" ", *[F.col(k).cast("string") for k in keys])
+    wrong = F.when(F.col("__here").isNull() | F.col("__there").isNull(), F.concat(F.lit("only one version has "), name)).when(~F.col("target").eqNullSafe(F.col("__target")), F.concat(F.lit("the versions' targets differ on "), name))
+    fine = F.when(wrong.isNull(), F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean"))
+    return both.where(fine).select(*keys, "target", "probability", "other")
+
+
 def folds_of(rows: DataFrame, folds: DataFrame, *, window_days: int | None = None) -> DataFrame:
     """Rows by the fold that they train (``role`` train: label_end < cutoff) or test (cutoff <= date < next cutoff).
 

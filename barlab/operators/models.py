@@ -99,10 +99,12 @@ def _scaling(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def nearest_shares(train: np.ndarray, y: np.ndarray, test: np.ndarray, counts: list[int], block: int = 256) -> np.ndarray:
     """(ups + 1) / (k + 2) of the k nearest training rows for each k, a column each; of equal distances the earlier rows count."""
-    out, norms = np.empty((len(test), len(counts))), (train**2).sum(axis=1)
+    out = np.empty((len(test), len(counts)))
     for a in range(0, len(test), block):
         some = test[a : a + block]
-        far = (some**2).sum(axis=1)[:, None] + norms - 2 * some @ train.T
+        far = np.zeros((len(some), len(train)))
+        for j in range(train.shape[1]):  # sums of squared differences: equal rows are exactly equally far
+            far += (some[:, j, None] - train[None, :, j]) ** 2
         for c, k in enumerate(counts):
             edge = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
             inside = far < edge

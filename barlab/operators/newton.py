@@ -22,7 +22,7 @@ from barlab.operators.models import CLIP
 MOST_SENT = 100_000
 
 
-def _in_folds(rows: DataFrame, cutoffs: list, window_days: int | None) -> DataFrame:
+def in_folds(rows: DataFrame, cutoffs: list, window_days: int | None) -> DataFrame:
     """Each row with the cutoffs of the folds that it trains: matured before them, and inside the window if there is one."""
     days = F.array(*[F.lit(c).cast("date") for c in cutoffs])
     inside = lambda c: (F.col("label_end") < c) & (F.lit(True) if window_days is None else F.col("date") >= F.date_sub(c, window_days))
@@ -87,7 +87,7 @@ def newton_folds(rows: DataFrame, keys: list[str], features: list[str], cutoffs:
     d = len(features)
     x = F.array(*[F.col(c).cast("double") for c in features])
     read = checkpointed(rows.select(*keys, "date", "label_end", F.col("target").cast("double").alias("target"), x.alias("x")))
-    spread = _in_folds(read, cutoffs, window_days)
+    spread = in_folds(read, cutoffs, window_days)
     each = [F.get("x", F.lit(i)) for i in range(d)]
     sd = lambda c: F.when(F.stddev_pop(c) == 0, 1.0).otherwise(F.stddev_pop(c))
     base = spread.groupBy(*keys, "cutoff").agg(
