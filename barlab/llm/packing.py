@@ -1,107 +1,39 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Each source is a queue of tokens. Every window of ``length`` tokens serves
-each queue by its target proportion; what a queue is owed when the window is
-full (at most 1 + half as many tokens as there are queues) is carried into the
-next one as its deficit.
-A queue that runs dry leaves its share to the others.
-
-The service order has a closed form, so no task walks through the windows: a
-queue with proportion w serves its x-th token at time (x + 1/2) / w, ties go
-to the queue listed first, and window k holds the tokens of ranks k * length
-to (k + 1) * length. Where a document's tokens fall follows from its place in
-its queue and the queues' totals alone, so deficits carry across partitions
-without a sequential pass.
+Each source is a queue of tokens. A round fills one window: it adds to every
+queue's deficit its share of the window, and a queue is served a quantum when
+its deficit reaches one: its share of a window, but ``least`` tokens at least,
+so that pieces stay long, and a window at most. What a queue is owed when a
+window is full is carried into the next one. A queue that runs dry leaves its
+share to the others.
+
+Where a quantum is served follows from the queue alone: with weight w, the one
+from token x on, of size s, is served at time (x + u s) / w, with a phase u
+between 0 and 1 for each queue, so that queues of less than a quantum do not
+all come together. So at time t every queue has had w t tokens within a
+quantum, whatever partitions its documents lie in. Pieces in the order of these
+times, one after the other, are the windows. That order is never sorted in one
+task: times are cut into about as many equal ranges as each then holds pieces,
+the ranges' tokens are added up, and pieces are placed within their range. No
+task and no driver holds a table of the sources.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlab.llm.bpe import word_bpe
-from barlab.llm.kernels import ranges, slices, text_buffers
+from barlab.llm.kernels import slices, text_buffers
 from barlab.llm.session import checkpointed
 
 END_ID = 1
-
-
-@dataclass(frozen=True)
-class Mixture:
-    """Queues' totals and proportions. Tables of places by queues are made ``cells`` numbers at a time."""
-
-    names: tuple[str, ...]
-    totals: np.ndarray
-    weights: np.ndarray
-    cells: int = 1 << 21
-
-    def _blocks(self, n: int) -> Iterator[slice]:
-        step = max(1, self.cells // max(1, len(self.names)))
-        return (slice(a, min(a + step, n)) for a in range(0, n, step))
-
-    def _time(self, queue: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return (x + 0.5) / self.weights[queue]
-
-    def served(self, time: np.ndarray) -> np.ndarray:
-        """Tokens of each queue (columns) served until each time, inclusive."""
-        q = np.arange(len(self.names))
-        guess = np.clip(np.floor(time[:, None] * self.weights - 0.5), -1, self.totals - 1).astype(np.int64)
-        for shift in (1, 1):
-            up = np.minimum(guess + shift, self.totals - 1)
-            guess = np.where(self._time(q, up.astype(float)) <= time[:, None], up, guess)
-        for _ in (1, 1):
-            guess = np.where((guess >= 0) & (self._time(q, guess.astype(float)) > time[:, None]), guess - 1, guess)
-        return guess + 1
-
-    def rank(self, queue: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Place of a queue's x-th token in the service order."""
-        time = self._time(queue, x.astype(float))
-        out = np.empty(len(time), np.int64)
-        for b in self._blocks(len(time)):
-            upto = self.served(time[b])
-            before = self.served(np.nextafter(time[b], -np.inf))
-            first = np.arange(len(self.names))[None, :] < queue[b, None]
-            out[b] = np.where(first, upto, before).sum(axis=1)
-        return out
-
-    def shares(self, window: np.ndarray, queue: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What each window holds of a queue: its first token and the one after its last, and the window's tokens of queues listed before."""
-        low, high, ahead = (np.empty(len(window), np.int64) for _ in range(3))
-        order = np.argsort(window, kind="stable")
-        unique, first = np.unique(window[order], return_index=True)
-        ends, total = np.append(first[1:], len(window)), int(self.totals.sum())
-        for b in self._blocks(len(unique)):
-            at = order[first[b][0] : ends[b][-1]]
-            some, q = np.searchsorted(unique[b], window[at]), queue[at]
-            marks, place = np.unique(np.concatenate((unique[b], unique[b] + 1)), return_inverse=True)
-            edges = self.edges(np.minimum(marks * length, total))
-            lows, highs = edges[place[: len(unique[b])]], edges[place[len(unique[b]) :]]
-            sums = np.cumsum(highs - lows, axis=1)
-            low[at], high[at] = lows[some, q], highs[some, q]
-            ahead[at] = sums[some, q] - (high[at] - low[at])
-        return low, high, ahead
-
-    def edges(self, ranks: np.ndarray) -> np.ndarray:
-        """Tokens of each queue among the first ``rank`` served, for each rank."""
-        low = np.zeros(len(ranks), np.int64)
-        high = np.full(len(ranks), np.array([2.0 + float((self.totals / self.weights).max(initial=0.0))]).view(np.int64)[0])
-        while True:  # the earliest time by which so many are served; order of positive floats is that of their bits
-            if not (high - low > 1).any():
-                break
-            mid = low + (high - low) // 2
-            enough = self.served(mid.view(np.float64)).sum(axis=1) >= ranks
-            high, low = np.where(enough, mid, high), np.where(enough, low, mid)
-        upto = self.served(high.view(np.float64))
-        before = self.served(low.view(np.float64))
-        tied = np.cumsum(upto - before, axis=1)
-        room = (ranks - before.sum(axis=1))[:, None]
-        return before + np.clip(room - (tied - (upto - before)), 0, upto - before)
+_PHASE_BITS = 30
 
 
 def _tokens(docs: DataFrame, tokenizer: str, source_cols: list[str]) -> DataFrame:
@@ -132,17 +64,25 @@ def _tokens(docs: DataFrame, tokenizer: str, source_cols: list[str]) -> DataFram
     return docs.select("doc_id", *source_cols, "text").mapInArrow(run, f"doc_id {kind}, queue string, part long, local long, n long, ids binary")
 
 
-def pack(docs: DataFrame, *, tokenizer: str | None = None, length: int = 2048, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", broadcast_rows: int = 500_000) -> DataFrame:
+def _weight(weights: dict[str, float] | None) -> Column:
+    """A queue's weight: its tokens, or what is listed, the smallest listed one for others."""
+    if not weights:
+        return F.col("total").cast("double")
+    listed = F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))])
+    return F.coalesce(F.try_element_at(listed, F.col("queue")), F.lit(float(min(weights.values()))))
+
+
+def pack(docs: DataFrame, *, tokenizer: str | None = None, length: int = 2048, weights: dict[str, float] | None = None, least: int = 32, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", broadcast_rows: int = 500_000) -> DataFrame:
     """Pieces of documents in windows of ``length`` tokens: doc_id, queue, start, length, ids (binary, little-endian unsigned 32-bit), ids_crc32, doc_tokens, sequence_id, offset.
 
     Only the last window is short. ``weights``: target proportion of tokens by
     source, natural proportions where none are given (then every window holds
-    the corpus' mixture to within a few tokens of each source); a source that is
-    not listed gets the smallest listed weight. Each source is a queue, at any
-    number of them; the driver and each task hold a name and a total per source,
-    and placing a document takes time in proportion to the sources. A null text is a document of
-    the end id alone, a null source a queue of its own; null and repeated ids
-    are documents like any other; an empty table gives no pieces.
+    the corpus' mixture, each source within about a quantum of its share); a
+    source that is not listed gets the smallest listed weight. A document is
+    cut where a quantum (of ``least`` tokens at least) or a window ends. Each
+    source is a queue, at any number of them. A null text is a document of the
+    end id alone, a null source a queue of its own; null and repeated ids are
+    documents like any other; an empty table gives no pieces.
     """
     if tokenizer is None:
         import public_tokenizers
@@ -152,55 +92,53 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, length: int = 2048, w
     plain = docs.select(F.col(id_col).alias("doc_id"), queue.alias("queue"), F.col(text_col).cast("string").alias("text"))
     stored = checkpointed(_tokens(plain, tokenizer, ["queue"]))
     parts = stored.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
-    ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = checkpointed(parts.withColumn("base", F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("long")))
-    totals = {r["queue"]: r["n"] for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row per source
-    names = tuple(sorted(totals))
-    count = np.array([totals[x] for x in names], np.int64)
-    share = count.astype(float) if not weights else np.array([weights.get(x, min(weights.values())) for x in names], float)
-    mixture = Mixture(names, count, share)
-    small = bases.select("queue", "part", "base")
+    own = Window.partitionBy("queue")
+    ahead = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    phase = (F.xxhash64("queue").bitwiseAND((1 << _PHASE_BITS) - 1) + 0.5) / float(1 << _PHASE_BITS)
+    bases = parts.select("queue", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).cast("long").alias("base"), F.sum("n").over(own).alias("total"))
+    bases = checkpointed(bases.withColumns({"weight": _weight(weights), "phase": phase}))
+    sums = bases.where("base = 0").groupBy("queue").agg(F.first("weight").alias("w"), F.first("total").alias("n")).agg(F.sum("w").alias("weights"), F.max(F.col("n") / F.col("w")).alias("end"), F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("queues")).first()
+    if not sums["queues"]:
+        return _with_bytes(stored.select("doc_id", "queue", *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "n", "sequence_id", "offset")], "ids").where(F.lit(False)))
+    quantum = F.greatest(F.lit(least), F.least(F.lit(length), F.round(F.lit(float(length)) * F.col("weight") / sums["weights"]))).cast("long")
+    small = bases.withColumn("quantum", quantum)
     if bases.count() <= broadcast_rows:
         small = F.broadcast(small)
-    placed = stored.join(small, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("local")).alias("at"), "n", "ids")
-    kind = dict(plain.dtypes)["doc_id"]
+    placed = stored.join(small, ["queue", "part"]).withColumn("at", F.col("base") + F.col("local"))
+
+    # a document's pieces: what it has of each quantum of its queue
+    visits = F.sequence(F.expr("at div quantum"), F.expr("(at + n - 1) div quantum"))
+    cut = placed.withColumn("visit", F.explode(visits)).withColumns({"from": F.greatest("at", F.col("visit") * F.col("quantum")), "to": F.least(F.col("at") + F.col("n"), (F.col("visit") + 1) * F.col("quantum"))})
+    size = F.least(F.col("quantum"), F.col("total") - F.col("visit") * F.col("quantum"))
+    time = (F.col("visit") * F.col("quantum") + F.col("phase") * size) / F.col("weight")
+    some = F.expr("substring(ids, cast((`from` - at) * (length(ids) div n) + 1 as int), cast((`to` - `from`) * (length(ids) div n) as int))")
+    ranges = max(1, round((stored.count() + sums["tokens"] / max(least, length // sums["queues"])) ** 0.5))
+    timed = cut.select("doc_id", "queue", "n", (F.col("from") - F.col("at")).alias("start"), (F.col("to") - F.col("from")).alias("length"), "from", time.alias("time"), some.alias("ids"))
+    timed = timed.withColumn("range", F.least(F.floor(F.col("time") / sums["end"] * ranges), F.lit(ranges - 1)))
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = timed.groupBy("range").agg(F.sum("length").alias("tokens")).select("range", F.coalesce(F.sum("tokens").over(upto), F.lit(0)).alias("before"))
+    line = Window.partitionBy("range").orderBy("time", "queue", "from").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = timed.withColumn("within", F.coalesce(F.sum("length").over(line), F.lit(0))).join(before, "range").withColumn("place", F.col("before") + F.col("within"))
+
+    # and of these, what lies in each window
+    spans = F.sequence(F.expr(f"place div {length}"), F.expr(f"(place + length - 1) div {length}"))
+    window = ordered.withColumn("sequence_id", F.explode(spans))
+    begin = F.greatest(F.col("place"), F.col("sequence_id") * length)
+    end = F.least(F.col("place") + F.col("length"), (F.col("sequence_id") + 1) * length)
+    pieces = window.withColumns({"begin": begin, "end": end})
+    bytes_ = F.expr("substring(ids, cast((begin - place) * (length(ids) div length) + 1 as int), cast((`end` - begin) * (length(ids) div length) as int))")
+    return _with_bytes(pieces.select("doc_id", "queue", (F.col("start") + F.col("begin") - F.col("place")).alias("start"), (F.col("end") - F.col("begin")).alias("length"), "n", "sequence_id", (F.col("begin") - F.col("sequence_id") * length).alias("offset"), bytes_.alias("ids")))
+
+
+def _with_bytes(pieces: DataFrame) -> DataFrame:
+    """Pieces with their ids in 32 bits each, and the checksum of these bytes."""
+    kind = dict(pieces.dtypes)["doc_id"]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {x: i for i, x in enumerate(names)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                yield _pieces(batch.slice(a, 1000), index, mixture, length)
-
-    return placed.mapInArrow(cut, f"doc_id {kind}, queue string, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-
-
-def _pieces(batch: pa.RecordBatch, index: dict[str, int], mixture: Mixture, length: int) -> pa.RecordBatch:
-    queue = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
-    at, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
-    first = mixture.rank(queue, at) // length
-    last = mixture.rank(queue, at + n - 1) // length
-    spans = last - first + 1
-    doc = np.repeat(np.arange(len(at)), spans)
-    window = ranges(first, spans)
-    low, high, ahead = mixture.shares(window, queue[doc], length)
-    begin = np.maximum(low, at[doc])
-    end = np.minimum(high, (at + n)[doc])
-    offset = ahead + begin - low
-    some = end > begin  # a window of the range may serve nothing of a rare queue
-    doc, window, begin, end, offset = (x[some] for x in (doc, window, begin, end, offset))
-    start = begin - at[doc]
-    raw = batch.column(4)
-    ids: list[np.ndarray | None] = [None] * len(at)
-    pieces, sums = [], []
-    for d, s, size in zip(doc.tolist(), start.tolist(), (end - begin).tolist(), strict=True):
-        if ids[d] is None:
-            code = raw[d].as_buffer()
-            ids[d] = np.frombuffer(code, "<u2" if code.size == 2 * n[d] else "<u4").astype("<u4")
-        piece = ids[d][s : s + size].tobytes()
-        pieces.append(piece)
-        sums.append(zlib.crc32(piece))
-    take = pa.array(doc)
-    columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(end - begin), pa.array(pieces, pa.binary()), pa.array(sums, pa.int64()), pa.array(n[doc]), pa.array(window), pa.array(offset)]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "queue", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            doc, queue, start, size, n, window, offset, packed = batch.columns
+            wide = [np.frombuffer(x.as_buffer(), "<u2" if x.as_buffer().size == 2 * k else "<u4").astype("<u4").tobytes() for x, k in zip(packed, size.to_pylist(), strict=True)]
+            columns = [doc, queue, start, size, pa.array(wide, pa.binary()), pa.array([zlib.crc32(x) for x in wide], pa.int64()), n, window, offset]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "queue", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    return pieces.mapInArrow(run, f"doc_id {kind}, queue string, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
