@@ -50,8 +50,13 @@ def stress_scenarios(p: Protocol) -> list[Scenario]:
     return [replace(base, name=f"cost_{c:g}", cost_bps=c) for c in p.cost_stress] + [replace(base, name=f"delay_{d}", lag=d) for d in p.lag_stress]
 
 
-def run_weights(returns: np.ndarray, target: np.ndarray, active: np.ndarray, cost: np.ndarray, band: float, start: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Net return, weight, turnover and fee of each day (rows) and run (columns), and the weights held after the last day; ``start``: those before the first, cash if None.
+def run_weights(returns: np.ndarray, target: np.ndarray, active: np.ndarray, cost: np.ndarray, band: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Net return, weight, turnover and fee of each day (rows) and run (columns), from cash."""
+    return run_weights_from(np.zeros(target.shape[1]), returns, target, active, cost, band)[:4]
+
+
+def run_weights_from(held: np.ndarray, returns: np.ndarray, target: np.ndarray, active: np.ndarray, cost: np.ndarray, band: float) -> tuple[np.ndarray, ...]:
+    """Net return, weight, turnover and fee of each day (rows) and run (columns), and the weights held after the last day; ``held``: those before the first.
 
     A run trades to its target if that is ``band`` away or more, on leaving
     the market and on entering it; otherwise the weight that prices have
@@ -59,7 +64,6 @@ def run_weights(returns: np.ndarray, target: np.ndarray, active: np.ndarray, cos
     """
     days, runs = target.shape
     out = [np.zeros((days, runs)) for _ in range(4)]
-    held = np.zeros(runs) if start is None else start
     for t in range(days):
         on, goal, r = active[t], target[t], returns[t]
         move = goal - held
@@ -82,7 +86,7 @@ def _stepped(days: pd.DataFrame, runs: list[tuple[str, str, float]], band: float
     target = np.nan_to_num(target)
     if ((target < 0) | (target > 1)).any():
         raise ValueError("a target weight lies outside 0 and 1")
-    return days, active, run_weights(days["next_return"].fillna(0.0).to_numpy(float), target, active, np.array([c for _, _, c in runs]), band, start)
+    return days, active, run_weights_from(np.zeros(len(runs)) if start is None else start, days["next_return"].fillna(0.0).to_numpy(float), target, active, np.array([c for _, _, c in runs]), band)
 
 
 def _records(days: pd.DataFrame, active: np.ndarray, parts: tuple[np.ndarray, ...], runs: list[tuple[str, str, float]], before: np.ndarray | float = 1.0) -> pd.DataFrame:
