@@ -1,8 +1,9 @@
 """Boilerplate lines: lines that spread over many sites.
 
-Lines are found once and kept as hashes. A HyperLogLog sketch of the sites of
-each line is built by a group-by that merges partial sketches, so a line that
-every document holds costs one sketch per task. Lines whose estimate lies near
+Lines are found once and kept as hashes. Those on as many rows as sites are
+asked for get a HyperLogLog sketch of their sites, built by a group-by that
+merges partial sketches, so a line that every document holds costs one sketch
+per task. Lines whose estimate lies near
 the threshold get an exact distinct count; the rest are decided by the sketch.
 
 Exact copies of one document bring its lines to many sites without making them
@@ -58,7 +59,9 @@ def line_spread(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def _spread(lines: DataFrame, min_sites: int, lg_k: int, band: float, small_rows: int, salts: int) -> DataFrame:
     count = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(lg_k)))
-    spread = lines.groupBy("line").agg(count("site").alias("sites"), count("text_hash").alias("texts"), F.min("doc_id").alias("keeper"))
+    # a line of fewer rows has fewer texts: counting them first spares a sketch for nearly every line there is
+    often = checkpointed(lines.groupBy("line").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= min_sites).select("line"))
+    spread = _with_lines(lines, often, small_rows=small_rows, salts=salts).groupBy("line").agg(count("site").alias("sites"), count("text_hash").alias("texts"), F.min("doc_id").alias("keeper"))
     wide = checkpointed(spread.where((F.col("sites") >= min_sites * (1 - band)) & (F.col("texts") >= min_sites * (1 - band))))
     # what lies near the threshold has few distinct values, so they are made distinct before they meet
     near = lambda c: F.col(c) <= min_sites * (1 + band)
