@@ -89,7 +89,10 @@ def _looks_random(v: Column) -> Column:
 def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with base (assign, access and hex spans) and more (service spans outside the base ones, and blob spans outside both).
 
-    A null or empty text has none; columns of these two names are replaced.
+    A null or empty text has none; rows are judged one by one, repeated ones
+    alike; where matches of one kind could start at the same place, the longest
+    is taken, and an earlier kind wins over a later one. Columns of these two
+    names are replaced; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.withColumn("__t", text).select(
@@ -126,9 +129,12 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rank into KINDS. A value that ``example_owners`` owners hold, in
     ``example_repos`` repositories or more, is an example, any other is live.
     Base spans (assign, access, hex) are always reported, spans of further
-    kinds are added if their value is live. A null text is empty, a null owner or repository a name of its own; null and repeated
-    ids and repeated rows are rows like any other; an empty table gives none.
-    Columns of other names are ignored.
+    kinds are added if their value is live. ``owner`` and ``repo`` say whose a
+    row is; by default they are the column ``source``, and it with ``lang``,
+    and a table without these columns is an error unless they are given.
+    A null text is empty, a null owner or repository a name of its own; null
+    and repeated ids and repeated rows are rows like any other; an empty table
+    gives none. Columns of other names are ignored.
     """
     owner = F.col("source") if owner is None else owner
     repo = F.concat_ws("/", owner, F.col("lang")) if repo is None else repo
@@ -171,6 +177,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     Spans that overlap are masked as one. Rows and all other columns stay as
     they are; a text without live values, and a null text, is unchanged.
+    ``options``: those of find_secrets; it needs to know owner and repository.
     """
     found = find_secrets(docs, id_col=id_col, text_col=text_col, **options)
     live = found.where(F.size("live") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("live").alias("__live"))

@@ -178,8 +178,11 @@ def token_counts(docs: DataFrame, *, vocabulary_path: str | None = None, id_col:
     Words are runs of characters outside space and 09-0D; a word's pieces are
     the greedy longest matches of the vocabulary from the left over a space
     and the word's bytes; a word that no pieces fit counts as one token. A
-    null or empty text has 0 of both; nulls in the id stay; other columns are
-    ignored; an empty table gives no rows.
+    null or empty text has 0 of both; nulls in the id stay, repeated rows count
+    alike; other columns are ignored; an empty table gives no rows. A long word
+    is read in blocks side by side; where the state at a block's start was
+    guessed wrongly (a word built so that matches never end) that block is read
+    again, and such a word takes a step a byte, in bounded memory.
     """
     path = vocabulary_path or default_vocabulary()
     kind = dict(docs.dtypes)[id_col]

@@ -320,3 +320,18 @@ def test_templates_below_the_threshold_hardly_meet(spark, monkeypatch):
     cut, finer = pairs_tested(spark, rows, monkeypatch, 30)
     assert plain == finer == {**{k: k for k, _ in rows}, 1000: 7}
     assert cut < without / 10
+
+
+# ---- owners that a table must name
+
+
+def test_secrets_need_to_know_whose_a_row_is(spark):
+    from pyspark.errors import AnalysisException
+
+    from barlab.llm import secrets
+
+    docs = spark.createDataFrame([(1, "password=abcdefgh1")], "doc_id long, text string")
+    with pytest.raises(AnalysisException):
+        secrets.redact(docs).collect()
+    got = secrets.redact(docs, owner=F.lit("me"), repo=F.lit("mine")).first()
+    assert got.text == "[SECRET]"
