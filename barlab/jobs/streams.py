@@ -15,6 +15,10 @@ from barlab.schemas import STRATEGIES
 from barlab.streaming import ingest as st, rebalance as rb
 
 
+#: Parts of the streams' state: the given tables have a few symbols.
+PARTS = 4
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, which all executors see."""
     ensure_checkpoint_dir(spark)
@@ -63,13 +67,13 @@ def t1_stream(spark, d):
     for number in range(len(CUTS) + 2):
         st.deliver(ticks.where(F.col("delivery") == number).drop("delivery"), store.inbox)
         before = {r[0] for kind in (store.bars, store.refused) for r in st.stored(spark, kind, st.BAR).select("batch").distinct().collect()}
-        st.ingest(spark, store)
+        st.ingest(spark, store, partitions=PARTS)
         for kind in (store.bars, store.refused):
             opened |= {r[0]: number for r in st.stored(spark, kind, st.BAR).select("batch").distinct().collect() if r[0] not in before}
-    quotes = table(spark, d, "events").where("event_type <> 'view'").select(F.col("event_type").alias("symbol"), F.col("value").alias("price"), F.col("event_id").alias("received_at"), F.expr(_NUMBER).alias("k"))
-    for number in range(len(CUTS) + 1):
+    quotes = table(spark, d, "events").where("event_type <> 'view'").select(F.col("event_type").alias("symbol"), F.col("value").alias("price"), F.col("event_id").alias("received_at"), (F.expr(_NUMBER) >= 2).cast("int").alias("k"))
+    for number in range(2):
         st.deliver(quotes.where(F.col("k") == number).drop("k"), store.quote_inbox)
-        st.ingest_quotes(spark, store)
+        st.ingest_quotes(spark, store, partitions=PARTS)
     named = F.create_map(*[F.lit(x) for pair in opened.items() for x in pair]) if opened else F.create_map(F.lit(-1), F.lit(-1))
     delivery = F.when(F.col("kind").isin("stored", "refused"), F.element_at(named, F.col("batch"))).otherwise(F.col("batch"))
     return r6(st.by_kind(spark, store).withColumn("delivery", delivery.cast("long")).drop("batch")).withColumn("at", F.col("at").cast("timestamp_ntz"))
@@ -93,5 +97,5 @@ def t6(spark, d):
     days = checkpointed(_decided(spark, d).withColumn("part", (F.year("date") * 2 + F.floor(F.month("date") / 7)).cast("int")))
     for k, (part,) in enumerate(sorted(days.select("part").distinct().collect())):
         st.deliver(days.where(F.col("part") == part).drop("part").withColumn("arrived", F.lit(datetime(2024, 1, 1) + timedelta(k))), f"{root}/in")
-        rb.run(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", cost=P.cost, band=P.band)
+        rb.run(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", cost=P.cost, band=P.band, partitions=PARTS)
     return r6(rb.records(spark, f"{root}/out"))

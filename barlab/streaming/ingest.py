@@ -15,6 +15,8 @@ Quotes have a stream of their own, so that their failure never touches bars.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -54,6 +56,19 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(full).parquet(path) if exists(spark, path) else spark.createDataFrame([], full)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, number: int | None) -> Iterator[None]:
+    """Streams that start for the first time in here keep their state in so many parts, for as long as their checkpoint lives; None: as many as the session's shuffles have."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        if number is not None:
+            spark.conf.set(name, str(number))
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def deliver(rows: DataFrame, inbox: str) -> None:
     """New files for a stream."""
     rows.write.mode("append").parquet(inbox)
@@ -130,24 +145,27 @@ def store_or_set_aside(store: Store):
 BAR = "symbol string, start timestamp, open double, high double, low double, close double, volume double"
 
 
-def ingest(spark: SparkSession, store: Store, *, delay: str = "1 hour", width: str = "1 day") -> None:
+def ingest(spark: SparkSession, store: Store, *, delay: str = "1 hour", width: str = "1 day", partitions: int | None = None) -> None:
     """Take in all deliveries that have come since the last run, and store the bars that they close.
 
     Ticks (TICK) come as files in ``store.inbox``, the files of one run in one
     batch. A tick is a repeat of another with its symbol and event_id within
     the watermark. The last, open window of a symbol is never stored.
+    ``partitions``: of the state, chosen by the first run.
     """
-    arrivals = spark.readStream.schema(TICK).parquet(store.inbox)
-    _run(arrivals.writeStream.foreachBatch(split_arrivals(store, delay)), store.checkpoint("intake"))
-    on_time = spark.readStream.schema(TICK).parquet(store.ticks)
-    closed = st.daily_bars(st.dedup_ticks(on_time.select("event_id", "ts", "symbol", "price", "volume"), keys=["symbol", "event_id"], delay=delay), width=width, delay=None)
-    _run(closed.writeStream.outputMode("append").foreachBatch(store_or_set_aside(store)), store.checkpoint("bars"))
+    with state_partitions(spark, partitions):
+        arrivals = spark.readStream.schema(TICK).parquet(store.inbox)
+        _run(arrivals.writeStream.foreachBatch(split_arrivals(store, delay)), store.checkpoint("intake"))
+        on_time = spark.readStream.schema(TICK).parquet(store.ticks)
+        closed = st.daily_bars(st.dedup_ticks(on_time.select("event_id", "ts", "symbol", "price", "volume"), keys=["symbol", "event_id"], delay=delay), width=width, delay=None)
+        _run(closed.writeStream.outputMode("append").foreachBatch(store_or_set_aside(store)), store.checkpoint("bars"))
 
 
-def ingest_quotes(spark: SparkSession, store: Store) -> None:
+def ingest_quotes(spark: SparkSession, store: Store, *, partitions: int | None = None) -> None:
     """Take in the quotes (QUOTE) that have come: the newest of each symbol that has a new one, by batch."""
-    newest = st.latest_quotes(spark.readStream.schema(QUOTE).parquet(store.quote_inbox))
-    _run(newest.writeStream.outputMode("update").foreachBatch(lambda batch, number: _put(batch, store.quotes, number)), store.checkpoint("quotes"))
+    with state_partitions(spark, partitions):
+        newest = st.latest_quotes(spark.readStream.schema(QUOTE).parquet(store.quote_inbox))
+        _run(newest.writeStream.outputMode("update").foreachBatch(lambda batch, number: _put(batch, store.quotes, number)), store.checkpoint("quotes"))
 
 
 def bars_with_quotes(spark: SparkSession, store: Store) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from barlab.streaming.ingest import state_partitions
+
 REBALANCED = "symbol string, strategy string, date date, return double, weight double, turnover double, event string"
 _STATE = "held double, last date, seen timestamp"
 _COLUMNS = [c.split()[0] for c in REBALANCED.split(", ")]
@@ -94,11 +96,12 @@ def rebalance(days: DataFrame, *, cost: float, band: float, idle: str = "30 days
 DAYS = "symbol string, strategy string, date date, next_return double, target double, arrived timestamp"
 
 
-def run(spark: SparkSession, inbox: str, out: str, checkpoint: str, *, cost: float, band: float, idle: str = "30 days") -> None:
-    """Take in the deliveries (DAYS) that have come to ``inbox``; records go to ``out`` by batch, so that a batch that runs again replaces its own."""
-    moved = rebalance(spark.readStream.schema(DAYS).parquet(inbox), cost=cost, band=band, idle=idle)
+def run(spark: SparkSession, inbox: str, out: str, checkpoint: str, *, cost: float, band: float, idle: str = "30 days", partitions: int | None = None) -> None:
+    """Take in the deliveries (DAYS) that have come to ``inbox``; records go to ``out`` by batch, so that a batch that runs again replaces its own. ``partitions``: of the state, chosen by the first run."""
     put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-    moved.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    with state_partitions(spark, partitions):
+        moved = rebalance(spark.readStream.schema(DAYS).parquet(inbox), cost=cost, band=band, idle=idle)
+        moved.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def records(spark: SparkSession, out: str) -> DataFrame:
