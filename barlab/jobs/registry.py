@@ -137,12 +137,16 @@ def s1r(spark, d):
     return bad.select("symbol", "date", F.coalesce(first("bad_date"), first("too_few_fields"), first("high_too_low")).alias("reason"))
 
 
-@query("s4_page_borders", "SELECT symbol, page, problem, days FROM (SELECT DISTINCT l_linestatus AS symbol FROM lineitem), (VALUES (1::BIGINT, 'overlap', 10::BIGINT), (2, 'gap', 5)) t(page, problem, days)")
+_BORDERS = """pg AS (SELECT symbol, 0::BIGINT AS page, date FROM bars WHERE date < DATE '1998-01-01' UNION ALL SELECT symbol, 1, date FROM bars WHERE date >= DATE '1997-12-22' AND date < DATE '2000-01-01' UNION ALL SELECT symbol, 2, date FROM bars WHERE date >= DATE '2000-01-06'),
+sp AS (SELECT symbol, page, min(date) AS first, max(date) AS last FROM pg GROUP BY 1, 2),
+gp AS (SELECT symbol, page, first - max(last) OVER (PARTITION BY symbol ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 AS days FROM sp)"""
+
+
+@query("s4_page_borders", f"{S.BASE}, {_BORDERS} SELECT symbol, page, CASE WHEN days > 0 THEN 'gap' ELSE 'overlap' END AS problem, abs(days) AS days FROM gp WHERE days <> 0")
 def s4b(spark, d):
-    """Three pages of each symbol's calendar; the second starts ten days too early, the third five days too late."""
-    t = table(spark, d, "lineitem").select(F.col("l_linestatus").alias("symbol")).distinct()
-    page = lambda a, b: t.withColumn("date", F.explode(F.sequence(F.to_date(F.lit(a)), F.to_date(F.lit(b)))))
-    return r6(io.page_borders(page("1998-01-01", "1998-06-30"), page("1998-06-21", "1998-12-31"), page("1999-01-06", "1999-06-30")))
+    """All klines in three pages; the second starts ten days too early, the third five days too late."""
+    b = checkpointed(io.read_klines(_klines(spark, d)))
+    return r6(io.page_borders(b.where("date < '1998-01-01'"), b.where("date >= '1997-12-22' AND date < '2000-01-01'"), b.where("date >= '2000-01-06'")))
 
 
 @query("s2_bars_from_strings", f"{S.BASE} SELECT {sel('symbol date *open *high *low *close *volume')} FROM bars")
@@ -599,7 +603,7 @@ def _model_rows(spark, d):
     return lb.dataset(lb.close_to_close(fe, 7), list(ft.EXPANDED), start=P.research_start)
 
 
-_CUTS = [date(y, m, 1) for y in (2000, 2001) for m in (1, 4, 7, 10)]
+_CUTS = [date(y, m, 1) for y in range(1998, 2002) for m in (1, 4, 7, 10)]
 
 
 @query("w6_w7_logistic_folds")
@@ -613,15 +617,17 @@ def w6(spark, d):
 
 
 _KNN = f"""{_FEAT}, kl AS (SELECT *, CAST({S.lead('close', 7)} / close - 1 > 0 AS INT) AS target, date + 7 AS label_end FROM fx), kr AS (SELECT symbol, date, label_end, target, return_7, ma200, vol30 FROM kl WHERE target IS NOT NULL AND date >= DATE '1996-01-01' AND {' AND '.join(f'"{c}" IS NOT NULL' for c in ft.EXPANDED)}),
-tr AS (SELECT * FROM kr WHERE label_end < DATE '2001-01-01'), pa AS (SELECT symbol, avg(return_7) AS c0, avg(ma200) AS c1, avg(vol30) AS c2, stddev_pop(return_7) AS s0, stddev_pop(ma200) AS s1, stddev_pop(vol30) AS s2 FROM tr GROUP BY 1),
-z AS (SELECT kr.symbol, date, label_end, target, greatest(-8, least(8, (return_7 - c0) / s0)) AS z0, greatest(-8, least(8, (ma200 - c1) / s1)) AS z1, greatest(-8, least(8, (vol30 - c2) / s2)) AS z2 FROM kr JOIN pa USING (symbol)),
-nb AS (SELECT q.symbol, q.date, t.target, row_number() OVER (PARTITION BY q.symbol, q.date ORDER BY (q.z0 - t.z0) ** 2 + (q.z1 - t.z1) ** 2 + (q.z2 - t.z2) ** 2, t.date) AS k FROM z q JOIN z t ON t.symbol = q.symbol AND t.label_end < DATE '2001-01-01' WHERE q.date >= DATE '2001-01-01' AND q.date < DATE '2001-07-01')"""
+cu AS (SELECT make_date(y, 1, 1) AS cutoff, make_date(y + 1, 1, 1) AS stop FROM (SELECT unnest([1998, 1999, 2000, 2001]) AS y)),
+tr AS (SELECT kr.*, cutoff FROM kr JOIN cu ON label_end < cutoff), pa AS (SELECT symbol, cutoff, avg(return_7) AS c0, avg(ma200) AS c1, avg(vol30) AS c2, stddev_pop(return_7) AS s0, stddev_pop(ma200) AS s1, stddev_pop(vol30) AS s2 FROM tr GROUP BY 1, 2 HAVING count(*) >= 200),
+z AS (SELECT kr.symbol, cutoff, date, label_end, target, greatest(-8, least(8, (return_7 - c0) / s0)) AS z0, greatest(-8, least(8, (ma200 - c1) / s1)) AS z1, greatest(-8, least(8, (vol30 - c2) / s2)) AS z2 FROM kr JOIN pa USING (symbol)),
+nb AS (SELECT q.symbol, q.cutoff, q.date, t.target, row_number() OVER (PARTITION BY q.symbol, q.date ORDER BY (q.z0 - t.z0) ** 2 + (q.z1 - t.z1) ** 2 + (q.z2 - t.z2) ** 2, t.date) AS k FROM z q JOIN cu USING (cutoff) JOIN z t ON t.symbol = q.symbol AND t.cutoff = q.cutoff AND t.label_end < q.cutoff WHERE q.date >= q.cutoff AND q.date < stop)"""
+_YEARS = [(date(y, 1, 1), date(y + 1, 1, 1)) for y in range(1998, 2002)]
 
 
-@query("w8_knn", f"{_KNN} SELECT symbol, date, round((sum(target) + 1) / 52, 6) AS probability FROM nb WHERE k <= 50 GROUP BY 1, 2")
+@query("w8_knn", f"{_KNN} SELECT symbol, cutoff, date, round((sum(target) + 1) / 52, 6) AS probability FROM nb WHERE k <= 50 GROUP BY 1, 2, 3")
 def w8(spark, d):
-    got = md.knn_folds(_model_rows(spark, d), ["symbol"], ["return_7", "ma200", "vol30"], [(date(2001, 1, 1), date(2001, 7, 1))], k=50)
-    return r6(got.drop("cutoff"))
+    """Neighbours of every year's rows among those known at its start."""
+    return r6(md.knn_folds(_model_rows(spark, d), ["symbol"], ["return_7", "ma200", "vol30"], _YEARS, k=50))
 
 
 @query("w11_leaderboard", f"{S.FOLDS}, yy AS (SELECT symbol, candidate, year(date) AS y, avg(CAST((probability >= 0.5) = (target = 1) AS INT)) AS a, sum(CAST((probability >= 0.5) = (target = 1) AS INT)) AS r, count(*) AS n, sum((probability - target) ** 2) AS l FROM preds GROUP BY 1, 2, 3), bo AS (SELECT symbol, candidate, sum(n)::BIGINT AS total, sum(r) / sum(n) AS accuracy, avg(a) AS mean_year_accuracy, min(a) AS worst_year_accuracy, sum(l) / sum(n) AS brier FROM yy GROUP BY 1, 2) SELECT {sel('symbol candidate total *accuracy *mean_year_accuracy *worst_year_accuracy *brier')}, row_number() OVER (PARTITION BY symbol ORDER BY mean_year_accuracy DESC, worst_year_accuracy DESC, brier, candidate) AS place FROM bo")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import functions as F
 
 from barlab.jobs import registry as R, sql as S
@@ -43,11 +41,10 @@ def d9t(spark, d):
 _POOLED = R._KNN[: R._KNN.index("tr AS (")]
 
 
-@query("w8_knn_pooled", f"""{_POOLED} tr AS (SELECT * FROM kr WHERE label_end < DATE '2001-01-01'), pa AS (SELECT avg(return_7) AS c0, avg(ma200) AS c1, avg(vol30) AS c2, stddev_pop(return_7) AS s0, stddev_pop(ma200) AS s1, stddev_pop(vol30) AS s2 FROM tr),
-z AS (SELECT kr.symbol, date, label_end, target, greatest(-8, least(8, (return_7 - c0) / s0)) AS z0, greatest(-8, least(8, (ma200 - c1) / s1)) AS z1, greatest(-8, least(8, (vol30 - c2) / s2)) AS z2 FROM kr, pa),
-nb AS (SELECT q.symbol, q.date, t.target, row_number() OVER (PARTITION BY q.symbol, q.date ORDER BY (q.z0 - t.z0) ** 2 + (q.z1 - t.z1) ** 2 + (q.z2 - t.z2) ** 2, t.date, t.symbol) AS k FROM z q JOIN z t ON t.label_end < DATE '2001-01-01' WHERE q.date >= DATE '2001-01-01')
-SELECT symbol, date, DATE '2001-01-01' AS cutoff, round((sum(target) + 1) / 52, 6) AS probability FROM nb WHERE k <= 50 GROUP BY 1, 2""")
+@query("w8_knn_pooled", f"""{_POOLED} tr AS (SELECT kr.*, cutoff FROM kr JOIN cu ON label_end < cutoff), pa AS (SELECT cutoff, avg(return_7) AS c0, avg(ma200) AS c1, avg(vol30) AS c2, stddev_pop(return_7) AS s0, stddev_pop(ma200) AS s1, stddev_pop(vol30) AS s2 FROM tr GROUP BY 1 HAVING count(*) >= 200),
+z AS (SELECT kr.symbol, cutoff, date, label_end, target, greatest(-8, least(8, (return_7 - c0) / s0)) AS z0, greatest(-8, least(8, (ma200 - c1) / s1)) AS z1, greatest(-8, least(8, (vol30 - c2) / s2)) AS z2 FROM kr, pa),
+nb AS (SELECT q.symbol, q.date, q.cutoff, t.target, row_number() OVER (PARTITION BY q.symbol, q.date ORDER BY (q.z0 - t.z0) ** 2 + (q.z1 - t.z1) ** 2 + (q.z2 - t.z2) ** 2, t.date, t.symbol) AS k FROM z q JOIN cu USING (cutoff) JOIN z t ON t.cutoff = q.cutoff AND t.label_end < q.cutoff WHERE q.date >= q.cutoff AND q.date < stop)
+SELECT symbol, date, cutoff, round((sum(target) + 1) / 52, 6) AS probability FROM nb WHERE k <= 50 GROUP BY 1, 2, 3""")
 def w8p(spark, d):
-    """Neighbours among all symbols' rows, in blocks of 500 by distance from the centre."""
-    found = nearest.knn_pooled(R._model_rows(spark, d), ["return_7", "ma200", "vol30"], [(date(2001, 1, 1), date(2002, 1, 1))], k=50, block_rows=500, test_rows=200)
-    return r6(found)
+    """Neighbours of every year's rows among all symbols' rows, in blocks of 500 by distance from the centre."""
+    return r6(nearest.knn_pooled(R._model_rows(spark, d), ["return_7", "ma200", "vol30"], R._YEARS, k=50, block_rows=500, test_rows=200))

@@ -188,7 +188,7 @@ def w6n(spark, d):
     return r6(fits.select("symbol", "cutoff", "train_rows", "train_label_end", at("center", 0).alias("center"), at("scale", 0).alias("scale"), at("coefficients", 0).alias("intercept"), at("coefficients", 1).alias("slope")))
 
 
-_POOLED = f"""{S.folds(7)}, fe1 AS (SELECT symbol, date, close / sma - 1 AS x FROM ind WHERE sma IS NOT NULL), nx AS (SELECT r.date, r.label_end, r.target, x FROM rows r JOIN fe1 USING (symbol, date)), qc AS (SELECT cutoff FROM cut WHERE month(cutoff) IN (1, 4, 7, 10) AND cutoff >= DATE '2000-01-01'),
+_POOLED = f"""{S.folds(7)}, fe1 AS (SELECT symbol, date, close / sma - 1 AS x FROM ind WHERE sma IS NOT NULL), nx AS (SELECT r.date, r.label_end, r.target, x FROM rows r JOIN fe1 USING (symbol, date)), qc AS (SELECT cutoff FROM cut WHERE month(cutoff) IN (1, 4, 7, 10)),
 pa AS (SELECT cutoff, count(*) AS n, sum(target) AS ups, avg(x) AS c, stddev_pop(x) AS s FROM nx JOIN qc ON label_end < cutoff AND date >= cutoff - 730 GROUP BY 1),
 tr AS (SELECT p.cutoff, target AS y, greatest(-8, least(8, (x - c) / s)) AS z FROM pa p JOIN nx n ON n.label_end < p.cutoff AND n.date >= p.cutoff - 730),
 it AS (SELECT cutoff, 0 AS k, ln((ups + 1) / (n - ups + 1)) AS b0, 0.0::DOUBLE AS b1 FROM pa UNION ALL
