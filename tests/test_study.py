@@ -279,6 +279,38 @@ def test_selection_ties_go_to_the_first_declared(spark):
     assert wf.select_from_past(df, outer, ["symbol"], ["b", "a"]).first()["selected"] == "b"
 
 
+def board_rows(spark, predictions):
+    """Rows of symbol X, all targets 1, in the order given: (candidate, year, probability)."""
+    rows = [("X", date(y, 1, 1) + timedelta(i), c, 1, p) for i, (c, y, p) in enumerate(predictions)]
+    return spark.createDataFrame(rows, "symbol string, date date, candidate string, target int, probability double").coalesce(1)
+
+
+def places(rows):
+    return [r["candidate"] for r in wf.leaderboard(rows, ["symbol"]).orderBy("place").collect()]
+
+
+def test_equal_mean_accuracies_are_a_tie_however_they_add_up(spark):
+    """Mean yearly accuracy is 0.45 for both, though 0.3 + 0.6 < 0.1 + 0.8 in doubles: the worst year decides, and with equal years the Brier score."""
+    year = lambda c, y, right, p=0.6: [(c, y, p if i < right else 0.4) for i in range(10)]
+    a, b = year("a", 1998, 1) + year("a", 1999, 8), year("b", 1998, 3) + year("b", 1999, 6)
+    swapped = year("c", 1998, 6, 0.7) + year("c", 1999, 3, 0.7)
+    assert places(board_rows(spark, a + b)) == ["b", "a"]
+    assert places(board_rows(spark, a + b + swapped)) == ["c", "b", "a"]
+
+
+def test_equal_losses_are_a_tie_in_any_order(spark):
+    """Losses that come in another order have another sum in doubles; the name decides."""
+    p = (0.6, 0.65, 0.9)
+    assert places(board_rows(spark, [("a", 1998, x) for x in p] + [("b", 1998, x) for x in reversed(p)])) == ["a", "b"]
+
+
+def test_the_board_is_the_plain_one(spark):
+    got = wf.leaderboard(board_rows(spark, [("a", 1998, 0.6), ("a", 1998, 0.3), ("a", 1999, 0.9), ("b", 1998, float("nan"))]), ["symbol"]).orderBy("candidate").toPandas()
+    assert list(got.columns) == ["symbol", "candidate", "total", "accuracy", "mean_year_accuracy", "worst_year_accuracy", "brier", "place"]
+    np.testing.assert_allclose(got.loc[0, ["total", "accuracy", "mean_year_accuracy", "worst_year_accuracy", "brier"]].astype(float), [3, 2 / 3, 0.75, 0.5, (0.16 + 0.49 + 0.01) / 3], rtol=1e-15)
+    assert np.isnan(got.loc[1, "brier"])
+
+
 def test_bootstrap_sums_against_plain_indices(spark):
     n = 50
     v = np.arange(n) ** 1.5
